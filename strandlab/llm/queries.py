@@ -1,8 +1,12 @@
 """The ten pipeline operators' queries, as the driver calls them."""
 
 from strandlab.llm.packing import pack
+from strandlab.llm.quality import quality
+from strandlab.llm.rules import quality_rules
 
 QUERIES = {
     "op1_best_fit_packing": pack,
+    "op4_quality_classifier": quality,
+    "op6_quality_rules": quality_rules,
 }
 ORACLES: dict[str, str] = {}
