@@ -1,12 +1,16 @@
 """The ten pipeline operators' queries, as the driver calls them."""
 
+from strandlab.llm.neardup import near_duplicates
 from strandlab.llm.packing import pack
 from strandlab.llm.quality import quality
 from strandlab.llm.rules import quality_rules
+from strandlab.llm.toxicity import toxicity
 
 QUERIES = {
     "op1_best_fit_packing": pack,
     "op4_quality_classifier": quality,
+    "op5_toxicity": toxicity,
     "op6_quality_rules": quality_rules,
+    "op9_ngram_jaccard": near_duplicates,
 }
 ORACLES: dict[str, str] = {}
