@@ -1,5 +1,7 @@
 """The ten pipeline operators' queries, as the driver calls them."""
 
+from strandlab.llm.linededup import line_dedup
+from strandlab.llm.mixing import mixture
 from strandlab.llm.neardup import near_duplicates
 from strandlab.llm.packing import pack
 from strandlab.llm.quality import quality
@@ -8,6 +10,8 @@ from strandlab.llm.toxicity import toxicity
 
 QUERIES = {
     "op1_best_fit_packing": pack,
+    "op2_line_dedup": line_dedup,
+    "op3_mixing": mixture,
     "op4_quality_classifier": quality,
     "op5_toxicity": toxicity,
     "op6_quality_rules": quality_rules,
