@@ -6,6 +6,7 @@ from strandlab.llm.neardup import near_duplicates
 from strandlab.llm.packing import pack
 from strandlab.llm.quality import quality
 from strandlab.llm.rules import quality_rules
+from strandlab.llm.tokencounts import token_counts
 from strandlab.llm.toxicity import toxicity
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_quality_classifier": quality,
     "op5_toxicity": toxicity,
     "op6_quality_rules": quality_rules,
+    "op7_token_counts": token_counts,
     "op9_ngram_jaccard": near_duplicates,
 }
 ORACLES: dict[str, str] = {}
