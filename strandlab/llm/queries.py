@@ -1,5 +1,6 @@
 """The ten pipeline operators' queries, as the driver calls them."""
 
+from strandlab.llm.fingerprints import fingerprints
 from strandlab.llm.linededup import line_dedup
 from strandlab.llm.mixing import mixture
 from strandlab.llm.neardup import near_duplicates
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_toxicity": toxicity,
     "op6_quality_rules": quality_rules,
     "op7_token_counts": token_counts,
+    "op8_fingerprints": fingerprints,
     "op9_ngram_jaccard": near_duplicates,
 }
 ORACLES: dict[str, str] = {}
