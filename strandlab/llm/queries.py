@@ -1,6 +1,7 @@
 """The ten pipeline operators' queries, as the driver calls them."""
 
 from strandlab.llm.fingerprints import fingerprints
+from strandlab.llm.licenses import license_scan
 from strandlab.llm.linededup import line_dedup
 from strandlab.llm.mixing import mixture
 from strandlab.llm.neardup import near_duplicates
@@ -20,5 +21,6 @@ QUERIES = {
     "op7_token_counts": token_counts,
     "op8_fingerprints": fingerprints,
     "op9_ngram_jaccard": near_duplicates,
+    "op10_license_scan": license_scan,
 }
 ORACLES: dict[str, str] = {}
