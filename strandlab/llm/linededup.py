@@ -8,6 +8,7 @@ least MIN_WORDS words are deleted from the later document.  Since a line is only
 has it, its first copy always survives.
 
 Only hashes and word counts are shuffled for the search and the alignment; whole texts are shuffled once, to delete.
+All joins are sort-merge joins by hint: every side grows with the input, and the plan is the same at any size.
 
 Documents are ordered by doc_id, then by a hash of the text.  Repeated rows are one document and get the same result;
 null texts stay null and empty ones empty; rows without a doc_id are returned unchanged; other columns come along.
@@ -133,7 +134,7 @@ def overlapping(lines: DataFrame, rare: int = RARE) -> DataFrame:
     each = lines.select("d", "t", F.explode(F.array_distinct(F.arrays_zip("k1", "k2", F.transform("words", lambda w: w > 0).alias("some")))).alias("k"))
     each = each.where("k.some").select(F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2"), "d", "t")
     shared = each.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("d", "t")).alias("first")).where("n > 1")
-    seen = each.join(shared, ["k1", "k2"])
+    seen = each.join(shared.hint("merge"), ["k1", "k2"])
     first = seen.select(F.col("first.d").alias("od"), F.col("first.t").alias("ot"), "d", "t")
     order = Window.partitionBy("k1", "k2").orderBy("d", "t")
     before = seen.where(F.col("n") <= rare).select(F.lag("d").over(order).alias("od"), F.lag("t").over(order).alias("ot"), "d", "t")
@@ -161,7 +162,7 @@ def align(lines: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], schema=schema)
 
     old = lines.select(F.col("d").alias("od"), F.col("t").alias("ot"), F.col("k1").alias("o1"), F.col("k2").alias("o2"))
-    rows = pairs.join(lines, ["d", "t"]).join(old, ["od", "ot"]).select("d", "t", "o1", "o2", "k1", "k2", "words")
+    rows = pairs.join(lines.hint("merge"), ["d", "t"]).join(old.hint("merge"), ["od", "ot"]).select("d", "t", "o1", "o2", "k1", "k2", "words")
     return rows.mapInArrow(run, "d long, t long, lines array<int>")
 
 
@@ -172,7 +173,7 @@ def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, rare: int = RARE
     gone = align(lines, pairs, min_words).groupBy("d", "t").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("removed"))
     gone = staged(gone, "gone")
     rows = docs.withColumn("_d", F.col("doc_id").cast("long")).withColumn("_t", F.xxhash64(text_of()))
-    rows = rows.join(gone.select(F.col("d").alias("_d"), F.col("t").alias("_t"), "removed"), ["_d", "_t"], "left").drop("_d", "_t")
+    rows = rows.join(gone.select(F.col("d").alias("_d"), F.col("t").alias("_t"), "removed").hint("merge"), ["_d", "_t"], "left").drop("_d", "_t")
     rows = rows.withColumn("_lines", F.split("text", "\n", -1))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "removed"), lambda i: F.get("_lines", i))
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
