@@ -80,10 +80,10 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, total: float = TOTAL, limit: float
     rows = staged(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words().alias("size")), "sizes")
     goal = source_targets(rows, weights, total, limit)
     keyed = rows.join(F.broadcast(goal.select("source", "rank")), rows["source"].eqNullSafe(goal["source"])).select("doc_id", "size", "rank", F.xxhash64(F.lit(seed), "doc_id").alias("h"))
-    order = ["rank", "size", "h", "doc_id"]
+    order, kind = ["rank", "size", "h", "doc_id"], rows.schema["doc_id"].dataType.simpleString()
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # written once: the ranges' cuts come from a sample and must not differ between the two reads below
-    put = staged(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_numbered, "doc_id long, size long, rank int, h long, part int, place long"), "order")
+    put = staged(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_numbered, f"doc_id {kind}, size long, rank int, h long, part int, place long"), "order")
     counts = put.groupBy("part", "rank").agg(F.count("*").alias("n"))
     before = Window.partitionBy("rank").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
@@ -98,3 +98,16 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, total: float = TOTAL, limit: float
 def mixture(spark, sf_dir: str) -> DataFrame:
     """op3: the words that the mix takes of every document."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mix_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs as often as the mix takes them; equal rows are pooled, so that each copy is taken once."""
+    columns = docs.columns
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull(), F.xxhash64(text_of()), F.coalesce(F.xxhash64("source"), F.lit(0))]
+    keyed = docs.select(*(c.alias(f"_k{i}") for i, c in enumerate(key)), F.struct(*columns).alias("row"))
+    names = [f"_k{i}" for i in range(len(key))]
+    # the mix sees the key as its doc_id
+    seen = docs.select(F.struct(*(c.alias(n) for c, n in zip(key, names, strict=True))).alias("doc_id"), "source", "text")
+    taken = mix(seen, **options).where("copies > 0").groupBy("doc_id").agg(F.sum("copies").cast("int").alias("copies")).select("doc_id.*", "copies")
+    once = keyed.groupBy(*names).agg(F.first("row").alias("row"))
+    return once.join(taken.hint("merge"), names).select("row.*", F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).drop("_copy")
