@@ -1,4 +1,29 @@
 """All queries of the library by name, each with its DuckDB equivalent where SQL can express it."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+import importlib
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    """Registers a function of (spark, sf_dir)."""
+
+    def put(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return put
+
+
+for _part in ("sequences", "counting", "context", "statistics", "motifs", "models", "graphs", "evaluation", "storage", "streams"):
+    try:
+        importlib.import_module(f"strandlab.plans.{_part}")
+    except ModuleNotFoundError as _e:  # while the package is being laid down
+        if _e.name != f"strandlab.plans.{_part}":
+            raise
