@@ -47,7 +47,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
         .drop("_s")
         .withColumn("_b", F.expr(f"transform(_m, v -> cast(shiftrightunsigned(v, {shift}) AS int))"))
         .withColumn("_p", F.expr(f"transform(sequence(0, {BINS - 1}), b -> cast(array_position(_b, b) AS int))"))
-        .withColumn("_p", F.expr("transform(_p, (p, b) -> CASE WHEN p > 0 THEN p ELSE array_min(transform(_b, (c, i) -> struct(xxhash64(b, c) AS h, i + 1 AS i))).i END)"))
+        .withColumn("_p", F.expr(f"transform(_p, (p, b) -> CASE WHEN p > 0 THEN p ELSE cast(array_min(transform(_b, (c, i) -> (xxhash64(b, c) & -{BINS}L) | i)) & {BINS - 1} AS int) + 1 END)"))
         .withColumn(out, F.expr(f"array_join(transform(_p, p -> lower(hex(get(_m, p - 1) & {digits}))), '')"))
         .drop("_m", "_b", "_p")
     )
@@ -80,14 +80,15 @@ def fingerprint_documents(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     low, high = low or 0, high or 0
     width = max(1, (high - low + 1) * bucket // max(1, n))
     number = F.expr(f"coalesce((cast(doc_id AS decimal(20, 0)) - cast({low} AS decimal(20, 0))) div cast({width} AS decimal(20, 0)), -1L)").cast("long")
-    rows = with_fingerprint(docs.withColumn("bucket", number), "text", "fingerprint")
+    keyed = docs.withColumn("bucket", number)
     order = Window.partitionBy("bucket").orderBy("doc_id", "text")
-    placed = rows.withColumns({"next": F.lead("text").over(order), "next_fingerprint": F.lead("fingerprint").over(order), "at": F.row_number().over(order)})
-    inner = placed.where("next IS NOT NULL").drop("at")
-    heads = placed.where("at = 1").select(F.col("bucket").alias("following"), F.col("text").alias("next"), F.col("fingerprint").alias("next_fingerprint"))
-    after = _followers(docs.select(number.alias("bucket")).distinct())
-    tails = placed.where("next IS NULL").drop("next", "next_fingerprint", "at").join(after, "bucket").join(heads, "following")
-    every = inner.drop("bucket").unionByName(tails.select("doc_id", "text", "fingerprint", "next", "next_fingerprint"))
+    placed = with_fingerprint(keyed, "text", "fingerprint").withColumns({"next": F.lead("text").over(order), "next_fingerprint": F.lead("fingerprint").over(order)})
+    # one row a bucket; a bucket's rows, partitioned and sorted by it already, meet the head of the bucket that follows
+    heads = keyed.groupBy("bucket").agg(F.min(F.struct("doc_id", "text")).alias("r")).select(F.col("bucket").alias("following"), F.col("r.text").alias("head"))
+    heads = with_fingerprint(heads, "head", "head_fingerprint")
+    after = _followers(docs.select(number.alias("bucket")).distinct()).join(heads, "following").drop("following")
+    joined = placed.join(after, "bucket")
+    every = joined.select("doc_id", "text", "fingerprint", F.coalesce("next", "head").alias("next"), F.coalesce("next_fingerprint", "head_fingerprint").alias("next_fingerprint"))
     every = every.withColumn("n_chars", F.length("text").cast("long"))
     cut = F.expr("concat(left(text, cast(n_chars - n_chars div 4 AS int)), left(next, cast(n_chars div 4 AS int)))")
     edited = every.withColumn("edited", cut).select("doc_id", "n_chars", "fingerprint", "edited", "next_fingerprint")
