@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,11 +69,12 @@ def allowed_overlap(la, lb) -> Column:
 
 
 def colour(x, low: float, high: float) -> Column:
-    """#rrggbb on a ramp from blue through white to red."""
+    """#rrggbb: black in the middle of the range, towards blue below it and red above, on a logarithmic ramp."""
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (col(x) - low) / (high - low)))
-    r, b = F.least(F.lit(1.0), 2 * t), F.least(F.lit(1.0), 2 * (1 - t))
-    g = F.least(r, b)
-    return F.concat(F.lit("#"), *(F.lpad(F.lower(F.hex(F.floor(v * 255 + 0.5).cast("long"))), 2, "0") for v in (r, g, b)))
+    ramp = F.when(t > 0, F.log(2 * t)).otherwise(-1.0)
+    red, blue = F.greatest(F.lit(0.0), ramp), F.least(F.lit(1.0), F.greatest(F.lit(0.0), -ramp))
+    two = lambda v: F.lpad(F.lower(F.hex(F.floor(v * 255 + 0.5).cast("long"))), 2, "0")
+    return F.concat(F.lit("#"), two(red), F.lit("00"), two(blue))
 
 
 def log_gamma(x: float) -> float:
@@ -109,7 +112,6 @@ def upper_gamma(a: float, x: float) -> float:
 
 def register(spark) -> None:
     """Functions that SQL lacks, as Arrow-batched functions: log_gamma(x), upper_gamma(a, x), erfc(x)."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     from strandlab.session import for_python
