@@ -107,9 +107,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     base = base_places(base.withColumn("n_words", F.size("_w").cast("long"))).drop("_w", "has")
     joined = base.join(found, keys, "left")
     none = F.array().cast("array<string>")
-    every = F.array_sort(F.array_union("base", F.coalesce("method", none)))
+    every = F.sort_array(F.array_union("base", F.coalesce("method", none)))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0)))
-    return joined.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort(F.array_distinct("base")), ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), score.alias("score"))
+    return joined.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join(F.sort_array("base"), ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), score.alias("score"))
 
 
 def license_scan(spark, sf_dir: str) -> DataFrame:
