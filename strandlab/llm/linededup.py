@@ -166,18 +166,25 @@ def align(lines: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
     return rows.mapInArrow(run, "d long, t long, lines array<int>")
 
 
-def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
-    """docs with text reduced, and n_lines, n_removed, removed (numbers of the deleted lines, from 0; null if none)."""
+def dedup_rows(docs: DataFrame, *, min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
+    """row (all columns of docs), text (reduced), n_lines, n_removed, removed (numbers of the deleted lines, from 0; null
+    if none)."""
     lines = staged(line_table(docs).dropDuplicates(["d", "t"]), "lines")
     pairs = overlapping(lines, rare)
     gone = align(lines, pairs, min_words).groupBy("d", "t").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("removed"))
     gone = staged(gone, "gone")
-    rows = docs.withColumn("_d", F.col("doc_id").cast("long")).withColumn("_t", F.xxhash64(text_of()))
-    rows = rows.join(gone.select(F.col("d").alias("_d"), F.col("t").alias("_t"), "removed").hint("merge"), ["_d", "_t"], "left").drop("_d", "_t")
-    rows = rows.withColumn("_lines", F.split("text", "\n", -1))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "removed"), lambda i: F.get("_lines", i))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return rows.withColumns({"text": text, "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long"), "n_removed": F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long")}).drop("_lines")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64(text_of()).alias("t"), F.split("text", "\n", -1).alias("lines"))
+    rows = rows.join(gone.hint("merge"), ["d", "t"], "left")
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed"), lambda i: F.get("lines", i))
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
+    count = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
+    return rows.select("row", text.alias("text"), count("lines").alias("n_lines"), count("removed").alias("n_removed"), "removed")
+
+
+def dedup_lines(docs: DataFrame, **options) -> DataFrame:
+    """docs with text reduced, and n_lines, n_removed, removed; these replace columns of the same names."""
+    new = ["text", "n_lines", "n_removed", "removed"]
+    return dedup_rows(docs, **options).select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in new), *new)
 
 
 def line_dedup(spark, sf_dir: str) -> DataFrame:

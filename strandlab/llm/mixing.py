@@ -110,4 +110,4 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     seen = docs.select(F.struct(*(c.alias(n) for c, n in zip(key, names, strict=True))).alias("doc_id"), "source", "text")
     taken = mix(seen, **options).where("copies > 0").groupBy("doc_id").agg(F.sum("copies").cast("int").alias("copies")).select("doc_id.*", "copies")
     once = keyed.groupBy(*names).agg(F.first("row").alias("row"))
-    return once.join(taken.hint("merge"), names).select("row.*", F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).drop("_copy")
+    return once.join(taken.hint("merge"), names).select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
