@@ -76,15 +76,17 @@ def window_scores(nodes: DataFrame, words: DataFrame, depth: int) -> DataFrame:
     return out.select("word", F.coalesce(*found).alias("lod"))
 
 
-def score(seqs: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
+def score(seqs: DataFrame, nodes: DataFrame, depth: int, letters: int = 26) -> DataFrame:
     """seq_id, len, score of every sequence (an empty one scores 0).
 
-    Windows are counted per sequence first; the table of window scores has at most (letters + 1) ** (depth + 1) rows
-    whatever the corpus, 20,000 for 26 letters at depth 2; AQE decides by its measured size whether it is broadcast.
-    """
-    n = windows(seqs, depth).groupBy("seq_id", "word").agg(F.count("*").alias("n"))
-    table = window_scores(nodes, n.select("word").distinct(), depth)
-    total = n.join(table, "word").groupBy("seq_id").agg(F.sum(F.col("n") * F.col("lod")).alias("score"))
+    First the distinct windows get their scores, a table of at most (letters + 1) ** (depth + 1) rows whatever the
+    corpus; it is broadcast if that bound is small, else joined.  Then each window adds its score to its sequence's sum
+    on the map side, so that one row a sequence and task is shuffled."""
+    words = windows(seqs, depth)
+    table = written(window_scores(nodes, words.select("word").distinct(), depth), "windows")
+    if (letters + 1) ** (depth + 1) <= 1_000_000:
+        table = F.broadcast(table)
+    total = words.join(table, "word").groupBy("seq_id").agg(F.sum("lod").alias("score"))
     return seqs.select("seq_id", F.length("seq").alias("len")).join(total, "seq_id", "left").select("seq_id", "len", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 

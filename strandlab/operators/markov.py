@@ -267,17 +267,27 @@ def score_batch(model: Model, bias: Model, seqs: list[np.ndarray], multi: bool =
     return pd.DataFrame({"score": bits, "score_bias": corrected, "p": tail(bits), "p_bias": tail(corrected)})
 
 
-def score_table(seqs: DataFrame, model: Model, multi: bool = True) -> DataFrame:
-    """seq_id, score, score_bias, p, p_bias of a table (seq_id, codes); one narrow pass."""
+def codes_of(seq: str, alphabet: str) -> np.ndarray:
+    """Codes of an ASCII sequence."""
+    lookup = np.full(256, -1, dtype=np.int64)
+    lookup[np.frombuffer(alphabet.encode(), dtype=np.uint8)] = np.arange(len(alphabet))
+    return lookup[np.frombuffer(seq.encode("ascii"), dtype=np.uint8)]
+
+
+def score_table(seqs: DataFrame, model: Model, multi: bool = True, alphabet: str | None = None) -> DataFrame:
+    """seq_id, score, score_bias, p, p_bias of a table (seq_id, codes), or (seq_id, seq) with an alphabet; one narrow
+    pass."""
     for_python(seqs.sparkSession)
     bias = bias_of(model)
+    name = "seq" if alphabet else "codes"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = score_batch(model, bias, [np.asarray(c, dtype=np.int64) for c in pdf["codes"]], multi)
-            yield pd.concat([pdf[["seq_id"]].reset_index(drop=True), out], axis=1)
+            x = [codes_of(c, alphabet) if alphabet else np.asarray(c, dtype=np.int64) for c in pdf[name]]
+            yield pd.concat([pdf[["seq_id"]].reset_index(drop=True), score_batch(model, bias, x, multi)], axis=1)
 
-    return seqs.where(F.size("codes") > 0).select("seq_id", "codes").mapInPandas(run, "seq_id long, score double, score_bias double, p double, p_bias double")
+    rows = seqs.where((F.length(name) if alphabet else F.size(name)) > 0).select("seq_id", name)
+    return rows.mapInPandas(run, "seq_id long, score double, score_bias double, p double, p_bias double")
 
 
 def score_models(seqs: DataFrame, models: dict[str, Model], multi: bool = True) -> DataFrame:

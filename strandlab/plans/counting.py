@@ -9,7 +9,7 @@ from strandlab.functions import sequences as S
 from strandlab.operators import counting as C
 from strandlab.plans.registry import query
 from strandlab.plans.sequences import DNA_SQL, SEQS, dna, seqs
-from strandlab.session import table
+from strandlab.session import spread, table
 
 #: events as labelled sequences: state 2 .. 6 by event type, symbol 0 .. 9 by value.
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
@@ -191,7 +191,7 @@ def states_per_sequence(spark, d):
 b AS (SELECT kmer, CAST(count(*) AS BIGINT) AS n FROM km JOIN l ON l.doc_id = km.seq_id WHERE lang = 'en' GROUP BY kmer) SELECT s.lang, s.kmer, s.n, coalesce(b.n, 0) AS background FROM s LEFT JOIN b ON b.kmer = s.kmer""")
 def state_background_kmers(spark, d):
     """Each language's 3-mers beside their count in the background language."""
-    docs = table(spark, d, "documents").select("lang", F.explode(S.kmers(S.letters_of("text"), 3)).alias("kmer"))
+    docs = spread(table(spark, d, "documents").select("lang", "text")).select("lang", F.explode(S.kmers(S.letters_of("text"), 3)).alias("kmer"))
     n = docs.groupBy("lang", "kmer").agg(F.count("*").alias("n"))
     b = n.where("lang = 'en'").select("kmer", F.col("n").alias("background"))
     return n.join(b, "kmer", "left").select("lang", "kmer", "n", F.coalesce("background", F.lit(0)).alias("background"))

@@ -23,11 +23,6 @@ def toy_sequences(spark) -> DataFrame:
     return spark.createDataFrame([(i, list(map(int, s))) for i, s in enumerate(TOY)], "seq_id long, codes array<int>")
 
 
-def dna_codes(spark, d: str) -> DataFrame:
-    """seq_id, codes of the documents as DNA."""
-    return dna(spark, d).select("seq_id", S.encode("seq", S.DNA).alias("codes"))
-
-
 def event_codes(spark, d: str) -> DataFrame:
     """seq_id, codes: a user's event types in order of time (a user's events are a bounded list)."""
     e = labelled_events(spark, d).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", (F.col("state") - 2).alias("c")))).alias("e"))
@@ -37,15 +32,15 @@ def event_codes(spark, d: str) -> DataFrame:
 @query("hmm_forward")
 def hmm_forward(spark, d):
     """Bit scores and P-values of all documents, as DNA, under a calibrated model."""
-    return H.score_table(dna_codes(spark, d), H.calibrated(H.toy_model()))
+    return H.score_table(dna(spark, d), H.calibrated(H.toy_model()), alphabet=S.DNA)
 
 
 @query("hmm_search")
 def hmm_search(spark, d):
     """Model search: only sequences that pass the cheap filter (here by length) are scored; E = P x database size."""
-    rows = dna_codes(spark, d)
+    rows = dna(spark, d)
     size = table(spark, d, "documents").agg(F.count("*").alias("db_size"))
-    hits = H.score_table(rows.where(F.size("codes") >= 200), H.calibrated(H.toy_model())).join(F.broadcast(size))
+    hits = H.score_table(rows.where(F.length("seq") >= 200), H.calibrated(H.toy_model()), alphabet=S.DNA).join(F.broadcast(size))
     return hits.select("seq_id", "score", "score_bias", "p", "p_bias", (F.col("p") * F.col("db_size")).alias("e"), (F.col("p_bias") * F.col("db_size")).alias("e_bias"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlab.functions import sequences as S
 from strandlab.plans.registry import query
-from strandlab.session import table
+from strandlab.session import spread, table
 
 #: documents as sequences of lower-case ASCII letters, for the oracles.
 SEQS = "seqs AS (SELECT doc_id AS seq_id, lower(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM documents)"
@@ -19,7 +19,7 @@ DNA_SQL = f"dna AS (SELECT seq_id, translate(seq, '{BASES}', '{TO_DNA}') AS seq
 
 def seqs(spark, d: str) -> DataFrame:
     """seq_id, seq of every document."""
-    return table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), S.letters_of("text").alias("seq"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("seq_id"), S.letters_of("text").alias("seq"))
 
 
 def dna(spark, d: str) -> DataFrame:

@@ -11,7 +11,7 @@ from strandlab.operators import information as I
 from strandlab.plans.counting import EMISSION, EV, TRANSITIONS, event_emissions, event_transitions, labelled_events
 from strandlab.plans.registry import query
 from strandlab.plans.sequences import SEQS
-from strandlab.session import for_python, table
+from strandlab.session import for_python, spread, table
 
 _BITS = "CASE WHEN {p} <= 0 THEN 0.0 ELSE {p} * log2({p} / {q}) END"
 
@@ -152,7 +152,7 @@ _GX = " + ".join(_X.format(c) for c in ("a", "(na - a)", "b", "(nb - b)", "(na +
 def kmer_presence(spark, d: str) -> DataFrame:
     """kmer, a, b (documents of quality 1 and 0 with it), na, nb."""
     q = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"))
-    s = table(spark, d, "documents").join(q, "doc_id").select("doc_id", "q", S.letters_of("text").alias("seq"))
+    s = spread(table(spark, d, "documents").select("doc_id", "text")).join(q, "doc_id").select("doc_id", "q", S.letters_of("text").alias("seq"))
     k = s.select("q", F.explode(F.array_distinct(S.kmers("seq", 2))).alias("kmer"))
     c = k.groupBy("kmer").agg(F.count_if(F.col("q") == 1).alias("a"), F.count_if(F.col("q") == 0).alias("b"))
     return c.join(F.broadcast(s.agg(F.count_if(F.col("q") == 1).alias("na"), F.count_if(F.col("q") == 0).alias("nb"))))
@@ -193,7 +193,7 @@ def model_scores(spark, d: str) -> DataFrame:
     """seq_id, model, score: log likelihood of every document under every language's letters.
 
     Every sequence meets every model through its letter counts: a join with a table of languages x letters rows."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), "lang", S.letters_of("text").alias("seq"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "lang", "text")).select(F.col("doc_id").alias("seq_id"), "lang", S.letters_of("text").alias("seq"))
     r = docs.select("seq_id", "lang", F.explode(S.chars("seq")).alias("residue")).groupBy("seq_id", "lang", "residue").agg(F.count("*").alias("n"))
     m = r.groupBy(F.col("lang").alias("model"), "residue").agg((F.sum("n") + 1.0).alias("n"))
     total = m.groupBy("model").agg(F.sum("n").alias("total"))

@@ -57,3 +57,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Below so many bytes a core, rows are dealt out anew before costly work: small tables come as one row group, one task.
+SMALL = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if its input is small; as it is beyond, where files alone give tasks enough."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # noqa: SLF001
+    return df.repartition(cores) if size < SMALL * cores else df
