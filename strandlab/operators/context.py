@@ -107,7 +107,8 @@ def calibrate(scores: DataFrame, threshold: float, rounds: int, by: str = "band"
     """by, a, b, v, n after dropping rows with |z| >= threshold and fitting again, a fixed number of times."""
     fit = fit_line(scores, [by])
     for _ in range(rounds):
-        kept = scores.join(F.broadcast(fit), by).where((F.col("v") > 0) & (F.abs((F.col("score") - (F.col("a") + F.col("b") * F.col("len"))) / F.col("v")) < threshold))
+        z = (F.col("score") - (F.col("a") + F.col("b") * F.col("len"))) / F.when(F.col("v") > 0, F.col("v"))
+        kept = scores.join(F.broadcast(fit), by).where(F.coalesce(F.abs(z) < threshold, F.lit(True)))  # without a spread nothing stands out
         fit = fit_line(kept.select(*scores.columns), [by])
     return fit
 

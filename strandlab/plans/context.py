@@ -60,13 +60,13 @@ for _depth in (0, 1, 2):
         return scored(spark, d, depth).select("seq_id", "len", (F.round("score", 4) + 0.0).alias("score"))
 
 
-_FIT = "SELECT band, coalesce(regr_intercept(score, len), 0.0) AS a, coalesce(regr_slope(score, len), 0.0) AS b, sqrt(greatest(coalesce(regr_syy(score, len), 0) - coalesce(regr_slope(score, len), 0.0) * coalesce(regr_sxy(score, len), 0), 0.0) / greatest(count(*) - 1, 1)) AS v, CAST(count(*) AS BIGINT) AS n FROM {} GROUP BY band"
+_FIT = "SELECT band, CASE WHEN regr_sxx(score, len) > 0 THEN regr_intercept(score, len) ELSE 0.0 END AS a, CASE WHEN regr_sxx(score, len) > 0 THEN regr_slope(score, len) ELSE 0.0 END AS b, sqrt(greatest(coalesce(regr_syy(score, len), 0) - CASE WHEN regr_sxx(score, len) > 0 THEN regr_slope(score, len) * regr_sxy(score, len) ELSE 0.0 END, 0.0) / greatest(count(*) - 1, 1)) AS v, CAST(count(*) AS BIGINT) AS n FROM {} GROUP BY band"
 
 
 def calibration_sql(rounds: int, threshold: float) -> str:
     parts = [f"{scores_sql(2)}, sb AS (SELECT *, CAST(least(floor(len / 512), 15) AS INTEGER) AS band FROM sc), fit0 AS ({_FIT.format('sb')})"]
     for r in range(rounds):
-        parts.append(f"k{r} AS (SELECT sb.* FROM sb JOIN fit{r} f ON f.band = sb.band WHERE f.v > 0 AND abs((score - (a + b * len)) / v) < {threshold})")
+        parts.append(f"k{r} AS (SELECT sb.* FROM sb JOIN fit{r} f ON f.band = sb.band WHERE CASE WHEN f.v > 0 THEN abs((score - (a + b * len)) / v) < {threshold} ELSE true END)")
         parts.append(f"fit{r + 1} AS ({_FIT.format(f'k{r}')})")
     return ", ".join(parts)
 

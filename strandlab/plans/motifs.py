@@ -202,7 +202,7 @@ def suffix_lcp(spark, d):
 @query("common_rounds")
 def common_rounds(spark, d):
     """Common substrings of the users' event sequences, taken and blanked out one after the other."""
-    return M.rounds_of_common(user_strings(spark, d), 6, 4, 12, 12)
+    return M.rounds_of_common(user_strings(spark, d), 6, 2, 12, 12)
 
 
 def user_strings(spark, d: str) -> DataFrame:
