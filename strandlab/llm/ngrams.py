@@ -134,12 +134,12 @@ def class_weights(y: np.ndarray, counts: dict[int, int]) -> np.ndarray:
 
 
 def score_texts(docs: DataFrame, score) -> DataFrame:
-    """doc_id and score(text) of every document, in Arrow batches."""
+    """doc_id and score of every document; score(texts) gives the scores of an Arrow batch."""
     bounded_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([score(t.as_py()) for t in b.column(1)], pa.float64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score(b.column(1).to_pylist()), pa.float64())], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, score double")

@@ -85,7 +85,8 @@ def classify(docs: DataFrame, labels: DataFrame, label: str, train_on: Column, p
     """doc_id, score (probability of label 1) of every document; train_on: which labelled rows a fit may see."""
     sample, counts = labelled_sample(labels, label, train_on, per_class)
     x, y = sample_features(docs, sample, indicators, np.uint32)
-    return score_texts(docs, fit_nbsvm(x, y, counts))
+    score = fit_nbsvm(x, y, counts)
+    return score_texts(docs, lambda texts: list(map(score, texts)))
 
 
 def quality(spark, sf_dir: str) -> DataFrame:

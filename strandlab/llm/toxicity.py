@@ -33,6 +33,7 @@ PREFIXES = (4, 5, 6)
 LEAST_DOCS = 6
 NEAR = 6
 _TOKEN = re.compile(r"[^\W_]+(?:[@$!*.'’_-]+[^\W_]+)*|[!?]+")
+_UPPER = bytes([*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)])
 _ODD = re.compile(r"[^\W\d_](?:[@$!*0-9._-])+[^\W\d_]")
 
 
@@ -50,13 +51,35 @@ def learn_lexicon(docs: DataFrame, sample: DataFrame) -> dict[str, float]:
     return {r["token"]: round(float(r["odds"]), 6) for r in best.collect()}
 
 
+class _Marks(dict):
+    """token -> 0, -1 for a run of ! or ?, or the number of what is known of the token."""
+
+    def __init__(self, weigh):
+        super().__init__()
+        self.weigh, self.known = weigh, [(0.0, 0, 0, 0)]
+
+    def __missing__(self, token: str) -> int:
+        if token[0] in "!?":
+            number = -1
+        else:
+            v = self.weigh(token)
+            number = len(self.known) if any(v) else 0
+            if number:
+                self.known.append(v)
+        self[token] = number
+        return number
+
+
 class Features:
-    """text -> dense features; keeps a bounded cache of word weights."""
+    """text -> dense features."""
 
     def __init__(self, lexicon: dict[str, float]):
         self.words = {k: v for k, v in lexicon.items() if not k.endswith("*")}
         self.starts = {k[:-1]: v for k, v in lexicon.items() if k.endswith("*")}
-        self.cache: dict[str, tuple[float, int, int, int]] = {}
+        self.marks = _Marks(self._weigh)
+
+    def __reduce__(self):
+        return Features, ({**self.words, **{k + "*": v for k, v in self.starts.items()}},)
 
     def _weigh(self, token: str) -> tuple[float, int, int, int]:
         """log odds, insult, second person, obfuscated."""
@@ -65,39 +88,36 @@ class Features:
         return weight, int(token in INSULTS or plain in INSULTS), int(token in SECOND_PERSON), int(bool(_ODD.search(token)))
 
     def __call__(self, text: str) -> np.ndarray:
-        if len(self.cache) > 300_000:
-            self.cache.clear()
         tokens = _TOKEN.findall(text.lower())
-        cache, marks, distinct = self.cache, [], set()
-        insult = odd = shout = people = 0
+        if len(self.marks) > 300_000:  # emptied between texts only: numbers stay valid within one
+            self.marks.clear()
+            del self.marks.known[1:]
+        code = np.fromiter(map(self.marks.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        marked = np.flatnonzero(code > 0).tolist()
+        hits = insult = odd = people = near = 0
         weight = heaviest = 0.0
-        near, person_at, hit_at = 0, -NEAR - 1, -NEAR - 1
-        for i, t in enumerate(tokens):
-            v = cache.get(t)
-            if v is None:
-                v = cache[t] = (0.0, 0, 0, 0) if t[0] in "!?" else self._weigh(t)
-            if v[0] or v[1] or v[2] or v[3]:
-                odd += v[3]
-                insult += v[1]
-                if v[0] or v[1]:
-                    weight += v[0]
-                    heaviest = max(heaviest, v[0])
-                    marks.append(i)
-                    distinct.add(t)
-                    near += i - person_at <= NEAR
-                    hit_at = i
-                if v[2]:
-                    people += 1
-                    near += i - hit_at <= NEAR
-                    person_at = i
-            elif t[0] in "!?":
-                shout += 1
-        n, chars = max(1, len(tokens)), max(1, len(text))
-        upper = sum(map(str.isupper, text)) if len(text) < 4096 else len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
-        symbols = len(re.findall(r"[#*$%&|<>@]", text))
-        commas = len(re.findall(r"[.,;:!?]", text))
-        hits = len(marks)
-        return np.array([hits, hits / n, weight, weight / n, heaviest, len(distinct), insult, insult / n, near, near / n, people / n, upper / chars, shout / n, commas / chars, symbols / chars, odd / n, math.log1p(n)], dtype=np.float64)
+        distinct = set()
+        person_at = hit_at = -NEAR - 1
+        known = self.marks.known
+        for i in marked:
+            v = known[code[i]]
+            odd += v[3]
+            insult += v[1]
+            if v[0] or v[1]:
+                hits += 1
+                weight += v[0]
+                heaviest = max(heaviest, v[0])
+                distinct.add(tokens[i])
+                near += i - person_at <= NEAR
+                hit_at = i
+            if v[2]:
+                people += 1
+                near += i - hit_at <= NEAR
+                person_at = i
+        n, chars, latin = max(1, len(tokens)), max(1, len(text)), text.encode("latin-1", "replace")
+        count = lambda kinds: len(latin) - len(latin.translate(None, kinds))
+        shout = int((code == -1).sum())
+        return np.array([hits, hits / n, weight, weight / n, heaviest, len(distinct), insult, insult / n, near, near / n, people / n, count(_UPPER) / chars, shout / n, count(b".,;:!") / chars, count(b"#*$%&|<>@") / chars, odd / n, math.log1p(n)], dtype=np.float64)
 
 
 class Boosted:
@@ -168,10 +188,10 @@ def isotonic(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.n
 
 
 def fit_toxicity(features: Features, x: np.ndarray, y: np.ndarray, counts: dict[int, int]):
-    """score(text) -> probability of class 1."""
+    """score(texts) -> probabilities of class 1."""
     if len(set(y.tolist())) < 2:
         share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
-        return lambda text: share
+        return lambda texts: [share] * len(texts)
     weight = class_weights(y, counts)
     apart = np.arange(len(y)) % 4 == 3
     if len(set(y[apart].tolist())) < 2:
@@ -181,8 +201,8 @@ def fit_toxicity(features: Features, x: np.ndarray, y: np.ndarray, counts: dict[
     use = apart if apart.any() else train
     at, p = isotonic(trees.margin(x[use]), y[use], weight[use])
 
-    def score(text: str) -> float:
-        return float(np.interp(trees.margin(features(text)[None, :])[0], at, p))
+    def score(texts: list[str]) -> np.ndarray:
+        return np.interp(trees.margin(np.stack([features(t) for t in texts])), at, p) if texts else np.zeros(0)
 
     return score
 
