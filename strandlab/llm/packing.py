@@ -31,7 +31,7 @@ from strandlab.llm.common import bounded_batches, discard, staged, text_of
 #: Characters on which all pre-tokeniser regex engines agree; any other text takes the tokenizers library itself.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-ɏ‐-‧€]*")
 PIECES_PER_TASK = 250_000
-OPEN_BINS = 256
+OPEN_BINS = 4096
 
 
 @lru_cache(maxsize=4)
