@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlab.functions.sequences import uniform
-from strandlab.operators.markov import Model, from_counts
+from strandlab.operators.markov import Model, from_counts, posterior_path
 from strandlab.session import for_python, written
 
 #: Limits, priors of the concentrations (shape, scale) and of emissions.
@@ -46,6 +46,35 @@ def initial_labels(seqs: DataFrame, states: int, seed: int) -> DataFrame:
     return seqs.select("seq_id", "codes", draw.alias("labels"))
 
 
+def emission_labels(seqs: DataFrame, states: int, letters: int, alpha: float, seed: int) -> DataFrame:
+    """The same, with each label drawn by how well a random state emits the letter: Dirichlet(alpha) emissions."""
+    e = np.random.default_rng(seed).dirichlet(np.full(letters, alpha), states - 2)
+    share = np.cumsum(e / e.sum(axis=0, keepdims=True), axis=0).T  # letters x states, cumulated
+    table = F.array(*(F.array(*(F.lit(float(v)) for v in row)) for row in share))
+    draw = F.transform("codes", lambda c, i: (2 + F.least(F.size(F.filter(F.get(table, c), lambda v: v <= uniform(seed, F.col("seq_id"), i))), F.lit(states - 3))).cast("int"))
+    return seqs.select("seq_id", "codes", draw.alias("labels"))
+
+
+def model_labels(seqs: DataFrame, states: int, letters: int, alpha: float, seed: int) -> DataFrame:
+    """The same, by the decoded path of a random model with Dirichlet(alpha) transitions and emissions."""
+    for_python(seqs.sparkSession)
+    rng = np.random.default_rng(seed)
+    k = states - 2
+    model = Model(rng.dirichlet(np.full(k, alpha), k), rng.dirichlet(np.full(letters, alpha), k), np.full(letters, 1 / letters))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for c in pdf["codes"]:
+                x = np.asarray(c, dtype=np.int64)
+                best = model.emission[:, x].argmax(axis=0) if len(x) else x
+                path = posterior_path(model, x) if len(x) else x
+                out.append((2 + np.where(path >= 5, path - 5, best)).tolist())  # flanks: the likeliest state
+            yield pd.DataFrame({"seq_id": pdf["seq_id"], "codes": pdf["codes"], "labels": out})
+
+    return seqs.mapInPandas(run, "seq_id long, codes array<int>, labels array<int>")
+
+
 def initial_states(mean_length: float, seed: int) -> int:
     """About the root of the mean length, between 10 and 998."""
     return int(np.clip(round(np.random.default_rng(seed).normal(round(mean_length**0.5), 1)), 10, MOST - 2))

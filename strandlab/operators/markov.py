@@ -257,6 +257,18 @@ def calibrated(model: Model, seed: int = 42, n: int = CALIBRATION_N, length: int
     return Model(model.transition, model.emission, model.background, tau)
 
 
+def gumbel_of_lengths(model: Model, lengths: np.ndarray, n: int = 100_000, seed: int = 42) -> tuple[float, float]:
+    """mu, lambda of the scores of n random sequences whose lengths are drawn from those given."""
+    rng = np.random.default_rng(seed)
+    p = model.background / model.background.sum()
+    scores = []
+    for at in range(0, n, 5000):
+        size = rng.choice(np.asarray(lengths), min(5000, n - at))
+        x = [rng.choice(len(p), int(k), p=p) for k in size]
+        scores.append((forward(model, x) - null_score(size)) / math.log(2))
+    return fit_gumbel(np.concatenate(scores))
+
+
 def score_batch(model: Model, bias: Model, seqs: list[np.ndarray], multi: bool = True) -> pd.DataFrame:
     """score, score_bias (bits), p, p_bias of every sequence."""
     length = np.array([len(s) for s in seqs])

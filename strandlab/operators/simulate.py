@@ -114,3 +114,22 @@ def emitted(spark, model: Model, n: int, length: int, alphabet: str, seed: int,
 def draws(kind: str, n: int, seed: int, **parameters) -> np.ndarray:
     """Draws of a named distribution of the random generator (gamma, beta, binomial, normal, ...)."""
     return getattr(np.random.default_rng(seed), kind)(size=n, **parameters)
+
+
+def example_model(kind: str, main: float = 0.9, stay: float = 0.9) -> Model:
+    """Models of the example data sets: "concat" runs through A, C, G, T, staying a while in each; "embedded" passes them
+    once within background; "two_state" switches between an A/T-rich and a C/G-rich state."""
+    own = lambda i: [main if j == i else (1 - main) / 3 for j in range(4)]
+    uniform4 = np.full(4, 0.25)
+    if kind == "concat":
+        t = stay * np.eye(4) + (1 - stay) * np.roll(np.eye(4), 1, axis=1)
+        return Model(t, np.array([own(i) for i in range(4)]), uniform4)
+    if kind == "embedded":
+        t = np.zeros((5, 5))
+        t[0, 0], t[0, 1] = 0.98, 0.02
+        t[[1, 2, 3, 4], [2, 3, 4, 0]] = 1
+        return Model(t, np.vstack([uniform4, [own(i) for i in range(4)]]), uniform4)
+    if kind == "two_state":
+        t = np.array([[stay, 1 - stay], [1 - stay, stay]])
+        return Model(t, np.array([[main / 2, (1 - main) / 2, (1 - main) / 2, main / 2], [(1 - main) / 2, main / 2, main / 2, (1 - main) / 2]]), uniform4)
+    raise ValueError(kind)

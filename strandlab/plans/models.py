@@ -131,3 +131,50 @@ def multiple_alignment(spark, d):
     """Families of the benchmark's passages, as DNA, aligned."""
     rows = table(spark, d, "benchmark").select("item_id", F.translate(S.letters_of("text"), S.LETTERS, "ACGTACGTACGTACGTACGTACGTAC").alias("seq"))
     return A.align_groups(rows.select((F.col("item_id") % 20).alias("grp"), F.col("item_id").alias("seq_id"), "seq"))
+
+
+@query("ihmm_labels_by_emission")
+def ihmm_labels_by_emission(spark, d):
+    return N.emission_labels(event_codes(spark, d), 8, 5, 0.5, 3)
+
+
+@query("ihmm_labels_by_model")
+def ihmm_labels_by_model(spark, d):
+    return N.model_labels(event_codes(spark, d), 6, 5, 0.5, 3)
+
+
+@query("hmm_gumbel_of_lengths")
+def hmm_gumbel_of_lengths(spark, d):
+    """Gumbel parameters for random sequences as long as the users' (one row a length comes to the driver)."""
+    rows = table(spark, d, "events").groupBy("user_id").count().groupBy(F.col("count").alias("len")).count().orderBy("len").collect()
+    lengths = np.repeat([r["len"] for r in rows], [r["count"] for r in rows])
+    mu, lam = H.gumbel_of_lengths(H.toy_model(), lengths, 20_000)
+    return spark.createDataFrame([(float(mu), float(lam))], "mu double, lambda double")
+
+
+for _kind in ("concat", "embedded", "two_state"):
+
+    @query(f"sim_example_{_kind}")
+    def sim_example(spark, d, kind=_kind):
+        return G.emitted(spark, G.example_model(kind), 100, 200, S.DNA, seed=4)
+
+
+@query("sql_functions", "WITH s AS (SELECT user_id, string_agg(substr(event_type, 1, 1), '' ORDER BY ts, event_id) AS seq FROM events GROUP BY user_id) SELECT user_id, CAST(i - 1 AS INTEGER) AS pos, substring(seq, i, 4) AS kmer FROM (SELECT user_id, seq, unnest(range(1, length(seq) - 2)) AS i FROM s)")
+def sql_functions(spark, d):
+    """The registered table function, called from SQL."""
+    from strandlab.functions.registered import register
+    from strandlab.plans.motifs import user_strings
+
+    register(spark, H.toy_model())
+    user_strings(spark, d).createOrReplaceTempView("strandlab_users")
+    return spark.sql("SELECT seq_id AS user_id, k.pos, k.kmer FROM strandlab_users, LATERAL kmers(seq, 4) k")
+
+
+@query("sql_scores")
+def sql_scores(spark, d):
+    """The registered model functions, called from SQL."""
+    from strandlab.functions.registered import register
+
+    register(spark, H.toy_model())
+    toy_sequences(spark).createOrReplaceTempView("strandlab_toy")
+    return spark.sql("SELECT seq_id, forward_score(codes) AS score, posterior_path(codes) AS path FROM strandlab_toy")
