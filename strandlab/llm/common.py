@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -66,7 +67,8 @@ def _delete(spark: SparkSession, path: str) -> None:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001
     except Exception:  # noqa: BLE001  the application may be ending
-        pass
+        if path.startswith("file:///tmp/strandlab-"):
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 def discard(*tables: DataFrame) -> None:
