@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_MADE: list[tuple[SparkSession, str]] = []
 _HOME = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -47,9 +51,21 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def folder(spark: SparkSession, label: str) -> str:
-    import uuid
-
-    return f"{shared_folder(spark)}/strandlab-{label}-{uuid.uuid4().hex}"
+    """A new place in the shared folder, deleted when the application ends."""
+    path = f"{shared_folder(spark)}/strandlab-{label}-{uuid.uuid4().hex}"
+    _MADE.append((spark, path))
+    return path
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _MADE:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001
+        except Exception:  # noqa: BLE001  the JVM may be gone
+            if path.startswith("file:///tmp/strandlab-"):
+                shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
