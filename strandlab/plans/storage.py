@@ -10,7 +10,7 @@ from strandlab.plans.counting import EV, labelled_events
 from strandlab.plans.models import event_codes
 from strandlab.plans.registry import query
 from strandlab.plans.sequences import SEQS, seqs
-from strandlab.session import folder
+from strandlab.session import folder, table
 from strandlab.sources import files, models
 
 
@@ -95,7 +95,8 @@ def fasta_lines(spark, d):
     return seqs(spark, d).select(files.fasta_line("seq_id", "seq").alias("line"))
 
 
-@query("kmer_udtf", f"WITH {SEQS} SELECT seq_id, CAST(i - 1 AS INTEGER) AS pos, substring(seq, i, 3) AS kmer FROM (SELECT seq_id, seq, unnest(range(1, length(seq) - 1)) AS i FROM seqs)")
-def kmer_udtf(spark, d):
-    """All 3-mers with their places, as rows."""
-    return seqs(spark, d).select("seq_id", F.posexplode(S.kmers("seq", 3)).alias("pos", "kmer"))
+@query("kmer_rows", "WITH b AS (SELECT item_id AS seq_id, lower(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM benchmark) SELECT seq_id, CAST(i - 1 AS INTEGER) AS pos, substring(seq, i, 3) AS kmer FROM (SELECT seq_id, seq, unnest(range(1, length(seq) - 1)) AS i FROM b)")
+def kmer_rows(spark, d):
+    """All 3-mers of the benchmark's passages with their places, as rows."""
+    rows = table(spark, d, "benchmark").select(F.col("item_id").alias("seq_id"), S.letters_of("text").alias("seq"))
+    return rows.select("seq_id", F.posexplode(S.kmers("seq", 3)).alias("pos", "kmer"))
