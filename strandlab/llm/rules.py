@@ -11,7 +11,6 @@ rows each get a row; without usable labels of both classes the model keeps every
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
