@@ -26,7 +26,7 @@ class _Words(dict):
     """word -> hash and shape in one integer; forgets all when it holds too many words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         text = word.decode("utf-8", "replace")
         core = text.strip(".,;:!?")
