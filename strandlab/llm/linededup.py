@@ -3,9 +3,11 @@
 Lines are hashed (128 bits, after trimming blanks).  Documents that overlap are found through shared line hashes: a rare
 line (at most RARE documents) links each document to the first document that has the line and to the one before it; a
 more frequent line links to the first document only, so the number of pairs stays linear in the lines and no shared line
-goes without a pair.  Each pair of line sequences is aligned by patience diff; aligned runs of lines (blocks) with at
-least MIN_WORDS words are deleted from the later document.  Since a line is only ever deleted where an earlier document
-has it, its first copy always survives.
+goes without a pair.  Shortest runs of lines that reach MIN_WORDS words (windows: one from each line onward and one from
+each line back) are keys in the same way, so each document is also aligned with the first holder of every window; any
+block long enough to be deleted consists of such windows, however many documents hold it.  Each pair of line sequences
+is aligned by patience diff; aligned runs of lines (blocks) with at least MIN_WORDS words are deleted from the later
+document.  Since a line is only ever deleted where an earlier document has it, its first copy always survives.
 
 Only hashes and word counts are shuffled for the search and the alignment; whole texts are shuffled once, to delete.
 All joins are sort-merge joins by hint: every side grows with the input, and the plan is the same at any size.
@@ -108,30 +110,48 @@ def common_blocks(a: list, b: list) -> list[tuple[int, int]]:
     return [(s, e) for s, e in blocks]
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """d, t (hash of the text), k1, k2 (arrays: the lines' 128-bit hashes), words (array)."""
+def spans(words: np.ndarray, min_words: int) -> set[tuple[int, int]]:
+    """(start, end) of the shortest runs of two or more lines that reach min_words, from each line with words onward and
+    back; every line of a longer run is in one that lies within the run, or is itself long enough."""
+    n, total, at = len(words), np.concatenate([[0], np.cumsum(words)]), np.flatnonzero(words)
+    ends = np.searchsorted(total, total[at] + min_words)
+    starts = np.searchsorted(total, total[at + 1] - min_words, side="right") - 1
+    onward = {(i, e) for i, e in zip(at.tolist(), ends.tolist(), strict=True) if i + 1 < e <= n}
+    return onward | {(s, i + 1) for i, s in zip(at.tolist(), starts.tolist(), strict=True) if 0 <= s < i}
+
+
+def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """d, t (hash of the text), k1, k2 (arrays: the lines' 128-bit hashes), words (array), w1, w2 (arrays: the hashes of
+    the windows of two or more lines)."""
     bounded_batches(docs.sparkSession)
     longs = pa.list_(pa.int64())
-    schema = pa.schema([("d", pa.int64()), ("t", pa.int64()), ("k1", longs), ("k2", longs), ("words", pa.list_(pa.int32()))])
+    schema = pa.schema([("d", pa.int64()), ("t", pa.int64()), ("k1", longs), ("k2", longs), ("words", pa.list_(pa.int32())), ("w1", longs), ("w2", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k1, k2, words = [], [], []
+            k1, k2, words, w1, w2 = [], [], [], [], []
             for text in b.column(2):
                 lines = [x.strip() for x in text.as_py().encode("utf-8", "surrogatepass").split(b"\n")]
-                key = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in lines), dtype=np.int64).reshape(-1, 2)
+                digests = b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in lines)
+                key = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
                 k1.append(key[:, 0])
                 k2.append(key[:, 1])
                 words.append(np.array([len(x.split()) for x in lines], dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(k1, longs), pa.array(k2, longs), pa.array(words, pa.list_(pa.int32()))], schema=schema)
+                found = {hashlib.blake2b(digests[16 * i : 16 * e], digest_size=16).digest() for i, e in spans(words[-1], min_words)}
+                window = np.frombuffer(b"".join(found), dtype=np.int64).reshape(-1, 2)
+                w1.append(window[:, 0])
+                w2.append(window[:, 1])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(k1, longs), pa.array(k2, longs), pa.array(words, pa.list_(pa.int32())), pa.array(w1, longs), pa.array(w2, longs)], schema=schema)
 
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(text_of()).alias("t"), text_of().alias("text"))
-    return rows.mapInArrow(run, "d long, t long, k1 array<long>, k2 array<long>, words array<int>")
+    return rows.mapInArrow(run, "d long, t long, k1 array<long>, k2 array<long>, words array<int>, w1 array<long>, w2 array<long>")
 
 
 def overlapping(lines: DataFrame, rare: int = RARE) -> DataFrame:
-    """(od, ot, d, t): pairs of an earlier and a later document that share lines."""
-    each = lines.select("d", "t", F.explode(F.array_distinct(F.arrays_zip("k1", "k2", F.transform("words", lambda w: w > 0).alias("some")))).alias("k"))
+    """(od, ot, d, t): pairs of an earlier and a later document that share lines or windows."""
+    some = F.transform("words", lambda w: w > 0)
+    window = F.arrays_zip(F.col("w1").alias("k1"), F.col("w2").alias("k2"), F.transform("w1", lambda w: F.lit(True)).alias("some"))
+    each = lines.select("d", "t", F.explode(F.concat(F.array_distinct(F.arrays_zip("k1", "k2", some.alias("some"))), window)).alias("k"))
     each = each.where("k.some").select(F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2"), "d", "t")
     shared = each.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("d", "t")).alias("first")).where("n > 1")
     seen = each.join(shared.hint("merge"), ["k1", "k2"])
@@ -169,7 +189,7 @@ def align(lines: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
 def dedup_rows(docs: DataFrame, *, min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
     """row (all columns of docs), text (reduced), n_lines, n_removed, removed (numbers of the deleted lines, from 0; null
     if none)."""
-    lines = staged(line_table(docs).dropDuplicates(["d", "t"]), "lines")
+    lines = staged(line_table(docs, min_words).dropDuplicates(["d", "t"]), "lines")
     pairs = overlapping(lines, rare)
     gone = align(lines, pairs, min_words).groupBy("d", "t").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("removed"))
     gone = staged(gone, "gone")

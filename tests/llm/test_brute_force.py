@@ -141,6 +141,34 @@ def test_line_dedup_passage_in_many(spark):
     assert all(f"own {i} line" in out[i] and f"last {i}" in out[i] for i in out)
 
 
+def test_line_dedup_passage_whose_lines_were_elsewhere_first(spark):
+    """Passages of several short lines in more documents than RARE; each line has another first holder."""
+    from strandlab.llm.linededup import dedup_lines
+
+    part = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    three, tail = [part(c, 18) for c in "abc"], [part("d", 12), part("e", 12), part("f", 5)]
+    early = [*three, "\n".join(tail[:2]), tail[2]]
+    rows = [(i, x) for i, x in enumerate(early)]
+    rows += [(10 + i, "\n".join([f"own {i} line", *three, f"middle {i}", *tail, f"last {i}"])) for i in range(100)]
+    out = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i] == x for i, x in enumerate(early))
+    assert out[10] == "\n".join(["own 0 line", *three, "middle 0", tail[2], "last 0"])
+    assert all(out[10 + i] == f"own {i} line\nmiddle {i}\nlast {i}" for i in range(1, 100))
+
+
+def test_line_windows_cover_every_line_of_a_block():
+    from strandlab.llm.linededup import spans
+
+    r = np.random.default_rng(6)
+    for _ in range(300):
+        w = r.integers(0, 24, r.integers(1, 12))
+        for s in range(len(w)):
+            for e in range(s + 1, len(w) + 1):
+                if w[s:e].sum() >= 20:
+                    held = {k for a, b in spans(w, 20) if s <= a and b <= e for k in range(a, b)} | {k for k in range(s, e) if w[k] >= 20}
+                    assert all(k in held for k in range(s, e) if w[k])
+
+
 def test_mixing(spark, sf):
     d = docs(sf)
     got = QUERIES["op3_mixing"](spark, sf).toPandas()
