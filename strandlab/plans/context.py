@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlab.operators import context as P
 from strandlab.operators import counting as C
+from strandlab.operators import suffixtree as T
 from strandlab.plans.counting import km_sql
 from strandlab.plans.registry import query
 from strandlab.plans.sequences import SEQS, seqs
@@ -117,6 +118,31 @@ def pst_top20(spark, d):
     return z_scored(spark, d).select("seq_id", "len", F.round("z", 4).alias("z")).orderBy(F.desc("z"), "seq_id").limit(20)
 
 
+def deep_z_scored(spark, d: str) -> DataFrame:
+    """seq_id, len, score, band, z at the reference's depth (contexts of up to 11 letters), bins and thresholds."""
+    rows = written(seqs(spark, d), "letters")  # read once a level
+    scores = written(T.binned(written(T.score(rows, T.grow(rows)), "scores")), "binned")
+    return P.z_scores(scores, T.calibrate(scores))
+
+
+@query("pst_deep_nodes")
+def pst_deep_nodes(spark, d):
+    """All contexts that the growth rule accepts, of up to 11 letters."""
+    return T.node_table(spark, T.grow(written(seqs(spark, d), "letters")))
+
+
+@query("pst_deep_zscore")
+def pst_deep_zscore(spark, d):
+    """Scores and z-scores of all documents under the full-depth model; lines refitted until no outlier is left."""
+    return deep_z_scored(spark, d).select("seq_id", "len", "score", "z")
+
+
+@query("pst_deep_hits")
+def pst_deep_hits(spark, d):
+    """The documents that pass the search's filter, z >= 3.0, under the full-depth model."""
+    return deep_z_scored(spark, d).where("z >= 3.0").select("seq_id", "len", "z")
+
+
 @query("length_range_join", f"WITH {SEQS}, fit(lo, hi, name) AS (VALUES (0, 499, 'short'), (500, 1999, 'medium'), (2000, 7999, 'long'), (8000, 8000, 'longest')) SELECT seq_id, CAST(length(seq) AS INTEGER) AS len, name FROM seqs JOIN fit ON least(length(seq), 8000) BETWEEN lo AND hi")
 def length_range_join(spark, d):
     """The fit of each sequence by its length: a range join against a fixed small table."""

@@ -132,6 +132,56 @@ def test_context_model_prefers_its_own(spark):
     assert min(s[i] for i in range(20)) > max(s[i] for i in range(20, 40))
 
 
+def test_full_depth_contexts(spark):
+    """Growth, scores and refits against the rule applied letter by letter, with contexts of more than two letters."""
+    from strandlab.operators import suffixtree as T
+
+    r = np.random.default_rng(3)
+    texts = ["".join(("abcacbab" * 12)[i : i + 60]) if i % 3 else "".join(r.choice(list("abc"), 50)) for i in range(40)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*texts, ""])], "seq_id long, seq string")
+    total = {k: sum(max(len(x) - k + 1, 0) for x in texts) for k in range(1, 13)}
+    count = {k: {} for k in total}
+    for x in texts:
+        for k in total:
+            for i in range(len(x) - k + 1):
+                count[k][x[i : i + k]] = count[k].get(x[i : i + k], 0) + 1
+    p_min = max(1e-5, *(2 / t for t in total.values()))
+    bg = {c: count[1][c] / total[1] for c in "abc"}
+    nodes, todo = {"": bg}, [""]
+    while todo:
+        s = todo.pop()
+        for w in (c + s for c in "abc" if len(s) + 1 < 12):
+            p_as = (count[len(w)].get(w, 0) + 1) / (total[len(w)] + 3)
+            n = {c: count[len(w) + 1].get(w + c, 0) for c in "abc"}
+            ask = {c: (n[c] + 1) / (total[len(w) + 1] + 3) for c in "abc"}
+            if p_as > p_min and sum(n.values()) and sum(ask[c] * math.log(ask[c] / (nodes[s][c] * p_as)) for c in "abc") > p_min:
+                nodes[w] = {c: 0.99 * n[c] / sum(n.values()) + 0.01 * bg[c] for c in "abc"}
+                todo.append(w)
+    tree = T.grow(df, "abc")
+    got = {(x["context"], x["residue"]): x["p"] for x in T.node_table(spark, tree).collect()}
+    assert max(map(len, nodes)) > 2 and set(got) == {(s, c) for s in nodes for c in "abc"}
+    assert all(got[s, c] == pytest.approx(nodes[s][c]) for s, c in got)
+    want = {}
+    for i, x in enumerate([*texts, ""]):
+        want[i] = 0.0
+        for j, c in enumerate(x):
+            k = 0
+            while k < j and x[j - k - 1 : j] in nodes:
+                k += 1
+            want[i] += math.log(nodes[x[j - k : j]][c] / bg[c])
+    assert {x["seq_id"]: x["score"] for x in T.score(df, tree).collect()} == pytest.approx(want)
+
+
+def test_calibration_refits_until_no_outlier_is_left(spark):
+    """One outlier hides the next: more than two refits are needed."""
+    from strandlab.operators import suffixtree as T
+
+    r = np.random.default_rng(4)
+    rows = [(i, 100 + i % 300, float(r.normal())) for i in range(4000)] + [(5000 + k, 250, 200.0 * 60**k) for k in range(4)]
+    scores = spark.createDataFrame(rows, "seq_id long, len int, score double").withColumn("band", F.lit(0))
+    assert T.calibrate(scores).first()["n"] == 4000 and P.calibrate(scores, 20.0, 2).first()["n"] > 4000
+
+
 def test_graphs():
     rows = [(0, 1, 30.0), (0, 2, 9.0), (0, 5, 14.0), (1, 2, 10.0), (1, 3, 15.0), (2, 3, 11.0), (2, 5, 2.0), (3, 4, 6.0), (4, 5, 9.0)]
     d, before = G.dijkstra(rows, 0)
