@@ -11,10 +11,11 @@ from strandlab.operators import alignment as A
 from strandlab.operators import infinite as N
 from strandlab.operators import markov as H
 from strandlab.operators import simulate as G
+from strandlab.plans.context import deep_z_scored
 from strandlab.plans.counting import event_emissions, event_transitions, labelled_events
 from strandlab.plans.registry import query
 from strandlab.plans.sequences import dna
-from strandlab.session import table
+from strandlab.session import table, written
 
 TOY = ["0123", "03123", "31230", "00312300", "000031230000", "031230001230"]
 
@@ -37,10 +38,12 @@ def hmm_forward(spark, d):
 
 @query("hmm_search")
 def hmm_search(spark, d):
-    """Model search: only sequences that pass the cheap filter (here by length) are scored; E = P x database size."""
-    rows = dna(spark, d)
+    """Model search: only sequences that pass the context model's filter (z >= 3.0, at full depth) are scored;
+    E = P x database size."""
+    passed = written(deep_z_scored(spark, d).where("z >= 3.0").select("seq_id"), "passed")
+    rows = dna(spark, d).join(passed.distinct(), "seq_id", "left_semi")
     size = table(spark, d, "documents").agg(F.count("*").alias("db_size"))
-    hits = H.score_table(rows.where(F.length("seq") >= 200), H.calibrated(H.toy_model()), alphabet=S.DNA).join(F.broadcast(size))
+    hits = H.score_table(rows, H.calibrated(H.toy_model()), alphabet=S.DNA).join(F.broadcast(size))
     return hits.select("seq_id", "score", "score_bias", "p", "p_bias", (F.col("p") * F.col("db_size")).alias("e"), (F.col("p_bias") * F.col("db_size")).alias("e_bias"))
 
 

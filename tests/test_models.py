@@ -172,6 +172,13 @@ def test_full_depth_contexts(spark):
     assert {x["seq_id"]: x["score"] for x in T.score(df, tree).collect()} == pytest.approx(want)
 
 
+def test_search_scores_what_the_context_model_passes(spark, sf):
+    from strandlab.plans.registry import QUERIES
+
+    ids = lambda name: sorted(r["seq_id"] for r in QUERIES[name](spark, sf).select("seq_id").collect())
+    assert ids("hmm_search") == ids("pst_deep_hits")
+
+
 def test_calibration_refits_until_no_outlier_is_left(spark):
     """One outlier hides the next: more than two refits are needed."""
     from strandlab.operators import suffixtree as T
