@@ -107,14 +107,17 @@ def overlap_of(la: int, lb: int) -> int:
     return min(la, lb) if max(la, lb) >= 128 else max(6, min(la, lb) - 2)
 
 
-def significant(p: np.ndarray, q: np.ndarray, rng: np.random.Generator, shuffles: int = SHUFFLES) -> tuple[float, int, int]:
-    """Cost and offset of the best alignment, and how many shuffles of the first motif's columns align better."""
+def significant(p: np.ndarray, q: np.ndarray, rng: np.random.Generator, shuffles: int = SHUFFLES, enough: int | None = None) -> tuple[float, int, int]:
+    """Cost and offset of the best alignment, and how many shuffles of the first motif's columns align better; with
+    enough, counting ends above that number, where the decision is made."""
     overlap = overlap_of(len(p), len(q))
     cost, offset = best_offset(p, q, overlap)
     better = 0
     for _ in range(shuffles):
         mixed = rng.permuted(p[rng.permutation(len(p))], axis=1)
         better += best_offset(mixed, q, overlap)[0] < cost
+        if enough is not None and better > enough:
+            break
     return cost, offset, better
 
 
@@ -140,7 +143,7 @@ def merge_all(motifs: dict[str, np.ndarray], seed: int = 5, shuffles: int = SHUF
         if not tried:
             return now
         _, a, b = min(tried)
-        _, offset, better = significant(norm(now[a]), norm(now[b]), rng, shuffles)
+        _, offset, better = significant(norm(now[a]), norm(now[b]), rng, shuffles, limit)
         if better > limit:
             refused.add((a, b))
             continue

@@ -93,14 +93,14 @@ def hmm_emission_table(spark, d):
 
 @query("hmm_eval_table")
 def hmm_eval_table(spark, d):
-    """Scores, P- and E-values of 1000 random sequences of each of three lengths, by rank."""
+    """Scores, P- and E-values of 10,000 random sequences of each of three lengths, by rank."""
     m = H.calibrated(H.toy_model())
     from pyspark.sql import Window
 
     out = None
     for length in (100, 400, 1600):
-        rows = G.random_sequences(spark, 1000, length, S.DNA, seed=length).select("seq_id", S.encode("seq", S.DNA).alias("codes"))
-        scored = H.score_table(rows, m).select(F.row_number().over(Window.orderBy(F.desc("score"), "seq_id")).alias("place"), F.col("score").alias(f"score_{length}"), F.col("p").alias(f"p_{length}"), (F.col("p") * 1000).alias(f"e_{length}"))
+        rows = G.random_sequences(spark, 10_000, length, S.DNA, seed=length).select("seq_id", S.encode("seq", S.DNA).alias("codes"))
+        scored = H.score_table(rows, m).select(F.row_number().over(Window.orderBy(F.desc("score"), "seq_id")).alias("place"), F.col("score").alias(f"score_{length}"), F.col("p").alias(f"p_{length}"), (F.col("p") * 10_000).alias(f"e_{length}"))
         out = scored if out is None else out.join(scored, "place")
     return out
 

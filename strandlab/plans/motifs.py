@@ -228,6 +228,6 @@ def scoring_segments(spark, d):
 
 @query("motif_merge")
 def motif_merge(spark, d):
-    """Motifs of each initial letter, merged where their alignment is significant."""
-    counts = matrix(spark, d).withColumn("grp", F.substring("motif", 1, 1))
-    return M.merge_table(counts, S.LETTERS, "grp", shuffles=100)
+    """The whole list of motifs, merged where their alignment is significant (twelve motifs, so one group)."""
+    counts = matrix(spark, d).withColumn("grp", F.lit("all"))
+    return M.merge_table(counts, S.LETTERS, "grp", shuffles=M.SHUFFLES)

@@ -217,6 +217,21 @@ def test_motifs():
     assert O.segments(np.array([0, 0, 9, 9, 9, 9, 0, 0.0]), 3, 1.5)
 
 
+def test_motifs_of_different_initials_merge(spark, monkeypatch):
+    from strandlab.plans import motifs as Q
+
+    rows = [(m, i, "abcdefgh"[i], 50) for m in ("abcde", "bcdea") for i in range(8)]
+    monkeypatch.setattr(Q, "matrix", lambda spark, d: spark.createDataFrame(rows, "motif string, place int, residue string, n long"))
+    assert {r["motif"] for r in Q.motif_merge(spark, "").collect()} == {"abcde+bcdea"}
+
+
+def test_evaluation_simulates_ten_thousand_sequences(spark, sf):
+    from strandlab.plans.registry import QUERIES
+
+    t = QUERIES["hmm_eval_table"](spark, sf).select("place", "p_100", "e_100").toPandas()
+    assert sorted(t["place"]) == list(range(1, 10_001)) and t["e_100"].to_numpy() == pytest.approx(t["p_100"].to_numpy() * 10_000)
+
+
 def test_motif_refinement_finds_the_planted_word():
     r = np.random.default_rng(8)
     word, seqs = np.array([0, 1, 2, 3, 3, 0]), []
