@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from strandlab.functions import sequences as S
 from strandlab.functions.mathematics import bits
-from strandlab.session import for_python
+from strandlab.session import for_python, written
 
 #: How a pair of motif columns costs, when a merge is significant.
 SHUFFLES, MOST_BETTER = 10_000, 100
+#: Fixed value: rounds of common substrings at most.
+ROUNDS = 512
 
 
 def common(seqs: DataFrame, k: int, least: int) -> DataFrame:
@@ -250,16 +252,49 @@ def refine(seqs: list[np.ndarray], motif: np.ndarray, background: np.ndarray, ro
     return p, share
 
 
-def rounds_of_common(seqs: DataFrame, longest: int, shortest: int, least: int, most: int) -> DataFrame:
-    """kmer, n, n_seq, round: in each round the longest, then most widespread common substring is taken and blanked out
-    of the sequences; a fixed number of rounds at most."""
-    out, now = [], seqs
-    k = longest
-    while len(out) < most and k >= shortest:
-        top = common(now, k, least).where("NOT contains(kmer, '#')").orderBy(F.desc("n_seq"), F.desc("n"), "kmer").first()
-        if top is None:
-            k -= 1
-            continue
-        out.append((top["kmer"], top["n"], top["n_seq"], len(out)))
-        now = now.select("seq_id", F.replace("seq", F.lit(top["kmer"]), F.lit("#" * k)).alias("seq"))
-    return seqs.sparkSession.createDataFrame(out, "kmer string, n long, n_seq long, round int")
+def blanked(seqs: DataFrame, motifs: DataFrame, k: int) -> DataFrame:
+    """seqs with every letter of any occurrence of the motifs (kmer, of k letters) as #, also where they overlap."""
+    for_python(seqs.sparkSession)
+    each = seqs.select("seq_id", F.posexplode(S.kmers("seq", k)).alias("pos", "kmer"))
+    starts = each.join(motifs.select("kmer"), "kmer").groupBy("seq_id").agg(F.collect_list("pos").alias("starts"))  # a sequence's places
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for seq, at in zip(pdf["seq"], pdf["starts"], strict=True):
+                x = np.array(list(seq))
+                if at is not None:
+                    edge = np.zeros(len(x) + 1, dtype=np.int64)
+                    np.add.at(edge, np.asarray(at), 1)
+                    np.add.at(edge, np.asarray(at) + k, -1)
+                    x[np.cumsum(edge)[:-1] > 0] = "#"
+                out.append("".join(x))
+            yield pd.DataFrame({"seq_id": pdf["seq_id"], "seq": out})
+
+    return seqs.select("seq_id", "seq").join(starts, "seq_id", "left").mapInPandas(run, "seq_id long, seq string")
+
+
+def rounds_of_common(seqs: DataFrame, shortest: int, least: int, most: int = ROUNDS) -> DataFrame:
+    """kmer, n, n_seq, round: in each round all longest substrings that so many sequences share are taken and blanked out
+    of the sequences, until none of the shortest length is left, or for so many rounds.
+
+    A round's length is found by bisection, for the prefixes of a common substring are common."""
+    spark = seqs.sparkSession
+    out, now = spark.createDataFrame([], "kmer string, n long, n_seq long, round int"), written(seqs, "round")
+    shared = lambda k: common(now, k, least).where("NOT contains(kmer, '#')")
+    some = lambda k: not shared(k).isEmpty()
+    high = now.agg(F.max(F.length("seq"))).first()[0] or 0  # no common substring is longer
+    for i in range(most):
+        low, step = shortest - 1, 1  # the longest length is in low .. high
+        while low < high:
+            k = min(low + step, high)
+            if some(k):
+                low, step = k, 2 * step
+            else:
+                high, step = k - 1, max(step // 2, 1)
+        if low < shortest:
+            break
+        top = written(shared(low).withColumn("round", F.lit(i)), "common")
+        out = out.unionByName(top)
+        now, high = written(blanked(now, top, low), "round"), low - 1  # none as long is left
+    return out

@@ -201,8 +201,8 @@ def suffix_lcp(spark, d):
 
 @query("common_rounds")
 def common_rounds(spark, d):
-    """Common substrings of the users' event sequences, taken and blanked out one after the other."""
-    return M.rounds_of_common(user_strings(spark, d), 6, 2, 12, 12)
+    """Common substrings of the users' event sequences, the longest taken and blanked out first, until none is left."""
+    return M.rounds_of_common(user_strings(spark, d), 2, 12)
 
 
 def user_strings(spark, d: str) -> DataFrame:

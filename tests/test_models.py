@@ -217,6 +217,22 @@ def test_motifs():
     assert O.segments(np.array([0, 0, 9, 9, 9, 9, 0, 0.0]), 3, 1.5)
 
 
+def test_rounds_of_common_substrings(spark):
+    """Against brute force: more than twelve motifs, some longer than six letters."""
+    r = np.random.default_rng(2)
+    rows = [(i, "".join(r.choice(list("abcd"), 14)) + ("dcbaabcdab" if i % 2 else "") + "".join(r.choice(list("abcd"), 6))) for i in range(30)]
+    got = {(x["kmer"], x["n"], x["n_seq"], x["round"]) for x in O.rounds_of_common(spark.createDataFrame(rows, "seq_id long, seq string"), 2, 12).collect()}
+    now, want, turn = [x for _, x in rows], set(), 0
+    for k in range(max(map(len, now)), 1, -1):
+        places = [[(x[i : i + k], i) for i in range(len(x) - k + 1) if "#" not in x[i : i + k]] for x in now]
+        found = {w: (sum(w == v for p in places for v, _ in p), sum(any(w == v for v, _ in p) for p in places)) for w in {v for p in places for v, _ in p}}
+        found = {w: c for w, c in found.items() if c[1] >= 12}
+        want |= {(w, *c, turn) for w, c in found.items()}
+        turn += bool(found)
+        now = ["".join("#" if any(v in found and i <= j < i + k for v, i in p) else c for j, c in enumerate(x)) for x, p in zip(now, places)]
+    assert got == want and len(want) > 12 and max(len(x[0]) for x in want) > 6
+
+
 def test_motifs_of_different_initials_merge(spark, monkeypatch):
     from strandlab.plans import motifs as Q
 
