@@ -199,6 +199,13 @@ def suffix_lcp(spark, d):
     return p.withColumn("before", before).select("event_id", "suffix", F.coalesce(lcp, F.lit(0)).alias("lcp"))
 
 
+@query("suffix_lcp_whole")
+def suffix_lcp_whole(spark, d):
+    """All whole suffixes of the label sequences in order, with the common prefix with the suffix before."""
+    pos = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long") - 1
+    return M.suffix_order(labelled_events(spark, d).select("user_id", pos.alias("pos"), "event_id", "state"))
+
+
 @query("common_rounds")
 def common_rounds(spark, d):
     """Common substrings of the users' event sequences, the longest taken and blanked out first, until none is left."""

@@ -233,6 +233,18 @@ def test_rounds_of_common_substrings(spark):
     assert got == want and len(want) > 12 and max(len(x[0]) for x in want) > 6
 
 
+def test_whole_suffixes_in_order(spark):
+    """Against brute force: common prefixes of more than six labels, equal suffixes, prefixes of each other."""
+    r = np.random.default_rng(1)
+    users = [[2, 3] * 10, [2, 3] * 10, [3, 2] * 6 + [4], [2] * 17, r.integers(2, 5, 30).tolist(), [4]]
+    rows = [(u, i, 100 * i + u, s) for u, x in enumerate(users) for i, s in enumerate(x)]
+    got = sorted(tuple(x) for x in O.suffix_order(spark.createDataFrame(rows, "user_id long, pos long, event_id long, state int")).select("place", "event_id", "before", "lcp").collect())
+    order = sorted((users[u][i:], e) for u, i, e, _ in rows)
+    prefix = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    want = [(k, e, order[k - 1][1] if k else None, prefix(order[k - 1][0], x) if k else 0) for k, (x, e) in enumerate(order)]
+    assert got == want and max(x[3] for x in want) > 6
+
+
 def test_motifs_of_different_initials_merge(spark, monkeypatch):
     from strandlab.plans import motifs as Q
 
