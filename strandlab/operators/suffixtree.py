@@ -23,6 +23,8 @@ from strandlab.session import for_python, written
 
 #: A context has fewer than 12 letters, outliers of the calibration.
 DEPTH, OUTLIER = 11, 20.0
+#: Letters whose words are counted at a time in a Python worker, about.
+PART = 1_000_000
 
 
 @dataclass
@@ -66,12 +68,18 @@ def count_words(seqs: DataFrame, k: int, prefixes: np.ndarray | None, alphabet:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            each = [words_of(coded(s, alphabet), k) for s in pdf["seq"]]
-            w = np.concatenate(each) if each else np.zeros(0, dtype=np.int64)
-            if prefixes is not None:
-                w = w[found_in(w >> 5, prefixes)[1]]
-            code, n = np.unique(w, return_counts=True)
-            yield pd.DataFrame({"code": code, "n": n})
+            each, size = [], 0
+            for i, s in enumerate(pdf["seq"], 1):
+                each.append(words_of(coded(s, alphabet), k))
+                size += len(each[-1])
+                if size < PART and i < len(pdf):
+                    continue
+                w = np.concatenate(each)
+                if prefixes is not None:
+                    w = w[found_in(w >> 5, prefixes)[1]]
+                code, n = np.unique(w, return_counts=True)
+                yield pd.DataFrame({"code": code, "n": n})
+                each, size = [], 0
 
     rows = seqs.select("seq").where(F.length("seq") >= k).mapInPandas(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas().sort_values("code")
     return rows["code"].to_numpy(dtype=np.int64), rows["n"].to_numpy(dtype=np.int64)
@@ -147,8 +155,8 @@ def score(seqs: DataFrame, tree: Tree) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = [coded(s, alphabet) for s in pdf["seq"]]
-            yield pd.DataFrame({"seq_id": pdf["seq_id"], "len": np.array([len(s) for s in x], dtype=np.int32), "score": np.array([score_one(s, contexts, lod) for s in x], dtype=float)})
+            value = [score_one(coded(s, alphabet), contexts, lod) for s in pdf["seq"]]
+            yield pd.DataFrame({"seq_id": pdf["seq_id"], "len": pdf["seq"].str.len().astype("int32"), "score": np.array(value, dtype=float)})
 
     return seqs.where("seq IS NOT NULL").select("seq_id", "seq").mapInPandas(run, "seq_id long, len int, score double")
 
