@@ -1,16 +1,25 @@
 """Line dedup by pairwise alignment.
 
-Lines are hashed (128 bits, after trimming blanks).  Documents that overlap are found through shared line hashes: a rare
-line (at most RARE documents) links each document to the first document that has the line and to the one before it; a
-more frequent line links to the first document only, so the number of pairs stays linear in the lines and no shared line
-goes without a pair.  Shortest runs of lines that reach MIN_WORDS words (windows: one from each line onward and one from
-each line back) are keys in the same way, so each document is also aligned with the first holder of every window; any
-block long enough to be deleted consists of such windows, however many documents hold it.  Each pair of line sequences
-is aligned by patience diff; aligned runs of lines (blocks) with at least MIN_WORDS words are deleted from the later
-document.  Since a line is only ever deleted where an earlier document has it, its first copy always survives.
+Lines are hashed (128 bits, after trimming blanks).  Documents overlap if they share a rare line (one that occurs at most
+RARE times) or a window: a shortest run of lines that reaches MIN_WORDS words, from a line onward or back.  Each pair of line sequences is aligned by patience diff; aligned runs of lines (blocks) with at least MIN_WORDS
+words are deleted from the later document.  Since a line is only ever deleted where an earlier document has it, its first
+copy always survives.
+
+The result is that of aligning every document with every earlier one that shares a window with it, and so of aligning
+all pairs, for a block long enough to be deleted consists of windows that both documents have.  It is reached without
+all pairs:
+* Documents with the same lines are aligned once: the first one stands for all, and the others, if they have MIN_WORDS
+  words, go as a whole, for they are one block of it.
+* First, each document is aligned with the first holder of each of its rare lines and windows: a linear number of pairs.
+* Then only windows that are still there are left (a passage that moved, or that the first holder has fewer times).
+  They go to further holders, by intervals of a hash of the holder, in rounds that each try GROWTH times as many as the
+  one before, until no window that is still there has an earlier holder that wasn't tried.  The work of these rounds is
+  the number of such documents times their earlier holders.
 
 Only hashes and word counts are shuffled for the search and the alignment; whole texts are shuffled once, to delete.
-All joins are sort-merge joins by hint: every side grows with the input, and the plan is the same at any size.
+Holders are counted before the shuffle; an earlier document that many later ones meet is dealt out in SHARE meetings
+a copy, so that no task gets all of them.  Joins are sort-merge joins by hint: every side grows with the input, and the
+plan is the same at any size.
 
 Documents are ordered by doc_id, then by a hash of the text.  Repeated rows are one document and get the same result;
 null texts stay null and empty ones empty; rows without a doc_id are returned unchanged; other columns come along.
@@ -27,10 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlab.llm.common import bounded_batches, staged, table, text_of
+from strandlab.llm.common import bounded_batches, discard, staged, table, text_of
 
 MIN_WORDS = 20
+#: Occurrences of a rare line at most.  More frequent lines are found by the windows that they are in.
 RARE = 64
+#: Further holders of a window that the second round tries, and growth from round to round.
+GROWTH = 8
+#: Later documents that meet one copy of an earlier one, about.
+SHARE = 2000
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -111,60 +125,63 @@ def common_blocks(a: list, b: list) -> list[tuple[int, int]]:
 
 
 def spans(words: np.ndarray, min_words: int) -> set[tuple[int, int]]:
-    """(start, end) of the shortest runs of two or more lines that reach min_words, from each line with words onward and
-    back; every line of a longer run is in one that lies within the run, or is itself long enough."""
-    n, total, at = len(words), np.concatenate([[0], np.cumsum(words)]), np.flatnonzero(words)
-    ends = np.searchsorted(total, total[at] + min_words)
-    starts = np.searchsorted(total, total[at + 1] - min_words, side="right") - 1
-    onward = {(i, e) for i, e in zip(at.tolist(), ends.tolist(), strict=True) if i + 1 < e <= n}
-    return onward | {(s, i + 1) for i, s in zip(at.tolist(), starts.tolist(), strict=True) if 0 <= s < i}
+    """(start, end) of the shortest runs of lines that reach min_words, from each line onward and back; every line of a
+    longer run is in one that lies within the run."""
+    n, total, at = len(words), np.concatenate([[0], np.cumsum(words)]), np.arange(len(words))
+    ends = np.searchsorted(total, total[:-1] + min_words)
+    starts = np.searchsorted(total, total[1:] - min_words, side="right") - 1
+    onward = {(i, e) for i, e in zip(at.tolist(), ends.tolist(), strict=True) if e <= n}
+    return onward | {(s, i + 1) for i, s in zip(at.tolist(), starts.tolist(), strict=True) if s >= 0}
+
+
+LINES = "d long, t long, s1 long, s2 long, total long, k1 array<long>, k2 array<long>, words array<int>, w1 array<long>, w2 array<long>, begin array<int>, end array<int>"
 
 
 def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """d, t (hash of the text), k1, k2 (arrays: the lines' 128-bit hashes), words (array), w1, w2 (arrays: the hashes of
-    the windows of two or more lines)."""
+    """d, t (hash of the text), s1, s2 (hash of all lines), total (words), k1, k2 (arrays: the lines' hashes), words
+    (array), w1, w2, begin, end (arrays: the windows' hashes and places)."""
     bounded_batches(docs.sparkSession)
-    longs = pa.list_(pa.int64())
-    schema = pa.schema([("d", pa.int64()), ("t", pa.int64()), ("k1", longs), ("k2", longs), ("words", pa.list_(pa.int32())), ("w1", longs), ("w2", longs)])
+    longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+    kinds = [pa.int64()] * 3 + [longs, longs, ints, longs, longs, ints, ints]
+    names = [x.split()[0] for x in LINES.split(", ")]
+
+    def row(text: str) -> tuple:
+        lines = [x.strip() for x in text.encode("utf-8", "surrogatepass").split(b"\n")]
+        digests = b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in lines)
+        key = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
+        whole = np.frombuffer(hashlib.blake2b(digests, digest_size=16).digest(), dtype=np.int64).tolist()
+        words = np.array([len(x.split()) for x in lines], dtype=np.int32)
+        places = sorted(spans(words, min_words))
+        window = np.frombuffer(b"".join(hashlib.blake2b(digests[16 * i : 16 * e], digest_size=16).digest() for i, e in places), dtype=np.int64).reshape(-1, 2)
+        place = np.array(places, dtype=np.int32).reshape(-1, 2)
+        return (*whole, int(words.sum()), key[:, 0], key[:, 1], words, window[:, 0], window[:, 1], place[:, 0], place[:, 1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k1, k2, words, w1, w2 = [], [], [], [], []
-            for text in b.column(2):
-                lines = [x.strip() for x in text.as_py().encode("utf-8", "surrogatepass").split(b"\n")]
-                digests = b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in lines)
-                key = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
-                k1.append(key[:, 0])
-                k2.append(key[:, 1])
-                words.append(np.array([len(x.split()) for x in lines], dtype=np.int32))
-                found = {hashlib.blake2b(digests[16 * i : 16 * e], digest_size=16).digest() for i, e in spans(words[-1], min_words)}
-                window = np.frombuffer(b"".join(found), dtype=np.int64).reshape(-1, 2)
-                w1.append(window[:, 0])
-                w2.append(window[:, 1])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(k1, longs), pa.array(k2, longs), pa.array(words, pa.list_(pa.int32())), pa.array(w1, longs), pa.array(w2, longs)], schema=schema)
-
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(text_of()).alias("t"), text_of().alias("text"))
-    return rows.mapInArrow(run, "d long, t long, k1 array<long>, k2 array<long>, words array<int>, w1 array<long>, w2 array<long>")
+            out = list(zip(*(row(t.as_py()) for t in b.column(2)), strict=True)) or [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=names)
+
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.xxhash64(text_of()), text_of())
+    return rows.mapInArrow(run, LINES)
 
 
 def overlapping(lines: DataFrame, rare: int = RARE) -> DataFrame:
-    """(od, ot, d, t): pairs of an earlier and a later document that share lines or windows."""
+    """k1, k2, window (is the key a window?), n (occurrences), od, ot, d, t: every later holder of a rare line or window,
+    with the first holder."""
     some = F.transform("words", lambda w: w > 0)
-    window = F.arrays_zip(F.col("w1").alias("k1"), F.col("w2").alias("k2"), F.transform("w1", lambda w: F.lit(True)).alias("some"))
-    each = lines.select("d", "t", F.explode(F.concat(F.array_distinct(F.arrays_zip("k1", "k2", some.alias("some"))), window)).alias("k"))
-    each = each.where("k.some").select(F.col("k.k1").alias("k1"), F.col("k.k2").alias("k2"), "d", "t")
-    shared = each.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("d", "t")).alias("first")).where("n > 1")
-    seen = each.join(shared.hint("merge"), ["k1", "k2"])
-    first = seen.select(F.col("first.d").alias("od"), F.col("first.t").alias("ot"), "d", "t")
-    order = Window.partitionBy("k1", "k2").orderBy("d", "t")
-    before = seen.where(F.col("n") <= rare).select(F.lag("d").over(order).alias("od"), F.lag("t").over(order).alias("ot"), "d", "t")
-    both = first.unionByName(before.where("od is not null"))
-    return both.where("od < d or (od = d and ot < t)").distinct()
+    line = F.arrays_zip("k1", "k2", some.alias("some"), F.transform("k1", lambda k: F.lit(False)).alias("window"))
+    window = F.arrays_zip(F.col("w1").alias("k1"), F.col("w2").alias("k2"), F.transform("w1", lambda w: F.lit(True)).alias("some"), F.transform("w1", lambda w: F.lit(True)).alias("window"))
+    each = lines.select("d", "t", F.explode(F.concat(line, window)).alias("k")).where("k.some").select("k.k1", "k.k2", "k.window", "d", "t")
+    who = F.struct("d", "t")
+    shared = each.groupBy("k1", "k2", "window").agg(F.count("*").alias("n"), F.min(who).alias("first"), F.max(who).alias("last")).where((F.col("first") < F.col("last")) & (F.col("window") | (F.col("n") <= rare))).drop("last")
+    seen = each.join(shared.hint("merge"), ["k1", "k2", "window"]).where((F.col("first.d") < F.col("d")) | ((F.col("first.d") == F.col("d")) & (F.col("first.t") < F.col("t"))))
+    return seen.select("k1", "k2", "window", "n", F.col("first.d").alias("od"), F.col("first.t").alias("ot"), "d", "t")
 
 
 def align(lines: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
-    """(d, t, line): lines to delete; a line may come several times."""
-    schema = pa.schema([("d", pa.int64()), ("t", pa.int64()), ("lines", pa.list_(pa.int32()))])
+    """(d, t, lines): lines to delete; a document may come several times."""
+    ints = pa.list_(pa.int32())
+    schema = pa.schema([("d", pa.int64()), ("t", pa.int64()), ("lines", ints)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,20 +196,77 @@ def align(lines: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
                     d.append(row_d)
                     t.append(row_t)
                     gone.append(cut)
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], schema=schema)
-
-    old = lines.select(F.col("d").alias("od"), F.col("t").alias("ot"), F.col("k1").alias("o1"), F.col("k2").alias("o2"))
-    rows = pairs.join(lines.hint("merge"), ["d", "t"]).join(old.hint("merge"), ["od", "ot"]).select("d", "t", "o1", "o2", "k1", "k2", "words")
+            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(gone, ints)], schema=schema)
+
+    copies = pairs.groupBy("od", "ot").agg(F.count("*").alias("n")).select("od", "ot", F.ceil(F.col("n") / SHARE).cast("int").alias("shares"))
+    old = lines.select(F.col("d").alias("od"), F.col("t").alias("ot"), F.col("k1").alias("o1"), F.col("k2").alias("o2")).join(copies.hint("merge"), ["od", "ot"])
+    old = old.select("od", "ot", "o1", "o2", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    dealt = pairs.join(copies.hint("merge"), ["od", "ot"]).withColumn("share", F.pmod(F.xxhash64("d", "t"), F.col("shares")).cast("int")).drop("shares")
+    new = dealt.join(lines.select("d", "t", "k1", "k2", "words").hint("merge"), ["d", "t"])
+    rows = new.join(old.hint("merge"), ["od", "ot", "share"]).select("d", "t", "o1", "o2", "k1", "k2", "words")
     return rows.mapInArrow(run, "d long, t long, lines array<int>")
 
 
+def _together(gone: DataFrame) -> DataFrame:
+    return gone.groupBy("d", "t").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("removed"))
+
+
+def still_there(lines: DataFrame, removed: DataFrame) -> DataFrame:
+    """(k1, k2, d, t): windows of which a line is still there."""
+    schema = pa.schema([(c, pa.int64()) for c in ("k1", "k2", "d", "t")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[], [], [], []]
+            for d, t, n, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                k1, k2, begin, end, gone = (np.array(x or [], dtype=np.int64) for x in rest)
+                stays = np.ones(n + 1, dtype=np.int64)
+                stays[0], stays[gone + 1] = 0, 0
+                stays = stays.cumsum()
+                left = stays[end] > stays[begin]
+                found = set(zip(k1[left].tolist(), k2[left].tolist(), strict=True))
+                for column, v in zip(out, ([x for x, _ in found], [x for _, x in found], [d] * len(found), [t] * len(found)), strict=True):
+                    column.extend(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=schema)
+
+    rows = lines.select("d", "t", F.size("words").alias("n"), "w1", "w2", "begin", "end").join(removed.hint("merge"), ["d", "t"], "left")
+    return rows.select("d", "t", "n", "w1", "w2", "begin", "end", "removed").mapInArrow(run, "k1 long, k2 long, d long, t long")
+
+
+def aligned(lines: DataFrame, min_words: int, rare: int) -> DataFrame:
+    """(d, t, removed): the deleted lines of documents with different lines, after all rounds."""
+    seen = staged(overlapping(lines, rare), "seen")
+    removed = staged(_together(align(lines, seen.select("od", "ot", "d", "t").distinct(), min_words)), "removed")
+    who, key = ["d", "t"], ["k1", "k2"]
+    held = seen.where("window").select(*key, "n", *who).distinct()
+    met = held
+    place = F.shiftrightunsigned(F.xxhash64("od", "ot"), 1) / float(1 << 63)  # of a holder, 0 to 1
+    low, high = 0, GROWTH
+    while True:
+        mine = lines.join(met.select(*who).distinct().hint("merge"), who, "left_semi")
+        left = staged(met.join(still_there(mine, removed).hint("merge"), [*key, *who], "left_semi"), "left")
+        more = left.where(F.col("n") > low)  # all holders of a window of n or fewer occurrences are tried
+        if more.isEmpty():
+            discard(seen, left)
+            return removed
+        holder = held.join(more.select(*key).distinct().hint("merge"), key, "left_semi").select(*key, F.col("d").alias("od"), F.col("t").alias("ot"))
+        tried = more.join(holder.hint("merge"), key).where((place * F.col("n") >= low) & (place * F.col("n") < high)).where("od < d or (od = d and ot < t)")
+        extra = align(lines, staged(tried.select("od", "ot", *who).distinct(), "pairs"), min_words)
+        last, removed = removed, staged(_together(removed.select(*who, F.col("removed").alias("lines")).unionByName(extra)), "removed")
+        discard(last)
+        met, low, high = more, high, high * GROWTH
+
+
 def dedup_rows(docs: DataFrame, *, min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
     """row (all columns of docs), text (reduced), n_lines, n_removed, removed (numbers of the deleted lines, from 0; null
     if none)."""
-    lines = staged(line_table(docs, min_words).dropDuplicates(["d", "t"]), "lines")
-    pairs = overlapping(lines, rare)
-    gone = align(lines, pairs, min_words).groupBy("d", "t").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("removed"))
-    gone = staged(gone, "gone")
+    every = staged(line_table(docs, min_words).dropDuplicates(["d", "t"]), "lines")
+    heads = every.groupBy("s1", "s2").agg(F.min(F.struct("d", "t")).alias("head"), F.count("*").alias("n"))
+    copies = every.select("d", "t", "s1", "s2", "total", F.size("words").alias("size")).join(heads.where("n > 1").hint("merge"), ["s1", "s2"]).where((F.col("d") != F.col("head.d")) | (F.col("t") != F.col("head.t")))
+    copies = staged(copies.select("d", "t", "total", "size"), "copies")
+    lines = staged(every.join(copies.select("d", "t").hint("merge"), ["d", "t"], "left_anti").drop("s1", "s2", "total"), "heads")
+    whole = copies.where(F.col("total") >= min_words).select("d", "t", F.sequence(F.lit(0), F.col("size") - 1).alias("removed"))
+    gone = aligned(lines, min_words, rare).unionByName(whole)
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64(text_of()).alias("t"), F.split("text", "\n", -1).alias("lines"))
     rows = rows.join(gone.hint("merge"), ["d", "t"], "left")
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed"), lambda i: F.get("lines", i))
