@@ -1,4 +1,4 @@
-"""Shared helpers: shared-folder staging, table loading, word splitting."""
+"""Shared helpers: shared-folder staging, table loading, Arrow batches, row hashes."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Java regex of a word of the mixing / quality contracts and of its separators.
@@ -23,15 +23,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of so many rows at most, so that long texts don't pile up in a worker.
+#: Rows and bytes of an Arrow batch at most, the same for every operator, so that plans built earlier aren't changed.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of bounded rows and bytes, so that long texts don't pile up in a worker.
 
     Also lets Python workers on this machine import the package wherever the driver was started.
     """
     paths = spark.sparkContext.environment
     if _HOME not in paths.get("PYTHONPATH", "").split(os.pathsep):
         paths["PYTHONPATH"] = os.pathsep.join(filter(None, [paths.get("PYTHONPATH"), _HOME]))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -89,3 +94,20 @@ def _clean() -> None:
 def text_of(col: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
+
+
+def parts_of(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def row_hash(df: DataFrame, seed: int = 0) -> Column:
+    """A hash of all columns of a row; nulls count, maps by their JSON form."""
+    values = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema]
+    return F.xxhash64(F.lit(seed), *(v for c in values for v in (c, c.isNull())))
+
+
+def starts(counts: DataFrame, order: str, n: str) -> DataFrame:
+    """counts (one row a range, so as many as there are partitions) with start: the rows of all ranges before."""
+    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("start", F.coalesce(F.sum(n).over(before), F.lit(0)))
