@@ -5,8 +5,10 @@ for each amount of free space that some open bin has, so the tightest bin that s
 bit at or above the piece's length.  If nothing fits and all bins are in use, the fullest closes first.
 
 Scale: texts are tokenised where they are read; only piece descriptors (about 40 bytes) are shuffled.  Packing
-partitions have a constant number of pieces at any input size.  The few bins still open when a partition ends go to
-a further, much smaller round, until one partition is left; that one drains its open bins largest piece first.
+partitions have a constant number of pieces at any input size.  When a partition ends, open bins filled to the round's
+mark (FILLED) close too; the pieces of the others go to a further, much smaller round, until one partition is left, which
+drains its open bins largest piece first.  Where a round passes on more than half of its pieces, the next one's mark is
+lower, down to any fill, so that rounds end at any mix of lengths and no task gets more pieces than any other.
 
 Defined results: a null text is an empty document (its only id is the separator); a repeated row is one more document;
 a null doc_id is kept as it is; an empty table gives an empty result; other columns of the input are ignored.
@@ -32,6 +34,8 @@ from strandlab.llm.common import bounded_batches, discard, staged, text_of
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-ɏ‐-‧€]*")
 PIECES_PER_TASK = 250_000
 OPEN_BINS = 4096
+#: Fill from which bins still open at the end of a partition close: the first for all rounds as long as they shrink.
+FILLED = (0.985, 0.95, 0.9, 0.75, 0.0)
 
 
 @lru_cache(maxsize=4)
@@ -146,7 +150,7 @@ def token_pieces(docs: DataFrame, *, max_tokens: int = 2048, separator: int = 0,
     return docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(run, ddl)
 
 
-def _packer(schema: pa.Schema, capacity: int, open_bins: int, round_: int, final: bool):
+def _packer(schema: pa.Schema, capacity: int, open_bins: int, round_: int, final: bool, mark: float):
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +174,13 @@ def _packer(schema: pa.Schema, capacity: int, open_bins: int, round_: int, final
                     close(done)
             if len(out) > 20_000:
                 yield emit()
-        left = [row for bin_ in bins.rest() for row, _ in bin_]
+        left = []
+        for bin_ in bins.rest():
+            used = bin_[-1][1] + bin_[-1][0]["length"]
+            if not final and used >= mark * capacity:
+                close(bin_)
+            else:
+                left.extend(row for row, _ in bin_)
         if final:  # nothing else comes: place what is still open anew, largest first
             order = [n for n in names if n not in ("sequence_id", "offset", "ids")]
             left.sort(key=lambda r: (-r["length"], *((r[n] is None, r[n] or 0) for n in order)))
@@ -194,15 +204,16 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = 2048, open_bins: int = OPE
 
     shape = pieces.limit(0).withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
     arrow, ddl = to_arrow_schema(shape.schema), shape.schema
+    bounded_batches(pieces.sparkSession)
     done, left = None, staged(pieces, "pieces")
-    total, round_ = left.count(), 0
+    total, round_, marks = left.count(), 0, list(FILLED)
     while True:
         parts = max(1, -(-total // per_task))
         final = parts == 1
         keyed = left.withColumn("_h", F.xxhash64(F.lit(round_), "doc_id", "piece"))
         keyed = keyed.repartition(1) if final else keyed.repartition(parts, "_h")
         order = ["_h", *(c for c in pieces.columns if c != "ids")]
-        packed = keyed.sortWithinPartitions(*order).drop("_h").mapInArrow(_packer(arrow, capacity, open_bins, round_, final), ddl)
+        packed = keyed.sortWithinPartitions(*order).drop("_h").mapInArrow(_packer(arrow, capacity, open_bins, round_, final, marks[0]), ddl)
         if final:
             return packed if done is None else done.unionByName(packed)
         packed = staged(packed, f"packed{round_}")
@@ -211,7 +222,8 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = 2048, open_bins: int = OPE
         discard(left)
         left = packed.where("sequence_id is null").drop("sequence_id", "offset")
         before, total, round_ = total, left.count(), round_ + 1
-        per_task = max(per_task, total) if total > 0.7 * before else per_task  # tiny partitions close nothing
+        if total > 0.5 * before and len(marks) > 1:
+            marks.pop(0)
 
 
 def pack_documents(docs: DataFrame, *, max_tokens: int = 2048, separator: int = 0, vocabulary: str | None = None, ranks: str | None = None, with_ids: bool = False) -> DataFrame:
