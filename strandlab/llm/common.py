@@ -11,9 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Java regex of a word of the mixing / quality contracts and of its separators.
+#: Java regex of a word of the mixing and quality contracts.
 WORD = r"[^\x20\x09-\x0D]+"
-SPACE = r"[\x20\x09-\x0D]+"
 
 _HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _STAGED: list[tuple[SparkSession, str]] = []

@@ -8,11 +8,13 @@ its step crosses.  Ordering by size makes every stretch of the order, and so the
 
 Scale: only doc_id, source and size are shuffled, by ranges of (source, size, hash), so that a hot source spreads over as
 many tasks as its rows need.  The order doesn't depend on where ranges are cut: counts per (range, source) give each
-range its start.  What comes to the driver is one row a source (sources are names of data sets, not a growing key).
+range its start.  Sources may be many (hosts): they are ranked over ranges and their targets come from a few sums over
+the table of sources, two numbers a step on the driver; that table is broadcast only where Spark finds it small.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in the order of code points; sources
 without words get target 0; size 0 rows can be taken and add nothing; repeated rows are sampled one by one; documents of
-the same id and size are equal in the order; an empty table gives an empty result.
+the same id and size are equal in the order; an empty table gives an empty result.  mix_documents keeps all columns of
+each row: only rows equal in every column are taken together.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlab.llm.common import WORD, bounded_batches, staged, table, text_of
+from strandlab.llm.common import WORD, bounded_batches, parts_of, row_hash, staged, starts, table, text_of
 
 WEIGHTS = (5, 2, 1)
 TOTAL = 1.5
@@ -32,34 +34,35 @@ LIMIT = 2.0
 SEED = 20
 
 
-def targets(sizes: list[int], weights: list[float], total: float = TOTAL, limit: float = LIMIT) -> list[float]:
-    """Target words of each source."""
-    wanted, open_ = total * sum(sizes), set(range(len(sizes)))
-    out = [0.0] * len(sizes)
-    while open_:
-        weight = sum(weights[i] for i in open_)
-        full = [i for i in open_ if wanted * weights[i] / weight > limit * sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = wanted * weights[i] / weight
-            break
-        for i in full:
-            out[i] = limit * sizes[i]
-        wanted -= sum(out[i] for i in full)
-        open_ -= set(full)
-    return out
-
-
 def n_words() -> Column:
     return F.regexp_count(text_of(), F.lit(WORD)).cast("long")
 
 
 def source_targets(rows: DataFrame, weights=WEIGHTS, total: float = TOTAL, limit: float = LIMIT) -> DataFrame:
-    """source, rank, source_size, target; one row a source."""
-    found = [(r["source"], int(r["n"] or 0)) for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()]
-    found.sort(key=lambda x: (x[0] is None, x[0] or ""))
-    goal = targets([n for _, n in found], [float(weights[i % len(weights)]) for i in range(len(found))], total, limit)
-    return rows.sparkSession.createDataFrame([(s, i, n, float(g)) for i, ((s, n), g) in enumerate(zip(found, goal, strict=True))], "source string, rank int, source_size long, target double")
+    """source, rank, source_size, target; one row a source.
+
+    Target words a unit of weight (level) rise from step to step: sources that the level would lift above their limit
+    are full and leave what they can't take to the others, until no further one is full."""
+    gone = F.col("source").isNull()
+    found = rows.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("source_size"))
+    ranged = found.repartitionByRange(parts_of(rows.sparkSession), gone, "source").withColumn("part", F.spark_partition_id())
+    ranged = staged(ranged, "sources")
+    place = F.row_number().over(Window.partitionBy("part").orderBy(gone, "source"))
+    before = starts(ranged.groupBy("part").agg(F.count("*").alias("n")), "part", "n").drop("n")
+    ranked = ranged.join(before, "part").withColumn("rank", (F.col("start") + place - 1).cast("long"))
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    ranked = staged(ranked.select("source", "rank", "source_size", weight.alias("weight")), "ranked")
+    most = F.col("source_size") * limit
+    wanted = total * (ranked.agg(F.sum("source_size")).first()[0] or 0)
+    level, last = 0.0, -1
+    while True:
+        full = F.lit(level) * F.col("weight") > most if last >= 0 else F.lit(False)
+        n, taken, open_ = ranked.agg(F.count(F.when(full, 1)), F.sum(F.when(full, most)), F.sum(F.when(~full, F.col("weight")))).first()
+        if n == last or not open_:
+            break
+        level, last = (wanted - (taken or 0.0)) / open_, n
+    target = F.when(F.lit(level) * F.col("weight") > most, most).otherwise(F.lit(level) * F.col("weight"))
+    return ranked.select("source", "rank", "source_size", target.alias("target"))
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,18 +79,17 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def mix(docs: DataFrame, *, weights=WEIGHTS, total: float = TOTAL, limit: float = LIMIT, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target and copies of every row of docs (doc_id, source, text)."""
-    bounded_batches(docs.sparkSession, 20_000)
+    bounded_batches(docs.sparkSession)
     rows = staged(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words().alias("size")), "sizes")
-    goal = source_targets(rows, weights, total, limit)
-    keyed = rows.join(F.broadcast(goal.select("source", "rank")), rows["source"].eqNullSafe(goal["source"])).select("doc_id", "size", "rank", F.xxhash64(F.lit(seed), "doc_id").alias("h"))
+    goal = staged(source_targets(rows, weights, total, limit), "goal")
+    keyed = rows.join(goal.select(F.col("source").alias("_source"), "rank"), F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "size", "rank", F.xxhash64(F.lit(seed), "doc_id").alias("h"))
     order, kind = ["rank", "size", "h", "doc_id"], rows.schema["doc_id"].dataType.simpleString()
-    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # written once: the ranges' cuts come from a sample and must not differ between the two reads below
-    put = staged(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_numbered, f"doc_id {kind}, size long, rank int, h long, part int, place long"), "order")
+    put = staged(keyed.repartitionByRange(parts_of(rows.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(_numbered, f"doc_id {kind}, size long, rank long, h long, part int, place long"), "order")
     counts = put.groupBy("part", "rank").agg(F.count("*").alias("n"))
     before = Window.partitionBy("rank").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    placed = put.join(starts, ["part", "rank"]).join(F.broadcast(goal), "rank")
+    first = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    placed = put.join(first, ["part", "rank"]).join(goal, "rank")
     offset = F.pmod(F.xxhash64(F.lit(seed), F.lit("offset"), "rank"), F.lit(1 << 30)) / float(1 << 30)
     step = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     i = F.col("start") + F.col("place")
@@ -101,13 +103,11 @@ def mixture(spark, sf_dir: str) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs as often as the mix takes them; equal rows are pooled, so that each copy is taken once."""
-    columns = docs.columns
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull(), F.xxhash64(text_of()), F.coalesce(F.xxhash64("source"), F.lit(0))]
-    keyed = docs.select(*(c.alias(f"_k{i}") for i, c in enumerate(key)), F.struct(*columns).alias("row"))
-    names = [f"_k{i}" for i in range(len(key))]
+    """The rows of docs as often as the mix takes them, each with its own columns; rows equal in all columns are sampled
+    one by one and emitted together."""
+    key = F.struct(row_hash(docs).alias("a"), row_hash(docs, 1).alias("b"))
     # the mix sees the key as its doc_id
-    seen = docs.select(F.struct(*(c.alias(n) for c, n in zip(key, names, strict=True))).alias("doc_id"), "source", "text")
-    taken = mix(seen, **options).where("copies > 0").groupBy("doc_id").agg(F.sum("copies").cast("int").alias("copies")).select("doc_id.*", "copies")
-    once = keyed.groupBy(*names).agg(F.first("row").alias("row"))
-    return once.join(taken.hint("merge"), names).select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
+    taken = mix(docs.select(key.alias("doc_id"), "source", "text"), **options).where("copies > 0")
+    taken = taken.groupBy(F.col("doc_id.a").alias("a"), F.col("doc_id.b").alias("b")).agg(F.sum("copies").cast("int").alias("copies"))
+    once = docs.select(F.struct("*").alias("row"), row_hash(docs).alias("a"), row_hash(docs, 1).alias("b")).dropDuplicates(["a", "b"])
+    return once.join(taken.hint("merge"), ["a", "b"]).select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
