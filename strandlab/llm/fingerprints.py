@@ -6,13 +6,18 @@ bin) chooses, the same for every document.  The fingerprint packs the lowest fou
 digit a bin.  Two fingerprints' likeness is the share of equal digits, corrected for digits that agree by chance.
 
 Sorting a document's hashes puts each bin's smallest first in its run, so bins come from one sort and one filter over
-the row's own array: nothing is exploded.  Texts are shuffled once, into buckets of neighbouring doc_ids (about BUCKET
-rows each, whatever the ids' spacing on average), where the next document is a lead(); a bucket's last row takes the
-head of the next bucket, found over bucket numbers alone, in two levels.
+the row's own array: nothing is exploded.
+
+The next document is found on small rows alone: doc_id, a hash of the text, length and fingerprint, one row for each
+different (doc_id, text), are dealt out by ranges of (doc_id, hash); within a range the next row is a lead(), and a
+range's last row is followed by the first of the next range.  So neither an outlying doc_id nor many rows of one doc_id
+get into one task.  Texts are shuffled once, by that pair; each then sends as much of its beginning as the document
+before it needs.
 
 Defined results: a null text is empty; texts of fewer than five words have one shingle, of all their words; rows with
-the same doc_id follow each other by text; a null doc_id comes before all others; of one document, the next is itself;
-an empty table gives an empty result; other columns are ignored.
+the same doc_id follow each other by a hash of the text; among equal rows each is followed by an equal one but the last;
+a null doc_id comes before all others; of one document, the next is itself; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,14 +25,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlab.llm.common import table, text_of
+from strandlab.llm.common import parts_of, staged, table, text_of
 
 SHINGLE = 5
 BINS = 128
 BIN_BITS = 7
 DIGIT_BITS = 4
-BUCKET = 256
-_GROUP = 4096
 #: Between words, after lower-casing: ASCII other than letters and digits.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -60,40 +63,48 @@ def likeness(a: str, b: str):
     return F.greatest(F.lit(0.0), (same / BINS - chance) / (1 - chance))
 
 
-def _followers(buckets: DataFrame) -> DataFrame:
-    """(bucket, following): the next bucket that has rows, the first after the last; by groups of bucket numbers."""
-    each = buckets.withColumn("g", F.floor(F.col("bucket") / _GROUP))
-    inner = each.withColumn("following", F.lead("bucket").over(Window.partitionBy("g").orderBy("bucket")))
-    groups = each.groupBy("g").agg(F.min("bucket").alias("low"))
-    every = Window.partitionBy(F.lit(0)).orderBy("g")
-    groups = groups.select("g", F.coalesce(F.lead("low").over(every), F.min("low").over(every)).alias("after"))
-    return inner.join(groups, "g").select("bucket", F.coalesce("following", "after").alias("following"))
-
-
-def fingerprint_documents(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def _neighbours(rows: DataFrame) -> DataFrame:
+    """rows (gone, d, h: unique and in this order; n_chars, fingerprint) with what is known of the next row, and key and
+    n_chars of the one before; the first follows the last."""
+    order = ["gone", "d", "h"]
+    ranged = staged(rows.repartitionByRange(parts_of(rows.sparkSession), F.desc("gone"), "d", "h").withColumn("part", F.spark_partition_id()), "ranges")
+    along = Window.partitionBy("part").orderBy(F.desc("gone"), "d", "h")
+    me = F.struct(*order, "n_chars", "fingerprint")
+    inner = ranged.withColumns({"me": me, "_after": F.lead(me).over(along), "_before": F.lag(me).over(along)})
+    # one row a range, in order, the last followed by the first
+    key = F.struct((~F.col("gone")).alias("g"), "d", "h")
+    ends = ranged.groupBy("part").agg(F.min_by(me, key).alias("first"), F.max_by(me, key).alias("last"))
+    every, whole = Window.orderBy("part"), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = ends.select("part", F.coalesce(F.lead("first").over(every), F.first("first").over(whole)).alias("_first"), F.coalesce(F.lag("last").over(every), F.last("last").over(whole)).alias("_last"))
+    out = inner.join(ends, "part").withColumns({"after": F.coalesce("_after", "_first"), "before": F.coalesce("_before", "_last")})
+    return out.select(*order, "n_chars", "n_rows", "fingerprint", F.col("after.fingerprint").alias("next_fingerprint"), *(F.col(f"before.{c}").alias(f"before_{c}") for c in (*order, "n_chars")))
+
+
+def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document.
 
     The edited text has its last quarter of code points replaced by the first as many of the next document.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = low or 0, high or 0
-    width = max(1, (high - low + 1) * bucket // max(1, n))
-    number = F.expr(f"coalesce((cast(doc_id AS decimal(20, 0)) - cast({low} AS decimal(20, 0))) div cast({width} AS decimal(20, 0)), -1L)").cast("long")
-    keyed = docs.withColumn("bucket", number)
-    order = Window.partitionBy("bucket").orderBy("doc_id", "text")
-    placed = with_fingerprint(keyed, "text", "fingerprint").withColumns({"next": F.lead("text").over(order), "next_fingerprint": F.lead("fingerprint").over(order)})
-    # one row a bucket; a bucket's rows, partitioned and sorted by it already, meet the head of the bucket that follows
-    heads = keyed.groupBy("bucket").agg(F.min(F.struct("doc_id", "text")).alias("r")).select(F.col("bucket").alias("following"), F.col("r.text").alias("head"))
-    heads = with_fingerprint(heads, "head", "head_fingerprint")
-    after = _followers(docs.select(number.alias("bucket")).distinct()).join(heads, "following").drop("following")
-    joined = placed.join(after, "bucket")
-    every = joined.select("doc_id", "text", "fingerprint", F.coalesce("next", "head").alias("next"), F.coalesce("next_fingerprint", "head_fingerprint").alias("next_fingerprint"))
-    every = every.withColumn("n_chars", F.length("text").cast("long"))
-    cut = F.expr("concat(left(text, cast(n_chars - n_chars div 4 AS int)), left(next, cast(n_chars div 4 AS int)))")
-    edited = every.withColumn("edited", cut).select("doc_id", "n_chars", "fingerprint", "edited", "next_fingerprint")
-    done = with_fingerprint(edited, "edited", "edited_fingerprint")
-    return done.select("doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"))
+    key = ["gone", "d", "h"]
+    docs = docs.select(F.col("doc_id").isNull().alias("gone"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), text_of().alias("text"))
+    docs = docs.select("gone", "d", F.xxhash64("text").alias("h"), "text")
+    light = with_fingerprint(docs.withColumn("n_chars", F.length("text").cast("long")), "text", "fingerprint").drop("text")
+    light = light.groupBy(*key).agg(F.first("n_chars").alias("n_chars"), F.first("fingerprint").alias("fingerprint"), F.count("*").alias("n_rows"))
+    known = staged(_neighbours(light), "neighbours")
+    texts = docs.dropDuplicates(key).join(known.hint("merge"), key)
+    quarter = F.expr("cast(n_chars div 4 AS int)")
+    heads = texts.select(*(F.col(f"before_{c}").alias(c) for c in key), F.expr("left(text, cast(before_n_chars div 4 AS int))").alias("head"))
+    joined = texts.drop(*(f"before_{c}" for c in (*key, "n_chars"))).join(heads.hint("merge"), key)
+    edit = lambda tail: F.concat(F.expr("left(text, cast(n_chars - n_chars div 4 AS int))"), tail)
+    # the last of equal rows meets the next document, those before it meet their equal
+    again = F.struct(edit(F.left("text", quarter)).alias("edited"), F.col("fingerprint").alias("next_fingerprint"), (F.col("n_rows") - 1).alias("times"))
+    last = F.struct(edit(F.col("head")).alias("edited"), "next_fingerprint", F.lit(1).cast("long").alias("times"))
+    cases = joined.select(*key, "n_chars", "fingerprint", F.explode(F.when(F.col("n_rows") > 1, F.array(last, again)).otherwise(F.array(last))).alias("c")).select(*key, "n_chars", "fingerprint", "c.*")
+    done = with_fingerprint(cases, "edited", "edited_fingerprint").withColumn("edited_sha256", F.sha2(F.col("edited"), 256)).drop("edited")
+    done = done.withColumns({"near_edited": likeness("fingerprint", "edited_fingerprint"), "near_next": likeness("fingerprint", "next_fingerprint")})
+    one = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    done = done.withColumn("doc_id", F.when(~F.col("gone"), F.col("d")))
+    return done.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select(*one)
 
 
 def fingerprints(spark, sf_dir: str) -> DataFrame:
