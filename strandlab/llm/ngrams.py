@@ -8,15 +8,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlab.llm.common import bounded_batches, text_of
+from strandlab.llm.common import bounded_batches, discard, staged, text_of
 
 BITS = 18
 DIM = 1 << BITS
 #: Labelled documents that a fit sees at most, for each class; the first by a hash of doc_id.
 PER_CLASS = 4000
+#: Bytes of features that a fit holds at most: the sample's first documents by a hash, up to there.
+FEATURE_BYTES = 16 << 20
 _CHUNK = 1 << 20
 _SYMBOL = re.compile(rb"[#*$%&|<>]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -94,19 +96,30 @@ def labelled_sample(labels: DataFrame, label: str, keep: Column, per_class: int
     return one(0).unionByName(one(1)), counts
 
 
-def sample_features(docs: DataFrame, sample: DataFrame, extract, dtype) -> tuple[list[np.ndarray], np.ndarray]:
-    """Feature arrays and classes of the sampled documents.  The sample has a fixed bound, so it is broadcast and its
-    features (not its texts) come to the driver."""
-    bounded_batches(docs.sparkSession)
-    schema = pa.schema([("h", pa.int64()), ("y", pa.int32()), ("x", pa.binary())])
+def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """h (hash of doc_id and text), y, text of the sampled documents, one row a doc_id (of several texts, the first by a
+    hash), written once.  The sample has a fixed bound, so it is broadcast."""
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id")
+    one = rows.groupBy("doc_id").agg(F.first("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    return staged(one.select(F.xxhash64("doc_id", "text").alias("h"), "y", "text"), "sample")
+
+
+def sample_features(texts: DataFrame, extract, dtype, most: int = FEATURE_BYTES) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Feature arrays, classes and hashes of sampled texts in the order of their hashes; what comes to the driver is at
+    most so many bytes of features, not texts."""
+    bounded_batches(texts.sparkSession)
+    schema = pa.schema([("h", pa.int64()), ("y", pa.int32()), ("x", pa.binary()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([extract(t.as_py()).tobytes() for t in b.column(2)], pa.binary())], schema=schema)
-
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), "y", "text").mapInArrow(run, "h long, y int, x binary")
-    got = rows.toArrow().sort_by([("h", "ascending")])  # the same order at every run
-    return [np.frombuffer(v.as_py(), dtype=dtype) for v in got["x"]], np.array(got["y"].to_pylist(), dtype=np.int32)
+            x = [extract(t.as_py()).tobytes() for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary()), pa.array(map(len, x), pa.int64())], schema=schema)
+
+    rows = staged(texts.select("h", "y", "text").mapInArrow(run, "h long, y int, x binary, n long"), "features")
+    upto = rows.select("h", F.sum("n").over(Window.orderBy("h")).alias("bytes")).where(F.col("bytes") <= most).agg(F.max("h")).first()[0]  # a bounded sample
+    got = rows.where(F.col("h") <= F.lit(upto)).select("h", "y", "x").toArrow().sort_by([("h", "ascending")])  # the same order at every run
+    discard(rows)
+    return [np.frombuffer(v.as_py(), dtype=dtype) for v in got["x"]], np.array(got["y"].to_pylist(), dtype=np.int32), np.array(got["h"].to_pylist(), dtype=np.int64)
 
 
 def platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:

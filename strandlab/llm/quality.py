@@ -3,7 +3,8 @@
 Each hashed n-gram indicator is scaled by its class log-count ratio; a linear hinge-loss model on the scaled indicators
 is fitted by dual coordinate descent and made a probability on the part of the sample kept apart for that.
 
-The fit sees at most PER_CLASS labelled documents of each class (parameter per_class); scoring reads every document
+The loss is the squared hinge, for which the dual has one coordinate a row and no upper bound.  The fit sees at most
+PER_CLASS labelled documents of each class (parameter per_class) and FEATURE_BYTES of their features; scoring reads every document
 where it lies, without a shuffle.  A null text is empty; empty texts get the score of the bias features alone; repeated
 rows each get a row; labels other than 0 and 1, null labels and labels without a document are ignored; with labels of
 fewer than two classes every score is the share of class 1 (0.5 without labels).
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlab.llm.common import table
-from strandlab.llm.ngrams import DIM, PER_CLASS, class_weights, held_out, indicators, labelled_sample, platt, sample_features, score_texts
+from strandlab.llm.ngrams import DIM, PER_CLASS, class_weights, held_out, indicators, labelled_sample, platt, sample_features, sampled_texts, score_texts
 
 
 def log_count_ratios(x: list[np.ndarray], y: np.ndarray, alpha: float = 1.0) -> np.ndarray:
@@ -84,7 +85,7 @@ def fit_nbsvm(x: list[np.ndarray], y: np.ndarray, counts: dict[int, int]):
 def classify(docs: DataFrame, labels: DataFrame, label: str, train_on: Column, per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, score (probability of label 1) of every document; train_on: which labelled rows a fit may see."""
     sample, counts = labelled_sample(labels, label, train_on, per_class)
-    x, y = sample_features(docs, sample, indicators, np.uint32)
+    x, y, _ = sample_features(sampled_texts(docs, sample), indicators, np.uint32)
     score = fit_nbsvm(x, y, counts)
     return score_texts(docs, lambda texts: list(map(score, texts)))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlab.llm.common import bounded_batches, table, text_of
-from strandlab.llm.ngrams import DIM, PER_CLASS, class_weights, indicators, labelled_sample, platt, sample_features
+from strandlab.llm.ngrams import DIM, PER_CLASS, class_weights, indicators, labelled_sample, platt, sample_features, sampled_texts
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -101,7 +101,7 @@ def fit_logistic(x: list[np.ndarray], y: np.ndarray, counts: dict[int, int], epo
 def train_rules(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
     """The fitted probability function; docs must hold the labelled documents' texts."""
     sample, counts = labelled_sample(labels, "quality", F.lit(True), per_class)
-    x, y = sample_features(docs, sample, indicators, np.uint32)
+    x, y, _ = sample_features(sampled_texts(docs, sample), indicators, np.uint32)
     return fit_logistic(x, y, counts)
 
 
