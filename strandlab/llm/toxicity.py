@@ -2,12 +2,15 @@
 
 Features: densities of a fixed insult list and of a lexicon learned from the training labels (words and word beginnings
 that occur almost only in toxic documents), second person near such words, capitals, punctuation, symbols and
-obfuscated spellings.  The trees are fitted on histograms, the calibration by pooling adjacent violators on the part of
-the sample kept apart.
+obfuscated spellings.  The trees are fitted on histograms, the calibration by pooling adjacent violators.
 
-The fit sees at most PER_CLASS labelled documents of each class; the lexicon is counted in Spark over that sample and
-holds at most LEXICON entries.  Scoring reads every document where it lies, without a shuffle.  A null text is empty;
-repeated rows each get a row; unusable labels are ignored; with labels of one class every score is its share.
+No label is used twice: the sample is cut by a hash into two folds and a part for calibration.  The trees see each fold's
+texts through a lexicon learned from the other fold; the calibration part and all documents are seen through a lexicon
+learned from both folds.
+
+The fit sees at most PER_CLASS labelled documents of each class; lexicons are counted in Spark over that sample and hold
+at most LEXICON entries.  Scoring reads every document where it lies, without a shuffle.  A null text is empty; repeated
+rows each get a row; unusable labels are ignored; with labels of one class every score is its share.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlab.llm.common import table, text_of
-from strandlab.llm.ngrams import PER_CLASS, class_weights, held_out, labelled_sample, sample_features, score_texts
+from strandlab.llm.ngrams import PER_CLASS, class_weights, held_out, labelled_sample, sample_features, sampled_texts, score_texts
 
 #: Common English insults, and pronouns of the second person in the corpus's languages.
 INSULTS = frozenset("idiot idiots moron morons stupid dumb loser losers pathetic scum trash garbage worthless disgusting clown fool imbecile dimwit vermin filth creep jerk retard bastard bitch asshole fuck fucking shit damn hate kill die".split())
@@ -32,21 +35,23 @@ LEXICON = 3000
 PREFIXES = (4, 5, 6)
 LEAST_DOCS = 6
 NEAR = 6
+#: Of APART parts of the sample, FOLD belong to each fold and the others to the calibration.
+APART, FOLD = 10, 4
 _TOKEN = re.compile(r"[^\W_]+(?:[@$!*.'’_-]+[^\W_]+)*|[!?]+")
 _UPPER = bytes([*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)])
 _ODD = re.compile(r"[^\W\d_](?:[@$!*0-9._-])+[^\W\d_]")
 
 
-def learn_lexicon(docs: DataFrame, sample: DataFrame) -> dict[str, float]:
-    """word, or beginning + "*" -> log odds, of at most LEXICON tokens that mark toxic documents of the sample."""
+def learn_lexicon(texts: DataFrame, least: int = LEAST_DOCS) -> dict[str, float]:
+    """word, or beginning + "*" -> log odds, of at most LEXICON tokens that mark toxic texts (y, text) of the sample."""
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= 3))
     starts = [F.transform(F.filter("words", lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in PREFIXES]
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id").select("y", words.alias("words"))
+    rows = texts.select("y", words.alias("words"))
     tokens = rows.select("y", F.explode(F.array_distinct(F.concat("words", *starts))).alias("token"))
     total = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows at most
     n1, n0 = total.get(1, 0) + 1, total.get(0, 0) + 1
     odds = F.log((F.col("t") + 0.5) / n1) - F.log((F.col("c") + 0.5) / n0)
-    counted = tokens.groupBy("token").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")).where(F.col("t") >= LEAST_DOCS).withColumn("odds", odds).where("odds > 2.5")
+    counted = tokens.groupBy("token").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c")).where(F.col("t") >= least).withColumn("odds", odds).where("odds > 2.5")
     best = counted.orderBy(F.desc(F.col("odds") * F.sqrt("t")), "token").limit(LEXICON)
     return {r["token"]: round(float(r["odds"]), 6) for r in best.collect()}
 
@@ -167,35 +172,31 @@ class Boosted:
 
 
 def isotonic(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots (score, probability) of the weighted monotone fit; each block also counts one pseudo row at 0.5's side of
-    its prior so that no probability is exactly 0 or 1."""
-    order = np.argsort(score, kind="stable")
+    """Knots (score, probability) of the weighted monotone fit; each block also counts a fifth of a row, half of it of
+    class 1, so that no probability is exactly 0 or 1.  Equal scores are one point before anything is pooled."""
+    kinds, at = np.unique(score, return_inverse=True)
+    mass, hit = np.bincount(at, weights=weight), np.bincount(at, weights=weight * y)
     blocks: list[list[float]] = []  # weight, weighted y, lowest and highest score
-    for s, t, w in zip(score[order], y[order], weight[order], strict=True):
-        if blocks and blocks[-1][3] == s:
-            b = blocks[-1]
-            b[0], b[1] = b[0] + w, b[1] + w * t
-        else:
-            blocks.append([w, w * t, s, s])
-        while len(blocks) > 1 and blocks[-2][1] / blocks[-2][0] >= blocks[-1][1] / blocks[-1][0]:
+    for s, m, t in zip(kinds.tolist(), mass.tolist(), hit.tolist(), strict=True):
+        blocks.append([m, t, s, s])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
             last = blocks.pop()
             b = blocks[-1]
             b[0], b[1], b[3] = b[0] + last[0], b[1] + last[1], last[3]
     p = [(b[1] + 0.1) / (b[0] + 0.2) for b in blocks]
-    at = [x for b in blocks for x in ((b[2], b[3]) if b[3] > b[2] else (b[2],))]
+    knots = [x for b in blocks for x in ((b[2], b[3]) if b[3] > b[2] else (b[2],))]
     value = [q for b, q in zip(blocks, p, strict=True) for _ in ((0, 1) if b[3] > b[2] else (0,))]
-    return np.array(at), np.maximum.accumulate(np.array(value))
+    return np.array(knots), np.maximum.accumulate(np.array(value))
 
 
-def fit_toxicity(features: Features, x: np.ndarray, y: np.ndarray, counts: dict[int, int]):
-    """score(texts) -> probabilities of class 1."""
+def fit_toxicity(features: Features, x: np.ndarray, y: np.ndarray, apart: np.ndarray, counts: dict[int, int]):
+    """score(texts) -> probabilities of class 1; apart: the rows for the calibration."""
     if len(set(y.tolist())) < 2:
         share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
         return lambda texts: [share] * len(texts)
     weight = class_weights(y, counts)
-    apart = np.arange(len(y)) % 4 == 3
-    if len(set(y[apart].tolist())) < 2:
-        apart[:] = False
+    if len(set(y[apart].tolist())) < 2 or len(set(y[~apart].tolist())) < 2:
+        apart = np.zeros(len(y), dtype=bool)
     train = ~apart
     trees = Boosted(x[train], y[train], weight[train])
     use = apart if apart.any() else train
@@ -210,9 +211,18 @@ def fit_toxicity(features: Features, x: np.ndarray, y: np.ndarray, counts: dict[
 def toxic_scores(docs: DataFrame, labels: DataFrame, label: str, train_on, per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, score (probability of label 1) of every document."""
     sample, counts = labelled_sample(labels, label, train_on, per_class)
-    features = Features(learn_lexicon(docs, sample))
-    x, y = sample_features(docs, sample, features, np.float64)
-    return score_texts(docs, fit_toxicity(features, np.array(x), y, counts))
+    texts = sampled_texts(docs, sample).withColumn("part", F.pmod("h", F.lit(APART)))
+    fold = {0: F.col("part") < FOLD, 1: F.col("part").between(FOLD, 2 * FOLD - 1)}
+    rest = F.col("part") >= 2 * FOLD
+    final = Features(learn_lexicon(texts.where(~rest)))
+    found = [(0, *sample_features(texts.where(fold[k]), Features(learn_lexicon(texts.where(fold[1 - k]), LEAST_DOCS // 2)), np.float64)) for k in fold]
+    found.append((1, *sample_features(texts.where(rest), final, np.float64)))
+    x = [v for _, rows, _, _ in found for v in rows]
+    y, h = (np.concatenate([f[i] for f in found]) for i in (2, 3))
+    apart = np.concatenate([np.full(len(f[2]), bool(f[0])) for f in found])
+    order = np.lexsort((h, apart))
+    width = len(final(""))
+    return score_texts(docs, fit_toxicity(final, np.array(x, dtype=np.float64).reshape(-1, width)[order], y[order], apart[order], counts))
 
 
 def toxicity(spark, sf_dir: str) -> DataFrame:
