@@ -50,6 +50,13 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+def temporary(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one, deleted at the end of the application."""
+    path = f"{shared_root(spark)}/strandlab-{label}-{uuid.uuid4().hex}"
+    _STAGED.append((spark, path))
+    return path
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write df once as Parquet into the shared folder and return the written table.
 
@@ -57,9 +64,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     The table lives until discard() or the end of the application.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/strandlab-{label}-{uuid.uuid4().hex}"
+    path = temporary(spark, label)
     df.write.parquet(path)
-    _STAGED.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._strandlab_path = path  # noqa: SLF001
     return out

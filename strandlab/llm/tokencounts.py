@@ -2,10 +2,14 @@
 
 A change batch is a table of signed rows (source, lang, tokenizer, tokens, sign): an insert is +1, a delete is -1 and a
 revised count is the old row at -1 and the new one at +1.  A commit adds the batch up by source, language and tokenizer
-version (partial sums before the shuffle, so a hot source costs one row a task) and writes these few totals under its
-batch id.  The rollup is the sum over all committed batches, so commits are additive, may come in any order, and are
-idempotent: a batch id that is there already is left alone.  A batch becomes visible by renaming its finished folder
-into place, so a commit that died half way leaves nothing behind that counts.  compact() merges batches into a snapshot.
+version (partial sums before the shuffle, so a hot source costs one row a task), writes these few totals into a folder of
+its own, and then creates a marker file named after the batch id that says which folder it is.  The rollup is the sum
+over the folders of all markers, so commits are additive, may come in any order, and are idempotent: creating a marker
+that is there already fails, on file systems whose create without overwrite is atomic (HDFS; object stores with
+conditional writes), also when two writers send the same batch at once.  A commit that died before its marker leaves
+nothing that counts.  compact() merges batches into a snapshot with a marker of its own that lists the ids it holds, so
+that a batch that is sent again later is still known.  What comes to the driver is one row a batch since the last
+compaction.
 
 Defined results: null sources and languages are groups of their own; a null text has no tokens; repeated rows count as
 often as they come; an empty batch commits empty totals; totals that have gone back to no documents are not shown.
@@ -15,12 +19,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlab.llm.common import bounded_batches, shared_root, staged, table, text_of
+from strandlab.llm.common import bounded_batches, staged, table, temporary, text_of
 from strandlab.llm.mixing import n_words
 from strandlab.llm.packing import default_vocabulary, token_encoder
 
@@ -75,35 +81,65 @@ class Rollup:
 
     def _names(self, kind: str) -> list[str]:
         names = [x.getPath().getName() for x in self.fs.listStatus(self._at(""))]
-        return sorted(n.removeprefix(f"{kind}=") for n in names if n.startswith(f"{kind}="))
-
-    def _snapshot(self) -> tuple[str | None, set[str]]:
-        """The newest snapshot and the ids of the batches that it holds (one row a commit)."""
-        name = max(self._names("snapshot"), default=None)
-        return name, {r["batch"] for r in self.spark.read.parquet(f"{self.path}/snapshot={name}/covers").collect()} if name else set()
-
-    def batches(self) -> list[str]:
-        """Ids of all committed batches."""
-        return sorted(self._snapshot()[1] | set(self._names("batch")))
-
-    def _place(self, draft: str, name: str) -> bool:
-        if not self.fs.exists(self._at(name)) and self.fs.rename(self._at(draft), self._at(name)):
-            return True
-        self.fs.delete(self._at(draft), True)
-        return False
+        return sorted(n for n in names if n.startswith(f"{kind}="))
+
+    def _mark(self, name: str, folder: str) -> bool:
+        """Create the marker; False if there is one."""
+        try:
+            out = self.fs.create(self._at(name), False)
+        except Py4JJavaError as e:
+            if self.fs.exists(self._at(name)):
+                return False
+            raise e
+        out.write(bytearray(folder.encode()))
+        out.close()
+        return True
+
+    def _folders(self, names: list[str]) -> dict[str, str]:
+        """marker -> folder; a marker whose writer hasn't finished (or died) yet counts as soon as it is whole."""
+        if not names:
+            return {}
+        rows = self.spark.read.text([f"{self.path}/{n}" for n in names], wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), "value").collect()
+        return {unquote(r["name"]): r["value"] for r in rows if r["value"].startswith("data-")}
+
+    def _snapshot(self) -> tuple[int, str | None]:
+        """Number and folder of the newest snapshot."""
+        found = self._folders(self._names("snapshot")[-1:])
+        return next(((int(n.removeprefix("snapshot=")), f) for n, f in found.items()), (0, None))
+
+    def _held(self, names: list[str], snapshot: str | None) -> set[str]:
+        """Which of the markers' batches the snapshot holds."""
+        if not names or not snapshot:
+            return set()
+        return {r["batch"] for r in self.spark.read.parquet(f"{self.path}/{snapshot}/covers").where(F.col("batch").isin(names)).collect()}
+
+    def has(self, batch: str) -> bool:
+        """Is the batch committed?"""
+        name = f"batch={quote(batch, safe='')}"
+        return self.fs.exists(self._at(name)) or bool(self._held([name], self._snapshot()[1]))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch of signed changes; False, without reading them, if the batch is there already."""
-        if batch in self.batches():
+        if self.has(batch):
             return False
-        draft = f"_draft-{uuid.uuid4().hex}"
+        folder = f"data-{uuid.uuid4().hex}"
         totals = changes.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("tokens")).cast("long").alias("n_tokens"))
-        totals.coalesce(1).write.parquet(f"{self.path}/{draft}")  # a few totals, summed up already
-        return self._place(draft, f"batch={batch}")
+        totals.coalesce(1).write.parquet(f"{self.path}/{folder}")  # a few totals, summed up already
+        if self._mark(f"batch={quote(batch, safe='')}", folder):
+            return True
+        self.fs.delete(self._at(folder), True)
+        return False
+
+    def _open(self) -> tuple[dict[str, str], int, str | None]:
+        """Markers (and folders) that the newest snapshot doesn't hold, its number and folder."""
+        last, snapshot = self._snapshot()
+        folders = self._folders(self._names("batch"))
+        held = self._held(list(folders), snapshot)
+        return {n: f for n, f in folders.items() if n not in held}, last, snapshot
 
     def totals(self) -> DataFrame:
-        snapshot, held = self._snapshot()
-        paths = [f"{self.path}/batch={n}" for n in self._names("batch") if n not in held] + [f"{self.path}/snapshot={snapshot}/totals"] * bool(snapshot)
+        folders, _, snapshot = self._open()
+        paths = [f"{self.path}/{f}" for f in folders.values()] + [f"{self.path}/{snapshot}/totals"] * bool(snapshot)
         if not paths:
             return self.spark.createDataFrame([], SCHEMA)
         rows = self.spark.read.schema(SCHEMA).parquet(*paths)
@@ -111,24 +147,30 @@ class Rollup:
 
     def compact(self) -> None:
         """Put all batches into a snapshot that also lists their ids, then delete them; a crash in between is harmless,
-        for a batch that a snapshot lists isn't read."""
-        names, last, draft = self.batches(), self._snapshot()[0], f"_draft-{uuid.uuid4().hex}"
-        if not self._names("batch"):
+        for a batch that a snapshot lists isn't read, and of two compactions at once one creates the marker."""
+        folders, last, snapshot = self._open()
+        if not folders:
             return
-        self.totals().coalesce(1).write.parquet(f"{self.path}/{draft}/totals")
-        self.spark.createDataFrame([(n,) for n in names], "batch string").coalesce(1).write.parquet(f"{self.path}/{draft}/covers")
-        if self._place(draft, f"snapshot={int(last or 0) + 1:012d}"):
-            for n in names:
-                self.fs.delete(self._at(f"batch={n}"), True)
+        folder = f"data-{uuid.uuid4().hex}"
+        self.totals().coalesce(1).write.parquet(f"{self.path}/{folder}/totals")
+        covers = self.spark.createDataFrame([(n,) for n in sorted(folders)], "batch string")
+        if snapshot:
+            covers = covers.unionByName(self.spark.read.parquet(f"{self.path}/{snapshot}/covers"))
+        covers.coalesce(1).write.parquet(f"{self.path}/{folder}/covers")
+        if self._mark(f"snapshot={last + 1:012d}", folder):
+            for name, data in folders.items():
+                self.fs.delete(self._at(name), False)
+                self.fs.delete(self._at(data), True)
+        else:
+            self.fs.delete(self._at(folder), True)
 
 
 def token_counts(spark, sf_dir: str) -> DataFrame:
     """op7: totals after three batches: every document inserted with its word count; every count revised by the byte
     BPE vocabulary; the documents labelled low quality deleted.  The second batch is sent twice."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    rollup = Rollup(spark, f"{shared_root(spark)}/strandlab-rollup-{uuid.uuid4().hex}")
-    counts = count_tokens(docs)
-    counts = staged(counts, "counts")
+    rollup = Rollup(spark, temporary(spark, "rollup"))
+    counts = staged(count_tokens(docs), "counts")
     rollup.commit("1", signed(count_words(docs), 1))
     for _ in range(2):
         rollup.commit("2", revised(count_words(docs), counts))
