@@ -43,11 +43,12 @@ GRAM = 3
 GAP = 2
 #: Share of a template's grams that a finding must cover.
 COVERAGE = 0.7
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: str) -> Column:
-    return F.array_remove(F.split(F.lower(F.col(text)), _BETWEEN), "")
+    return F.array_remove(F.split(F.translate(F.col(text), _UPPER, _UPPER.lower()), _BETWEEN), "")
 
 
 def with_grams(df: DataFrame, text: str) -> DataFrame:
@@ -75,7 +76,7 @@ def findings(docs: DataFrame, keys: list[str]) -> DataFrame:
     by = votes.groupBy(*group, (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.collect_set("tpos").alias("hit"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.first("label").alias("label"), F.first("total").alias("total"))
     along = Window.partitionBy(*group).orderBy("diagonal")
     far = F.when(F.col("diagonal") - F.lag("diagonal").over(along) <= GAP, 0).otherwise(1)
-    # neighbouring diagonals that also stand near each other in the text: a template that comes again is another group
+    # a group is a run of neighbouring diagonals, wherever they stand in the text; its span is verified below
     merged = by.withColumn("new", far).withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     spans = merged.groupBy(*group, "run").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.min("first").alias("first"), F.max("last").alias("last"), F.first("label").alias("label"), F.first("total").alias("total"))
     cover = (F.size("hit") / F.col("total")).cast("double")
