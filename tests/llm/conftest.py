@@ -1,41 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, row string, removed string, n_lines long, labels string, bucket int, next string, node long, _copy int"
-WORDS = "the quick brown fox jumps over a lazy dog while seven green birds sing songs about rivers and hills".split()
-
-
-def words(n: int, seed: int) -> str:
-    import random
-
-    r = random.Random(seed)
-    return " ".join(r.choice(WORDS) + str(r.randrange(60)) for _ in range(n))
-
-
-def rows() -> list[tuple]:
-    """Nulls in every column, empty and very long texts, ties, repeated rows, near copies; columns that clash."""
-    extra = (1, "r", "x", 2, "l", 3, "n", 4, 5)
-    long_ = words(60_000, 1)
-    passage = words(70, 2)
-    out = [
-        (1, words(120, 3), "en", "a"),
-        (2, words(40, 4) + "\n" + passage + "\nend of this", "en", "a"),
-        (3, words(50, 5) + "\n" + passage + "\nMIT License.\nsomething else", "de", "b"),
-        (4, words(120, 3).replace("fox", "cat", 1), None, "b"),
-        (5, words(120, 3), "en", None),
-        (6, "", "en", "a"),
-        (7, None, "en", None),
-        (8, " \n\t ", None, "c"),
-        (9, long_, "en", "c"),
-        (10, "one two", "en", "c"),
-        (10, "one two", "en", "c"),
-        (None, words(80, 6), "en", "a"),
-        (None, None, None, None),
-        (12, "Licensed under the Apache License, Version 2.0.", "en", "b"),
-        (13, "x" * 300_000, "en", "b"),
-        (14, "İstanbul \U0001f600 <|endoftext|> ﬁn e   漢字", "tr", "b"),
-        (15, "\n".join(["same line here"] * 2000), "en", "b"),
-    ]
-    return [(i, t, lang, s, None if t is None else len(t), *extra) for i, t, lang, s in out]
+from edge_rows import SCHEMA, rows
 
 
 @pytest.fixture(scope="session")
