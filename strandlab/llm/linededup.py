@@ -1,16 +1,17 @@
 """Line dedup by pairwise alignment.
 
-Lines are hashed (128 bits, after trimming blanks).  Documents overlap if they share a rare line (one that occurs at most
-RARE times) or a window: a shortest run of lines that reaches MIN_WORDS words, from a line onward or back.  Each pair of line sequences is aligned by patience diff; aligned runs of lines (blocks) with at least MIN_WORDS
-words are deleted from the later document.  Since a line is only ever deleted where an earlier document has it, its first
-copy always survives.
+Lines are hashed (128 bits, after trimming blanks).  Documents overlap if they share a rare line hash: that of a line, or
+of a shortest run of lines, that reaches MIN_WORDS words (a window, taken from each line onward and back).  Shorter lines
+by themselves are common, and can't be deleted without a window around them.  Each pair of line sequences is aligned by
+patience diff; aligned runs of lines (blocks) with at least MIN_WORDS words are deleted from the later document.  Since a
+line is only ever deleted where an earlier document has it, its first copy always survives.
 
 The result is that of aligning every document with every earlier one that shares a window with it, and so of aligning
 all pairs, for a block long enough to be deleted consists of windows that both documents have.  It is reached without
 all pairs:
 * Documents with the same lines are aligned once: the first one stands for all, and the others, if they have MIN_WORDS
   words, go as a whole, for they are one block of it.
-* First, each document is aligned with the first holder of each of its rare lines and windows: a linear number of pairs.
+* First, each document is aligned with the first holder of each of its windows: a linear number of pairs.
 * Then only windows that are still there are left (a passage that moved, or that the first holder has fewer times).
   They go to further holders, by intervals of a hash of the holder, in rounds that each try GROWTH times as many as the
   one before, until no window that is still there has an earlier holder that wasn't tried.  The work of these rounds is
@@ -39,8 +40,6 @@ from pyspark.sql import functions as F
 from strandlab.llm.common import bounded_batches, discard, staged, table, text_of
 
 MIN_WORDS = 20
-#: Occurrences of a rare line at most.  More frequent lines are found by the windows that they are in.
-RARE = 64
 #: Further holders of a window that the second round tries, and growth from round to round.
 GROWTH = 8
 #: Later documents that meet one copy of an earlier one, about.
@@ -165,17 +164,13 @@ def line_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return rows.mapInArrow(run, LINES)
 
 
-def overlapping(lines: DataFrame, rare: int = RARE) -> DataFrame:
-    """k1, k2, window (is the key a window?), n (occurrences), od, ot, d, t: every later holder of a rare line or window,
-    with the first holder."""
-    some = F.transform("words", lambda w: w > 0)
-    line = F.arrays_zip("k1", "k2", some.alias("some"), F.transform("k1", lambda k: F.lit(False)).alias("window"))
-    window = F.arrays_zip(F.col("w1").alias("k1"), F.col("w2").alias("k2"), F.transform("w1", lambda w: F.lit(True)).alias("some"), F.transform("w1", lambda w: F.lit(True)).alias("window"))
-    each = lines.select("d", "t", F.explode(F.concat(line, window)).alias("k")).where("k.some").select("k.k1", "k.k2", "k.window", "d", "t")
+def overlapping(lines: DataFrame) -> DataFrame:
+    """k1, k2, n (occurrences), od, ot, d, t: every later holder of a window, with the first holder."""
+    each = lines.select("d", "t", F.explode(F.arrays_zip(F.col("w1").alias("k1"), F.col("w2").alias("k2"))).alias("k")).select("k.k1", "k.k2", "d", "t")
     who = F.struct("d", "t")
-    shared = each.groupBy("k1", "k2", "window").agg(F.count("*").alias("n"), F.min(who).alias("first"), F.max(who).alias("last")).where((F.col("first") < F.col("last")) & (F.col("window") | (F.col("n") <= rare))).drop("last")
-    seen = each.join(shared.hint("merge"), ["k1", "k2", "window"]).where((F.col("first.d") < F.col("d")) | ((F.col("first.d") == F.col("d")) & (F.col("first.t") < F.col("t"))))
-    return seen.select("k1", "k2", "window", "n", F.col("first.d").alias("od"), F.col("first.t").alias("ot"), "d", "t")
+    shared = each.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(who).alias("first"), F.max(who).alias("last")).where(F.col("first") < F.col("last")).drop("last")
+    seen = each.join(shared.hint("merge"), ["k1", "k2"]).where((F.col("first.d") < F.col("d")) | ((F.col("first.d") == F.col("d")) & (F.col("first.t") < F.col("t"))))
+    return seen.select("k1", "k2", "n", F.col("first.d").alias("od"), F.col("first.t").alias("ot"), "d", "t").distinct()
 
 
 def align(lines: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
@@ -233,12 +228,15 @@ def still_there(lines: DataFrame, removed: DataFrame) -> DataFrame:
     return rows.select("d", "t", "n", "w1", "w2", "begin", "end", "removed").mapInArrow(run, "k1 long, k2 long, d long, t long")
 
 
-def aligned(lines: DataFrame, min_words: int, rare: int) -> DataFrame:
+def aligned(lines: DataFrame, min_words: int) -> DataFrame:
     """(d, t, removed): the deleted lines of documents with different lines, after all rounds."""
-    seen = staged(overlapping(lines, rare), "seen")
-    removed = staged(_together(align(lines, seen.select("od", "ot", "d", "t").distinct(), min_words)), "removed")
+    seen = staged(overlapping(lines), "seen")
     who, key = ["d", "t"], ["k1", "k2"]
-    held = seen.where("window").select(*key, "n", *who).distinct()
+    # only documents that share a window take part from here on
+    involved = seen.select(*who).unionByName(seen.select(F.col("od").alias("d"), F.col("ot").alias("t"))).distinct()
+    lines = staged(lines.join(involved.hint("merge"), who, "left_semi"), "involved")
+    removed = staged(_together(align(lines, seen.select("od", "ot", "d", "t").distinct(), min_words)), "removed")
+    held = seen.select(*key, "n", *who)
     met = held
     place = F.shiftrightunsigned(F.xxhash64("od", "ot"), 1) / float(1 << 63)  # of a holder, 0 to 1
     low, high = 0, GROWTH
@@ -247,7 +245,7 @@ def aligned(lines: DataFrame, min_words: int, rare: int) -> DataFrame:
         left = staged(met.join(still_there(mine, removed).hint("merge"), [*key, *who], "left_semi"), "left")
         more = left.where(F.col("n") > low)  # all holders of a window of n or fewer occurrences are tried
         if more.isEmpty():
-            discard(seen, left)
+            discard(seen, left, lines)
             return removed
         holder = held.join(more.select(*key).distinct().hint("merge"), key, "left_semi").select(*key, F.col("d").alias("od"), F.col("t").alias("ot"))
         tried = more.join(holder.hint("merge"), key).where((place * F.col("n") >= low) & (place * F.col("n") < high)).where("od < d or (od = d and ot < t)")
@@ -257,16 +255,17 @@ def aligned(lines: DataFrame, min_words: int, rare: int) -> DataFrame:
         met, low, high = more, high, high * GROWTH
 
 
-def dedup_rows(docs: DataFrame, *, min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
+def dedup_rows(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     """row (all columns of docs), text (reduced), n_lines, n_removed, removed (numbers of the deleted lines, from 0; null
     if none)."""
-    every = staged(line_table(docs, min_words).dropDuplicates(["d", "t"]), "lines")
-    heads = every.groupBy("s1", "s2").agg(F.min(F.struct("d", "t")).alias("head"), F.count("*").alias("n"))
-    copies = every.select("d", "t", "s1", "s2", "total", F.size("words").alias("size")).join(heads.where("n > 1").hint("merge"), ["s1", "s2"]).where((F.col("d") != F.col("head.d")) | (F.col("t") != F.col("head.t")))
-    copies = staged(copies.select("d", "t", "total", "size"), "copies")
-    lines = staged(every.join(copies.select("d", "t").hint("merge"), ["d", "t"], "left_anti").drop("s1", "s2", "total"), "heads")
-    whole = copies.where(F.col("total") >= min_words).select("d", "t", F.sequence(F.lit(0), F.col("size") - 1).alias("removed"))
-    gone = aligned(lines, min_words, rare).unionByName(whole)
+    every = staged(line_table(docs, min_words), "lines")
+    whole = [c for c in every.columns if c not in ("d", "t", "s1", "s2")]
+    heads = every.groupBy("s1", "s2").agg(F.min(F.struct("d", "t")).alias("head"), *(F.first(c).alias(c) for c in whole))  # equal lines: equal columns
+    heads = staged(heads.select("s1", "s2", "head.*", *whole), "heads")
+    first = heads.where(F.col("total") >= min_words).select("s1", "s2", F.struct("d", "t").alias("head"), F.size("words").alias("size"))
+    copies = every.select("d", "t", "s1", "s2").join(first.hint("merge"), ["s1", "s2"]).where((F.col("d") != F.col("head.d")) | (F.col("t") != F.col("head.t")))
+    copies = copies.select("d", "t", F.sequence(F.lit(0), F.col("size") - 1).alias("removed")).dropDuplicates(["d", "t"])
+    gone = aligned(heads.drop("s1", "s2", "total"), min_words).unionByName(copies)
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64(text_of()).alias("t"), F.split("text", "\n", -1).alias("lines"))
     rows = rows.join(gone.hint("merge"), ["d", "t"], "left")
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed"), lambda i: F.get("lines", i))

@@ -142,7 +142,7 @@ def test_line_dedup_passage_in_many(spark):
 
 
 def test_line_dedup_passage_whose_lines_were_elsewhere_first(spark):
-    """Passages of several short lines in more documents than RARE; each line has another first holder."""
+    """Passages of several short lines in many documents; each line has another first holder."""
     from strandlab.llm.linededup import dedup_lines
 
     part = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
