@@ -1,15 +1,21 @@
-"""Infinite (HDP) hidden Markov models by beam sampling.
+"""Infinite (HDP) hidden Markov models by beam sampling, one or a bag of them.
 
-An iteration counts transitions and emissions in Spark, resamples the model on the driver (at most MOST states, so at most
-MOST squared numbers), ships it to the tasks and resamples every sequence's labels there.  Randomness is a function of
-(seed, iteration, sequence), so results don't depend on the partitioning, and nothing but (seed, iteration) has to be
-stored to go on.  Labels are written to the shared folder after each iteration.
+An iteration counts transitions and emissions in Spark, resamples the models on the driver (at most MOST states each, so
+at most MOST squared numbers), ships them to the tasks and resamples every sequence's labels there.  Randomness is a
+function of (seed, iteration, model, sequence), so results don't depend on the partitioning.  Labels are written to the
+shared folder after each iteration; labels, weights, base weights and concentrations of an iteration are all that a later
+run needs to go on (sources.models.checkpoint).
 
-States: 0 start, 1 end, 2 .. labelled; the last entry of every row is the mass of states that don't exist yet.
+Competitive training: after every INNER iterations each sequence is scored under all finite models; its weight in a
+model's counts is 1 + models x the model's share of its (tempered) posterior.
+
+The working table is long: model, seq_id, codes, labels, weight.  States: 0 start, 1 end, 2 .. labelled; the last entry of
+every row is the mass of states that don't exist yet.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlab.functions.sequences import uniform
-from strandlab.operators.markov import Model, from_counts, posterior_path
+from strandlab.operators import information as I
+from strandlab.operators.markov import Model, forward, from_counts, posterior_path
 from strandlab.session import for_python, written
 
 #: Limits, priors of the concentrations (shape, scale) and of emissions.
@@ -27,6 +34,10 @@ MOST = 1000
 ALPHA_PRIOR, GAMMA_PRIOR = (6.0, 1 / 15), (16.0, 1 / 4)
 EMISSION_PRIOR = 0.3
 HYPER_STEPS = 20
+#: Terms of a table count that are drawn one by one; the sum of the further ones, of small probabilities, is a Poisson draw.
+EXACT_TERMS = 10_000
+#: Iterations between two updates of the sequences' weights.
+INNER = 10
 START, END = 0, 1
 
 
@@ -80,15 +91,25 @@ def initial_states(mean_length: float, seed: int) -> int:
     return int(np.clip(round(np.random.default_rng(seed).normal(round(mean_length**0.5), 1)), 10, MOST - 2))
 
 
-def counted(labels: DataFrame, letters: int, states: int) -> tuple[np.ndarray, np.ndarray]:
-    """Transition (with start and end) and emission counts; sums are taken in Spark."""
+def counted(labels: DataFrame, letters: int, states: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Weighted transition (with start and end) and emission counts of each model; sums are taken in Spark."""
     arrows = F.transform(F.arrays_zip(F.concat(F.array(F.lit(START)), "labels").alias("f"), F.concat("labels", F.array(F.lit(END))).alias("t")), lambda x: F.struct(F.lit(0).alias("kind"), x["f"].cast("int").alias("a"), x["t"].cast("int").alias("b")))
     spots = F.transform(F.arrays_zip(F.col("labels").alias("s"), F.col("codes").alias("c")), lambda x: F.struct(F.lit(1).alias("kind"), x["s"].cast("int").alias("a"), x["c"].cast("int").alias("b")))
-    rows = labels.where(F.size("labels") > 0).select(F.explode(F.concat(arrows, spots)).alias("x")).groupBy("x.kind", "x.a", "x.b").agg(F.count("*").alias("n")).toPandas()
-    t, e = np.zeros((states, states)), np.zeros((states, letters))
-    for kind, a, b, n in rows.itertuples(index=False):
-        (e if kind else t)[a, b] = n
-    return t, e
+    rows = labels.where(F.size("labels") > 0).select("model", "weight", F.explode(F.concat(arrows, spots)).alias("x"))
+    rows = rows.groupBy("model", "x.kind", "x.a", "x.b", "weight").agg(F.count("*").alias("n")).groupBy("model", "kind", "a", "b").agg(F.sum(F.round(F.col("weight") * F.col("n"), 6).cast("decimal(38,6)")).cast("double").alias("n"))  # the same sum in any order
+    out = [(np.zeros((k, k)), np.zeros((k, letters))) for k in states]
+    for m, kind, a, b, n in rows.toPandas().itertuples(index=False):
+        out[m][kind][a, b] = n
+    return out
+
+
+def table_count(n: int, mass: float, rng: np.random.Generator) -> int:
+    """How many of n customers open a table: one draw of probability mass / (mass + c) for each c below n."""
+    few = min(n, EXACT_TERMS)
+    tables = int((rng.random(few) < mass / (mass + np.arange(few))).sum())
+    if n > few:
+        tables += int(rng.poisson(mass * math.log((mass + n) / (mass + few))))
+    return max(1, tables)
 
 
 def sample_hyper(t: np.ndarray, s: State, rng: np.random.Generator) -> State:
@@ -97,9 +118,7 @@ def sample_hyper(t: np.ndarray, s: State, rng: np.random.Generator) -> State:
     tables = np.zeros_like(t)
     for (i, j), n in np.ndenumerate(t):
         if n:
-            c = np.arange(int(n))
-            mass = s.alpha * s.beta[j]
-            tables[i, j] = max(1, int((rng.random(int(n)) < mass / (mass + c)).sum()))
+            tables[i, j] = table_count(max(1, round(n)), s.alpha * s.beta[j], rng)
     m = tables.sum(axis=0)
     beta = np.append(rng.gamma(np.maximum(m, 1e-9)), rng.gamma(s.gamma))
     beta[START] = 0
@@ -150,22 +169,38 @@ def expand(trans: np.ndarray, emit: np.ndarray, s: State, background: np.ndarray
     return trans, emit, State(beta, s.alpha, s.gamma, s.iteration)
 
 
-def slices(trans: np.ndarray, labels: np.ndarray, seed: int, iteration: int, seq_id: int) -> np.ndarray:
+def generator(seed: int, iteration: int, model: int, seq_id: int, *more: int) -> np.random.Generator:
+    return np.random.default_rng([seed, iteration, model, int(seq_id) & 0xFFFFFFFFFFFFFFFF, *more])
+
+
+def slices(trans: np.ndarray, labels: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """u[i] uniform below the transition into position i; the last is for the step to the end."""
     path = np.concatenate([[START], labels, [END]])
-    rng = np.random.default_rng([seed, iteration, int(seq_id) & 0xFFFFFFFF])
     return rng.random(len(path) - 1) * trans[path[:-1], path[1:]]
 
 
-def resample(trans: np.ndarray, emit: np.ndarray, codes: np.ndarray, u: np.ndarray, rng: np.random.Generator) -> np.ndarray | None:
-    """New labels: forward over transitions above the slices, then sampling backwards; None without a path."""
+def falling(trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Transitions between states that exist, by falling probability: minus the probability, from, to."""
+    t = trans[:, : len(trans)]
+    a, b = np.nonzero(t)
+    order = np.argsort(-t[a, b], kind="stable")
+    return -t[a, b][order], a[order], b[order]
+
+
+def resample(trans: np.ndarray, emit: np.ndarray, codes: np.ndarray, u: np.ndarray, rng: np.random.Generator, sorted_: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray | None:
+    """New labels: forward over transitions above the slices, then sampling backwards; None without a path.
+
+    A step touches only the transitions above its slice, a prefix of the falling ones."""
     n, k = len(codes), len(trans)
     t = trans[:, :k]
+    low, source, target = sorted_ or falling(trans)
+    above = np.searchsorted(low, -u)
     f = np.zeros((n, k))
     f[0] = (t[START] > u[0]) * emit[:, codes[0]]
     for i in range(n):
         if i:
-            f[i] = (f[i - 1] @ (t > u[i])) * emit[:, codes[i]]
+            m = above[i]
+            f[i] = np.bincount(target[:m], weights=f[i - 1][source[:m]], minlength=k) * emit[:, codes[i]]
         total = f[i].sum()
         if not total:
             return None
@@ -182,66 +217,157 @@ def resample(trans: np.ndarray, emit: np.ndarray, codes: np.ndarray, u: np.ndarr
     return out
 
 
-def _smallest_slice(labels: DataFrame, trans: np.ndarray, seed: int, iteration: int) -> float:
+def _smallest_slices(labels: DataFrame, trans: list[np.ndarray], seed: int, iteration: int) -> list[float]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        low = 1.0
+        low = [1.0] * len(trans)
         for pdf in batches:
-            for i, l in zip(pdf["seq_id"], pdf["labels"], strict=True):
+            for m, i, l in zip(pdf["model"], pdf["seq_id"], pdf["labels"], strict=True):
                 if len(l):
-                    low = min(low, float(slices(trans, np.asarray(l, dtype=np.int64), seed, iteration, i).min()))
-        yield pd.DataFrame({"u": [low]})
+                    low[m] = min(low[m], float(slices(trans[m], np.asarray(l, dtype=np.int64), generator(seed, iteration, m, i)).min()))
+        yield pd.DataFrame({"model": range(len(trans)), "u": low})
+
+    found = labels.select("model", "seq_id", "labels").mapInPandas(run, "model int, u double").groupBy("model").agg(F.min("u").alias("u")).collect()  # one row a model
+    least = {r["model"]: r["u"] for r in found}
+    return [float(least.get(m, 1.0) or 1.0) for m in range(len(trans))]
 
-    return float(labels.select("seq_id", "labels").mapInPandas(run, "u double").agg(F.min("u")).first()[0] or 1.0)
 
+COLUMNS = "model int, seq_id long, codes array<int>, labels array<int>, weight double"
 
-def _resampled(labels: DataFrame, trans: np.ndarray, emit: np.ndarray, seed: int, iteration: int) -> DataFrame:
+
+def _resampled(labels: DataFrame, trans: list[np.ndarray], emit: list[np.ndarray], seed: int, iteration: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        order = [falling(t) for t in trans]
         for pdf in batches:
             new = []
-            for i, c, l in zip(pdf["seq_id"], pdf["codes"], pdf["labels"], strict=True):
+            for m, i, c, l in zip(pdf["model"], pdf["seq_id"], pdf["codes"], pdf["labels"], strict=True):
                 old = np.asarray(l, dtype=np.int64)
                 if len(old):
-                    rng = np.random.default_rng([seed, iteration, int(i) & 0xFFFFFFFF, 1])
-                    got = resample(trans, emit, np.asarray(c, dtype=np.int64), slices(trans, old, seed, iteration, i), rng)
+                    u = slices(trans[m], old, generator(seed, iteration, m, i))
+                    got = resample(trans[m], emit[m], np.asarray(c, dtype=np.int64), u, generator(seed, iteration, m, i, 1), order[m])
                     old = old if got is None else got
                 new.append(old.tolist())
-            yield pd.DataFrame({"seq_id": pdf["seq_id"], "codes": pdf["codes"], "labels": new})
+            yield pd.DataFrame({"model": pdf["model"], "seq_id": pdf["seq_id"], "codes": pdf["codes"], "labels": new, "weight": pdf["weight"]})
+
+    return labels.select("model", "seq_id", "codes", "labels", "weight").mapInPandas(run, COLUMNS)
+
+
+def relabelled(labels: DataFrame, states: list[State | None]) -> tuple[DataFrame, list[int], list[State | None]]:
+    """Labels of each model numbered densely from 2; the base weight of states that nobody uses goes to the new mass."""
+    found: list[list[int]] = [[] for _ in states]
+    for r in labels.select("model", F.explode("labels").alias("l")).distinct().collect():  # at most MOST a model
+        found[r["model"]].append(r["l"])
+    found = [sorted(x) for x in found]
+    wide = 1 << 12
+    place = {m * wide + old: i + 2 for m, used in enumerate(found) for i, old in enumerate(used)}
+    if any(k % wide != v for k, v in place.items()):
+        lookup = F.create_map(*(F.lit(x) for kv in place.items() for x in kv))
+        labels = labels.withColumn("labels", F.transform("labels", lambda l: lookup[F.col("model") * wide + l]))
+    out = []
+    for used, s in zip(found, states, strict=True):
+        if s is not None:
+            kept = [START, END, *used]
+            s = State(np.append(s.beta[kept], max(1 - s.beta[kept].sum(), 1e-9)), s.alpha, s.gamma, s.iteration)
+        out.append(s)
+    return labels, [len(x) + 2 for x in found], out
+
+
+def weighted(labels: DataFrame, models: list[Model], outer: int) -> DataFrame:
+    """labels with the weights of outer iteration outer: each row is scored under its own model, then the rows of a
+    sequence (one a model) are compared."""
 
-    return labels.mapInPandas(run, "seq_id long, codes array<int>, labels array<int>")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf.reset_index(drop=True)
+            score = np.zeros(len(pdf))
+            for m, rows in pdf.groupby("model").groups.items():
+                got = forward(models[m], [np.asarray(c, dtype=np.int64) for c in pdf.loc[rows, "codes"]])
+                score[rows] = np.where(np.isfinite(got), got, 0.0)
+            yield pdf.assign(score=score)
 
+    scored = labels.drop("weight").select("model", "seq_id", "codes", "labels").mapInPandas(run, "model int, seq_id long, codes array<int>, labels array<int>, score double")
+    out = I.competitive_weights(scored, "seq_id", "score", len(models), I.temperature(outer))
+    return out.select("model", "seq_id", "codes", "labels", F.round("weight", 6).alias("weight"))
 
-def relabelled(labels: DataFrame, s: State | None) -> tuple[DataFrame, int, State | None]:
-    """Labels numbered densely from 2; the base weight of states that nobody uses goes to the new mass."""
-    used = sorted(r[0] for r in labels.select(F.explode("labels").alias("l")).distinct().collect())  # at most MOST
-    place = {old: i + 2 for i, old in enumerate(used)}
-    lookup = F.create_map(*(F.lit(x) for kv in place.items() for x in kv)) if place else F.create_map()
-    out = labels.select("seq_id", "codes", F.transform("labels", lambda l: lookup[l]).alias("labels")) if any(k != v for k, v in place.items()) else labels
-    if s is not None:
-        kept = [START, END, *used]
-        s = State(np.append(s.beta[kept], max(1 - s.beta[kept].sum(), 1e-9)), s.alpha, s.gamma, s.iteration)
-    return out, len(used) + 2, s
 
+@dataclass
+class Bag:
+    """A training run: the long table of labels, and the sampler's state of each model."""
 
-def train(seqs: DataFrame, letters: int, iterations: int, seed: int = 3, states: int | None = None, competitive: bool = False) -> tuple[DataFrame, State, Model]:
-    """Labels, sampler state and finite model after so many iterations on a table (seq_id long, codes array<int>)."""
+    labels: DataFrame
+    states: list[State | None]
+    seed: int
+    letters: int
+    iteration: int = 0
+    competitive: bool = False
+    inner: int = INNER
+
+    def finite(self) -> list[Model]:
+        """The finite models of the present labels."""
+        labels, k, _ = relabelled(self.labels, self.states)
+        models = []
+        for t, e in counted(labels, self.letters, k):
+            models.append(from_counts(t[2:, 2:], e[2:], np.maximum(e.sum(axis=0), 1e-9) / max(e.sum(), 1e-9), EMISSION_PRIOR))
+        return models
+
+    def run(self, iterations: int) -> Bag:
+        """So many further iterations."""
+        for _ in range(iterations):
+            self._iterate()
+        return self
+
+    def _iterate(self) -> None:
+        it = self.iteration
+        labels, k, states = relabelled(self.labels, self.states)
+        trans, emit, now = [], [], []
+        for m, (t, e) in enumerate(counted(labels, self.letters, k)):
+            rng = np.random.default_rng([self.seed, it, m])
+            s = states[m] or State(np.append(np.r_[0.0, np.ones(k[m] - 1)], 1.0) / k[m], 1.0, 4.0)
+            s = sample_hyper(t, s, rng)
+            a, b = sample_model(t, e, s, rng)
+            trans.append(a)
+            emit.append(b)
+            now.append((s, e.sum(axis=0) / max(e.sum(), 1), rng))
+        least = _smallest_slices(labels, trans, self.seed, it)
+        for m, (s, background, rng) in enumerate(now):
+            trans[m], emit[m], s = expand(trans[m], emit[m], s, background, least[m], rng)
+            s.iteration = it + 1
+            now[m] = s
+        self.labels, self.states, self.iteration = written(_resampled(labels, trans, emit, self.seed, it), f"labels{it}"), now, it + 1
+        if self.competitive and len(now) > 1 and self.iteration % self.inner == 0:
+            self.labels = written(weighted(self.labels, self.finite(), self.iteration // self.inner - 1), f"weights{it}")
+
+
+def start(seqs: DataFrame, letters: int, seed: int = 3, states: int | None = None, models: int = 1, competitive: bool = False, inner: int = INNER) -> Bag:
+    """A run on a table (seq_id long, codes array<int>) before its first iteration; each model starts from its own labels."""
     for_python(seqs.sparkSession)
     if states is None:
         states = initial_states(float(seqs.agg(F.avg(F.size("codes"))).first()[0] or 0), seed)
-    labels = written(initial_labels(seqs, states, seed), "labels")
-    background = np.ones(letters) / letters
-    s: State | None = None
-    for it in range(iterations):
-        rng = np.random.default_rng([seed, it])
-        labels, k, s = relabelled(labels, s)
-        if s is None:
-            s = State(np.append(np.r_[0.0, np.ones(k - 1)], 1.0) / k, 1.0, 4.0)
-        t, e = counted(labels, letters, k)
-        background = e.sum(axis=0) / max(e.sum(), 1)
-        s = sample_hyper(t, s, rng)
-        trans, emit = sample_model(t, e, s, rng)
-        trans, emit, s = expand(trans, emit, s, background, _smallest_slice(labels, trans, seed, it), rng)
-        s.iteration = it + 1
-        labels = written(_resampled(labels, trans, emit, seed, it), f"labels{it}")
-    labels, k, s = relabelled(labels, s)
-    t, e = counted(labels, letters, k)
-    return labels, s, from_counts(t[2:, 2:], e[2:], np.maximum(e.sum(axis=0), 1e-9) / max(e.sum(), 1e-9), EMISSION_PRIOR)
+    one = lambda m: initial_labels(seqs, states, seed + m).select(F.lit(m).alias("model"), "seq_id", "codes", "labels", F.lit(1.0).alias("weight"))
+    rows = one(0)
+    for m in range(1, models):
+        rows = rows.unionByName(one(m))
+    return Bag(written(rows, "labels"), [None] * models, seed, letters, competitive=competitive, inner=inner)
+
+
+def best(bag: Bag) -> int:
+    """The model of the smallest BIC over the summed log-odds of all sequences, each under each model."""
+    models = bag.finite()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = [np.asarray(c, dtype=np.int64) for c in pdf["codes"]]
+            for m, rows in pdf.reset_index(drop=True).groupby("model").groups.items():
+                got = forward(models[m], [x[i] for i in rows])
+                yield pd.DataFrame({"model": [m], "score": [float(got[np.isfinite(got)].sum())], "letters": [sum(len(x[i]) for i in rows)]})
+
+    rows = bag.labels.select("model", "codes").mapInPandas(run, "model int, score double, letters long").groupBy("model").agg(F.sum("score").alias("score"), F.sum("letters").alias("letters")).collect()  # one row a model
+    free = lambda m: m.states * (m.states - 1) + m.states * (m.emission.shape[1] - 1)
+    return min((-2 * r["score"] + free(models[r["model"]]) * math.log(max(r["letters"], 1)), r["model"]) for r in rows)[1]
+
+
+def train(seqs: DataFrame, letters: int, iterations: int, seed: int = 3, states: int | None = None) -> tuple[DataFrame, State, Model]:
+    """Labels, sampler state and finite model of one model after so many iterations."""
+    bag = start(seqs, letters, seed, states).run(iterations)
+    model = bag.finite()[0]
+    labels, _, states_ = relabelled(bag.labels, bag.states)
+    return labels.select("seq_id", "codes", "labels"), states_[0], model

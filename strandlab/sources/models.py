@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlab.operators.infinite import Bag, State
 from strandlab.operators.markov import Model
 
 
@@ -53,10 +54,28 @@ def save_training(seqs: DataFrame, path: str) -> None:
     seqs.write.mode("overwrite").parquet(f"{path}/sequences")
 
 
-def checkpoint(labels: DataFrame, iteration: int, seed: int, path: str) -> None:
-    """All that is needed to go on: labels, seed and iteration."""
-    labels.write.mode("overwrite").parquet(f"{path}/iter={iteration:08d}/labels")
-    labels.sparkSession.createDataFrame([(iteration, seed)], "iteration int, seed long").write.mode("overwrite").parquet(f"{path}/iter={iteration:08d}/state")
+def checkpoint(bag: Bag, path: str) -> None:
+    """All that is needed to go on: labels and weights, and each model's sampler state; the state is written last, so an
+    iteration without one is no checkpoint."""
+    at = f"{path}/iter={bag.iteration:08d}"
+    bag.labels.write.mode("overwrite").parquet(f"{at}/labels")
+    rows = [(m, [float(x) for x in s.beta], float(s.alpha), float(s.gamma)) if s else (m, None, None, None) for m, s in enumerate(bag.states)]
+    state = bag.labels.sparkSession.createDataFrame(rows, "model int, beta array<double>, alpha double, gamma double")
+    run = {"iteration": bag.iteration, "seed": bag.seed, "letters": bag.letters, "competitive": bag.competitive, "inner": bag.inner}
+    state.select("*", *(F.lit(v).alias(k) for k, v in run.items())).coalesce(1).write.mode("overwrite").parquet(f"{at}/state")
+
+
+def resume(spark, path: str, iteration: int | None = None) -> Bag:
+    """The run as it was at that checkpoint, by default the last one."""
+    import numpy as np
+
+    if iteration is None:
+        iteration = spark.read.schema("iteration int").parquet(f"{path}/iter=*/state").agg(F.max("iteration")).first()[0]
+    at = f"{path}/iter={iteration:08d}"
+    rows = spark.read.parquet(f"{at}/state").orderBy("model").collect()  # one row a model
+    states = [State(np.array(r["beta"]), r["alpha"], r["gamma"], iteration) if r["beta"] is not None else None for r in rows]
+    one = rows[0]
+    return Bag(spark.read.parquet(f"{at}/labels"), states, one["seed"], one["letters"], iteration, one["competitive"], one["inner"])
 
 
 def packed(seqs: DataFrame, size: int) -> DataFrame:
