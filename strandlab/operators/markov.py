@@ -2,8 +2,10 @@
 
 A model is a small driver-side value (at most 1000 states) that is shipped with the task; sequences stay distributed.
 Between the flanking states N (before), J (between passes) and C (after), a sequence passes the model one or more times
-(multi-hit) or once (uni-hit).  Sequences of one Arrow batch are processed together: a step is one product of a
-(sequences x states) with the transition matrix, in probabilities that are rescaled at every position.
+(multi-hit) or once (uni-hit).  The forward pass of a small model is a product of one small matrix a letter, taken in
+pairs (half as many matrices at every level), so that a long sequence costs no Python step a letter.  For larger models
+the sequences of a batch are sorted by length and processed in groups of bounded size: a step is one product of a
+(sequences x states) with the transition matrix.  Both work in probabilities that are rescaled as they go.
 """
 
 from __future__ import annotations
@@ -22,6 +24,12 @@ from strandlab.session import for_python
 #: Tail mass, number and length of the sequences that a model is calibrated with.
 TAIL, CALIBRATION_N, CALIBRATION_LENGTH = 0.04, 1000, 100
 N, B, E, C, J = range(5)
+#: Most states of a model whose forward pass is a product of matrices, and letters of such a product at a time.
+SMALL_MODEL, PRODUCT = 12, 1 << 13
+#: Letters from which a sequence is long enough for that.
+LONG = 512
+#: Letters of a group of sequences that are processed together, padding included.
+GROUP = 4_000_000
 
 
 def bias_transitions(spark, letters: int) -> DataFrame:
@@ -105,18 +113,79 @@ def flanks(length, multi: bool):
 
 def _padded(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     length = np.array([len(s) for s in seqs], dtype=np.int64)
-    x = np.zeros((len(seqs), int(length.max(initial=0))), dtype=np.int64)
+    x = np.zeros((len(seqs), int(length.max(initial=0))), dtype=np.int16)
     for row, s in zip(x, seqs, strict=True):
         row[: len(s)] = s
     return x, length
 
 
+def letter_matrices(model: Model, stay: float, again: float) -> np.ndarray:
+    """For each letter, the step of the row vector (states, N, J, C) that emits it."""
+    k, odds = model.states, model.odds
+    enter = (1 - stay) * 2 / (k * (k + 1))
+    out = np.zeros((odds.shape[1], k + 3, k + 3))
+    out[:, :k, :k] = model.transition[None] * odds.T[:, None, :]
+    out[:, k : k + 2, :k] = (enter * odds.T)[:, None, :]
+    out[:, :k, k + 1], out[:, :k, k + 2] = again, 1 - again
+    for flank in range(k, k + 3):
+        out[:, flank, flank] = stay
+    return out
+
+
+def _scaled(m: np.ndarray, log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    top = m.max(axis=(1, 2))
+    top = np.where(top > 0, top, 1.0)
+    return m / top[:, None, None], log + np.log(top)
+
+
+def forward_product(model: Model, x: np.ndarray, multi: bool = True) -> float:
+    """Log-odds (nats) of one sequence, by products of letter matrices."""
+    n, k = len(x), model.states
+    if not n:
+        return -math.inf
+    stay, again = (float(v) for v in flanks(n, multi))
+    one, codes = letter_matrices(model, stay, again), np.asarray(x, dtype=np.int64)
+    parts = [(one, codes)]
+    if len(one) <= 4 and n >= 2 * len(one) ** 4:  # all words of four letters are multiplied once
+        word = one
+        for _ in range(2):
+            word = np.matmul(word[:, None], word[None, :]).reshape(-1, k + 3, k + 3)
+        whole = n // 4 * 4
+        parts = [(word, codes[:whole].reshape(-1, 4) @ (len(one) ** np.arange(3, -1, -1))), (one, codes[whole:])]
+    v, scale = np.zeros(k + 3), 0.0
+    v[k] = 1
+    for kinds, c in parts:
+        for at in range(0, len(c), PRODUCT):
+            m = kinds[c[at : at + PRODUCT]]
+            log = np.zeros(len(m))
+            while len(m) > 1:
+                even = len(m) // 2 * 2
+                p, q = _scaled(np.matmul(m[0:even:2], m[1:even:2]), log[0:even:2] + log[1:even:2])
+                m, log = (np.concatenate([p, m[even:]]), np.concatenate([q, log[even:]])) if even < len(m) else (p, q)
+            v = v @ m[0]
+            total = v.sum()
+            v, scale = v / total, scale + float(log[0]) + math.log(total)
+    last = (v[:k].sum() + v[k + 2]) * (1 - stay)
+    return math.log(last) + scale if last > 0 else -math.inf
+
+
 def forward(model: Model, seqs: list[np.ndarray], multi: bool = True) -> np.ndarray:
     """Log-odds (nats, against the background's letters) of every sequence; minus infinity for empty ones."""
-    if not seqs:
-        return np.zeros(0)
-    order = np.argsort([-len(s) for s in seqs], kind="stable")
-    x, length = _padded([seqs[i] for i in order])
+    out = np.full(len(seqs), -np.inf)
+    long_ = [i for i, s in enumerate(seqs) if model.states <= SMALL_MODEL and len(s) >= LONG]
+    for i in long_:
+        out[i] = forward_product(model, seqs[i], multi)
+    rest = np.array(sorted(set(range(len(seqs))) - set(long_), key=lambda i: (-len(seqs[i]), i)), dtype=np.int64)
+    while len(rest):
+        m = max(1, GROUP // max(1, len(seqs[rest[0]])))
+        out[rest[:m]] = _forward_steps(model, [seqs[i] for i in rest[:m]], multi)
+        rest = rest[m:]
+    return out
+
+
+def _forward_steps(model: Model, seqs: list[np.ndarray], multi: bool) -> np.ndarray:
+    """The same for sequences that are sorted by length, the longest first."""
+    x, length = _padded(seqs)
     stay, again = flanks(length, multi)
     stay = np.where(length > 0, stay, 0.5)
     odds, enter = model.odds, 2 / (model.states * (model.states + 1))
@@ -141,9 +210,7 @@ def forward(model: Model, seqs: list[np.ndarray], multi: bool = True) -> np.ndar
         done = np.flatnonzero(length[s] == i + 1)
         with np.errstate(divide="ignore"):
             score[done] = np.log((c[done] + e[done]) * (1 - stay[done])) + scale[done]
-    out = np.empty(m)
-    out[order] = score
-    return out
+    return score
 
 
 def null_score(length) -> np.ndarray:
@@ -257,13 +324,13 @@ def calibrated(model: Model, seed: int = 42, n: int = CALIBRATION_N, length: int
     return Model(model.transition, model.emission, model.background, tau)
 
 
-def gumbel_of_lengths(model: Model, lengths: np.ndarray, n: int = 100_000, seed: int = 42) -> tuple[float, float]:
-    """mu, lambda of the scores of n random sequences whose lengths are drawn from those given."""
+def gumbel_of_lengths(model: Model, lengths: np.ndarray, share: np.ndarray, n: int = 100_000, seed: int = 42) -> tuple[float, float]:
+    """mu, lambda of the scores of n random sequences whose lengths are drawn from a histogram."""
     rng = np.random.default_rng(seed)
     p = model.background / model.background.sum()
     scores = []
     for at in range(0, n, 5000):
-        size = rng.choice(np.asarray(lengths), min(5000, n - at))
+        size = rng.choice(np.asarray(lengths), min(5000, n - at), p=np.asarray(share) / np.sum(share))
         x = [rng.choice(len(p), int(k), p=p) for k in size]
         scores.append((forward(model, x) - null_score(size)) / math.log(2))
     return fit_gumbel(np.concatenate(scores))
@@ -332,6 +399,22 @@ def label_table(seqs: DataFrame, model: Model, multi: bool = True) -> DataFrame:
     return seqs.where(F.size("codes") > 0).select("seq_id", "codes").mapInPandas(run, "seq_id long, forward double, backward double, path array<int>")
 
 
+def score_modes(seqs: DataFrame, model: Model, multi: bool = True) -> DataFrame:
+    """seq_id, forward, backward, null (nats), log_odds, log_odds_bias (bits), p, p_bias of a table (seq_id, codes)."""
+    for_python(seqs.sparkSession)
+    bias = bias_of(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = [np.asarray(c, dtype=np.int64) for c in pdf["codes"]]
+            s = score_batch(model, bias, x, multi)
+            back = [matrices(model, c, multi)[5] for c in x]
+            yield pd.DataFrame({"seq_id": pdf["seq_id"].to_numpy(), "forward": forward(model, x, multi), "backward": back, "null": null_score([len(c) for c in x]), "log_odds": s["score"], "log_odds_bias": s["score_bias"], "p": s["p"], "p_bias": s["p_bias"]})
+
+    kinds = "seq_id long, forward double, backward double, null double, log_odds double, log_odds_bias double, p double, p_bias double"
+    return seqs.where(F.size("codes") > 0).select("seq_id", "codes").mapInPandas(run, kinds)
+
+
 def toy_model() -> Model:
     """Four states, each followed by the next, each with its own letter: finds ACGT."""
     t = np.diag([1.0, 1.0, 1.0], k=1)
