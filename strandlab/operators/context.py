@@ -1,25 +1,12 @@
-"""Variable-length context models (probabilistic suffix trees): growth, scoring, length calibration, search.
-
-A node is a context (the letters before a position) with the log-odds of every next letter against the background.
-The tree grows level by level: a node's children depend on the node and on k-mer counts only, so each level is two joins
-on the counts.  Scoring looks up, for each window of depth + 1 letters, the deepest context that has a node.
-"""
+"""Length calibration of context-model scores: lines by length, bins, z-scores."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlab.functions import sequences as S
-from strandlab.operators import counting as C
-from strandlab.session import written
-
 #: Defaults of the growth rule.
 P_MIN, GAMMA = 1e-5, 0.01
-#: Stands before a sequence, so that its first letters have shorter contexts.
-PAD = "^"
-
-
 def background(counts: DataFrame) -> DataFrame:
     """residue, bg from counts (k, kmer, n)."""
     one = counts.where("k = 1")
@@ -27,69 +14,6 @@ def background(counts: DataFrame) -> DataFrame:
     return one.join(F.broadcast(every)).select(F.col("kmer").alias("residue"), (F.col("n") / F.col("every")).alias("bg"))
 
 
-def grow(counts: DataFrame, letters: int, depth: int, p_min: float = P_MIN, gamma: float = GAMMA) -> DataFrame:
-    """context, residue, p, lod of all nodes down to the given depth; counts: k, kmer, n for k = 1 .. depth + 1.
-
-    A context a + s is added to its parent s if P(as) > p_min, sum_k P(ask) ln(P(ask) / (P(k|s) P(as))) > p_min over the
-    seen letters k, and some continuation was seen.  P(x) = (c(x) + 1) / (N + letters).  Counts and nodes are at most
-    letters ** (depth + 1) rows; they are kept as tables and joined, never collected.
-    """
-    counts = written(counts, "kmers")
-    bg = background(counts)
-    least = counts.groupBy("k").agg(F.sum("n").alias("total"))
-    prob = counts.join(F.broadcast(least), "k").select("k", "kmer", "n", ((F.col("n") + 1) / (F.col("total") + letters)).alias("p"), (1.0 / (F.col("total") + letters)).alias("p0"))
-    nodes = bg.select(F.lit("").alias("context"), "residue", F.col("bg").alias("p"))
-    level = nodes
-    for k in range(1, depth + 1):
-        parents = level.select("context").distinct()
-        word = prob.where(F.col("k") == k).select(F.col("kmer").alias("child"), F.substring("kmer", 2, k).alias("context"), F.col("p").alias("p_child"))
-        tried = word.where(F.col("p_child") > p_min).join(parents, "context")
-        full = tried.join(level.select("context", "residue", F.col("p").alias("p_parent")), "context")
-        longer = prob.where(F.col("k") == k + 1)
-        zero = longer.agg(F.max("p0").alias("p0"))
-        seen = longer.select(F.col("kmer").alias("word"), "n", F.col("p").alias("p_word"))
-        full = full.withColumn("word", F.concat("child", "residue")).join(seen, "word", "left").join(F.broadcast(zero))
-        p_word = F.coalesce("p_word", "p0")
-        full = full.withColumn("err", p_word * F.log(p_word / (F.col("p_parent") * F.col("p_child")))).withColumn("n", F.coalesce("n", F.lit(0)))
-        good = full.groupBy("child").agg(F.sum("err").alias("err"), F.sum("n").alias("total")).where((F.col("total") > 0) & (F.col("err") > p_min))
-        level = full.join(good.select("child", "total"), "child").join(F.broadcast(bg), "residue")
-        level = level.select(F.col("child").alias("context"), "residue", ((1 - gamma) * F.col("n") / F.col("total") + gamma * F.col("bg")).alias("p"))
-        level = written(level, f"level{k}")  # read by the next level and by the result
-        nodes = nodes.unionByName(level)
-    return nodes.join(F.broadcast(bg), "residue").select("context", "residue", "p", F.log(F.col("p") / F.col("bg")).alias("lod"))
-
-
-def windows(seqs: DataFrame, depth: int) -> DataFrame:
-    """seq_id, word: every letter with the depth letters before it (padded at the start)."""
-    padded = F.concat(F.lit(PAD * depth), F.col("seq"))
-    return seqs.select("seq_id", F.explode(S.kmers(padded, depth + 1)).alias("word"))
-
-
-def window_scores(nodes: DataFrame, words: DataFrame, depth: int) -> DataFrame:
-    """word, lod for each distinct window: from the deepest context that has a node."""
-    out = words.withColumn("residue", F.substring("word", depth + 1, 1))
-    found = []
-    for k in range(depth, -1, -1):
-        at = nodes.where(F.length("context") == k).select(F.col("context").alias(f"c{k}"), "residue", F.col("lod").alias(f"l{k}"))
-        out = out.withColumn(f"c{k}", F.substring("word", depth - k + 1, k)).join(at, [f"c{k}", "residue"], "left")
-        found.append(f"l{k}")
-    return out.select("word", F.coalesce(*found).alias("lod"))
-
-
-def score(seqs: DataFrame, nodes: DataFrame, depth: int, letters: int = 26) -> DataFrame:
-    """seq_id, len, score of every sequence (an empty one scores 0).
-
-    First the distinct windows get their scores, a table of at most (letters + 1) ** (depth + 1) rows whatever the
-    corpus; it is broadcast if that bound is small, else joined.  Then each window adds its score to its sequence's sum
-    on the map side, so that one row a sequence and task is shuffled."""
-    words = windows(seqs, depth)
-    table = written(window_scores(nodes, words.select("word").distinct(), depth), "windows")
-    if (letters + 1) ** (depth + 1) <= 1_000_000:
-        table = F.broadcast(table)
-    total = words.join(table, "word").groupBy("seq_id").agg(F.sum("lod").alias("score"))
-    return seqs.select("seq_id", F.length("seq").alias("len")).join(total, "seq_id", "left").select("seq_id", "len", F.coalesce("score", F.lit(0.0)).alias("score"))
-
-
 def fit_line(scores: DataFrame, by: list[str]) -> DataFrame:
     """by, a, b, v, n: score = a + b len with the residuals' sample deviation, from sums alone."""
     x, y = F.col("len").cast("double"), F.col("score")
@@ -140,14 +64,3 @@ def greedy_bins(lengths: DataFrame, min_items: int = 500, min_width: int = 2) ->
 
     histogram = lengths.groupBy("len").agg(F.count("*").alias("n")).select(F.lit(0).alias("one"), "len", "n")
     return histogram.groupBy("one").applyInPandas(lambda pdf: run(pdf), "bin int, len_min long, len_max long, n long")
-
-
-def search(seqs: DataFrame, nodes: DataFrame, depth: int, fit: DataFrame, threshold: float = 3.0) -> DataFrame:
-    """The sequences whose score is at least threshold deviations above what their length lets expect."""
-    scored = score(seqs, nodes, depth).withColumn("band", band())
-    return z_scores(scored, fit).where(F.col("z") >= threshold)
-
-
-def train(seqs: DataFrame, depth: int = 2, letters: int = 26) -> DataFrame:
-    """Nodes grown on the sequences."""
-    return grow(C.all_kmer_counts(seqs, depth + 1), letters, depth)

@@ -1,8 +1,10 @@
-"""Context models at the reference's full depth: contexts of up to DEPTH letters, grown, scored and calibrated.
+"""Context models (probabilistic suffix trees) of contexts of up to DEPTH letters: growth, scoring, calibration.
+
+A node is a context (the letters before a position) with the log-odds of every next letter against the background.
 
 Words are integers, five bits a letter.  A context is tried only if its probability exceeds p_min, so at most 1 / p_min
 contexts a level are candidates and at most letters / p_min longer words a level come to the driver, whatever the corpus;
-the counting itself is one narrow pass a level.  No cut besides the rule's own: a word that is frequent enough has
+the counting itself is one narrow pass a level (one in all for a depth below four).  No cut besides the rule's own: a word that is frequent enough has
 frequent prefixes, so the words of a level are found from those of the level before.
 """
 
@@ -85,12 +87,51 @@ def count_words(seqs: DataFrame, k: int, prefixes: np.ndarray | None, alphabet:
     return rows["code"].to_numpy(dtype=np.int64), rows["n"].to_numpy(dtype=np.int64)
 
 
+def short_words(seqs: DataFrame, most: int, alphabet: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Sorted codes and counts of all words of each length 1 .. most (at most 4, so at most letters ** most words), in one
+    narrow pass: a task adds its words up in arrays and sends each word at most once."""
+    if most > 4:
+        raise ValueError("words of more letters are counted by level")
+    for_python(seqs.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = {k: np.zeros(1 << 5 * k, dtype=np.int64) for k in range(1, most + 1)}
+        for pdf in batches:
+            for s in pdf["seq"]:
+                x = coded(s, alphabet)
+                for k, n in total.items():
+                    w = words_of(x, k)
+                    if len(w) * 8 > len(n):
+                        n += np.bincount(w, minlength=len(n))
+                    else:
+                        np.add.at(n, w, 1)
+        for k, n in total.items():
+            code = np.flatnonzero(n)
+            yield pd.DataFrame({"k": k, "code": code, "n": n[code]})
+
+    rows = seqs.select("seq").where("seq <> ''").mapInPandas(run, "k int, code long, n long").groupBy("k", "code").agg(F.sum("n").alias("n")).toPandas().sort_values(["k", "code"])
+    at = {k: rows[rows["k"] == k] for k in range(1, most + 1)}
+    return {k: (r["code"].to_numpy(dtype=np.int64), r["n"].to_numpy(dtype=np.int64)) for k, r in at.items()}
+
+
 def grow(seqs: DataFrame, alphabet: str = S.LETTERS, depth: int = DEPTH, p_min: float = P.P_MIN, gamma: float = P.GAMMA) -> Tree:
-    """The tree of all contexts that the growth rule accepts (see context.grow); p_min is at least 2 / N of every length."""
+    """The tree of all contexts that the growth rule accepts; p_min is at least 2 / N of every length.
+
+    The root is the background.  A context a + s is added to its parent s if P(as) > p_min, sum_k P(ask) ln(P(ask) /
+    (P(k|s) P(as))) > p_min over the seen letters k, and some continuation was seen.  P(x) = (c(x) + 1) / (N + letters)."""
     letters = len(alphabet)
+    known = short_words(seqs, depth + 1, alphabet) if depth < 4 else {}
+
+    def count(k: int, prefixes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        if k not in known:
+            return count_words(seqs, k, prefixes, alphabet)
+        codes, n = known[k]
+        keep = found_in(codes >> 5, prefixes)[1] if prefixes is not None else np.ones(len(codes), dtype=bool)
+        return codes[keep], n[keep]
+
     total = seqs.agg(*(F.sum(F.greatest(F.length("seq") - (k - 1), F.lit(0))).alias(str(k)) for k in range(1, depth + 2))).first()
     total = [0, *(int(v or 0) for v in total)]
-    codes, n = count_words(seqs, 1, None, alphabet)
+    codes, n = count(1, None)
     one = np.zeros(letters)
     one[codes] = n
     background = one / max(one.sum(), 1)
@@ -103,7 +144,7 @@ def grow(seqs: DataFrame, alphabet: str = S.LETTERS, depth: int = DEPTH, p_min:
         codes, n = codes[frequent], n[frequent]
         if not len(codes):
             break
-        longer, n_longer = count_words(seqs, k + 1, codes, alphabet)
+        longer, n_longer = count(k + 1, codes)
         parent, has = found_in(codes & ((1 << 5 * (k - 1)) - 1), tree.contexts[-1])
         p_word = (n + 1) / (total[k] + letters)
         tried = has & (p_word > p_min)
@@ -161,6 +202,12 @@ def score(seqs: DataFrame, tree: Tree) -> DataFrame:
     return seqs.where("seq IS NOT NULL").select("seq_id", "seq").mapInPandas(run, "seq_id long, len int, score double")
 
 
+def search(seqs: DataFrame, tree: Tree, fit: DataFrame, threshold: float = 3.0) -> DataFrame:
+    """The sequences whose score is at least threshold deviations above what their length lets expect, with z; fit by
+    length bands of a fixed width."""
+    return P.z_scores(score(seqs, tree).withColumn("band", P.band()), fit).where(F.col("z") >= threshold)
+
+
 def binned(scores: DataFrame) -> DataFrame:
     """scores with band: greedy bins of more than 500 sequences along the lengths."""
     bins = written(P.greedy_bins(scores.select(F.col("len").cast("long").alias("len"))), "bins")

@@ -29,24 +29,25 @@ NODES = f"{_COUNTS}, n0 AS (SELECT '' AS context, residue, bg AS p FROM bg), {_l
 
 
 def scores_sql(depth: int) -> str:
-    pad = P.PAD * depth
+    pad = "^" * depth  # so that the first letters have shorter contexts
     joins = " ".join(f"LEFT JOIN nodes c{k} ON c{k}.context = substring(word, {depth - k + 1}, {k}) AND c{k}.residue = substring(word, {depth + 1}, 1)" for k in range(depth, -1, -1))
     return f"""{NODES}, sw AS (SELECT seq_id, substring(s, i, {depth + 1}) AS word, count(*) AS n FROM (SELECT seq_id, '{pad}' || seq AS s, unnest(range(1, length(seq) + 1)) AS i FROM seqs) GROUP BY ALL),
 ws AS (SELECT word, coalesce({', '.join(f'c{k}.lod' for k in range(depth, -1, -1))}) AS lod FROM (SELECT DISTINCT word FROM sw) {joins}),
 sc AS MATERIALIZED (SELECT seqs.seq_id, CAST(length(seq) AS INTEGER) AS len, coalesce(score, 0.0) AS score FROM seqs LEFT JOIN (SELECT seq_id, sum(n * lod) AS score FROM sw JOIN ws ON ws.word = sw.word GROUP BY seq_id) t ON t.seq_id = seqs.seq_id)"""
 
 
-def nodes(spark, d: str, depth: int = 2) -> DataFrame:
-    return P.grow(C.all_kmer_counts(seqs(spark, d), 3), 26, depth)
+def tree(rows: DataFrame, depth: int = 2) -> T.Tree:
+    return T.grow(rows, depth=depth)
 
 
 def scored(spark, d: str, depth: int = 2) -> DataFrame:
-    return P.score(seqs(spark, d), nodes(spark, d), depth)
+    rows = seqs(spark, d)
+    return T.score(rows, tree(rows, depth))
 
 
 @query("pst_nodes", f"WITH {NODES} SELECT context, residue, round(p, 6) AS p, round(lod, 5) AS lod FROM nodes")
 def pst_nodes(spark, d):
-    return nodes(spark, d).select("context", "residue", F.round("p", 6).alias("p"), F.round("lod", 5).alias("lod"))
+    return T.node_table(spark, tree(seqs(spark, d))).select("context", "residue", F.round("p", 6).alias("p"), F.round("lod", 5).alias("lod"))
 
 
 @query("pst_background", f"WITH {_COUNTS} SELECT residue, round(bg, 8) AS bg FROM bg")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandlab.functions.mathematics import exponential_survival
 from strandlab.operators import context as P
+from strandlab.operators import suffixtree as C
 from strandlab.plans import context as Q
 from strandlab.plans.registry import query
 from strandlab.plans.sequences import seqs
@@ -29,13 +31,15 @@ def stream_event_counts(spark, d):
     return rows.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("stream_search", f"WITH {Q._Z} SELECT seq_id, len, round(z, 4) AS z FROM z WHERE z >= 3.0")
+@query("stream_search", f"WITH {Q._Z} SELECT seq_id, len, round(z, 4) AS z, (SELECT count(*) FROM documents) AS scanned, round(exp(-0.9 * (z - 1.5)) * (SELECT count(*) FROM documents), 5) AS e FROM z WHERE z >= 3.0")
 def stream_search(spark, d):
-    """The context-model search as a stream over the documents: model and fits are static, rows are scored as they come."""
-    nodes = written(Q.nodes(spark, d), "nodes")
+    """The context-model search as a stream over the documents: model and fits are static, rows are scored as they come;
+    E-values are for the records scanned so far."""
     rows = seqs(spark, d)
-    scored = written(P.score(rows, nodes, 2).withColumn("band", P.band()), "scores")
+    tree = Q.tree(rows)
+    scored = written(C.score(rows, tree).withColumn("band", P.band()), "scores")
     fit = written(P.calibrate(scored, Q.OUTLIER, Q.ROUNDS), "fit")
     path = f"{d}/documents.parquet"
     stream = T.stream_of(spark, path, spark.read.parquet(path).schema)
-    return T.search_stream(stream, nodes, 2, fit, 3.0).select("seq_id", "len", F.round("z", 4).alias("z"))
+    hits = T.search_stream(stream, tree, fit, 3.0)
+    return hits.select("seq_id", "len", F.round("z", 4).alias("z"), "scanned", F.round(exponential_survival("z", 1.5, 0.9) * F.col("scanned"), 5).alias("e"))

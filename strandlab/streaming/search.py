@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlab.functions import sequences as S
-from strandlab.operators import context
+from strandlab.operators.suffixtree import Tree, search
 from strandlab.session import folder
 
 
@@ -29,21 +29,26 @@ def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFra
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
-def search_stream(docs: DataFrame, nodes: DataFrame, depth: int, fit: DataFrame, threshold: float) -> DataFrame:
-    """seq_id, len, z of the documents of the stream that pass.
+def search_stream(docs: DataFrame, tree: Tree, fit: DataFrame, threshold: float) -> DataFrame:
+    """seq_id, len, z, scanned of the documents of the stream that pass; scanned: the records seen up to the end of the
+    hit's batch, the database size that its E-value is for.
 
-    Model and fits are static; every micro-batch is scored as a batch and written under its batch id, so a batch that is
-    repeated after a failure replaces itself.  The table holds the hits of all batches at the end."""
+    Model and fits are static; every micro-batch is scored as a batch and written under its batch id with its number of
+    records, so a batch that is repeated after a failure replaces itself.  The running count is a sum over one row a
+    batch.  The table holds the hits of all batches at the end."""
     spark = docs.sparkSession
     root = folder(spark, "hits")
 
     def one(batch: DataFrame, batch_id: int) -> None:
         seqs = batch.select(F.col("doc_id").alias("seq_id"), S.letters_of("text").alias("seq"))
-        context.search(seqs, nodes, depth, fit, threshold).select("seq_id", "len", "z").write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+        search(seqs, tree, fit, threshold).select("seq_id", "len", "z").write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+        batch.agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{root}/seen/batch={batch_id}")
 
     q = docs.writeStream.foreachBatch(one).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema("seq_id long, len int, z double, batch int").parquet(f"{root}/out").drop("batch")
+    seen = spark.read.schema("n long, batch long").parquet(f"{root}/seen")
+    running = seen.select("batch", F.sum("n").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)).alias("scanned"))
+    return spark.read.schema("seq_id long, len int, z double, batch long").parquet(f"{root}/out").join(running, "batch").drop("batch")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
