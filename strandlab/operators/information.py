@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlab.functions.mathematics import bits
+from strandlab.operators.orders import running
 
 #: Background frequencies of the amino acids, in the order of the alphabet (Swiss-Prot 50.8).
 AMINO = {
@@ -75,9 +76,8 @@ def temperature(iteration: int) -> float:
 def rank_auc(scored: DataFrame, score: str, positive: Column, by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve by average ranks; ties share their rank.
 
-    Distinct scores are counted first; the ranks come from a running sum over them."""
+    Distinct scores are counted first; the ranks come from a running sum over ranges of them."""
     by = by or []
     n = scored.groupBy(*by, score).agg(F.count_if(positive).cast("double").alias("p"), F.count_if(~positive).cast("double").alias("q"))
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    run = n.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0.0)))
+    run = running(n, "q", [score], by)
     return run.groupBy(*by).agg((F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / (F.sum("p") * F.sum("q"))).alias("auc"))

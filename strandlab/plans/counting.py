@@ -153,6 +153,12 @@ def transition_sorted(spark, d):
     return p.select("from_state", "to_state", F.round("p", 6).alias("p"), F.row_number().over(w).cast("long").alias("place"))
 
 
+@query("transition_sorted_by_target", f"WITH {TRANSITIONS} SELECT from_state, to_state, n, row_number() OVER (ORDER BY to_state, from_state) AS place FROM tr")
+def transition_sorted_by_target(spark, d):
+    """Transitions by their end, then their start: at most states x states rows."""
+    return event_transitions(spark, d).withColumn("place", F.row_number().over(Window.orderBy("to_state", "from_state")).cast("long"))
+
+
 @query("transition_cut", f"WITH {TRANSITIONS}, p AS (SELECT *, n / sum(n) OVER (PARTITION BY from_state) AS p FROM tr) SELECT CAST(to_state AS INTEGER) AS to_state, CAST(count(*) AS BIGINT) AS kept FROM p WHERE p > 0.2 GROUP BY to_state")
 def transition_cut(spark, d):
     """Transitions above a slice of 0.2, by their end."""

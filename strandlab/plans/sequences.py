@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlab.functions import sequences as S
+from strandlab.operators.orders import ranked
 from strandlab.plans.registry import query
 from strandlab.session import spread, table
 
@@ -92,8 +93,8 @@ def seq_spacer(spark, d):
 @query("seq_shuffle", "SELECT doc_id AS seq_id, row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS place, source FROM documents")
 def seq_shuffle(spark, d):
     """A reproducible random order of each source's sequences."""
-    w = Window.partitionBy("source").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    return table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.row_number().over(w).cast("long").alias("place"), "source")
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), "source", F.md5(F.col("doc_id").cast("string")).alias("draw"))
+    return ranked(rows, ["draw", "seq_id"], ["source"]).select("seq_id", "place", "source")
 
 
 @query("seq_resolve_ambiguity")
@@ -115,19 +116,19 @@ def seq_distinct(spark, d):
     return seqs(spark, d).groupBy("seq").agg(F.min("seq_id").alias("seq_id"), F.count("*").alias("copies"))
 
 
-@query("seq_sort_by_length", f"WITH {SEQS} SELECT seq_id, CAST(length(seq) AS BIGINT) AS len, rank() OVER (PARTITION BY length(seq) // 256 ORDER BY length(seq), seq_id) AS place FROM seqs")
+@query("seq_sort_by_length", f"WITH {SEQS} SELECT seq_id, CAST(length(seq) AS BIGINT) AS len, row_number() OVER (ORDER BY length(seq), seq_id) AS place FROM seqs")
 def seq_sort_by_length(spark, d):
-    """Order by length within bands of 256 letters; the bands keep the sort distributed."""
-    rows = seqs(spark, d).select("seq_id", F.length("seq").cast("long").alias("len"))
-    w = Window.partitionBy(F.expr("len div 256")).orderBy("len", "seq_id")
-    return rows.select("seq_id", "len", F.rank().over(w).cast("long").alias("place"))
+    """All sequences in order of length."""
+    return ranked(seqs(spark, d).select("seq_id", F.length("seq").cast("long").alias("len")), ["len", "seq_id"])
 
 
-@query("interval_fetch", f"""WITH {SEQS}, iv AS (SELECT event_id, event_id % 200 AS seq_id, CAST(floor(value) AS BIGINT) AS s FROM events)
+@query("interval_fetch", f"""WITH {SEQS}, iv AS (SELECT event_id, event_id % (SELECT count(*) FROM documents) AS seq_id, CAST(floor(value) AS BIGINT) AS s FROM events)
 SELECT event_id, iv.seq_id, s, substring(seq, CAST(s + 1 AS INTEGER), 12) AS piece FROM iv JOIN seqs ON seqs.seq_id = iv.seq_id""")
 def interval_fetch(spark, d):
-    """Pieces of sequences by intervals [s, s + 12), from 0: an equi-join on the sequence, then a substring."""
-    iv = table(spark, d, "events").select("event_id", (F.col("event_id") % 200).alias("seq_id"), F.floor("value").cast("long").alias("s"))
+    """Pieces of sequences by intervals [s, s + 12), from 0: an equi-join on the sequence, then a substring.  The
+    intervals ask for all documents in turn."""
+    many = table(spark, d, "documents").agg(F.count("*").alias("many"))  # one row
+    iv = table(spark, d, "events").join(F.broadcast(many)).select("event_id", (F.col("event_id") % F.col("many")).alias("seq_id"), F.floor("value").cast("long").alias("s"))
     return iv.join(seqs(spark, d), "seq_id").select("event_id", "seq_id", "s", F.substring(F.col("seq"), (F.col("s") + 1).cast("int"), F.lit(12)).alias("piece"))
 
 
