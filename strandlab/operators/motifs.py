@@ -132,9 +132,13 @@ def merge(p: np.ndarray, q: np.ndarray, offset: int) -> np.ndarray:
     return out
 
 
-def merge_all(motifs: dict[str, np.ndarray], seed: int = 5, shuffles: int = SHUFFLES, most_better: int | None = None) -> dict[str, np.ndarray]:
-    """Merge the closest pair as long as at most most_better shuffles align better (in proportion: 100 of 10,000)."""
+def merge_all(motifs: dict[str, np.ndarray], seed: int = 5, shuffles: int = SHUFFLES, most_better: int | None = None, shifts: dict[str, dict[str, int]] | None = None) -> dict[str, np.ndarray]:
+    """Merge the closest pair as long as at most most_better shuffles align better (in proportion: 100 of 10,000).
+
+    shifts, if given, is filled with the place of each member's first column in each motif of the result."""
     now = dict(motifs)
+    shifts = {} if shifts is None else shifts
+    shifts.update({m: {m: 0} for m in motifs})
     limit = MOST_BETTER * shuffles // SHUFFLES if most_better is None else most_better
     rng = np.random.default_rng(seed)
     norm = lambda m: (m + 0.1 / m.shape[1]) / (m + 0.1 / m.shape[1]).sum(1, keepdims=True)
@@ -151,6 +155,8 @@ def merge_all(motifs: dict[str, np.ndarray], seed: int = 5, shuffles: int = SHUF
             continue
         joined = merge(now.pop(a), now.pop(b), offset)
         now[f"{a}+{b}"] = joined
+        low = min(0, offset)
+        shifts[f"{a}+{b}"] = {m: at - low for m, at in shifts.pop(a).items()} | {m: at + offset - low for m, at in shifts.pop(b).items()}
 
 
 def merge_table(counts: DataFrame, letters: str, groups: str, shuffles: int = 200) -> DataFrame:
@@ -169,6 +175,46 @@ def merge_table(counts: DataFrame, letters: str, groups: str, shuffles: int = 20
     return counts.withColumnRenamed(groups, "grp").groupBy("grp").applyInPandas(lambda pdf: run(pdf), "grp string, motif string, place int, residue string, n double")
 
 
+def merged_members(counts: DataFrame, letters: str, shuffles: int = SHUFFLES) -> DataFrame:
+    """merged, motif, shift: which motif of the list (one group, a short list) went where in which merged one."""
+    for_python(counts.sparkSession)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        motifs, shifts = {}, {}
+        for name, rows in pdf.groupby("motif"):
+            m = np.zeros((int(rows["place"].max()) + 1, len(letters)))
+            m[rows["place"], [letters.index(r) for r in rows["residue"]]] = rows["n"]
+            motifs[name] = m
+        merge_all(motifs, shuffles=shuffles, shifts=shifts)
+        return pd.DataFrame([(k, m, at) for k, members in sorted(shifts.items()) for m, at in sorted(members.items())], columns=["merged", "motif", "shift"])
+
+    return counts.withColumn("grp", F.lit("all")).groupBy("grp").applyInPandas(lambda pdf: run(pdf), "merged string, motif string, shift int")
+
+
+def best_alignments(freq: DataFrame, width: int) -> DataFrame:
+    """a, b (a < b), cost, offset of the cheapest ungapped alignment of any two motifs (place of b's first column in a;
+    of equally cheap ones the smallest), whose columns cost between 0 and 1; it overlaps as far as allowed_overlap asks."""
+    a = freq.select(F.col("motif").alias("a"), F.col("place").alias("pa"), "residue", F.greatest("p", F.lit(1e-9)).alias("x"))
+    b = freq.select(F.col("motif").alias("b"), F.col("place").alias("pb"), "residue", F.greatest("p", F.lit(1e-9)).alias("y"))
+    column = a.join(b, "residue").where("a < b").groupBy("a", "b", "pa", "pb").agg((F.sum(bits("x", "y") + bits("y", "x")) / 2).alias("kl"))
+    cost = 2 * (1 / (1 + F.exp(-F.col("kl"))) - 0.5)
+    at = column.groupBy("a", "b", (F.col("pa") - F.col("pb")).alias("offset")).agg(F.avg(cost).alias("cost"), F.count("*").alias("overlap"))
+    at = at.where(F.col("overlap") >= overlap_of(width, width))
+    return at.groupBy("a", "b").agg(F.min(F.struct(F.round("cost", 9).alias("cost"), "offset")).alias("m")).select("a", "b", "m.cost", "m.offset")
+
+
+def motif_of_alignment(aligned: DataFrame, letters: str, prior: float = 0.1) -> DataFrame:
+    """grp, place, residue, n, p, ll: the letters of every column of each aligned group (grp, seq_id, aligned), with a
+    pseudocount of prior x background, and the group's log-likelihood ratio against the background.  Gaps don't count."""
+    cells = aligned.select("grp", F.posexplode(F.split("aligned", "")).alias("place", "residue")).where(F.col("residue").isin(list(letters)))
+    n = written(cells.groupBy("grp", "place", "residue").agg(F.count("*").alias("n")), "columns")
+    every = n.agg(F.sum("n").alias("every"))
+    bg = n.groupBy("residue").agg(F.sum("n").alias("k")).join(F.broadcast(every)).select("residue", (F.col("k") / F.col("every")).alias("bg"))
+    f = frequencies(n.withColumnRenamed("grp", "motif"), bg, prior)
+    ll = f.where("n > 0").groupBy("motif").agg(F.sum(F.col("n") * F.log(F.col("p") / F.col("bg"))).alias("ll"))
+    return f.join(ll, "motif").select(F.col("motif").alias("grp"), "place", "residue", "n", "p", "ll")
+
+
 def agreement(a: list[tuple[int, int]], b: list[tuple[int, int]], width: int) -> float:
     """The larger share of two sorted hit lists (sequence, position) that meets within width, matched greedily."""
     i = j = both = 0

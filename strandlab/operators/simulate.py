@@ -111,9 +111,21 @@ def emitted(spark, model: Model, n: int, length: int, alphabet: str, seed: int,
     return spark.range(first, first + n).mapInPandas(run, "seq_id long, seq string, states array<int>")
 
 
-def draws(kind: str, n: int, seed: int, **parameters) -> np.ndarray:
-    """Draws of a named distribution of the random generator (gamma, beta, binomial, normal, ...)."""
-    return getattr(np.random.default_rng(seed), kind)(size=n, **parameters)
+def draws(spark, kind: str, many: int, seed: int, /, **parameters) -> DataFrame:
+    """id, x: so many draws of a named distribution (gamma, beta, binomial, normal, ...), each a function of (seed, id)."""
+    for_python(spark)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "x": [float(getattr(np.random.default_rng([seed, int(i)]), kind)(**parameters)) for i in pdf["id"]]})
+
+    return spark.range(many).mapInPandas(run, "id long, x double")
+
+
+def uniform_draws(spark, n: int, seed: int, many: int = 0) -> DataFrame:
+    """id, x, k: a number in [0, 1) and an integer in [0, many), each a function of (seed, id)."""
+    u = uniform(seed, F.col("id"))
+    return spark.range(n).select("id", u.alias("x"), F.floor(uniform(seed + 1, F.col("id")) * max(many, 1)).cast("long").alias("k"))
 
 
 def example_model(kind: str, main: float = 0.9, stay: float = 0.9) -> Model:

@@ -91,6 +91,23 @@ def sim_null_sequences(spark, d):
     return G.random_sequences(spark, 1000, 100, S.PROTEIN, list(I.AMINO.values()), seed=42)
 
 
+@query("sim_uniform")
+def sim_uniform(spark, d):
+    """Uniform numbers and integers below 100."""
+    return G.uniform_draws(spark, 10_000, 8, 100)
+
+
+@query("sim_draws")
+def sim_draws(spark, d):
+    """Gamma, beta, binomial and normal draws."""
+    kinds = {"gamma": {"shape": 6.0, "scale": 0.5}, "beta": {"a": 2.0, "b": 3.0}, "binomial": {"n": 10, "p": 0.3}, "normal": {"loc": 1.0, "scale": 2.0}}
+    out = None
+    for i, (kind, parameters) in enumerate(kinds.items()):
+        rows = G.draws(spark, kind, 2000, i, **parameters).select(F.lit(kind).alias("kind"), "id", "x")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("sim_auc")
 def sim_auc(spark, d):
     """ROC AUC of a toy model that finds ACGT, on sequences with and without planted copies."""

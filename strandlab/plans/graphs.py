@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlab.operators import graphs as G
+from strandlab.operators.orders import ranked
 from strandlab.plans.counting import TRANSITIONS, event_transitions
 from strandlab.plans.registry import query
 
@@ -40,11 +43,27 @@ def shortest_path_bounded(spark, d):
     return G.shortest(e, 2, 3).select("node", F.round("distance", 6).alias("distance"))
 
 
-@query("shortest_path_example", "SELECT node, CAST(distance AS DOUBLE) AS distance FROM (VALUES ('a', 0.0), ('b', 30.0), ('c', 9.0), ('d', 20.0), ('e', 26.0), ('f', 11.0)) v(node, distance)")
+@query("shortest_path_example", f"""WITH RECURSIVE {_P}, s AS (SELECT from_state AS f, to_state AS t, -ln(p) AS w FROM x),
+r AS (SELECT CAST(2 AS INTEGER) AS node, 0.0::DOUBLE AS distance, 0 AS hops UNION ALL SELECT s.t, r.distance + s.w, hops + 1 FROM r JOIN s ON s.f = r.node WHERE hops < 4)
+SELECT node, round(min(distance), 6) AS distance FROM r GROUP BY node""")
 def shortest_path_example(spark, d):
-    rows = [("a", "b", 30.0), ("a", "c", 9.0), ("a", "f", 14.0), ("b", "c", 10.0), ("b", "d", 15.0), ("c", "d", 11.0), ("c", "f", 2.0), ("d", "e", 6.0), ("e", "f", 9.0)]
-    found, _ = G.dijkstra(rows, "a")
-    return spark.createDataFrame(sorted(found.items()), "node string, distance double")
+    """Distances from state 2 over all edges, by Dijkstra's rule; five states, so four edges reach any of them."""
+    found, _ = G.dijkstra(_lengths(spark, d), 2)
+    return spark.createDataFrame(sorted(found.items()), "node int, distance double").select("node", F.round("distance", 6).alias("distance"))
+
+
+def _lengths(spark, d: str) -> list[tuple]:
+    """(from, to, -ln p); at most states squared rows."""
+    return [(r["from_state"], r["to_state"], -math.log(r["p"])) for r in edges(spark, d).orderBy("from_state", "to_state").collect()]
+
+
+@query("state_paths_sorted", f"""WITH RECURSIVE {_P}, s AS (SELECT from_state AS f, to_state AS t, ln(p) AS lp FROM x WHERE p >= 0.19),
+pth AS (SELECT [f, t] AS path, 1 AS length, lp FROM s UNION ALL SELECT list_append(path, s.t), length + 1, pth.lp + s.lp FROM pth JOIN s ON s.f = pth.path[-1] WHERE length < 3)
+SELECT path, CAST(length AS INTEGER) AS length, row_number() OVER (ORDER BY length DESC, round(lp, 9) DESC, path) AS place FROM pth""")
+def state_paths_sorted(spark, d):
+    """Paths of up to three strong edges, the longest and then the likeliest first."""
+    rows = G.paths(edges(spark, d), 3, 0.19).withColumn("lp", F.round("log_p", 9))
+    return ranked(rows, [F.desc("length"), F.desc("lp"), "path"]).select("path", "length", "place")
 
 
 @query("prune_edges")
@@ -54,9 +73,16 @@ def prune_edges(spark, d):
     return spark.createDataFrame(G.prune(rows, 0.5), "from_state int, to_state int, p double")
 
 
-@query("graph_connectivity")
-def graph_connectivity(spark, d):
-    import math
+@query("prune_edges_brute")
+def prune_edges_brute(spark, d):
+    """The same by trying every edge at every step."""
+    rows = [(r["from_state"], r["to_state"], r["p"]) for r in edges(spark, d).orderBy("from_state", "to_state").collect()]
+    return spark.createDataFrame(G.prune(rows, 0.5, brute=True), "from_state int, to_state int, p double")
 
-    rows = [(r["from_state"], r["to_state"], -math.log(r["p"])) for r in edges(spark, d).orderBy("from_state", "to_state").collect()]
-    return spark.createDataFrame([(G.connectivity(rows),)], "mean_distance double")
+
+@query("graph_connectivity", f"""WITH RECURSIVE {_P}, s AS (SELECT from_state AS f, to_state AS t, -ln(p) AS w FROM x),
+r AS (SELECT DISTINCT f AS a, f AS node, 0.0::DOUBLE AS distance, 0 AS hops FROM s UNION ALL SELECT a, s.t, r.distance + s.w, hops + 1 FROM r JOIN s ON s.f = r.node WHERE hops < 4)
+SELECT round(avg(distance), 9) AS mean_distance FROM (SELECT a, node, min(distance) AS distance FROM r WHERE a <> node GROUP BY a, node)""")
+def graph_connectivity(spark, d):
+    """Mean shortest distance between the states."""
+    return spark.createDataFrame([(G.connectivity(_lengths(spark, d)),)], "mean_distance double").select(F.round("mean_distance", 9).alias("mean_distance"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlab.functions import sequences as S
@@ -11,11 +11,13 @@ from strandlab.operators import alignment as A
 from strandlab.operators import infinite as N
 from strandlab.operators import markov as H
 from strandlab.operators import simulate as G
-from strandlab.plans.context import deep_z_scored
-from strandlab.plans.counting import event_emissions, event_transitions, labelled_events
+from strandlab.operators.orders import ranked
+from strandlab.plans.context import deep_z_scored, scored, scores_sql
+from strandlab.plans.counting import EMISSION, event_emissions, event_transitions, labelled_events
 from strandlab.plans.registry import query
 from strandlab.plans.sequences import dna
-from strandlab.session import table, written
+from strandlab.session import folder, table, written
+from strandlab.sources import models
 
 TOY = ["0123", "03123", "31230", "00312300", "000031230000", "031230001230"]
 
@@ -86,22 +88,35 @@ def hmm_calibrate(spark, d):
     return H.calibrated(H.toy_model()).tables(spark)["fhmm_param"]
 
 
-@query("hmm_emission_table")
+@query("hmm_emission_table", f"WITH {EMISSION} SELECT state, symbol, round(n, 9) AS n, round(bg, 9) AS bg, round(p, 9) AS p FROM em")
 def hmm_emission_table(spark, d):
-    return event_emissions(spark, d)
+    return event_emissions(spark, d).select("state", "symbol", *(F.round(c, 9).alias(c) for c in ("n", "bg", "p")))
+
+
+@query("hmm_score_modes")
+def hmm_score_modes(spark, d):
+    """Every score of the users' events under their own model: forward, backward and null totals, log-odds against the
+    null and the bias model, and their P-values."""
+    return H.score_modes(event_codes(spark, d), H.calibrated(events_model(spark, d, 0)))
+
+
+@query("score_ranks", f"WITH {scores_sql(1)}, r AS (SELECT seq_id, round(score, 4) + 0.0 AS score FROM sc) SELECT seq_id, score, row_number() OVER (ORDER BY score DESC, seq_id) AS place, round(row_number() OVER (ORDER BY score DESC, seq_id) / (SELECT count(*) FROM sc), 9) AS share FROM r")
+def score_ranks(spark, d):
+    """Scores of a table by rank, the highest first, and each rank's share of the table."""
+    rows = scored(spark, d, 1).select("seq_id", (F.round("score", 4) + 0.0).alias("score"))
+    every = rows.agg(F.count("*").alias("every"))  # one row
+    return ranked(rows, [F.desc("score"), "seq_id"]).join(F.broadcast(every)).select("seq_id", "score", "place", F.round(F.col("place") / F.col("every"), 9).alias("share"))
 
 
 @query("hmm_eval_table")
 def hmm_eval_table(spark, d):
     """Scores, P- and E-values of 10,000 random sequences of each of three lengths, by rank."""
     m = H.calibrated(H.toy_model())
-    from pyspark.sql import Window
-
     out = None
     for length in (100, 400, 1600):
         rows = G.random_sequences(spark, 10_000, length, S.DNA, seed=length).select("seq_id", S.encode("seq", S.DNA).alias("codes"))
-        scored = H.score_table(rows, m).select(F.row_number().over(Window.orderBy(F.desc("score"), "seq_id")).alias("place"), F.col("score").alias(f"score_{length}"), F.col("p").alias(f"p_{length}"), (F.col("p") * 10_000).alias(f"e_{length}"))
-        out = scored if out is None else out.join(scored, "place")
+        ordered = H.score_table(rows, m).select(F.row_number().over(Window.orderBy(F.desc("score"), "seq_id")).alias("place"), F.col("score").alias(f"score_{length}"), F.col("p").alias(f"p_{length}"), (F.col("p") * 10_000).alias(f"e_{length}"))
+        out = ordered if out is None else out.join(ordered, "place")
     return out
 
 
@@ -129,11 +144,39 @@ def ihmm_to_finite(spark, d):
     return model.tables(spark)["fhmm_emission"]
 
 
+@query("ihmm_resume")
+def ihmm_resume(spark, d):
+    """The same as ihmm_train: three iterations, a checkpoint, and two more from there."""
+    path = folder(spark, "checkpoint")
+    models.checkpoint(N.start(event_codes(spark, d), 5, states=10).run(3), path)
+    labels, _, _ = N.relabelled(*(lambda b: (b.labels, b.states))(models.resume(spark, path).run(2)))
+    return labels.select("seq_id", "labels")
+
+
+def competing(spark, d: str) -> N.Bag:
+    return N.start(event_codes(spark, d), 5, states=8, models=2, competitive=True, inner=2).run(4)
+
+
+@query("ihmm_competitive")
+def ihmm_competitive(spark, d):
+    """Two models that compete for the users' event sequences: labels and weights after four iterations."""
+    return competing(spark, d).labels.select("model", "seq_id", "labels", "weight")
+
+
+@query("ihmm_bag")
+def ihmm_bag(spark, d):
+    """The finite models of the same bag, stored, and the best one of them by BIC, read back."""
+    bag, path = competing(spark, d), folder(spark, "bag")
+    models.save_bag(spark, dict(enumerate(bag.finite())), N.best(bag), path)
+    return models.load_model(spark, path).tables(spark)["fhmm_emission"]
+
+
 @query("multiple_alignment")
 def multiple_alignment(spark, d):
     """Families of the benchmark's passages, as DNA, aligned."""
     rows = table(spark, d, "benchmark").select("item_id", F.translate(S.letters_of("text"), S.LETTERS, "ACGTACGTACGTACGTACGTACGTAC").alias("seq"))
-    return A.align_groups(rows.select((F.col("item_id") % 20).alias("grp"), F.col("item_id").alias("seq_id"), "seq"))
+    many = max(20, -(-rows.count() // 50))  # families of at most about 50
+    return A.align_groups(rows.select((F.col("item_id") % many).alias("grp"), F.col("item_id").alias("seq_id"), "seq"))
 
 
 @query("ihmm_labels_by_emission")
@@ -150,8 +193,7 @@ def ihmm_labels_by_model(spark, d):
 def hmm_gumbel_of_lengths(spark, d):
     """Gumbel parameters for random sequences as long as the users' (one row a length comes to the driver)."""
     rows = table(spark, d, "events").groupBy("user_id").count().groupBy(F.col("count").alias("len")).count().orderBy("len").collect()
-    lengths = np.repeat([r["len"] for r in rows], [r["count"] for r in rows])
-    mu, lam = H.gumbel_of_lengths(H.toy_model(), lengths, 20_000)
+    mu, lam = H.gumbel_of_lengths(H.toy_model(), np.array([r["len"] for r in rows]), np.array([r["count"] for r in rows]), 20_000)
     return spark.createDataFrame([(float(mu), float(lam))], "mu double, lambda double")
 
 

@@ -11,6 +11,7 @@ from strandlab.functions import mathematics as A
 from strandlab.functions import sequences as S
 from strandlab.operators import counting as C
 from strandlab.operators import motifs as M
+from strandlab.operators.orders import ranked
 from strandlab.plans.counting import EV, km_sql, labelled_events
 from strandlab.plans.registry import query
 from strandlab.plans.sequences import SEQS, seqs
@@ -63,6 +64,52 @@ def motif_hits_query(spark, d):
     return motif_hits(spark, d).select("motif", "seq_id", "pos")
 
 
+@query("motif_hits_sorted", f"WITH {TOP} SELECT motif, seq_id, pos, row_number() OVER (PARTITION BY motif ORDER BY seq_id, pos) AS place FROM ht")
+def motif_hits_sorted(spark, d):
+    """Each motif's hits in order of sequence and place."""
+    return ranked(motif_hits(spark, d).select("motif", "seq_id", "pos"), ["seq_id", "pos"], ["motif"])
+
+
+@query("motif_discovery_whole", f"""WITH {EV}, s AS (SELECT user_id, state, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM ev), w AS (SELECT user_id, list(state ORDER BY i) AS x FROM s GROUP BY user_id),
+e AS (SELECT count(*) AS every, (SELECT count(*) FROM w) AS users FROM s), f AS (SELECT state, count(*) / (SELECT every FROM e) AS p FROM s GROUP BY state), g AS (SELECT k, x[i:i + k - 1] AS path, count(*) AS n, count(DISTINCT user_id) AS n_seq FROM (SELECT user_id, x, k, unnest(range(1, len(x) - k + 2)) AS i FROM w, range(8, 16) AS r(k)) GROUP BY ALL HAVING count(*) >= (SELECT sqrt(users) FROM e)),
+l AS (SELECT path, any_value(k) AS k, any_value(n) AS n, any_value(n_seq) AS n_seq, sum(ln(f.p)) AS lp FROM (SELECT *, unnest(path) AS state FROM g) u JOIN f ON f.state = u.state GROUP BY path)
+SELECT path, CAST(k AS INTEGER) AS length, CAST(n AS BIGINT) AS n, CAST(n_seq AS BIGINT) AS n_seq, round(n * (ln(n / (SELECT every FROM e)) - lp), 3) AS ll FROM l WHERE n_seq * n_seq / n >= 8 AND n * (ln(n / (SELECT every FROM e)) - lp) > 5""")
+def motif_discovery_whole(spark, d):
+    """Label paths of 15 down to 8 states that come at least sqrt(sequences) times, in enough sequences for it, with a
+    log-likelihood ratio above 5 against independent labels.
+
+    A path's k-grams are made in each sequence's own array; only those of frequent beginnings are counted further: a
+    frequent path has frequent prefixes."""
+    rows = written(user_states(spark, d), "paths")
+    size = rows.agg(F.sum(F.size("x")).alias("every"), F.sqrt(F.count("*")).alias("least")).first()
+    every, least = size["every"] or 0, size["least"] or 0.0
+    share = rows.select(F.explode("x").alias("state")).groupBy("state").agg((F.log(F.count("*") / F.lit(float(max(every, 1))))).alias("lp"))
+    lp = F.map_from_entries(F.collect_list(F.struct("state", "lp")))
+    grams = lambda k: F.expr(f"CASE WHEN size(x) >= {k} THEN transform(sequence(1, size(x) - {k} + 1), i -> slice(x, i, {k})) ELSE array() END")
+    out = None
+    frequent: DataFrame | None = None
+    for k in range(8, 16):
+        each = rows.select("user_id", F.explode(grams(k)).alias("path"))
+        if frequent is not None:
+            each = each.withColumn("begin", F.slice("path", 1, k - 1)).join(frequent, "begin", "left_semi").drop("begin")
+        n = each.groupBy("path", "user_id").agg(F.count("*").alias("n")).groupBy("path").agg(F.sum("n").alias("n"), F.count("*").alias("n_seq")).where(F.col("n") >= least)
+        n = written(n, f"paths{k}")
+        out = n if out is None else out.unionByName(n)
+        if n.isEmpty():
+            break
+        frequent = n.select(F.col("path").alias("begin"))
+    alone = F.aggregate("path", F.lit(0.0), lambda a, s: a + F.col("lps")[s])
+    ll = F.col("n") * (F.log(F.col("n") / F.lit(float(max(every, 1)))) - alone)
+    found = out.join(F.broadcast(share.agg(lp.alias("lps")))).withColumn("ll", ll)  # one map of the states
+    return found.where("n_seq * n_seq / n >= 8 AND ll > 5").select("path", F.size("path").alias("length"), "n", "n_seq", F.round("ll", 3).alias("ll"))
+
+
+def user_states(spark, d: str) -> DataFrame:
+    """user_id, x: a user's labels in order of time."""
+    e = labelled_events(spark, d).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "state"))).alias("e"))
+    return e.select("user_id", F.col("e.state").alias("x"))
+
+
 @query("motif_presence", f"WITH {TOP} SELECT motif, CAST(count(DISTINCT seq_id) AS BIGINT) AS n_seq, CAST(count(*) AS BIGINT) AS n FROM ht GROUP BY motif")
 def motif_presence(spark, d):
     each = motif_hits(spark, d).groupBy("motif", "seq_id").agg(F.count("*").alias("n"))
@@ -142,6 +189,32 @@ def motif_distance(spark, d):
     return M.distances(written(freq(spark, d), "freq"), WIDTH).select("a", "b", F.round("distance", 5).alias("distance"))
 
 
+_COST = "2 * (1 / (1 + exp(-kl)) - 0.5)"
+
+
+@query("motif_alignment", f"WITH {FREQ}, c AS (SELECT a.motif AS a, b.motif AS b, a.place AS pa, b.place AS pb, sum(greatest(a.p, 1e-9) * log2(greatest(a.p, 1e-9) / greatest(b.p, 1e-9)) + greatest(b.p, 1e-9) * log2(greatest(b.p, 1e-9) / greatest(a.p, 1e-9))) / 2 AS kl FROM fr a JOIN fr b ON a.residue = b.residue AND a.motif < b.motif GROUP BY ALL), o AS (SELECT a, b, pa - pb AS off, round(avg({_COST}), 9) AS cost, count(*) AS overlap FROM c GROUP BY ALL) SELECT a, b, round(min(cost), 6) AS cost FROM o WHERE overlap >= 6 GROUP BY a, b")
+def motif_alignment(spark, d):
+    """The cost of the best ungapped alignment of each pair of motifs."""
+    return M.best_alignments(written(freq(spark, d), "freq"), WIDTH).select("a", "b", F.round("cost", 6).alias("cost"))
+
+
+@query("alignment_motif")
+def alignment_motif(spark, d):
+    """The motif of each aligned family of the benchmark's passages: letters of its columns with background pseudocounts,
+    and its log-likelihood ratio."""
+    from strandlab.plans.models import multiple_alignment
+
+    return M.motif_of_alignment(multiple_alignment(spark, d), S.DNA)
+
+
+@query("motif_merged_hits")
+def motif_merged_hits(spark, d):
+    """The hits of merged motifs: the union of their members' hits, shifted by their places in the merged motif."""
+    members = written(M.merged_members(matrix(spark, d), S.LETTERS), "members")  # as many rows as motifs
+    rows = motif_hits(spark, d).join(F.broadcast(members), "motif")
+    return rows.select("merged", "seq_id", (F.col("pos") - F.col("shift")).alias("pos")).distinct()
+
+
 @query("motif_likelihood", f"WITH {FREQ}, t AS (SELECT count(*) AS every FROM km), l AS (SELECT motif, sum(n * ln(p / bg)) AS ll FROM fr WHERE n > 0 GROUP BY motif) SELECT l.motif, round(ll + tp.n * ln(CAST(tp.n AS DOUBLE) / every), 2) AS ll, row_number() OVER (ORDER BY round(ll + tp.n * ln(CAST(tp.n AS DOUBLE) / every), 2) DESC, l.motif) AS place FROM l JOIN tp ON tp.motif = l.motif, t")
 def motif_likelihood(spark, d):
     """Motifs ranked by the log-likelihood ratio of their occurrences."""

@@ -136,10 +136,13 @@ def label_contingency(spark, d):
     return ev.select(F.explode(F.array(*pairs)).alias("p")).groupBy("p.a", "p.b", "p.x", "p.y").agg(F.count("*").alias("n"))
 
 
-@query("pairwise_ari", f"WITH {EV}, c AS (SELECT state AS i, symbol AS j, count(*) AS n FROM ev GROUP BY ALL), s AS (SELECT sum(n * (n - 1.0)) AS s, sum(n) AS every FROM c), a AS (SELECT sum(m * (m - 1.0)) AS sa FROM (SELECT sum(n) AS m FROM c GROUP BY i)), b AS (SELECT sum(m * (m - 1.0)) AS sb FROM (SELECT sum(n) AS m FROM c GROUP BY j)) SELECT round(CAST((s - sa * sb / (every * (every - 1))) / ((sa + sb) / 2 - sa * sb / (every * (every - 1))) AS DOUBLE), 8) + 0.0 AS ari FROM s, a, b")
+@query("pairwise_ari", f"""WITH {EV}, l AS (SELECT event_id, 0 AS m, state AS x FROM ev UNION ALL SELECT event_id, 1, symbol FROM ev UNION ALL SELECT event_id, 2, CAST(user_id % 4 AS INTEGER) FROM ev),
+c AS (SELECT a.m AS a, b.m AS b, a.x AS i, b.x AS j, count(*) AS n FROM l a JOIN l b ON a.event_id = b.event_id AND a.m <= b.m GROUP BY ALL),
+s AS (SELECT a, b, sum(n * (n - 1.0)) AS s, sum(n) AS every FROM c GROUP BY a, b), x AS (SELECT a, b, sum(m * (m - 1.0)) AS sa FROM (SELECT a, b, i, sum(n) AS m FROM c GROUP BY a, b, i) GROUP BY a, b), y AS (SELECT a, b, sum(m * (m - 1.0)) AS sb FROM (SELECT a, b, j, sum(n) AS m FROM c GROUP BY a, b, j) GROUP BY a, b)
+SELECT s.a, s.b, round(CAST((s - sa * sb / (every * (every - 1))) / ((sa + sb) / 2 - sa * sb / (every * (every - 1))) AS DOUBLE), 8) + 0.0 AS ari FROM s JOIN x ON x.a = s.a AND x.b = s.b JOIN y ON y.a = s.a AND y.b = s.b""")
 def pairwise_ari(spark, d):
-    cells = labelled_events(spark, d).groupBy(F.col("state").alias("i"), F.col("symbol").alias("j")).agg(F.count("*").alias("n"))
-    return I.adjusted_rand(cells, "i", "j", "n").select((F.round("ari", 8) + 0.0).alias("ari"))
+    """Agreement of all pairs of three labelings, each with itself too."""
+    return I.adjusted_rand(label_contingency(spark, d), "x", "y", "n", ["a", "b"]).select("a", "b", (F.round("ari", 8) + 0.0).alias("ari"))
 
 
 _G = """WITH l AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id), s AS (SELECT d.doc_id, q, lower(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM documents d JOIN l ON l.doc_id = d.doc_id),

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from strandlab.functions import sequences as S
+from strandlab.operators import counting as C
 from strandlab.operators import markov as H
+from strandlab.operators import suffixtree as T
+from strandlab.plans import context as P
 from strandlab.plans.counting import EV, labelled_events
-from strandlab.plans.models import event_codes
+from strandlab.plans.models import event_codes, hmm_eval_table
+from strandlab.plans.motifs import MATRIX
+from strandlab.plans.motifs import matrix as motif_matrix
 from strandlab.plans.registry import query
 from strandlab.plans.sequences import SEQS, seqs
 from strandlab.session import folder, table
@@ -32,9 +38,29 @@ def labelled_fasta_roundtrip(spark, d):
     return files.read_labelled(spark, path)
 
 
-@query("in_memory_source", "SELECT * FROM (VALUES (0, 'ACGT'), (1, 'AACC'), (2, '')) v(seq_id, seq)")
+@query("in_memory_source", "SELECT r_regionkey AS seq_id, replace(r_name, ' ', '') AS seq FROM region")
 def in_memory_source(spark, d):
-    return spark.createDataFrame([(0, "ACGT"), (1, "AACC"), (2, "")], "seq_id int, seq string")
+    """Sequences that the caller holds in memory, as rows."""
+    held = [(r["r_regionkey"], r["r_name"].replace(" ", "")) for r in table(spark, d, "region").collect()]  # five regions
+    return spark.createDataFrame(held, table(spark, d, "region").select(F.col("r_regionkey").alias("seq_id"), F.col("r_name").alias("seq")).schema)
+
+
+@query("fastq_roundtrip", f"WITH {SEQS} SELECT CAST(seq_id AS VARCHAR) AS name, seq, CASE WHEN seq_id % 2 = 0 THEN '@' ELSE 'I' END || repeat('I', length(seq) - 1) AS qual FROM seqs WHERE seq <> ''")
+def fastq_roundtrip(spark, d):
+    """Documents' letters with qualities, some of which begin like a header, written as FASTQ and read again."""
+    path = folder(spark, "fastq")
+    first = F.when(F.col("seq_id") % 2 == 0, "@").otherwise("I")
+    rows = seqs(spark, d).where("seq <> ''").withColumn("qual", F.concat(first, F.expr("repeat('I', length(seq) - 1)")))
+    files.write_fastq(rows, path)
+    return files.read_fastq(spark, path)
+
+
+@query("at_header_roundtrip", f"WITH {SEQS} SELECT CAST(seq_id AS VARCHAR) AS name, seq FROM seqs")
+def at_header_roundtrip(spark, d):
+    """The older form of FASTA, whose records begin with an at sign."""
+    path = folder(spark, "fasta")
+    files.write_fasta(seqs(spark, d), path, header="@")
+    return files.read_fasta(spark, path, header="@")
 
 
 @query("pack_store", f"WITH {SEQS}, p AS (SELECT seq_id // 100 AS chunk, seq_id, CAST(length(seq) AS BIGINT) AS len FROM seqs) SELECT CAST(chunk AS BIGINT) AS chunk, seq_id, len, coalesce(CAST(sum(len) OVER (PARTITION BY chunk ORDER BY seq_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS start FROM p")
@@ -54,25 +80,82 @@ def training_set_roundtrip(spark, d):
     return spark.read.parquet(f"{path}/sequences")
 
 
-@query("model_store_roundtrip", "SELECT * FROM (VALUES (0, 1, 1.0::DOUBLE), (1, 2, 1.0::DOUBLE), (2, 3, 1.0::DOUBLE)) v(from_state, to_state, t)")
-def model_store_roundtrip(spark, d):
-    """A bag of two models stored; the best one read back."""
-    path = folder(spark, "bag")
-    toy = H.toy_model()
-    models.save_bag(spark, {0: H.bias_of(toy), 1: toy}, 1, path)
-    return models.load_model(spark, path).tables(spark)["fhmm_transition"]
+_GROUPS = f"""{EV}, w AS (SELECT user_id % 3 AS grp, lag(state) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f, state AS t FROM ev), n AS (SELECT grp, f, t, count(*) AS n FROM w WHERE f IS NOT NULL GROUP BY ALL),
+st(s) AS (VALUES (2), (3), (4), (5), (6)), gr(grp) AS (VALUES (0), (1), (2)), full_ AS (SELECT gr.grp, a.s AS f, b.s AS t, coalesce(n, 0) + 0.001 AS n FROM gr CROSS JOIN st a CROSS JOIN st b LEFT JOIN n ON n.grp = gr.grp AND n.f = a.s AND n.t = b.s)"""
 
 
-@query("context_store_roundtrip", "SELECT 1 AS nodes_kept")
+@query("model_store_roundtrip", f"""WITH {_GROUPS} SELECT CAST(grp AS INTEGER) AS grp, 'main' AS kind, CAST(f - 2 AS INTEGER) AS from_state, CAST(t - 2 AS INTEGER) AS to_state, round(n / sum(n) OVER (PARTITION BY grp, f), 6) AS t FROM full_
+UNION ALL SELECT CAST(grp AS INTEGER), 'bias', from_state, to_state, round(t, 6) FROM gr CROSS JOIN (VALUES (0, 0, 400.0::DOUBLE / 401), (0, 1, 1.0::DOUBLE / 401), (1, 0, 1.0::DOUBLE / 6), (1, 1, 5.0::DOUBLE / 6)) v(from_state, to_state, t)""")
+def model_store_roundtrip(spark, d):
+    """The models of three groups of users and their bias models, stored by group and read back."""
+    path = folder(spark, "groups")
+    out = None
+    for g in range(3):
+        n = C.transitions(labelled_events(spark, d).where(F.col("user_id") % 3 == g), ["user_id"], ["ts", "event_id"])
+        t = np.zeros((7, 7))
+        for r in n.collect():  # states squared
+            t[r["from_state"], r["to_state"]] = r["n"]
+        every = t[2:, 2:].sum(axis=0)
+        m = H.from_counts(t[2:, 2:], np.diag(every), every / max(every.sum(), 1), draws=0)
+        for kind, one in (("main", m), ("bias", H.bias_of(m))):
+            one.save(spark, f"{path}/group={g}/{kind}")
+            back = H.Model.load(spark, f"{path}/group={g}/{kind}").tables(spark)["fhmm_transition"]
+            rows = back.select(F.lit(g).alias("grp"), F.lit(kind).alias("kind"), "from_state", "to_state", F.round("t", 6).alias("t"))
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("bag_store_roundtrip", f"WITH {_GROUPS} SELECT CAST(f - 2 AS INTEGER) AS from_state, CAST(t - 2 AS INTEGER) AS to_state, round(n / sum(n) OVER (PARTITION BY f), 6) AS t FROM full_ WHERE grp = 1")
+def bag_store_roundtrip(spark, d):
+    """The same models as one bag; the one marked best read back."""
+    path, bag = folder(spark, "bag"), {}
+    for g in range(3):
+        n = C.transitions(labelled_events(spark, d).where(F.col("user_id") % 3 == g), ["user_id"], ["ts", "event_id"])
+        t = np.zeros((7, 7))
+        for r in n.collect():  # states squared
+            t[r["from_state"], r["to_state"]] = r["n"]
+        bag[g] = H.from_counts(t[2:, 2:], np.eye(5), np.full(5, 0.2), draws=0)
+    models.save_bag(spark, bag, 1, path)
+    return models.load_model(spark, path).tables(spark)["fhmm_transition"].select("from_state", "to_state", F.round("t", 6).alias("t"))
+
+
+@query("hit_csv_store", f"WITH {P._Z}, h AS (SELECT seq_id, z, exp(-0.9 * (z - 1.5)) AS p, exp(-0.8 * (z - 1.5)) AS q, (SELECT count(*) FROM documents) AS n FROM z WHERE z >= 3.0) SELECT CAST(seq_id AS VARCHAR) AS \"Name\", round(z, 3) AS score, round(z / 2, 3) AS score_bias, round(p, 6) AS p_score, round(q, 6) AS p_score_bias, round(p * n, 3) AS e, round(q * n, 3) AS e_bias FROM h")
+def hit_csv_store(spark, d):
+    """Hits of the context-model search written as CSV of seven columns, the name cut at its first blank, and read again."""
+    path = folder(spark, "hits")
+    many = table(spark, d, "documents").agg(F.count("*").alias("n"))
+    hits = P.z_scored(spark, d).where("z >= 3.0").join(F.broadcast(many))
+    p, q = (F.exp(-rate * (F.col("z") - 1.5)) for rate in (0.9, 0.8))
+    rows = hits.select(F.concat(F.col("seq_id").cast("string"), F.lit(" a document")).alias("name"), F.round("z", 3).alias("score"), F.round(F.col("z") / 2, 3).alias("score_bias"), F.round(p, 6).alias("p_score"), F.round(q, 6).alias("p_score_bias"), F.round(p * F.col("n"), 3).alias("e"), F.round(q * F.col("n"), 3).alias("e_bias"))
+    files.write_hits(rows, path)
+    return spark.read.csv(path, header=True, schema="Name string, score double, score_bias double, p_score double, p_score_bias double, e double, e_bias double")
+
+
+@query("calibration_csv")
+def calibration_csv(spark, d):
+    """The table of scores, P- and E-values of simulated sequences, by rank, written as CSV and read again."""
+    path = folder(spark, "calibration")
+    rows = hmm_eval_table(spark, d)
+    files.write_table(rows, path)
+    return spark.read.csv(path, header=True, schema=rows.schema)
+
+
+@query("motif_store_roundtrip", f"WITH {MATRIX} SELECT motif, place, residue, CAST(n AS BIGINT) AS n FROM mx")
+def motif_store_roundtrip(spark, d):
+    """Motifs' count matrices stored and read back."""
+    path = folder(spark, "motifs")
+    motif_matrix(spark, d).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("context_store_roundtrip", f"WITH {P.NODES} SELECT context, residue, round(p, 6) AS p, round(lod, 5) AS lod FROM nodes WHERE length(context) <= 1")
 def context_store_roundtrip(spark, d):
-    """A context model and its fits stored and read back; 1 if nothing changed."""
-    from strandlab.plans import context as P
-
+    """A context model and its fits stored; the nodes as they are read back."""
     path = folder(spark, "pst")
-    nodes = P.nodes(spark, d, 1)
-    models.save_context(nodes, P.P.fit_line(P.scored(spark, d, 1).withColumn("band", P.P.band()), ["band"]), path)
-    back, _ = models.load_context(spark, path)
-    return nodes.exceptAll(back).unionByName(back.exceptAll(nodes)).agg((F.count("*") == 0).cast("int").alias("nodes_kept"))
+    rows = seqs(spark, d)
+    tree = P.tree(rows, 1)
+    models.save_context(T.node_table(spark, tree), P.P.fit_line(T.score(rows, tree).withColumn("band", P.P.band()), ["band"]), path)
+    return models.load_context(spark, path)[0].select("context", "residue", F.round("p", 6).alias("p"), F.round("lod", 5).alias("lod"))
 
 
 @query("matrix_transpose", f"WITH {EV} SELECT 's' || symbol AS \"column\", " + ", ".join(f'CAST(count(*) FILTER (WHERE state = {s}) AS BIGINT) AS "{s}"' for s in range(2, 7)) + " FROM ev GROUP BY symbol")

@@ -17,13 +17,13 @@ BLOCK = 70
 CAP = 100_000
 
 
-def read_fasta(spark, path: str, unalign: bool = True, cap: int | None = None) -> DataFrame:
-    """name, seq of every record; gaps are removed if any record has some.
+def read_fasta(spark, path: str, unalign: bool = True, cap: int | None = None, header: str = ">") -> DataFrame:
+    """name, seq of every record; gaps are removed if any record has some.  header: what records begin with (">" or "@").
 
     Records are split by the reader itself, so a large file is read by many tasks.  cap: that many records, in order of
     name, which is what a fixed number of first records means without an order of files."""
-    rows = spark.read.option("lineSep", "\n>").text(path)
-    record = F.regexp_replace("value", "^>", "")
+    rows = spark.read.option("lineSep", "\n" + header).text(path)
+    record = F.regexp_replace("value", "^" + header, "")
     parts = F.split(record, "\n", 2)
     seq = F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"\s", "")
     out = rows.where("trim(value) <> ''").select(F.trim(F.get(parts, F.lit(0))).alias("name"), seq.alias("seq"))
@@ -40,12 +40,18 @@ def read_fastq(spark, path: str) -> DataFrame:
     return each.select(F.regexp_replace(F.get("r", F.lit(0)), "^@", "").alias("name"), F.get("r", F.lit(1)).alias("seq"), F.get("r", F.lit(3)).alias("qual"))
 
 
-def fasta_line(name: Column | str, seq: Column | str) -> Column:
-    return F.concat(F.lit(">"), S.col(name).cast("string"), F.lit("\n"), S.col(seq))
+def write_fastq(df: DataFrame, path: str, name: str = "seq_id", seq: str = "seq", qual: str = "qual") -> None:
+    """Four lines a record; an empty sequence has no record."""
+    rows = df.where(F.length(seq) > 0)
+    rows.select(F.concat_ws("\n", F.concat(F.lit("@"), F.col(name).cast("string")), seq, F.lit("+"), qual).alias("value")).write.text(path)
 
 
-def write_fasta(df: DataFrame, path: str, name: str = "seq_id", seq: str = "seq") -> None:
-    df.select(fasta_line(name, seq).alias("value")).write.text(path)
+def fasta_line(name: Column | str, seq: Column | str, header: str = ">") -> Column:
+    return F.concat(F.lit(header), S.col(name).cast("string"), F.lit("\n"), S.col(seq))
+
+
+def write_fasta(df: DataFrame, path: str, name: str = "seq_id", seq: str = "seq", header: str = ">") -> None:
+    df.select(fasta_line(name, seq, header).alias("value")).write.text(path)
 
 
 def labelled_lines(name: str, seq: str, labels: list[int]) -> list[str]:
@@ -106,6 +112,11 @@ def write_hits(df: DataFrame, path: str) -> None:
     df.withColumn("Name", F.substring_index(F.col("name").cast("string"), " ", 1)).select("Name", "score", "score_bias", "p_score", "p_score_bias", "e", "e_bias").write.csv(path, header=True)
 
 
+def write_table(df: DataFrame, path: str) -> None:
+    """A table of numbers as CSV with a header."""
+    df.write.csv(path, header=True)
+
+
 def read_matrix(spark, path: str, sep: str = "\t", header: bool = True) -> DataFrame:
     """A delimited numeric matrix, one row a line."""
     return spark.read.csv(path, sep=sep, header=header, inferSchema=True)

@@ -72,10 +72,41 @@ def test_upper_gamma():
     assert M.upper_gamma(1.0, 3.0) == pytest.approx(math.exp(-3)) and M.upper_gamma(3.0, 0.0) == 1
 
 
+def test_forward_by_products_equals_forward_by_steps():
+    r = np.random.default_rng(3)
+    for model in (H.toy_model(), H.bias_of(H.toy_model()), H.Model(r.dirichlet(np.ones(5), 5), r.dirichlet(np.ones(20), 5), np.full(20, 0.05))):
+        for multi in (True, False):
+            x = [r.integers(0, model.emission.shape[1], n) for n in (0, 1, 2, 40, 511, 512, 513, 2051, 20_000)]
+            steps = H._forward_steps(model, x[::-1], multi)[::-1]  # noqa: SLF001
+            assert H.forward(model, x, multi)[1:] == pytest.approx(steps[1:], rel=1e-9) and H.forward(model, x, multi)[0] == -math.inf
+            assert [H.forward_product(model, s, multi) for s in x[1:]] == pytest.approx(list(steps[1:]), rel=1e-9)
+
+
+def test_groups_of_sequences_are_bounded(monkeypatch):
+    """The score of a sequence doesn't depend on those beside it."""
+    r, m = np.random.default_rng(4), H.toy_model()
+    x = [r.integers(0, 4, int(n)) for n in r.integers(0, 300, 60)]
+    one = H.forward(m, x)
+    monkeypatch.setattr(H, "GROUP", 500)
+    assert H.forward(m, x).tolist() == one.tolist()
+
+
+def test_score_modes_agree(spark):
+    r, m = np.random.default_rng(5), H.calibrated(H.toy_model())
+    x = [r.integers(0, 4, 30).tolist() for _ in range(8)] + [[0, 1, 2, 3] * 5]
+    got = H.score_modes(spark.createDataFrame(list(enumerate(x)), "seq_id long, codes array<int>"), m).orderBy("seq_id").toPandas()
+    assert got.forward.to_numpy() == pytest.approx(got.backward.to_numpy())
+    assert got.log_odds.to_numpy() == pytest.approx((got.forward - got.null).to_numpy() / math.log(2))
+    assert got.log_odds.idxmax() == 8 == got.p.idxmin() and got.p.between(0, 1).all() and got.p_bias.between(0, 1).all()
+
+
+def event_like(spark, n=12, length=30, seed=4):
+    r = np.random.default_rng(seed)
+    return spark.createDataFrame([(i, r.integers(0, 3, length).tolist()) for i in range(n)], "seq_id long, codes array<int>")
+
+
 def test_infinite_model_is_reproducible(spark):
-    r = np.random.default_rng(4)
-    rows = [(i, r.integers(0, 3, 30).tolist()) for i in range(12)]
-    seqs = spark.createDataFrame(rows, "seq_id long, codes array<int>")
+    seqs = event_like(spark)
     run = lambda parts: {x["seq_id"]: x["labels"] for x in N.train(seqs.repartition(parts), 3, 3, states=6)[0].collect()}
     one = run(1)
     assert one == run(5) and all(len(v) == 30 and min(v) >= 2 for v in one.values())
@@ -83,6 +114,55 @@ def test_infinite_model_is_reproducible(spark):
     assert s.beta.sum() == pytest.approx(1) and model.transition.sum(1) == pytest.approx(np.ones(model.states))
 
 
+def test_run_goes_on_from_a_checkpoint(spark, tmp_path):
+    """Three iterations, a checkpoint and two more are the same as five, weights and all."""
+    from strandlab.sources import models
+
+    seqs, path = event_like(spark), f"file://{tmp_path}/run"
+    start = lambda: N.start(seqs, 3, states=6, models=2, competitive=True, inner=2)
+    whole = start().run(5)
+    part = start().run(2)
+    models.checkpoint(part, path)
+    part.run(1)
+    models.checkpoint(part, path)
+    again = models.resume(spark, path)
+    assert again.iteration == 3 and models.resume(spark, path, 2).iteration == 2
+    again.run(2)
+    rows = lambda bag: sorted(map(str, bag.labels.collect()))
+    assert rows(again) == rows(whole)
+    for a, b in zip(again.states, whole.states):
+        assert a.beta.tolist() == b.beta.tolist() and (a.alpha, a.gamma, a.iteration) == (b.alpha, b.gamma, b.iteration)
+
+
+def test_models_compete_for_sequences(spark):
+    """Two kinds of sequences: weights differ between the models and are 1 + models x a share."""
+    rows = [(i, ([0, 1] * 20) if i % 2 else [2, 2, 3, 3] * 10) for i in range(16)]
+    seqs = spark.createDataFrame(rows, "seq_id long, codes array<int>")
+    bag = N.start(seqs, 4, states=6, models=2, competitive=True, inner=2).run(4)
+    got = bag.labels.select("model", "seq_id", "weight").toPandas()
+    total = got.groupby("seq_id").weight.sum()
+    assert total.to_numpy() == pytest.approx(np.full(16, 4.0), abs=1e-4) and got.weight.between(1, 3).all() and got.weight.std() > 0
+    plain = N.start(seqs, 4, states=6, models=2, inner=2).run(4)
+    assert set(plain.labels.select("weight").toPandas().weight) == {1.0}
+    models = bag.finite()
+    fit = [sum(H.forward(m, [np.array(c) for _, c in rows])) for m in models]
+    free = [m.states * (m.states - 1) + m.states * 3 for m in models]
+    assert N.best(bag) == int(np.argmin([-2 * f + k * math.log(640) for f, k in zip(fit, free)]))
+
+
+def test_table_counts():
+    """Expected number of tables, term by term, also where the tail is drawn at once."""
+    r = np.random.default_rng(6)
+    for n, mass in ((50, 0.7), (40_000, 3.0)):
+        want = (mass / (mass + np.arange(n))).sum()
+        got = np.mean([N.table_count(n, mass, r) for _ in range(400)])
+        assert got == pytest.approx(want, rel=0.04)
+
+
+def test_ids_equal_in_their_low_bits_draw_differently():
+    assert N.generator(1, 2, 0, 5).random() != N.generator(1, 2, 0, 5 + (1 << 40)).random()
+
+
 def test_slices_keep_the_old_path():
     r = np.random.default_rng(5)
     t = r.random((5, 6))
@@ -92,7 +172,7 @@ def test_slices_keep_the_old_path():
     e /= e.sum(1, keepdims=True)
     e[:2] = 0
     labels, codes = r.integers(2, 5, 20), r.integers(0, 3, 20)
-    u = N.slices(t, labels, 1, 2, 3)
+    u = N.slices(t, labels, N.generator(1, 2, 0, 3))
     path = [0, *labels, 1]
     assert (u <= [t[a, b] for a, b in zip(path, path[1:])]).all()
     new = N.resample(t, e, codes, u, r)
@@ -100,6 +180,23 @@ def test_slices_keep_the_old_path():
     assert (np.array([t[a, b] for a, b in zip(full, full[1:])]) > u).all()
 
 
+def test_resampling_is_fair():
+    """Labels of a short sequence come as often as listing all paths above the slices says."""
+    r = np.random.default_rng(7)
+    t = np.array([[0, 0.1, 0.5, 0.3, 0.1], [0, 0, 0, 0, 0], [0, 0.3, 0.3, 0.3, 0.1], [0, 0.2, 0.5, 0.2, 0.1]])
+    e = np.array([[0, 0], [0, 0], [0.8, 0.2], [0.3, 0.7]])
+    codes, u = np.array([0, 1, 1]), np.array([0.2, 0.1, 0.25, 0.1])
+    want = {p: math.prod(e[s, c] for s, c in zip(p, codes)) for p in itertools.product((2, 3), repeat=3) if all(t[a, b] > x for a, b, x in zip((0, *p), (*p, 1), u))}
+    n = 20_000
+    got = {}
+    for _ in range(n):
+        p = tuple(N.resample(t, e, codes, u, r).tolist())
+        got[p] = got.get(p, 0) + 1
+    assert set(got) <= set(want)
+    for p, w in want.items():
+        assert got.get(p, 0) / n == pytest.approx(w / sum(want.values()), abs=0.012)
+
+
 def test_sequences(spark):
     df = spark.createDataFrame([(1, "ACGTN"), (2, "AC-G.T"), (3, "")], "seq_id long, seq string")
     assert [r[0] for r in df.select(S.complement(S.complement("seq"))).collect()] == ["ACGTN", "AC-G.T", ""]
@@ -121,14 +218,15 @@ def test_files(spark, tmp_path):
 
 
 def test_context_model_prefers_its_own(spark):
+    from strandlab.operators import suffixtree as T
+
     r = np.random.default_rng(7)
     own = ["".join("abc"[(i + k) % 3] for i in range(90)) for k in range(20)]
     other = ["".join(r.choice(list("abc"), 90)) for _ in range(20)]
-    train = spark.createDataFrame(list(enumerate(own)), "seq_id long, seq string")
-    nodes = P.train(train, 2, 3)
-    assert nodes.where("context = '' AND abs(lod) > 1e-12").count() == 0
+    tree = T.grow(spark.createDataFrame(list(enumerate(own)), "seq_id long, seq string"), "abc", 2)
+    assert T.node_table(spark, tree).where("context = '' AND abs(lod) > 1e-12").count() == 0
     both = spark.createDataFrame(list(enumerate(own + other)), "seq_id long, seq string")
-    s = {x["seq_id"]: x["score"] for x in P.score(both, nodes, 2, 3).collect()}
+    s = {x["seq_id"]: x["score"] for x in T.score(both, tree).collect()}
     assert min(s[i] for i in range(20)) > max(s[i] for i in range(20, 40))
 
 
@@ -172,6 +270,13 @@ def test_full_depth_contexts(spark):
     assert {x["seq_id"]: x["score"] for x in T.score(df, tree).collect()} == pytest.approx(want)
 
 
+def test_resumed_run_equals_the_whole(spark, sf):
+    from strandlab.plans.registry import QUERIES
+
+    rows = lambda name: sorted((r["seq_id"], r["labels"]) for r in QUERIES[name](spark, sf).collect())
+    assert rows("ihmm_resume") == rows("ihmm_train")
+
+
 def test_search_scores_what_the_context_model_passes(spark, sf):
     from strandlab.plans.registry import QUERIES
 
@@ -189,6 +294,83 @@ def test_calibration_refits_until_no_outlier_is_left(spark):
     assert T.calibrate(scores).first()["n"] == 4000 and P.calibrate(scores, 20.0, 2).first()["n"] > 4000
 
 
+def test_orders_over_ranges(spark):
+    from strandlab.operators import orders
+
+    r = np.random.default_rng(8)
+    rows = [(int(i), [None, "a", "b"][int(r.integers(3))], int(r.integers(0, 9))) for i in r.permutation(500)]
+    df = spark.createDataFrame(rows, "i long, g string, v int").repartition(7)
+    got = {x["i"]: x["place"] for x in orders.ranked(df, ["v", "i"], ["g"]).collect()}
+    below = {x["i"]: x["below"] for x in orders.running(df, "v", [F.desc("i")]).collect()}
+    for g in (None, "a", "b"):
+        assert [got[i] for _, i in sorted((v, i) for i, h, v in rows if h == g)] == list(range(1, 1 + sum(h == g for _, h, _ in rows)))
+    assert below == {i: sum(v for j, _, v in rows if j > i) for i, _, _ in rows}
+
+
+def test_merged_motifs_keep_their_members_places():
+    p = np.eye(4)[[0, 1, 2, 3, 0, 1, 2, 3]] * 50.0
+    shifts = {}
+    merged = O.merge_all({"a": p[2:], "b": p}, shuffles=100, shifts=shifts)
+    assert list(merged) == list(shifts) == ["a+b"] and shifts["a+b"]["a"] - shifts["a+b"]["b"] == 2 and min(shifts["a+b"].values()) == 0
+
+
+def test_best_alignment_of_motifs(spark):
+    """Against the cost matrix, offset by offset."""
+    r = np.random.default_rng(9)
+    m = {k: r.dirichlet(np.full(4, 0.4), 8) for k in "abc"}
+    rows = [(k, i, "ACGT"[j], float(v)) for k, p in m.items() for (i, j), v in np.ndenumerate(p)]
+    got = {(x["a"], x["b"]): (x["cost"], x["offset"]) for x in O.best_alignments(spark.createDataFrame(rows, "motif string, place int, residue string, p double"), 8).collect()}
+    for a, b in (("a", "b"), ("a", "c"), ("b", "c")):
+        cost, offset = O.best_offset(m[a], m[b], O.overlap_of(8, 8))
+        assert got[a, b] == (pytest.approx(cost, abs=1e-8), offset)
+
+
+def test_motif_of_an_alignment(spark):
+    rows = [("x", 1, "AC-T"), ("x", 2, "ACGT"), ("x", 3, "AG-T")]
+    got = {(r["place"], r["residue"]): (r["n"], r["p"]) for r in O.motif_of_alignment(spark.createDataFrame(rows, "grp string, seq_id long, aligned string"), "ACGT").collect()}
+    bg = {"A": 0.3, "C": 0.2, "G": 0.2, "T": 0.3}
+    assert got[0, "A"] == (3, pytest.approx((3 + 0.1 * bg["A"]) / 3.1)) and got[1, "C"][0] == 2 and got[2, "G"] == (1, pytest.approx(1.02 / 1.1)) and got[2, "A"][0] == 0
+
+
+def test_generators(spark):
+    from strandlab.operators import simulate as X
+
+    u = X.uniform_draws(spark, 4000, 3, 10).toPandas()
+    assert u.x.between(0, 1).all() and u.x.mean() == pytest.approx(0.5, abs=0.02) and sorted(set(u.k)) == list(range(10))
+    for kind, parameters, mean in (("gamma", {"shape": 6.0, "scale": 0.5}, 3.0), ("beta", {"a": 2.0, "b": 3.0}, 0.4), ("binomial", {"n": 10, "p": 0.3}, 3.0), ("normal", {"loc": 1.0, "scale": 2.0}, 1.0)):
+        x = X.draws(spark, kind, 2000, 1, **parameters).toPandas().x
+        assert x.mean() == pytest.approx(mean, rel=0.1, abs=0.02)
+    assert X.draws(spark.newSession(), "beta", 5, 1, a=2.0, b=3.0).collect() == X.draws(spark, "beta", 9, 1, a=2.0, b=3.0).where("id < 5").collect()
+
+
+def test_posterior_mean_of_draws():
+    """Draws' mean against the analytic one."""
+    r = np.random.default_rng(2)
+    t, e = r.integers(0, 40, (4, 4)).astype(float), r.integers(0, 40, (4, 3)).astype(float)
+    a, b = (H.from_counts(t, e, np.full(3, 1 / 3), draws=n) for n in (20_000, 0))
+    assert a.transition == pytest.approx(b.transition, abs=0.01) and a.emission == pytest.approx(b.emission, abs=0.01)
+
+
+def test_stream_counts_what_it_scanned(spark, sf, tmp_path):
+    """Two files, one a batch: hits of the first are for its records only."""
+    from strandlab.operators import suffixtree as T
+    from strandlab.plans import context as Q
+    from strandlab.plans.sequences import seqs
+    from strandlab.streaming import search as R
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for part in (0, 1):
+        docs.where(F.col("doc_id") % 2 == part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/docs")
+    tree = Q.tree(seqs(spark, sf))
+    scored = T.score(seqs(spark, sf), tree).withColumn("band", P.band())
+    fit = P.calibrate(scored, Q.OUTLIER, Q.ROUNDS)
+    stream = R.stream_of(spark, f"{tmp_path}/docs", docs.schema, files_per_batch=1)
+    hits = R.search_stream(stream, tree, fit, 0.5).toPandas()
+    whole = T.search(seqs(spark, sf), tree, fit, 0.5).toPandas()
+    assert sorted(hits.seq_id) == sorted(whole.seq_id) and set(hits.scanned) == {docs.count() // 2, docs.count()}
+    assert hits.groupby("scanned").seq_id.agg(lambda x: x.mod(2).nunique()).eq(1).all()
+
+
 def test_graphs():
     rows = [(0, 1, 30.0), (0, 2, 9.0), (0, 5, 14.0), (1, 2, 10.0), (1, 3, 15.0), (2, 3, 11.0), (2, 5, 2.0), (3, 4, 6.0), (4, 5, 9.0)]
     d, before = G.dijkstra(rows, 0)
