@@ -46,8 +46,9 @@ def _fold(h: np.ndarray) -> np.ndarray:
 
 def _unique(parts: list[np.ndarray]) -> np.ndarray:
     found = np.concatenate(parts)
-    if len(found) < 50_000:
-        return np.unique(found)
+    if len(found) < 50_000:  # sorting beats numpy.unique's hashing here
+        found.sort()
+        return found[np.concatenate([[True], found[1:] != found[:-1]])]
     seen = np.zeros(DIM, dtype=bool)
     seen[found] = True
     return np.flatnonzero(seen).astype(np.uint32)
@@ -67,7 +68,7 @@ def indicators(text: str, orders: tuple[int, ...] = (1, 2, 3)) -> np.ndarray:
                 h = (h[:-1] << np.uint64(8)) | c[n - 1 :]
             if n in orders and len(h):
                 found.append(_fold(h + np.uint64(n << 40)))
-        parts.append(_unique(found) if found else parts[0])
+        parts += found if len(code) <= _CHUNK else [_unique(found)] * bool(found)
     words = raw.split()
     if words:
         value = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.int64, count=len(words))
