@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlab.llm.common import bounded_batches, table, text_of
+from strandlab.llm.common import bounded_batches, table
 from strandlab.llm.ngrams import DIM, PER_CLASS, class_weights, indicators, labelled_sample, platt, sample_features, sampled_texts
 
 MIN_WORDS = 50
@@ -37,9 +38,14 @@ def repeated_words(words: list[bytes]) -> int:
     number: dict[bytes, int] = {}
     ids = np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=n)
     size = len(number)
-    _, pair = np.unique(ids[:-1] * size + ids[1:], return_inverse=True)
-    _, window, count = np.unique(pair[:-1].astype(np.int64) * size + ids[2:], return_inverse=True, return_counts=True)
-    again = count[window] > 1
+    if size < 1 << 21:  # three numbers in one
+        key = (ids[:-2] * size + ids[1:-1]) * size + ids[2:]
+    else:
+        key = np.unique(ids[:-1] * size + ids[1:], return_inverse=True)[1][:-1].astype(np.int64) * size + ids[2:]
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    again = np.zeros(n - 2, dtype=bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
     covered = np.zeros(n, dtype=bool)
     for k in range(3):
         covered[k : n - 2 + k] |= again
@@ -109,14 +115,14 @@ def apply_rules(docs: DataFrame, probability, keep_at: float = KEEP_AT) -> DataF
     """The documents with the counts, base_failed, probability and kept; all columns of docs come along."""
     bounded_batches(docs.sparkSession)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    own = docs.select(F.struct("*").alias("row"), text_of().alias("text"))
+    own = docs.select(F.struct("*").alias("row"))  # the text goes to Python once, within its row
     kind = own.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[] for _ in range(8)]
-            for t in b.column(1):
-                text = t.as_py()
+            for t in pc.struct_field(b.column(0), "text"):
+                text = str(t.as_py() or "")
                 c = counted(text)
                 failed = base_failed(c[0], c[4])
                 p = 1.0 if probability is None else probability(text)
