@@ -135,7 +135,8 @@ def hit_csv_store(spark, d):
 def calibration_csv(spark, d):
     """The table of scores, P- and E-values of simulated sequences, by rank, written as CSV and read again."""
     path = folder(spark, "calibration")
-    rows = hmm_eval_table(spark, d)
+    kinds = (("score", "Score"), ("p", "Pvalue"), ("e", "Evalue"))
+    rows = hmm_eval_table(spark, d).select(*(F.col(f"{a}_{n}").alias(f"{b}_L{n}") for n in (100, 400, 1600) for a, b in kinds))
     files.write_table(rows, path)
     return spark.read.csv(path, header=True, schema=rows.schema)
 
