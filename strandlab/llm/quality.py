@@ -3,9 +3,8 @@
 Each hashed n-gram indicator is scaled by its class log-count ratio; a linear hinge-loss model on the scaled indicators
 is fitted by dual coordinate descent and made a probability on the part of the sample kept apart for that.
 
-The loss is the squared hinge, for which the dual has one coordinate a row and no upper bound.  The fit sees at most
-PER_CLASS labelled documents of each class (parameter per_class) and FEATURE_BYTES of their features; scoring reads every document
-where it lies, without a shuffle.  A null text is empty; empty texts get the score of the bias features alone; repeated
+The fit sees at most PER_CLASS labelled documents of each class (parameter per_class) and FEATURE_BYTES of their
+features; scoring reads every document where it lies, without a shuffle.  A null text is empty; empty texts get the score of the bias features alone; repeated
 rows each get a row; labels other than 0 and 1, null labels and labels without a document are ignored; with labels of
 fewer than two classes every score is the share of class 1 (0.5 without labels).
 """
@@ -31,20 +30,19 @@ def log_count_ratios(x: list[np.ndarray], y: np.ndarray, alpha: float = 1.0) ->
     return np.log(n[1] / total[1]) - np.log(n[0] / total[0])
 
 
-def dual_coordinate_descent(x: list[np.ndarray], value: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 12, seed: int = 7) -> np.ndarray:
-    """Weights w of min |w|^2 / 2 + sum cost_i * max(0, 1 - s_i w.x_i)^2 with s = +-1; x_i has value[j] / sqrt(n_i) at
-    its features j."""
+def dual_coordinate_descent(x: list[np.ndarray], value: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 20, seed: int = 7) -> np.ndarray:
+    """Weights w of min |w|^2 / 2 + sum cost_i * max(0, 1 - s_i w.x_i) with s = +-1; x_i has value[j] / sqrt(n_i) at its
+    features j.  Each step solves the dual in one row's multiplier, which stays between 0 and the row's cost."""
     w, sign, dual = np.zeros(DIM), np.where(y == 1, 1.0, -1.0), np.zeros(len(y))
     rows = [value[v] / math.sqrt(max(1, len(v))) for v in x]
-    diag = 0.5 / cost
-    norm = np.array([float(r @ r) for r in rows]) + diag
+    norm = np.array([max(float(r @ r), 1e-12) for r in rows])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(len(y)):
             v, r = x[i], rows[i]
-            gradient = sign[i] * float(w[v] @ r) - 1 + diag[i] * dual[i]
-            new = max(0.0, dual[i] - gradient / norm[i])
+            gradient = sign[i] * float(w[v] @ r) - 1
+            new = min(max(0.0, dual[i] - gradient / norm[i]), cost[i])
             if new != dual[i]:
                 w[v] += (new - dual[i]) * sign[i] * r
                 most = max(most, abs(new - dual[i]))

@@ -225,24 +225,25 @@ def test_held_out_accuracy(spark, name, label, mod, fold, least):
 
 
 def test_descent_reaches_the_optimum():
+    """The primal loss at w equals the dual value, which no multipliers can exceed: the gap bounds the error."""
     from strandlab.llm.quality import dual_coordinate_descent
 
     r = np.random.default_rng(1)
     x = [np.sort(r.choice(50, 6, replace=False)).astype(np.uint32) for _ in range(80)]
     y = np.array([int((v < 25).sum() > 3) for v in x])
-    value, cost = r.normal(size=1 << 18), np.full(80, 0.5)
+    value, cost = r.normal(size=1 << 18), r.uniform(0.2, 0.8, 80)
     s = np.where(y == 1, 1.0, -1.0)
 
     def loss(w):
         margin = np.array([w[v] @ value[v] / np.sqrt(len(v)) for v in x])
-        return w @ w / 2 + (cost * np.maximum(0, 1 - s * margin) ** 2).sum()
+        return w @ w / 2 + (cost * np.maximum(0, 1 - s * margin)).sum()
 
-    w = dual_coordinate_descent(x, value, y, cost, epochs=300)
+    w = dual_coordinate_descent(x, value, y, cost, epochs=2000)
     best = loss(w)
-    for _ in range(50):
+    for _ in range(200):
         step = np.zeros_like(w)
-        step[:50] = r.normal(size=50) * 0.01
-        assert loss(w + step) >= best - 1e-6
+        step[:50] = r.normal(size=50) * r.choice([0.001, 0.01, 0.1])
+        assert loss(w + step) >= best - 1e-4
 
 
 def test_isotonic_is_monotone():
