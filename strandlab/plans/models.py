@@ -19,11 +19,8 @@ from strandlab.plans.sequences import dna
 from strandlab.session import folder, table, written
 from strandlab.sources import models
 
-TOY = ["0123", "03123", "31230", "00312300", "000031230000", "031230001230"]
-
-
-def toy_sequences(spark) -> DataFrame:
-    return spark.createDataFrame([(i, list(map(int, s))) for i, s in enumerate(TOY)], "seq_id long, codes array<int>")
+#: One letter for each event type, in the order of their codes.
+EVENT_LETTERS = "cepsv"
 
 
 def event_codes(spark, d: str) -> DataFrame:
@@ -51,8 +48,8 @@ def hmm_search(spark, d):
 
 @query("hmm_backward")
 def hmm_backward(spark, d):
-    """Forward and backward totals and the decoded path of the toy sequences."""
-    return H.label_table(toy_sequences(spark), H.toy_model())
+    """Forward and backward totals and the decoded path of the users' events."""
+    return H.label_table(event_codes(spark, d), events_model(spark, d, 0))
 
 
 @query("hmm_posterior_path")
@@ -85,7 +82,8 @@ def hmm_score_models(spark, d):
 
 @query("hmm_calibrate")
 def hmm_calibrate(spark, d):
-    return H.calibrated(H.toy_model()).tables(spark)["fhmm_param"]
+    """Size, entropy and exponential tail of the events' model."""
+    return H.calibrated(events_model(spark, d, 0)).tables(spark)["fhmm_param"]
 
 
 @query("hmm_emission_table", f"WITH {EMISSION} SELECT state, symbol, round(n, 9) AS n, round(bg, 9) AS bg, round(p, 9) AS p FROM em")
@@ -111,10 +109,10 @@ def score_ranks(spark, d):
 @query("hmm_eval_table")
 def hmm_eval_table(spark, d):
     """Scores, P- and E-values of 10,000 random sequences of each of three lengths, by rank."""
-    m = H.calibrated(H.toy_model())
+    m = H.calibrated(events_model(spark, d, 0))
     out = None
     for length in (100, 400, 1600):
-        rows = G.random_sequences(spark, 10_000, length, S.DNA, seed=length).select("seq_id", S.encode("seq", S.DNA).alias("codes"))
+        rows = G.random_sequences(spark, 10_000, length, EVENT_LETTERS, list(m.background), seed=length).select("seq_id", S.encode("seq", EVENT_LETTERS).alias("codes"))
         ordered = H.score_table(rows, m).select(F.row_number().over(Window.orderBy(F.desc("score"), "seq_id")).alias("place"), F.col("score").alias(f"score_{length}"), F.col("p").alias(f"p_{length}"), (F.col("p") * 10_000).alias(f"e_{length}"))
         out = ordered if out is None else out.join(ordered, "place")
     return out
@@ -122,7 +120,8 @@ def hmm_eval_table(spark, d):
 
 @query("hmm_emit")
 def hmm_emit(spark, d):
-    return G.emitted(spark, H.toy_model(), 100, 50, S.DNA, seed=2)
+    """Sequences emitted by the events' model."""
+    return G.emitted(spark, events_model(spark, d, 0), 100, 50, EVENT_LETTERS, seed=2)
 
 
 @query("ihmm_initial_labels")
@@ -220,6 +219,6 @@ def sql_scores(spark, d):
     """The registered model functions, called from SQL."""
     from strandlab.functions.registered import register
 
-    register(spark, H.toy_model())
-    toy_sequences(spark).createOrReplaceTempView("strandlab_toy")
-    return spark.sql("SELECT seq_id, forward_score(codes) AS score, posterior_path(codes) AS path FROM strandlab_toy")
+    register(spark, events_model(spark, d, 0))
+    event_codes(spark, d).createOrReplaceTempView("strandlab_codes")
+    return spark.sql("SELECT seq_id, forward_score(codes) AS score, posterior_path(codes) AS path FROM strandlab_codes")

@@ -277,6 +277,22 @@ def test_resumed_run_equals_the_whole(spark, sf):
     assert rows("ihmm_resume") == rows("ihmm_train")
 
 
+def test_p_values_of_the_g_test(spark, sf):
+    """One degree of freedom: the complementary error function."""
+    from strandlab.plans.registry import QUERIES
+
+    t = QUERIES["g_test_p_values"](spark, sf).toPandas()
+    assert t.p.to_numpy() == pytest.approx([math.erfc(math.sqrt(g)) for g in t.g], abs=1e-9) and len(t) > 100
+
+
+def test_decoded_events(spark, sf):
+    from strandlab.plans.registry import QUERIES
+
+    t = QUERIES["hmm_backward"](spark, sf).toPandas()
+    s = QUERIES["sql_scores"](spark, sf).toPandas().set_index("seq_id")
+    assert t.forward.to_numpy() == pytest.approx(t.backward.to_numpy()) and [list(x) for x in t.path] == [list(s.path[i]) for i in t.seq_id]
+
+
 def test_search_scores_what_the_context_model_passes(spark, sf):
     from strandlab.plans.registry import QUERIES
 

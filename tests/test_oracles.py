@@ -1,4 +1,5 @@
-"""Every query that has DuckDB SQL against it, on the smallest tables; the others run and keep their schema."""
+"""Every query that has DuckDB SQL against it, on the smallest tables; the others run (their values are tested in
+test_models.py) and give the same schema before and after they ran."""
 
 import math
 
@@ -47,4 +48,6 @@ def test_oracle(spark, duck, sf, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() > 0
+    df = QUERIES[name](spark, sf)
+    rows = df.toArrow()
+    assert rows.num_rows > 0 and rows.schema.names == df.columns
