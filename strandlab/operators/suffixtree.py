@@ -129,8 +129,11 @@ def grow(seqs: DataFrame, alphabet: str = S.LETTERS, depth: int = DEPTH, p_min:
         keep = found_in(codes >> 5, prefixes)[1] if prefixes is not None else np.ones(len(codes), dtype=bool)
         return codes[keep], n[keep]
 
-    total = seqs.agg(*(F.sum(F.greatest(F.length("seq") - (k - 1), F.lit(0))).alias(str(k)) for k in range(1, depth + 2))).first()
-    total = [0, *(int(v or 0) for v in total)]
+    if known:
+        total = [0, *(int(known[k][1].sum()) for k in range(1, depth + 2))]
+    else:
+        found = seqs.agg(*(F.sum(F.greatest(F.length("seq") - (k - 1), F.lit(0))).alias(str(k)) for k in range(1, depth + 2))).first()
+        total = [0, *(int(v or 0) for v in found)]
     codes, n = count(1, None)
     one = np.zeros(letters)
     one[codes] = n

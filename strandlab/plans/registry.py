@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
@@ -19,7 +18,3 @@ def query(name: str, oracle: str | None = None):
         return f
 
     return put
-
-
-for _part in ("sequences", "counting", "context", "statistics", "motifs", "models", "graphs", "evaluation", "storage", "streams"):
-    importlib.import_module(f"strandlab.plans.{_part}")
