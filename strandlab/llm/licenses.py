@@ -43,12 +43,18 @@ GRAM = 3
 GAP = 2
 #: Share of a template's grams that a finding must cover.
 COVERAGE = 0.7
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: The two characters beyond A-Z whose lower case has ASCII letters, and letters without such a lower case.
+_NOT_ASCII = {"\u212a": "\u212b", "\u0130": "\u00c4"}
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: str) -> Column:
-    return F.array_remove(F.split(F.translate(F.col(text), _UPPER, _UPPER.lower()), _BETWEEN), "")
+    """Words in lower case.  Of other letters than A-Z only the case may differ, which no ASCII word meets: lower() is
+    several times as fast as a translation of A-Z alone."""
+    plain = F.col(text)
+    for a, b in _NOT_ASCII.items():
+        plain = F.replace(plain, F.lit(a), F.lit(b))
+    return F.array_remove(F.split(F.lower(plain), _BETWEEN), "")
 
 
 def with_grams(df: DataFrame, text: str) -> DataFrame:
