@@ -1,6 +1,8 @@
-"""The ten pipeline operators' queries, as the driver calls them."""
+"""The thirteen pipeline operators' queries, as the driver calls them."""
 
+from strandlab.llm import clustering, merkle
 from strandlab.llm.fingerprints import fingerprints
+from strandlab.llm.langid import languages
 from strandlab.llm.licenses import license_scan
 from strandlab.llm.linededup import line_dedup
 from strandlab.llm.mixing import mixture
@@ -22,5 +24,8 @@ QUERIES = {
     "op8_fingerprints": fingerprints,
     "op9_ngram_jaccard": near_duplicates,
     "op10_license_scan": license_scan,
+    "op11_centroid_clusters": clustering.clusters,
+    "op12_merkle_manifest": merkle.merkle,
+    "op13_language_id": languages,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op11_centroid_clusters": clustering.ORACLE, "op12_merkle_manifest": merkle.ORACLE}

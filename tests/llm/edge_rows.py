@@ -37,3 +37,19 @@ def rows() -> list[tuple]:
         (15, "\n".join(["same line here"] * 2000), "en", "b"),
     ]
     return [(i, t, lang, s, None if t is None else len(t), *extra) for i, t, lang, s in out]
+
+
+VECTORS = "vec_id long, embedding array<float>, label int, cluster int, kind int, block int, x int"
+
+
+def vectors() -> list[tuple]:
+    """Nulls, wrong lengths, not finite, huge, repeated rows, ties; columns that clash."""
+    import math
+
+    def row(i, v):
+        return (i, v, 0, 1, 2, 3, 4)
+
+    plain = [[math.sin(i * 64 + k) for k in range(64)] for i in range(30)]
+    odd = [None, [], [1.0] * 63, [1.0] * 65, [None, *[1.0] * 63], [math.nan, *[1.0] * 63], [math.inf, *[1.0] * 63], [*[1.0] * 63, -math.inf]]
+    out = [row(i, v) for i, v in enumerate(plain)] + [row(100 + i, v) for i, v in enumerate(odd)]
+    return [*out, row(3, plain[3]), row(3, plain[3]), row(3, plain[4]), row(None, plain[5]), row(50, [3e38, *[-3e38] * 63]), row(51, [3e38, *[-3e38] * 63]), row(52, [1e12] * 64), row(53, [0.0] * 64), row(54, [-0.0] * 64)]

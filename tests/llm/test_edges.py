@@ -1,11 +1,12 @@
 """Every query and stage on nulls, empty and very long texts, ties and repeated rows, clashing columns, and no rows."""
 
 import hashlib
+import zlib
 from collections import Counter
 
 import pytest
 
-from edge_rows import rows
+from edge_rows import rows, vectors
 from strandlab.llm.queries import QUERIES
 
 IDS = Counter(r[0] for r in rows())
@@ -17,6 +18,9 @@ def test_edge_cases(spark, edge_dir, name):
     got = QUERIES[name](spark, edge_dir).collect()
     if name.startswith("op7"):
         assert sum(r["n_docs"] for r in got) == DOCS - 1  # document 2 is labelled low quality
+    elif name.startswith("op11"):
+        kept = [v for v in vectors() if v[1] is not None and len(v[1]) == 64 and all(x is not None and abs(x) < float("inf") for x in v[1])]
+        assert Counter(r["vec_id"] for r in got) == Counter(v[0] for v in kept)
     elif name.startswith("op1_"):
         assert Counter(r["doc_id"] for r in got if r["piece"] == 0) == IDS
     else:
@@ -76,6 +80,22 @@ def check_op10(got):
     assert one(got, 6)["first_word"] is None and one(got, 3)["score"] == 1.0
 
 
+def check_op11(got):
+    assert len({r["cluster"] for r in got if r["vec_id"] in (50, 51)}) == 1 and one(got, 53)["cluster"] == one(got, 54)["cluster"]
+    assert all(0 <= r["cluster"] < 8 for r in got)
+
+
+def check_op12(got):
+    assert len({r["root"] for r in got}) == 1 and len({r["subroot"] for r in got}) == 4  # null, de, en, tr
+    assert one(got, 14)["leaf"] == one(got, 14)["subroot"] and len({r["leaf"] for r in got if r["doc_id"] == 10}) == 1
+    assert all(r["verified"] for r in got if r["doc_id"] is None or zlib.crc32(str(r["doc_id"]).encode()) % 3)
+
+
+def check_op13(got):
+    assert [(one(got, i)["lang_pred"], one(got, i)["score"]) for i in (6, 7, 8)] == [("und", 0.0)] * 3
+    assert all(r["lang_pred"] in ("en", "de", "tr") and 0 <= r["score"] <= 1 for r in got if r["doc_id"] in (1, 3, 9, 13))
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_table(spark, empty_dir, name):
     assert QUERIES[name](spark, empty_dir).collect() == []
@@ -109,6 +129,8 @@ def test_very_long_text(spark, tmp_path_factory, name):
     assert len(big) > 10_000_000
     spark.createDataFrame([(1, "a few words", "en", "s", 11), (2, big, "en", "s", len(big)), (3, "more", "en", "t", 4)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(1, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    if name.startswith("op11"):
+        return  # reads no text
     got = QUERIES[name](spark, d).collect()
     if not name.startswith("op7"):
         assert {r["doc_id"] for r in got} == {1, 2, 3}
