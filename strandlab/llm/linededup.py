@@ -238,7 +238,7 @@ def aligned(lines: DataFrame, min_words: int) -> DataFrame:
     removed = staged(_together(align(lines, seen.select("od", "ot", "d", "t").distinct(), min_words)), "removed")
     held = seen.select(*key, "n", *who)
     met = held
-    place = F.shiftrightunsigned(F.xxhash64("od", "ot"), 1) / float(1 << 63)  # of a holder, 0 to 1
+    place = F.shiftrightunsigned(F.xxhash64("d", "t"), 1) / float(1 << 63)  # of a holder, 0 to 1
     low, high = 0, GROWTH
     while True:
         mine = lines.join(met.select(*who).distinct().hint("merge"), who, "left_semi")
@@ -247,8 +247,9 @@ def aligned(lines: DataFrame, min_words: int) -> DataFrame:
         if more.isEmpty():
             discard(seen, left, lines)
             return removed
-        holder = held.join(more.select(*key).distinct().hint("merge"), key, "left_semi").select(*key, F.col("d").alias("od"), F.col("t").alias("ot"))
-        tried = more.join(holder.hint("merge"), key).where((place * F.col("n") >= low) & (place * F.col("n") < high)).where("od < d or (od = d and ot < t)")
+        holder = held.where((place * F.col("n") >= low) & (place * F.col("n") < high))  # before the join: `high - low` of a window, about
+        holder = holder.join(more.select(*key).distinct().hint("merge"), key, "left_semi").select(*key, F.col("d").alias("od"), F.col("t").alias("ot"))
+        tried = more.join(holder.hint("merge"), key).where("od < d or (od = d and ot < t)")
         extra = align(lines, staged(tried.select("od", "ot", *who).distinct(), "pairs"), min_words)
         last, removed = removed, staged(_together(removed.select(*who, F.col("removed").alias("lines")).unionByName(extra)), "removed")
         discard(last)

@@ -17,8 +17,6 @@ BITS = 18
 DIM = 1 << BITS
 #: Labelled documents that a fit sees at most, for each class; the first by a hash of doc_id.
 PER_CLASS = 4000
-#: Bytes of features that a fit holds at most: the sample's first documents by a hash, up to there.
-FEATURE_BYTES = 16 << 20
 _CHUNK = 1 << 20
 _SYMBOL = re.compile(rb"[#*$%&|<>]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -105,9 +103,9 @@ def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
     return staged(one.select(F.xxhash64("doc_id", "text").alias("h"), "y", "text"), "sample")
 
 
-def sample_features(texts: DataFrame, extract, dtype, most: int = FEATURE_BYTES) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Feature arrays, classes and hashes of sampled texts in the order of their hashes; what comes to the driver is at
-    most so many bytes of features, not texts."""
+def sample_features(texts: DataFrame, extract, dtype, most: int | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Feature arrays, classes and hashes of sampled texts in the order of their hashes; features, not texts, come to the
+    driver.  most: only the first rows up to so many bytes of features."""
     bounded_batches(texts.sparkSession)
     schema = pa.schema([("h", pa.int64()), ("y", pa.int32()), ("x", pa.binary()), ("n", pa.int64())])
 
@@ -117,12 +115,61 @@ def sample_features(texts: DataFrame, extract, dtype, most: int = FEATURE_BYTES)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary()), pa.array(map(len, x), pa.int64())], schema=schema)
 
     rows = staged(texts.select("h", "y", "text").mapInArrow(run, "h long, y int, x binary, n long"), "features")
-    upto = rows.select("h", F.sum("n").over(Window.orderBy("h")).alias("bytes")).where(F.col("bytes") <= most).agg(F.max("h")).first()[0]  # a bounded sample
-    got = rows.where(F.col("h") <= F.lit(upto)).select("h", "y", "x").toArrow().sort_by([("h", "ascending")])  # the same order at every run
+    got = rows.select("h", "y", "x", "n")
+    if most is not None:
+        upto = rows.select("h", F.sum("n").over(Window.orderBy("h")).alias("bytes")).where(F.col("bytes") <= most).agg(F.max("h")).first()[0]  # a bounded sample
+        got = got.where(F.col("h") <= F.lit(upto))
+    got = got.toArrow().sort_by([("h", "ascending")])  # the same order at every run
     discard(rows)
     return [np.frombuffer(v.as_py(), dtype=dtype) for v in got["x"]], np.array(got["y"].to_pylist(), dtype=np.int32), np.array(got["h"].to_pylist(), dtype=np.int64)
 
 
+class Indicators:
+    """Sorted distinct features of a sample's texts, each as numbers or, where that takes less, as a bitmap: at most
+    DIM / 8 bytes a text, however long."""
+
+    def __init__(self, rows: list[bytes]):
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i) -> np.ndarray | Indicators:
+        if isinstance(i, (int, np.integer)):
+            return unpacked(self.rows[i])
+        return Indicators([self.rows[k] for k in i])
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        return map(unpacked, self.rows)
+
+
+def packed(features: np.ndarray) -> bytes:
+    if 4 * len(features) < DIM // 8:
+        return features.astype("<u4").tobytes()
+    seen = np.zeros(DIM, dtype=bool)
+    seen[features] = True
+    return np.packbits(seen).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    if len(raw) < DIM // 8:
+        return np.frombuffer(raw, dtype="<u4")
+    return np.flatnonzero(np.unpackbits(np.frombuffer(raw, dtype=np.uint8))).astype(np.uint32)
+
+
+def sample_indicators(texts: DataFrame) -> tuple[Indicators, np.ndarray]:
+    """Features and classes of all sampled texts, in the order of their hashes: rows times DIM / 8 bytes at most."""
+    x, y, _ = sample_features(texts, lambda t: np.frombuffer(packed(indicators(t)), dtype=np.uint8), np.uint8)
+    return Indicators([v.tobytes() for v in x]), y
+
+
+def split_apart(y: np.ndarray) -> np.ndarray:
+    """Which fifth of the rows is kept for the calibration: none, unless both parts have both classes."""
+    apart = np.arange(len(y)) % 5 == 4
+    both = all(len(set(part.tolist())) == 2 for part in (y[apart], y[~apart]))
+    return apart if both else np.zeros(len(y), dtype=bool)
+
+
 def platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """a, b of the probability 1 / (1 + exp(-(a * margin + b))), by weighted Newton steps with a slight prior."""
     scale = float(np.std(margin)) or 1.0

@@ -4,11 +4,13 @@ Method: bounded-space online best-fit.  Each packing task keeps a fixed number o
 for each amount of free space that some open bin has, so the tightest bin that still takes a piece is the lowest set
 bit at or above the piece's length.  If nothing fits and all bins are in use, the fullest closes first.
 
+The stream comes in blocks of as many pieces as there are open bins, in the order of a hash, and each block's pieces
+longest first: so large pieces open bins and small ones fill them, and no piece is placed twice.
+
 Scale: texts are tokenised where they are read; only piece descriptors (about 40 bytes) are shuffled.  Packing
-partitions have a constant number of pieces at any input size.  When a partition ends, open bins filled to the round's
-mark (FILLED) close too; the pieces of the others go to a further, much smaller round, until one partition is left, which
-drains its open bins largest piece first.  Where a round passes on more than half of its pieces, the next one's mark is
-lower, down to any fill, so that rounds end at any mix of lengths and no task gets more pieces than any other.
+partitions have a constant number of pieces at any input size, and what a task holds are its open bins and one block.
+Bins still open at the end of a partition close as they are; since every block has the corpus's mix of lengths, these are
+nearly full, too.
 
 Defined results: a null text is an empty document (its only id is the separator); a repeated row is one more document;
 a null doc_id is kept as it is; an empty table gives an empty result; other columns of the input are ignored.
@@ -28,14 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlab.llm.common import bounded_batches, discard, staged, text_of
+from strandlab.llm.common import bounded_batches, staged, text_of
 
 #: Characters on which all pre-tokeniser regex engines agree; any other text takes the tokenizers library itself.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-ɏ‐-‧€]*")
 PIECES_PER_TASK = 250_000
 OPEN_BINS = 4096
-#: Fill from which bins still open at the end of a partition close: the first for all rounds as long as they shrink.
-FILLED = (0.985, 0.95, 0.9, 0.75, 0.0)
 
 
 @lru_cache(maxsize=4)
@@ -150,12 +150,15 @@ def token_pieces(docs: DataFrame, *, max_tokens: int = 2048, separator: int = 0,
     return docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(run, ddl)
 
 
-def _packer(schema: pa.Schema, capacity: int, open_bins: int, round_: int, final: bool, mark: float):
-    names = schema.names
+def _packer(schema: pa.Schema, capacity: int, open_bins: int):
+    ties = [n for n in schema.names if n not in ("sequence_id", "offset", "ids", "length")]
+
+    def order(row: dict) -> tuple:
+        return -row["length"], *((row[n] is None, row[n] or 0) for n in ties)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = (round_ << 56) | (TaskContext.get().partitionId() << 32)
-        bins, made, out = BestFit(capacity, open_bins), 0, []
+        base = TaskContext.get().partitionId() << 32
+        bins, made, out, block = BestFit(capacity, open_bins), 0, [], []
 
         def emit() -> pa.RecordBatch:
             nonlocal out
@@ -167,32 +170,23 @@ def _packer(schema: pa.Schema, capacity: int, open_bins: int, round_: int, final
             out.extend({**row, "sequence_id": base | made, "offset": offset} for row, offset in bin_)
             made += 1
 
-        for batch in batches:
-            for row in batch.to_pylist():
+        def place() -> None:
+            for row in sorted(block, key=order):
                 done = bins.add(row, row["length"])
                 if done:
                     close(done)
+            block.clear()
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                block.append(row)
+                if len(block) == open_bins:
+                    place()
             if len(out) > 20_000:
                 yield emit()
-        left = []
+        place()
         for bin_ in bins.rest():
-            used = bin_[-1][1] + bin_[-1][0]["length"]
-            if not final and used >= mark * capacity:
-                close(bin_)
-            else:
-                left.extend(row for row, _ in bin_)
-        if final:  # nothing else comes: place what is still open anew, largest first
-            order = [n for n in names if n not in ("sequence_id", "offset", "ids")]
-            left.sort(key=lambda r: (-r["length"], *((r[n] is None, r[n] or 0) for n in order)))
-            drain = BestFit(capacity, len(left) + 1)
-            for row in left:
-                done = drain.add(row, row["length"])
-                if done:
-                    close(done)
-            for bin_ in drain.rest():
-                close(bin_)
-        else:
-            out.extend({**row, "sequence_id": None, "offset": None} for row in left)
+            close(bin_)
         yield emit()
 
     return run
@@ -203,27 +197,12 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = 2048, open_bins: int = OPE
     from pyspark.sql.pandas.types import to_arrow_schema
 
     shape = pieces.limit(0).withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
-    arrow, ddl = to_arrow_schema(shape.schema), shape.schema
     bounded_batches(pieces.sparkSession)
-    done, left = None, staged(pieces, "pieces")
-    total, round_, marks = left.count(), 0, list(FILLED)
-    while True:
-        parts = max(1, -(-total // per_task))
-        final = parts == 1
-        keyed = left.withColumn("_h", F.xxhash64(F.lit(round_), "doc_id", "piece"))
-        keyed = keyed.repartition(1) if final else keyed.repartition(parts, "_h")
-        order = ["_h", *(c for c in pieces.columns if c != "ids")]
-        packed = keyed.sortWithinPartitions(*order).drop("_h").mapInArrow(_packer(arrow, capacity, open_bins, round_, final, marks[0]), ddl)
-        if final:
-            return packed if done is None else done.unionByName(packed)
-        packed = staged(packed, f"packed{round_}")
-        closed = packed.where("sequence_id is not null")
-        done = closed if done is None else done.unionByName(closed)
-        discard(left)
-        left = packed.where("sequence_id is null").drop("sequence_id", "offset")
-        before, total, round_ = total, left.count(), round_ + 1
-        if total > 0.5 * before and len(marks) > 1:
-            marks.pop(0)
+    rows = staged(pieces, "pieces")
+    parts = max(1, -(-rows.count() // per_task))
+    keyed = rows.withColumn("_h", F.xxhash64("doc_id", "piece")).repartition(parts)  # evenly, whatever repeats
+    order = ["_h", *(c for c in pieces.columns if c != "ids")]
+    return keyed.sortWithinPartitions(*order).drop("_h").mapInArrow(_packer(to_arrow_schema(shape.schema), capacity, open_bins), shape.schema)
 
 
 def pack_documents(docs: DataFrame, *, max_tokens: int = 2048, separator: int = 0, vocabulary: str | None = None, ranks: str | None = None, with_ids: bool = False) -> DataFrame:

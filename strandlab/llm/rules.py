@@ -1,7 +1,7 @@
 """Quality rules: counted rules, and a hashed n-gram logistic regression with fixed thresholds.
 
-The regression is trained on a bounded sample of labelled quality rows, calibrated to probabilities on the part kept
-apart, and applied to whole texts in Arrow batches together with the counts; nothing is shuffled.
+The regression is trained on a bounded sample of labelled quality rows (at most PER_CLASS of each class, parameter
+per_class, each whole, as at most 32 kB of features), calibrated to probabilities on the part kept apart, and applied to whole texts in Arrow batches together with the counts; nothing is shuffled.
 
 Words are maximal runs of other characters than blank and U+0009-U+000D.  n_repeat_words counts the words covered by a
 3-word window that occurs at least twice in the text.  A null text is empty (and fails on its word count); repeated
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlab.llm.common import bounded_batches, table
-from strandlab.llm.ngrams import DIM, PER_CLASS, class_weights, indicators, labelled_sample, platt, sample_features, sampled_texts
+from strandlab.llm.ngrams import DIM, PER_CLASS, class_weights, indicators, labelled_sample, platt, sample_indicators, sampled_texts, split_apart
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -71,14 +71,12 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words
 
 
-def fit_logistic(x: list[np.ndarray], y: np.ndarray, counts: dict[int, int], epochs: int = 8, seed: int = 11):
+def fit_logistic(x, y: np.ndarray, counts: dict[int, int], epochs: int = 8, seed: int = 11):
     """probability(text) of class 1, or None without both classes: AdaGrad on the logistic loss, then calibration."""
     if len(set(y.tolist())) < 2:
         return None
     weight = class_weights(y, counts)
-    apart = np.arange(len(y)) % 5 == 4
-    if len(set(y[apart].tolist())) < 2:
-        apart[:] = False
+    apart = split_apart(y)
     train = np.flatnonzero(~apart)
     balance = {k: 0.5 * len(train) / max(1, int(np.sum(y[train] == k))) for k in (0, 1)}
     w, square = np.zeros(DIM), np.full(DIM, 1e-6)
@@ -107,7 +105,7 @@ def fit_logistic(x: list[np.ndarray], y: np.ndarray, counts: dict[int, int], epo
 def train_rules(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
     """The fitted probability function; docs must hold the labelled documents' texts."""
     sample, counts = labelled_sample(labels, "quality", F.lit(True), per_class)
-    x, y, _ = sample_features(sampled_texts(docs, sample), indicators, np.uint32)
+    x, y = sample_indicators(sampled_texts(docs, sample))
     return fit_logistic(x, y, counts)
 
 

@@ -3,13 +3,22 @@
 A change batch is a table of signed rows (source, lang, tokenizer, tokens, sign): an insert is +1, a delete is -1 and a
 revised count is the old row at -1 and the new one at +1.  A commit adds the batch up by source, language and tokenizer
 version (partial sums before the shuffle, so a hot source costs one row a task), writes these few totals into a folder of
-its own, and then creates a marker file named after the batch id that says which folder it is.  The rollup is the sum
-over the folders of all markers, so commits are additive, may come in any order, and are idempotent: creating a marker
-that is there already fails, on file systems whose create without overwrite is atomic (HDFS; object stores with
-conditional writes), also when two writers send the same batch at once.  A commit that died before its marker leaves
-nothing that counts.  compact() merges batches into a snapshot with a marker of its own that lists the ids it holds, so
-that a batch that is sent again later is still known.  What comes to the driver is one row a batch since the last
-compaction.
+its own, and then creates a marker file named after the batch id and writes into it which folder that is.  The rollup is
+the sum over the folders of all batches, so commits are additive, may come in any order, and are idempotent: creating a
+marker that is there already fails, on file systems whose create without overwrite is atomic (HDFS; object stores with
+conditional writes), also when two writers send the same batch at once.
+
+A writer that dies before its marker leaves nothing that counts; one that dies between creating its marker and writing
+into it leaves an empty marker, which doesn't count either: whoever sends the batch again takes over with a marker of the
+next number, and of several whole markers of a batch the one with the highest number counts, so a slow writer whose
+marker was taken over changes nothing.
+
+compact() merges batches into a snapshot with a numbered marker of its own that lists the ids it holds, so that a batch
+that is sent again later is still known; commit() calls it after `compact_after` batches.  Of the snapshots the whole one
+with the highest number counts.  A compaction deletes what the snapshot before it held already, and snapshots older than
+that, so readers have the time from one compaction to the next but one.  It lists numbers first, batches next, and
+creates its marker last: so a snapshot of a higher number holds all that a lower one does, and of two at once that list
+the same numbers one creates the marker.  What comes to the driver is one row a batch that isn't compacted yet.
 
 Defined results: null sources and languages are groups of their own; a null text has no tokens; repeated rows count as
 often as they come; an empty batch commits empty totals; totals that have gone back to no documents are not shown.
@@ -17,6 +26,7 @@ often as they come; an empty batch commits empty totals; totals that have gone b
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
@@ -33,6 +43,14 @@ from strandlab.llm.packing import default_vocabulary, token_encoder
 KEYS = ["source", "lang", "tokenizer"]
 SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 WORDS, BPE = "words-1", "byte_bpe_50k-1"
+COMPACT_AFTER = 256
+_FOLDER = re.compile("data-[0-9a-f]{32}")
+#: Before the number of a marker that takes over; can't stand in a quoted batch id.
+_AGAIN = "!"
+
+
+def _marker(batch: str) -> str:
+    return f"batch={quote(batch, safe='')}"
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -70,8 +88,8 @@ def revised(old: DataFrame, new: DataFrame) -> DataFrame:
 class Rollup:
     """Totals by source, language and tokenizer version in a folder that driver and executors share."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, compact_after: int = COMPACT_AFTER):
+        self.spark, self.path, self.compact_after = spark, path.rstrip("/"), compact_after
         self.jvm = spark._jvm  # noqa: SLF001
         self.fs = self.jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
         self.fs.mkdirs(self._at(""))
@@ -84,7 +102,7 @@ class Rollup:
         return sorted(n for n in names if n.startswith(f"{kind}="))
 
     def _mark(self, name: str, folder: str) -> bool:
-        """Create the marker; False if there is one."""
+        """Create the marker and say the folder in it; False if there is one."""
         try:
             out = self.fs.create(self._at(name), False)
         except Py4JJavaError as e:
@@ -96,27 +114,42 @@ class Rollup:
         return True
 
     def _folders(self, names: list[str]) -> dict[str, str]:
-        """marker -> folder; a marker whose writer hasn't finished (or died) yet counts as soon as it is whole."""
+        """marker -> folder, of the markers whose writers have finished."""
         if not names:
             return {}
         rows = self.spark.read.text([f"{self.path}/{n}" for n in names], wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), "value").collect()
-        return {unquote(r["name"]): r["value"] for r in rows if r["value"].startswith("data-")}
-
-    def _snapshot(self) -> tuple[int, str | None]:
-        """Number and folder of the newest snapshot."""
-        found = self._folders(self._names("snapshot")[-1:])
-        return next(((int(n.removeprefix("snapshot=")), f) for n, f in found.items()), (0, None))
-
-    def _held(self, names: list[str], snapshot: str | None) -> set[str]:
-        """Which of the markers' batches the snapshot holds."""
-        if not names or not snapshot:
+        return {unquote(r["name"]): r["value"] for r in rows if _FOLDER.fullmatch(r["value"])}
+
+    def _batches(self, names: list[str]) -> dict[str, str]:
+        """batch's first marker -> folder that counts: that of the whole marker with the highest number."""
+        found: dict[str, tuple[int, str]] = {}
+        for name, folder in self._folders(names).items():
+            batch, _, attempt = name.partition(_AGAIN)
+            found[batch] = max(found.get(batch, (-1, "")), (int(attempt or 0), folder))
+        return {batch: folder for batch, (_, folder) in found.items()}
+
+    def _snapshots(self, names: list[str]) -> list[tuple[int, str]]:
+        """Numbers and folders of the two newest whole snapshots, newest first."""
+        found: list[tuple[int, str]] = []
+        for name in reversed(names):
+            found += [(int(n.removeprefix("snapshot=")), f) for n, f in self._folders([name]).items()]
+            if len(found) == 2:
+                break
+        return found
+
+    def _held(self, batches: list[str], snapshot: str | None) -> set[str]:
+        """Which of the batches the snapshot holds."""
+        if not batches or not snapshot:
             return set()
-        return {r["batch"] for r in self.spark.read.parquet(f"{self.path}/{snapshot}/covers").where(F.col("batch").isin(names)).collect()}
+        return {r["batch"] for r in self.spark.read.parquet(f"{self.path}/{snapshot}/covers").where(F.col("batch").isin(batches)).collect()}
+
+    def _newest(self) -> str | None:
+        return next((f for _, f in self._snapshots(self._names("snapshot"))), None)
 
     def has(self, batch: str) -> bool:
         """Is the batch committed?"""
-        name = f"batch={quote(batch, safe='')}"
-        return self.fs.exists(self._at(name)) or bool(self._held([name], self._snapshot()[1]))
+        name = _marker(batch)
+        return bool(self._batches([n for n in self._names("batch") if n.partition(_AGAIN)[0] == name]) or self._held([name], self._newest()))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch of signed changes; False, without reading them, if the batch is there already."""
@@ -125,44 +158,68 @@ class Rollup:
         folder = f"data-{uuid.uuid4().hex}"
         totals = changes.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("tokens")).cast("long").alias("n_tokens"))
         totals.coalesce(1).write.parquet(f"{self.path}/{folder}")  # a few totals, summed up already
-        if self._mark(f"batch={quote(batch, safe='')}", folder):
-            return True
-        self.fs.delete(self._at(folder), True)
-        return False
-
-    def _open(self) -> tuple[dict[str, str], int, str | None]:
-        """Markers (and folders) that the newest snapshot doesn't hold, its number and folder."""
-        last, snapshot = self._snapshot()
-        folders = self._folders(self._names("batch"))
+        name, attempt = _marker(batch), 0
+        while not self._mark(name + (f"{_AGAIN}{attempt}" if attempt else ""), folder):
+            if self.has(batch):
+                self.fs.delete(self._at(folder), True)
+                return False
+            attempt += 1
+        if len(self._names("batch")) >= self.compact_after:
+            self.compact()
+        return True
+
+    def _open(self, snapshot: str | None) -> dict[str, str]:
+        """Batches (and folders) that the snapshot doesn't hold."""
+        folders = self._batches(self._names("batch"))
         held = self._held(list(folders), snapshot)
-        return {n: f for n, f in folders.items() if n not in held}, last, snapshot
+        return {n: f for n, f in folders.items() if n not in held}
 
-    def totals(self) -> DataFrame:
-        folders, _, snapshot = self._open()
+    def _sum(self, folders: dict[str, str], snapshot: str | None) -> DataFrame:
         paths = [f"{self.path}/{f}" for f in folders.values()] + [f"{self.path}/{snapshot}/totals"] * bool(snapshot)
         if not paths:
             return self.spark.createDataFrame([], SCHEMA)
         rows = self.spark.read.schema(SCHEMA).parquet(*paths)
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
 
-    def compact(self) -> None:
-        """Put all batches into a snapshot that also lists their ids, then delete them; a crash in between is harmless,
-        for a batch that a snapshot lists isn't read, and of two compactions at once one creates the marker."""
-        folders, last, snapshot = self._open()
+    def totals(self) -> DataFrame:
+        snapshot = self._newest()
+        return self._sum(self._open(snapshot), snapshot)
+
+    def compact(self) -> bool:
+        """Put all batches into a snapshot; False if there was none, or another compaction came first."""
+        names = self._names("snapshot")
+        known = self._snapshots(names)
+        last = known[0][1] if known else None
+        folders = self._open(last)
         if not folders:
-            return
+            return False
+        number = int(names[-1].removeprefix("snapshot=")) + 1 if names else 1
         folder = f"data-{uuid.uuid4().hex}"
-        self.totals().coalesce(1).write.parquet(f"{self.path}/{folder}/totals")
+        self._sum(folders, last).coalesce(1).write.parquet(f"{self.path}/{folder}/totals")
         covers = self.spark.createDataFrame([(n,) for n in sorted(folders)], "batch string")
-        if snapshot:
-            covers = covers.unionByName(self.spark.read.parquet(f"{self.path}/{snapshot}/covers"))
+        if last:
+            covers = covers.unionByName(self.spark.read.parquet(f"{self.path}/{last}/covers"))
         covers.coalesce(1).write.parquet(f"{self.path}/{folder}/covers")
-        if self._mark(f"snapshot={last + 1:012d}", folder):
-            for name, data in folders.items():
-                self.fs.delete(self._at(name), False)
-                self.fs.delete(self._at(data), True)
-        else:
+        if not self._mark(f"snapshot={number:012d}", folder):
+            self.fs.delete(self._at(folder), True)
+            return False
+        self._forget(known)
+        return True
+
+    def _forget(self, known: list[tuple[int, str]]) -> None:
+        """Delete the batches that the snapshot before held, and the snapshots before that one."""
+        if not known:
+            return
+        last = known[0]
+        markers = self._names("batch")
+        held = self._held(sorted({n.partition(_AGAIN)[0] for n in markers}), last[1])
+        mine = [n for n in markers if n.partition(_AGAIN)[0] in held]
+        old = [n for n in self._names("snapshot") if int(n.removeprefix("snapshot=")) < last[0]]
+        for name, folder in (self._folders(mine) | self._folders(old)).items():
             self.fs.delete(self._at(folder), True)
+            self.fs.delete(self._at(name), False)
+        for name in mine + old:  # those that were left empty
+            self.fs.delete(self._at(name), False)
 
 
 def token_counts(spark, sf_dir: str) -> DataFrame:

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from strandlab.llm.common import table, text_of
 from strandlab.llm.ngrams import PER_CLASS, class_weights, held_out, labelled_sample, sample_features, sampled_texts, score_texts
 
-#: Common English insults, and pronouns of the second person in the corpus's languages.
-INSULTS = frozenset("idiot idiots moron morons stupid dumb loser losers pathetic scum trash garbage worthless disgusting clown fool imbecile dimwit vermin filth creep jerk retard bastard bitch asshole fuck fucking shit damn hate kill die".split())
+#: Common English insults that are no words of the corpus's other languages, and pronouns of the second person in the corpus's languages.
+INSULTS = frozenset("idiot idiots moron morons stupid dumb loser losers pathetic scum trash garbage worthless disgusting clown fool imbecile dimwit vermin filth creep jerk retard bastard bitch asshole fuck fucking shit damn hate kill".split())
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deiner ihr euch tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
 #: Characters that stand for letters in obfuscated spellings.
 LEET = str.maketrans("013457@$!", "oieastasi")

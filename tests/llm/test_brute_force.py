@@ -46,7 +46,7 @@ def test_packing_round_trip(spark, sf):
     assert full.max() <= 2048 and len(full) <= 1.05 * full.sum() / 2048 + 1
 
 
-def test_packing_in_rounds(spark):
+def test_packing_in_several_tasks(spark):
     from strandlab.llm.packing import pack_pieces
 
     r = random.Random(1)
