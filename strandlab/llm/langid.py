@@ -10,7 +10,7 @@ gives all kernel values, and these times one small matrix all decision values.
 without a shuffle; long ones in stretches, of which only distinct n-grams are kept.
 
 Bounds, all parameters: the fit sees at most ROWS rows, as many of each language (the first by a hash of doc_id and
-text), of the LANGUAGES most frequent languages; LANDMARKS of these rows, dealt to the languages in turn, are landmarks,
+text; fewer where nearly all of a language's rows are repeated ones), of the LANGUAGES most frequent languages; LANDMARKS of these rows, dealt to the languages in turn, are landmarks,
 texts of at most LANDMARK_GRAMS distinct n-grams (a language that has none: its shortest).  To the driver come languages' counts, landmarks'
 n-grams and the sample's kernel values, no other row.
 
@@ -120,10 +120,14 @@ def ridge(features: np.ndarray, y: np.ndarray, n_classes: int, strength: float =
 
 def _sample(docs: DataFrame, learn: Column, rows: int, languages: int) -> tuple[DataFrame, list[str]]:
     usable = docs.where(learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    known = sorted(r["lang"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect())
+    count = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    known = sorted(count)
     each = max(1, rows // max(1, len(known)))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))  # cut to `each` before the shuffle, too
-    return usable.where(F.col("lang").isin(known)).withColumn("place", place).where(F.col("place") <= each), known
+    # hashes below a share that leaves twice as many as are taken: few rows of any language meet in a task
+    share = F.create_map(*(F.lit(v) for k in known for v in (k, min(1.0, 2 * each / count[k])))) if known else F.create_map(F.lit(""), F.lit(0.0))
+    some = usable.where((F.col("h") / float(1 << 64) + 0.5) < F.element_at(share, F.col("lang")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    return some.withColumn("place", place).where(F.col("place") <= each), known
 
 
 def train(docs: DataFrame, learn: Column, *, rows: int = ROWS, languages: int = LANGUAGES, landmarks: int = LANDMARKS, landmark_grams: int = LANDMARK_GRAMS, strength: float = RIDGE):

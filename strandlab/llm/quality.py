@@ -22,7 +22,7 @@ from strandlab.llm.common import table
 from strandlab.llm.ngrams import DIM, PER_CLASS, Indicators, class_weights, held_out, indicators, labelled_sample, platt, sample_indicators, sampled_texts, score_texts, split_apart
 
 
-#: Gap between primal and dual objective at which the descent ends, as a share of the primal one.
+#: Gap between primal and dual objective at which the fit's descent ends, as a share of the primal one.
 GAP = 1e-2
 
 
@@ -35,7 +35,7 @@ def log_count_ratios(x, y: np.ndarray, alpha: float = 1.0) -> np.ndarray:
     return np.log(n[1] / total[1]) - np.log(n[0] / total[0])
 
 
-def dual_coordinate_descent(x, value: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 400, seed: int = 7, gap: float = GAP) -> np.ndarray:
+def dual_coordinate_descent(x, value: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 400, seed: int = 7, gap: float = 1e-6) -> np.ndarray:
     """Weights w of min |w|^2 / 2 + sum cost_i * max(0, 1 - s_i w.x_i) with s = +-1; x_i has value[j] / sqrt(n_i) at its
     features j.  Each step solves the dual in one row's multiplier, which stays between 0 and the row's cost; it ends when
     the duality gap is small, or after so many epochs."""
@@ -72,7 +72,7 @@ def fit_nbsvm(x, y: np.ndarray, counts: dict[int, int]):
     ratio = log_count_ratios(pick(train), y[train])
     n = {k: max(1, int(np.sum(y[train] == k))) for k in (0, 1)}
     cost = np.where(y[train] == 1, 0.5 * train.sum() / n[1], 0.5 * train.sum() / n[0])
-    w = dual_coordinate_descent(pick(train), ratio, y[train], cost)
+    w = dual_coordinate_descent(pick(train), ratio, y[train], cost, gap=GAP)
     final = (w * ratio).astype(np.float32)
     use = apart if apart.any() else train
     margin = np.array([final[v].sum() / math.sqrt(max(1, len(v))) for v in pick(use)], dtype=np.float64)

@@ -52,7 +52,7 @@ def test_descent_ends_near_the_optimum_of_real_rows(spark):
     x, y = G.sample_indicators(G.sampled_texts(docs, picked))
     ratio = Q.log_count_ratios(x, y)
     cost = np.full(len(y), 0.5)
-    w = Q.dual_coordinate_descent(x, ratio, y, cost)
+    w = Q.dual_coordinate_descent(x, ratio, y, cost, gap=Q.GAP)
     best = Q.dual_coordinate_descent(x, ratio, y, cost, epochs=3000, gap=1e-5)
     s = np.where(y == 1, 1.0, -1.0)
 
@@ -89,7 +89,7 @@ def test_quality_fit_equals_a_plain_one(monkeypatch):
     """Ratios, hinge loss and calibration with dictionaries and loops, on features of short texts."""
     monkeypatch.setattr(Q, "GAP", 1e-7)
     descent = Q.dual_coordinate_descent
-    monkeypatch.setattr(Q, "dual_coordinate_descent", lambda *a: descent(*a, epochs=4000, gap=1e-7))
+    monkeypatch.setattr(Q, "dual_coordinate_descent", lambda *a, gap: descent(*a, epochs=4000, gap=gap))
     r = random.Random(4)
     words = "one two some words again zz top 12 and more".split()
     texts = [" ".join(r.choices(words[: 7 if k % 2 else 10], k=6)) + "!" * (k % 2) for k in range(40)]
