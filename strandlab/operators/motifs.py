@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strandlab.functions import sequences as S
 from strandlab.functions.mathematics import bits
+from strandlab.operators import suffixes
 from strandlab.session import for_python, written
 
 #: How a pair of motif columns costs, when a merge is significant.
@@ -324,25 +325,17 @@ def rounds_of_common(seqs: DataFrame, shortest: int, least: int, most: int = ROU
     """kmer, n, n_seq, round: in each round all longest substrings that so many sequences share are taken and blanked out
     of the sequences, until none of the shortest length is left, or for so many rounds.
 
-    A round's length is found by bisection, for the prefixes of a common substring are common."""
+    A round's length is that of the longest window over the sorted suffixes, which are sorted once."""
     spark = seqs.sparkSession
     out, now = spark.createDataFrame([], "kmer string, n long, n_seq long, round int"), written(seqs, "round")
-    shared = lambda k: common(now, k, least).where("NOT contains(kmer, '#')")
-    some = lambda k: not shared(k).isEmpty()
-    high = now.agg(F.max(F.length("seq"))).first()[0] or 0  # no common substring is longer
+    prefixes = written(suffixes.with_prefixes(suffixes.letters(now)), "prefixes")
     for i in range(most):
-        low, step = shortest - 1, 1  # the longest length is in low .. high
-        while low < high:
-            k = min(low + step, high)
-            if some(k):
-                low, step = k, 2 * step
-            else:
-                high, step = k - 1, max(step // 2, 1)
-        if low < shortest:
+        length = suffixes.longest_common(prefixes, now, least, shortest)
+        if length < shortest:
             break
-        top = written(shared(low).withColumn("round", F.lit(i)), "common")
+        top = written(common(now, length, least).where("NOT contains(kmer, '#')").withColumn("round", F.lit(i)), "common")
         out = out.unionByName(top)
-        now, high = written(blanked(now, top, low), "round"), low - 1  # none as long is left
+        now = written(blanked(now, top, length), "round")
     return out
 
 

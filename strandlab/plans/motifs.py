@@ -11,6 +11,7 @@ from strandlab.functions import mathematics as A
 from strandlab.functions import sequences as S
 from strandlab.operators import counting as C
 from strandlab.operators import motifs as M
+from strandlab.operators import suffixes as X
 from strandlab.operators.orders import ranked
 from strandlab.plans.counting import EV, km_sql, labelled_events
 from strandlab.plans.registry import query
@@ -279,6 +280,48 @@ def suffix_lcp_whole(spark, d):
     return M.suffix_order(labelled_events(spark, d).select("user_id", pos.alias("pos"), "event_id", "state"))
 
 
+_HEX = "string_agg(printf('%04X', state), '' ORDER BY i)"
+_SUFFIX = f"{EV}, st AS (SELECT user_id, state, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM ev), tx AS MATERIALIZED (SELECT user_id, {_HEX} AS t, count(*) AS n FROM st GROUP BY user_id), sx AS MATERIALIZED (SELECT user_id, i, substring(t, 4 * i + 1) AS s FROM (SELECT user_id, t, unnest(range(0, n)) AS i FROM tx))"
+_PATTERNS = "pt AS MATERIALIZED (SELECT DISTINCT substring(t, 1, 4 * (1 + user_id % 15)) AS p FROM tx)"
+
+
+def event_suffixes(spark, d: str) -> DataFrame:
+    """seq_id, pos, state of the users' events."""
+    pos = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long") - 1
+    return labelled_events(spark, d).select(F.col("user_id").alias("seq_id"), pos.alias("pos"), "state")
+
+
+def probed(spark, d: str) -> tuple[X.Index, DataFrame]:
+    """The stored index of the users' label sequences, and the intervals of each user's first 1 to 15 labels."""
+    index = X.save_and_load(X.build(event_suffixes(spark, d)), spark)
+    begin = user_states(spark, d).select(F.expr("slice(x, 1, CAST(1 + user_id % 15 AS INT))").alias("pattern"))
+    return index, X.probe(index, begin)
+
+
+@query("suffix_probe", f"WITH {_SUFFIX}, {_PATTERNS} SELECT p AS pattern, CAST(count(*) FILTER (substring(s, 1, length(p)) < p) AS BIGINT) AS low, CAST(count(*) FILTER (substring(s, 1, length(p)) <= p) AS BIGINT) AS high FROM pt, sx GROUP BY p")
+def suffix_probe(spark, d):
+    """Intervals of label patterns of 1 to 15 states in the stored order of all whole suffixes."""
+    _, found = probed(spark, d)
+    return found.select(X.keyed("pattern").alias("pattern"), "low", "high")
+
+
+@query("suffix_probe_places", f"WITH {_SUFFIX}, {_PATTERNS} SELECT p AS pattern, user_id, CAST(i AS BIGINT) AS pos FROM pt JOIN sx ON substring(s, 1, length(p)) = p WHERE length(p) >= 12")
+def suffix_probe_places(spark, d):
+    """Where the patterns of three labels or more occur: the rows of their intervals."""
+    index, found = probed(spark, d)
+    places = X.occurrences(index, found.where(F.size("pattern") >= 3))
+    return places.select(X.keyed("pattern").alias("pattern"), F.col("seq_id").alias("user_id"), "pos")
+
+
+@query("common_windows", f"""WITH {_SUFFIX}, o AS (SELECT user_id, i, s, row_number() OVER (ORDER BY s, user_id, i) - 1 AS place FROM sx), k AS (SELECT place, user_id, w, substring(s, 1, 4 * w) AS x FROM o, range(2, 41) r(w) WHERE length(s) >= 4 * w),
+f AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY x, user_id ORDER BY place) = 1 THEN 1 ELSE 0 END AS fresh FROM k), g AS (SELECT place, w, x, sum(fresh) OVER (PARTITION BY x ORDER BY place ROWS UNBOUNDED PRECEDING) AS n FROM f),
+b AS (SELECT place, arg_max(x, w) AS x, max(w) AS w FROM g WHERE n >= 12 GROUP BY place) SELECT x AS word, CAST(w AS BIGINT) AS length, CAST(count(*) AS BIGINT) AS n, CAST(min(place) AS BIGINT) AS place FROM b GROUP BY x, w""")
+def common_windows(spark, d):
+    """What the shortest windows of the sorted suffixes with twelve users have in common, from two labels on."""
+    found = X.common_prefixes(event_suffixes(spark, d), 12, 2)
+    return found.select(X.keyed("word").alias("word"), "length", "n", "place")
+
+
 @query("common_rounds")
 def common_rounds(spark, d):
     """Common substrings of the users' event sequences, the longest taken and blanked out first, until none is left."""

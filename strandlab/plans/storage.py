@@ -17,7 +17,7 @@ from strandlab.plans.motifs import matrix as motif_matrix
 from strandlab.plans.registry import query
 from strandlab.plans.sequences import SEQS, seqs
 from strandlab.session import folder, table
-from strandlab.sources import files, models
+from strandlab.sources import files, models, packed
 
 
 @query("fasta_roundtrip", f"WITH {SEQS} SELECT CAST(seq_id AS VARCHAR) AS name, seq FROM seqs")
@@ -68,6 +68,40 @@ def pack_store(spark, d):
     return models.packed(seqs(spark, d), 100)
 
 
+def packed_store(spark, d: str) -> packed.Store:
+    """The documents' letters as a packed store in chunks of 64 kB."""
+    path = folder(spark, "packed")
+    packed.write_packed(seqs(spark, d), path)
+    return packed.read_packed(spark, path)
+
+
+@query("packed_chunks", f"WITH {SEQS}, t AS (SELECT string_agg(seq, '' ORDER BY seq_id) AS t FROM seqs) SELECT CAST(c AS BIGINT) AS chunk, CAST(length(x) AS INTEGER) AS size, sha256(x) AS digest FROM (SELECT c, substring(t, c * {packed.CHUNK} + 1, {packed.CHUNK}) AS x FROM t, range(0, CAST((length(t) + {packed.CHUNK} - 1) // {packed.CHUNK} AS BIGINT)) r(c))")
+def packed_chunks(spark, d):
+    """The chunks of the store, with their bytes' digests."""
+    return packed_store(spark, d).chunks.select("chunk", "size", F.sha2("data", 256).alias("digest"))
+
+
+@query("packed_slices", f"WITH {SEQS}, r AS (SELECT seq_id, seq, CAST(k * 977 % greatest(length(seq), 1) AS BIGINT) AS start, CAST(50 + k * 400 AS BIGINT) AS len FROM seqs, range(0, 3) q(k)) SELECT seq_id, start, len, substring(seq, start + 1, len) AS seq FROM (SELECT DISTINCT * FROM r)")
+def packed_slices(spark, d):
+    """Three parts of every sequence, read by range from the store; long ones span chunks."""
+    store = packed_store(spark, d)
+    k = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k")
+    wanted = store.offsets.select("seq_id", F.col("len").alias("whole"), k).select("seq_id", (F.col("k") * 977 % F.greatest("whole", F.lit(1))).cast("long").alias("start"), (50 + F.col("k") * 400).cast("long").alias("len"))
+    return packed.slices(store, wanted).select("seq_id", "start", "len", F.col("data").cast("string").alias("seq"))
+
+
+@query("packed_scan", f"WITH {SEQS} SELECT seq_id, seq FROM seqs")
+def packed_scan(spark, d):
+    """Every sequence put together from the chunks again."""
+    return packed.scan(packed_store(spark, d)).select("seq_id", F.col("data").cast("string").alias("seq"))
+
+
+@query("packed_summary", f"WITH {SEQS} SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(length(seq)) AS BIGINT) AS residues, CAST(max(length(seq)) AS BIGINT) AS longest, CAST((sum(length(seq)) + {packed.CHUNK} - 1) // {packed.CHUNK} AS BIGINT) AS chunks FROM seqs")
+def packed_summary(spark, d):
+    """Counts of the store from its offsets alone."""
+    return packed.summary(packed_store(spark, d))
+
+
 @query("store_summary", f"WITH {SEQS} SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(length(seq)) AS BIGINT) AS residues, CAST(max(length(seq)) AS INTEGER) AS longest FROM seqs")
 def store_summary(spark, d):
     return seqs(spark, d).agg(F.count("*").alias("n"), F.sum(F.length("seq")).alias("residues"), F.max(F.length("seq")).alias("longest"))
