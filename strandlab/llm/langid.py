@@ -72,7 +72,7 @@ def grams(text: str, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
                 new.append(h)
         new = np.concatenate([*found, *new])
         new.sort()
-        found = [new[np.concatenate([[True], new[1:] != new[:-1]])]]
+        found = [new[np.concatenate([[True], new[1:] != new[:-1]])] if len(new) else new]
         tail = code[-(max(orders) - 1) :]
     return found[0] if some else np.zeros(0, dtype=np.uint64)
 

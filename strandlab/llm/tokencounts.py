@@ -148,6 +148,9 @@ class Rollup:
 
     def has(self, batch: str) -> bool:
         """Is the batch committed?"""
+        return self._known(batch)
+
+    def _known(self, batch: str) -> bool:
         name = _marker(batch)
         return bool(self._batches([n for n in self._names("batch") if n.partition(_AGAIN)[0] == name]) or self._held([name], self._newest()))
 
@@ -160,7 +163,7 @@ class Rollup:
         totals.coalesce(1).write.parquet(f"{self.path}/{folder}")  # a few totals, summed up already
         name, attempt = _marker(batch), 0
         while not self._mark(name + (f"{_AGAIN}{attempt}" if attempt else ""), folder):
-            if self.has(batch):
+            if self._known(batch):
                 self.fs.delete(self._at(folder), True)
                 return False
             attempt += 1

@@ -19,7 +19,7 @@ import math
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlab.llm.common import table, text_of
@@ -45,9 +45,12 @@ _ODD = re.compile(r"[^\W\d_](?:[@$!*0-9._-])+[^\W\d_]")
 def learn_lexicon(texts: DataFrame, least: int = LEAST_DOCS) -> dict[str, float]:
     """word, or beginning + "*" -> log odds, of at most LEXICON tokens that mark toxic texts (y, text) of the sample."""
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= 3))
-    starts = [F.transform(F.filter("words", lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in PREFIXES]
+
+    def starts(n: int) -> Column:
+        return F.transform(F.filter("words", lambda w: F.length(w) >= n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+
     rows = texts.select("y", words.alias("words"))
-    tokens = rows.select("y", F.explode(F.array_distinct(F.concat("words", *starts))).alias("token"))
+    tokens = rows.select("y", F.explode(F.array_distinct(F.concat("words", *map(starts, PREFIXES)))).alias("token"))
     total = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows at most
     n1, n0 = total.get(1, 0) + 1, total.get(0, 0) + 1
     odds = F.log((F.col("t") + 0.5) / n1) - F.log((F.col("c") + 0.5) / n0)
