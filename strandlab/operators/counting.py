@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from strandlab.functions import sequences as S
 
+#: Digits of base 32, as conv() reads them.
+DIGITS = "0123456789abcdefghijklmnopqrstuv"
 #: State numbers of the virtual start and end of every sequence.
 START, END = 0, 1
 
@@ -23,6 +25,22 @@ def all_kmer_counts(seqs: DataFrame, most: int) -> DataFrame:
     return rows.groupBy("kmer").agg(F.count("*").alias("n")).select(F.length("kmer").alias("k"), "kmer", "n")
 
 
+def packed_counts(seqs: DataFrame, most: int = 12, alphabet: str = S.LETTERS) -> DataFrame:
+    """k, code, n of the words of all lengths 1 .. most (at most 12) over the alphabet (at most 32 letters); a code has
+    five bits a letter.
+
+    One pass inside code generation: each place gives its longest word, of `most` letters or up to the sequence's end;
+    these are counted, and every shorter word is the sum of the longer ones that begin with it."""
+    if not 1 <= most <= 12 or len(alphabet) > len(DIGITS):
+        raise ValueError("at most 12 letters of an alphabet of at most 32 fit in a code")
+    digits = F.translate("seq", alphabet, DIGITS[: len(alphabet)])
+    each = seqs.select(F.explode(F.regexp_extract_all(digits, F.lit(f"(?=(.{{1,{most}}}))"), F.lit(1))).alias("word"))
+    longest = each.groupBy("word").agg(F.count("*").alias("n")).select(F.length("word").alias("m"), F.conv("word", 32, 10).cast("long").alias("code"), "n")
+    shorter = longest.select("m", "code", "n", F.explode(F.sequence(F.lit(1), "m")).alias("k"))
+    cut = shorter.select("k", F.expr("shiftright(code, 5 * (m - k))").alias("code"), "n")
+    return cut.groupBy("k", "code").agg(F.sum("n").alias("n"))
+
+
 def kmer_totals(seqs: DataFrame, most: int) -> DataFrame:
     """k, total (windows of that length) and least (2 / total), from lengths alone."""
     ks = F.explode(F.sequence(F.lit(1), F.lit(most))).alias("k")

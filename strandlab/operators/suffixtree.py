@@ -2,10 +2,11 @@
 
 A node is a context (the letters before a position) with the log-odds of every next letter against the background.
 
-Words are integers, five bits a letter.  A context is tried only if its probability exceeds p_min, so at most 1 / p_min
-contexts a level are candidates and at most letters / p_min longer words a level come to the driver, whatever the corpus;
-the counting itself is one narrow pass a level (one in all for a depth below four).  No cut besides the rule's own: a word that is frequent enough has
-frequent prefixes, so the words of a level are found from those of the level before.
+Words are integers, five bits a letter, counted for all lengths at once (counting.packed_counts).  A level's nodes are a
+table made from the words of two lengths and the nodes of the level before by joins on codes; nothing of a level comes to
+the driver but how many nodes it has.  A context is tried only if its probability exceeds p_min, so a level has at most
+1 / p_min nodes, whatever the corpus.  Scoring looks contexts up in arrays that are broadcast once to an executor, of seen
+continuations only; beyond BROADCAST_BYTES it joins the words of the sequences with the nodes instead.
 """
 
 from __future__ import annotations
@@ -21,26 +22,41 @@ from pyspark.sql import functions as F
 
 from strandlab.functions import sequences as S
 from strandlab.operators import context as P
+from strandlab.operators.counting import DIGITS, packed_counts
 from strandlab.session import for_python, written
 
 #: A context has fewer than 12 letters, outliers of the calibration.
 DEPTH, OUTLIER = 11, 20.0
-#: Letters whose words are counted at a time in a Python worker, about.
-PART = 1_000_000
+#: Bytes of a model that are broadcast at most.
+BROADCAST_BYTES = 256 << 20
 
 
 @dataclass
 class Tree:
-    """contexts[k]: sorted codes of the contexts of k letters; p[k]: one row of next-letter probabilities each."""
+    """nodes: k (letters of the context), code, n and p (arrays by next letter); background: by letter; size: nodes of
+    each level; seen: continuations that were seen, of all nodes."""
 
     alphabet: str
     background: np.ndarray
-    contexts: list[np.ndarray]
-    p: list[np.ndarray]
-
-    def lod(self) -> list[np.ndarray]:
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return [np.where(self.background > 0, np.log(p / self.background), 0.0) for p in self.p]
+    nodes: DataFrame
+    gamma: float
+    size: list[int]
+    seen: int
+
+    def continuations(self) -> DataFrame:
+        """k, code, residue, lod of the continuations that were seen; any other has the log of gamma."""
+        bg = F.array(*(F.lit(float(x)) for x in self.background))
+        each = self.nodes.select("k", "code", F.posexplode(F.arrays_zip("n", "p", bg.alias("bg"))).alias("residue", "x")).where("x.n > 0 AND x.bg > 0")
+        return each.select("k", "code", "residue", F.log(F.col("x.p") / F.col("x.bg")).alias("lod"))
+
+    def arrays(self) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+        """By level: sorted codes of the contexts; sorted codes of the seen words of one letter more, and their log-odds."""
+        one = self.nodes.select("k", "code").toArrow()
+        two = self.continuations().select("k", (F.col("code") * 32 + F.col("residue")).alias("code"), "lod").toArrow()
+        level = lambda t, k: t.filter(np.equal(t["k"].to_numpy(), k)).sort_by("code")
+        deep = range(len(self.size))
+        words = [level(two, k) for k in deep]
+        return [level(one, k)["code"].to_numpy() for k in deep], [w["code"].to_numpy() for w in words], [w["lod"].to_numpy() for w in words]
 
 
 def coded(text: str, alphabet: str) -> np.ndarray:
@@ -64,147 +80,115 @@ def found_in(codes: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, among[at] == codes if len(among) else np.zeros(len(codes), dtype=bool)
 
 
-def count_words(seqs: DataFrame, k: int, prefixes: np.ndarray | None, alphabet: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted codes and counts of the words of k letters whose first k - 1 letters are among the prefixes."""
-    for_python(seqs.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            each, size = [], 0
-            for i, s in enumerate(pdf["seq"], 1):
-                each.append(words_of(coded(s, alphabet), k))
-                size += len(each[-1])
-                if size < PART and i < len(pdf):
-                    continue
-                w = np.concatenate(each)
-                if prefixes is not None:
-                    w = w[found_in(w >> 5, prefixes)[1]]
-                code, n = np.unique(w, return_counts=True)
-                yield pd.DataFrame({"code": code, "n": n})
-                each, size = [], 0
-
-    rows = seqs.select("seq").where(F.length("seq") >= k).mapInPandas(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas().sort_values("code")
-    return rows["code"].to_numpy(dtype=np.int64), rows["n"].to_numpy(dtype=np.int64)
-
-
-def short_words(seqs: DataFrame, most: int, alphabet: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Sorted codes and counts of all words of each length 1 .. most (at most 4, so at most letters ** most words), in one
-    narrow pass: a task adds its words up in arrays and sends each word at most once."""
-    if most > 4:
-        raise ValueError("words of more letters are counted by level")
-    for_python(seqs.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = {k: np.zeros(1 << 5 * k, dtype=np.int64) for k in range(1, most + 1)}
-        for pdf in batches:
-            for s in pdf["seq"]:
-                x = coded(s, alphabet)
-                for k, n in total.items():
-                    w = words_of(x, k)
-                    if len(w) * 8 > len(n):
-                        n += np.bincount(w, minlength=len(n))
-                    else:
-                        np.add.at(n, w, 1)
-        for k, n in total.items():
-            code = np.flatnonzero(n)
-            yield pd.DataFrame({"k": k, "code": code, "n": n[code]})
-
-    rows = seqs.select("seq").where("seq <> ''").mapInPandas(run, "k int, code long, n long").groupBy("k", "code").agg(F.sum("n").alias("n")).toPandas().sort_values(["k", "code"])
-    at = {k: rows[rows["k"] == k] for k in range(1, most + 1)}
-    return {k: (r["code"].to_numpy(dtype=np.int64), r["n"].to_numpy(dtype=np.int64)) for k, r in at.items()}
-
-
 def grow(seqs: DataFrame, alphabet: str = S.LETTERS, depth: int = DEPTH, p_min: float = P.P_MIN, gamma: float = P.GAMMA) -> Tree:
     """The tree of all contexts that the growth rule accepts; p_min is at least 2 / N of every length.
 
     The root is the background.  A context a + s is added to its parent s if P(as) > p_min, sum_k P(ask) ln(P(ask) /
     (P(k|s) P(as))) > p_min over the seen letters k, and some continuation was seen.  P(x) = (c(x) + 1) / (N + letters)."""
     letters = len(alphabet)
-    known = short_words(seqs, depth + 1, alphabet) if depth < 4 else {}
-
-    def count(k: int, prefixes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        if k not in known:
-            return count_words(seqs, k, prefixes, alphabet)
-        codes, n = known[k]
-        keep = found_in(codes >> 5, prefixes)[1] if prefixes is not None else np.ones(len(codes), dtype=bool)
-        return codes[keep], n[keep]
-
-    if known:
-        total = [0, *(int(known[k][1].sum()) for k in range(1, depth + 2))]
-    else:
-        found = seqs.agg(*(F.sum(F.greatest(F.length("seq") - (k - 1), F.lit(0))).alias(str(k)) for k in range(1, depth + 2))).first()
-        total = [0, *(int(v or 0) for v in found)]
-    codes, n = count(1, None)
+    words = written(packed_counts(seqs, depth + 1, alphabet), "words")
+    total = {r["k"]: r["n"] for r in words.groupBy("k").agg(F.sum("n").alias("n")).collect()}  # depth + 1 rows
     one = np.zeros(letters)
-    one[codes] = n
+    for r in words.where("k = 1").collect():  # letters
+        one[r["code"]] = r["n"]
     background = one / max(one.sum(), 1)
-    tree = Tree(alphabet, background, [np.zeros(1, dtype=np.int64)], [background[None, :]])
-    p_min = max([p_min, *(2 / t if t else math.inf for t in total[1:])])
-    least = min(p_min * (t + letters) - 1 for t in total[1:]) if p_min < math.inf else math.inf  # c(w) of any candidate is above
-    seen = background > 0
-    for k in range(1, depth + 1):
-        frequent = n > least
-        codes, n = codes[frequent], n[frequent]
-        if not len(codes):
-            break
-        longer, n_longer = count(k + 1, codes)
-        parent, has = found_in(codes & ((1 << 5 * (k - 1)) - 1), tree.contexts[-1])
-        p_word = (n + 1) / (total[k] + letters)
-        tried = has & (p_word > p_min)
-        at = found_in(longer >> 5, codes)[0]
-        after = np.zeros((len(codes), letters))
-        after[at, longer & 31] = n_longer
-        p_longer = (after + 1) / (total[k + 1] + letters)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            each = p_longer * np.log(p_longer / (tree.p[-1][parent] * p_word[:, None]))
-        err, every = each[:, seen].sum(1), after.sum(1)
-        good = tried & (every > 0) & (err > p_min)
-        tree.contexts.append(codes[good])
-        tree.p.append((1 - gamma) * after[good] / every[good, None] + gamma * background)
-        codes, n = longer, n_longer
-        if not good.any():
-            break
-    return tree
+    doubles = lambda v: F.array(*(F.lit(float(x)) for x in v))
+    root = seqs.sparkSession.range(1).select(F.lit(0).alias("k"), F.lit(0).cast("long").alias("code"), F.array(*(F.lit(int(x)) for x in one)).cast("array<long>").alias("n"), doubles(background).alias("p"))
+    levels, size = [written(root, "level")], [1]
+    if all(total.get(k) for k in range(1, depth + 2)):
+        p_min = max([p_min, *(2 / t for t in total.values())])
+        least = min(p_min * (t + letters) - 1 for t in total.values())  # c(w) of any candidate is above
+        here, bg = F.sequence(F.lit(0), F.lit(letters - 1)), doubles(background)
+        for k in range(1, depth + 1):
+            parent = F.col("code").bitwiseAND(F.lit((1 << 5 * (k - 1)) - 1))
+            tried = words.where((F.col("k") == k) & (F.col("n") > least)).select("code", ((F.col("n") + 1) / float(total[k] + letters)).alias("pw"), parent.alias("parent")).where(F.col("pw") > p_min)
+            tried = written(tried.join(levels[-1].select(F.col("code").alias("parent"), F.col("p").alias("pp")), "parent"), "tried")
+            longer = words.where(F.col("k") == k + 1).select(F.shiftright("code", 5).alias("code"), F.col("code").bitwiseAND(31).cast("int").alias("residue"), "n")
+            after = longer.join(tried.select("code"), "code", "left_semi").groupBy("code").agg(F.map_from_entries(F.collect_list(F.struct("residue", "n"))).alias("m"))  # at most letters each
+            full = tried.join(after, "code").withColumn("n", F.transform(here, lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long"))))
+            longer_p = lambda i: (F.col("n")[i] + 1) / float(total[k + 1] + letters)  # noqa: B023, E731
+            part = F.transform(here, lambda i: F.when(bg[i] > 0, longer_p(i) * F.log(longer_p(i) / (F.col("pp")[i] * F.col("pw")))).otherwise(0.0))
+            every = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)
+            good = full.withColumn("err", F.aggregate(part, F.lit(0.0), lambda a, x: a + x)).withColumn("every", every).where((F.col("err") > p_min) & (F.col("every") > 0))
+            p = F.transform(here, lambda i: (1 - gamma) * F.col("n")[i] / F.col("every") + gamma * bg[i])
+            level = written(good.select(F.lit(k).alias("k"), "code", "n", p.alias("p")), "level")
+            n = level.count()
+            if not n:
+                break
+            levels.append(level)
+            size.append(n)
+    nodes = levels[0]
+    for level in levels[1:]:
+        nodes = nodes.unionByName(level)
+    seen = nodes.agg(F.sum(F.size(F.filter("n", lambda x: x > 0)))).first()[0]
+    return Tree(alphabet, background, nodes, gamma, size, int(seen))
+
+
+def name_of(tree: Tree):
+    """The context's letters, from k and code."""
+    return F.translate(F.lpad(F.conv(F.col("code").cast("string"), 10, 32), F.col("k"), "0"), DIGITS[: len(tree.alphabet)].upper(), tree.alphabet)
 
 
 def node_table(spark, tree: Tree) -> DataFrame:
     """context, residue, p, lod."""
-    rows = []
-    for k, (contexts, p, lod) in enumerate(zip(tree.contexts, tree.p, tree.lod(), strict=True)):
-        for c, x, y in zip(contexts.tolist(), p, lod, strict=True):
-            name = "".join(tree.alphabet[(c >> 5 * j) & 31] for j in range(k - 1, -1, -1))
-            rows += [(name, tree.alphabet[i], float(x[i]), float(y[i])) for i in np.flatnonzero(tree.background > 0)]
-    return spark.createDataFrame(pd.DataFrame(rows, columns=["context", "residue", "p", "lod"]))
+    bg = F.array(*(F.lit(float(x)) for x in tree.background))
+    each = tree.nodes.select(F.when(F.col("k") > 0, name_of(tree)).otherwise("").alias("context"), F.posexplode(F.arrays_zip("p", bg.alias("bg"))).alias("i", "x")).where("x.bg > 0")
+    return each.select("context", F.substring(F.lit(tree.alphabet), F.col("i") + 1, F.lit(1)).alias("residue"), F.col("x.p").alias("p"), F.log(F.col("x.p") / F.col("x.bg")).alias("lod"))
 
 
-def score_one(x: np.ndarray, contexts: list[np.ndarray], lod: list[np.ndarray]) -> float:
-    """Sum over the letters of the log-odds at the deepest context that is there."""
-    value = lod[0][0][x]
+def score_one(x: np.ndarray, contexts: list[np.ndarray], words: list[np.ndarray], lod: list[np.ndarray], unseen: np.ndarray) -> float:
+    """Sum over the letters of the log-odds at the deepest context that is there; unseen: by letter."""
+    value = unseen[x]
+    at, has = found_in(x, words[0])
+    value[has] = lod[0][at[has]]
     active = np.arange(len(x))
     for k in range(1, len(contexts)):
         active = active[active >= k]
         code = words_of(x, k)[active - k] if len(active) else np.zeros(0, dtype=np.int64)
-        at, has = found_in(code, contexts[k])
-        active = active[has]
+        has = found_in(code, contexts[k])[1]
+        active, code = active[has], code[has]
         if not len(active):
             break
-        value[active] = lod[k][at[has], x[active]]
+        value[active] = unseen[x[active]]
+        at, has = found_in((code << 5) | x[active], words[k])
+        value[active[has]] = lod[k][at[has]]
     return float(value.sum())
 
 
-def score(seqs: DataFrame, tree: Tree) -> DataFrame:
-    """seq_id, len, score of every sequence; one narrow pass."""
+def score(seqs: DataFrame, tree: Tree, most: int = BROADCAST_BYTES) -> DataFrame:
+    """seq_id, len, score of every sequence; one narrow pass, or joins if the model is larger than `most` bytes."""
+    if 8 * sum(tree.size) + 16 * tree.seen > most:
+        return score_by_join(seqs, tree)
     for_python(seqs.sparkSession)
-    contexts, lod, alphabet = tree.contexts, tree.lod(), tree.alphabet
+    unseen = np.where(tree.background > 0, math.log(tree.gamma), 0.0)
+    shipped, alphabet = seqs.sparkSession.sparkContext.broadcast(tree.arrays()), tree.alphabet
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            value = [score_one(coded(s, alphabet), contexts, lod) for s in pdf["seq"]]
+            value = [score_one(coded(s, alphabet), *shipped.value, unseen) for s in pdf["seq"]]
             yield pd.DataFrame({"seq_id": pdf["seq_id"], "len": pdf["seq"].str.len().astype("int32"), "score": np.array(value, dtype=float)})
 
     return seqs.where("seq IS NOT NULL").select("seq_id", "seq").mapInPandas(run, "seq_id long, len int, score double")
 
 
+def score_by_join(seqs: DataFrame, tree: Tree) -> DataFrame:
+    """The same by joins: each distinct word of a letter and the letters before it meets the nodes of all its contexts."""
+    deep = len(tree.size) - 1
+    rows = written(seqs.where("seq IS NOT NULL").select("seq_id", "seq").withColumn("row", F.monotonically_increasing_id()), "rows")
+    padded = F.concat(F.lit("~" * deep), F.translate("seq", tree.alphabet, DIGITS[: len(tree.alphabet)]))
+    each = rows.select("row", F.explode(F.regexp_extract_all(padded, F.lit(f"(?=(.{{{deep + 1}}}))"), F.lit(1))).alias("word"))
+    counted = written(each.groupBy("row", "word").agg(F.count("*").alias("n")), "counted")
+    number = lambda text: F.conv(text, 32, 10).cast("long")
+    context = lambda k: F.expr(f"substring(word, {deep + 1} - {k}, {k})")
+    shorter = F.filter(F.array(*(F.struct(F.lit(k).alias("k"), (number(context(k)) if k else F.lit(0).cast("long")).alias("code")) for k in range(deep + 1))), lambda c: (c["k"] == 0) | (F.expr(f"length(ltrim('~', word)) - 1") >= c["k"]))
+    words = counted.select("word").distinct().select("word", number(F.substring("word", deep + 1, 1)).cast("int").alias("residue"), F.explode(shorter).alias("c"))
+    deepest = words.select("word", "residue", "c.k", "c.code").join(tree.nodes.select("k", "code"), ["k", "code"]).groupBy("word").agg(F.first("residue").alias("residue"), F.max(F.struct("k", "code")).alias("c"))
+    unseen = F.element_at(F.array(*(F.lit(math.log(tree.gamma) if b > 0 else 0.0) for b in tree.background)), F.col("residue") + 1)
+    lods = deepest.select("word", "residue", "c.k", "c.code").join(tree.continuations(), ["k", "code", "residue"], "left").select("word", F.coalesce("lod", unseen).alias("lod"))
+    sums = counted.join(lods, "word").groupBy("row").agg(F.sum(F.col("n") * F.col("lod")).alias("score"))
+    return rows.join(sums, "row", "left").select("seq_id", F.length("seq").alias("len"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def search(seqs: DataFrame, tree: Tree, fit: DataFrame, threshold: float = 3.0) -> DataFrame:
     """The sequences whose score is at least threshold deviations above what their length lets expect, with z; fit by
     length bands of a fixed width."""

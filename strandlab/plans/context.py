@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlab.functions import sequences as S
+from strandlab.functions.mathematics import exponential_survival
 from strandlab.operators import context as P
 from strandlab.operators import counting as C
 from strandlab.operators import suffixtree as T
 from strandlab.plans.counting import km_sql
 from strandlab.plans.registry import query
 from strandlab.plans.sequences import SEQS, seqs
-from strandlab.session import for_python, table, written
+from strandlab.session import for_python, spread, table, written
 
 _COUNTS = f"{SEQS}, " + ", ".join(km_sql(k, f"w{k}") for k in (1, 2, 3)) + ", kc AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {k} AS k, kmer, count(*) AS n FROM w{k} GROUP BY kmer" for k in (1, 2, 3)) + "), tot AS (SELECT k, sum(n) AS total FROM kc GROUP BY k), bg AS (SELECT kmer AS residue, n / (SELECT total FROM tot WHERE k = 1) AS bg FROM kc WHERE k = 1), pr AS (SELECT kc.k, kmer, n, (n + 1) / (total + 26) AS p, 1.0 / (total + 26) AS p0 FROM kc JOIN tot ON tot.k = kc.k)"
 
@@ -144,6 +146,40 @@ def pst_deep_hits(spark, d):
     return deep_z_scored(spark, d).where("z >= 3.0").select("seq_id", "len", "z")
 
 
+#: Training part of the searches: half of the Spanish documents; the database: all others.
+_TRAIN = "coalesce(lang = 'es' AND doc_id % 2 = 0, false)"
+_PARTS = SEQS.replace("FROM documents", f"FROM documents WHERE NOT {_TRAIN}") + ", t" + SEQS.replace("FROM documents", f"FROM documents WHERE {_TRAIN}")
+_FOREIGN = _Z.replace(NODES, NODES.replace("FROM seqs)", "FROM tseqs)").replace(SEQS, _PARTS).replace("> 1e-5", "> (SELECT greatest(1e-5, max(2.0 / total)) FROM tot)"))
+
+
+def parts(spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """Training sequences and database."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    own = F.coalesce((F.col("lang") == "es") & (F.col("doc_id") % 2 == 0), F.lit(False))
+    rows = lambda which: spread(docs.where(which)).select(F.col("doc_id").alias("seq_id"), S.letters_of("text").alias("seq"))
+    return rows(own), rows(~own)
+
+
+@query("search_filter", f"WITH {_FOREIGN} SELECT seq_id, len, round(z, 4) AS z, round(exp(-0.9 * (z - 1.5)) * (SELECT count(*) FROM sc), 5) AS e FROM z WHERE z >= 3.0")
+def search_filter(spark, d):
+    """The database's documents that fit a context model of other documents better than their length lets expect, with
+    E-values for the database's size; the lines are the database's own."""
+    train, database = parts(spark, d)
+    scores = written(T.score(database, T.grow(train, depth=2)).withColumn("band", P.band()), "scores")
+    z = P.z_scores(scores, P.calibrate(scores, OUTLIER, ROUNDS)).where("z >= 3.0")
+    size = scores.count()
+    return z.select("seq_id", "len", F.round("z", 4).alias("z"), F.round(exponential_survival("z", 1.5, 0.9) * size, 5).alias("e"))
+
+
+@query("search_scores", f"WITH {_FOREIGN} SELECT seq_id, len, round(score, 4) + 0.0 AS score, round(z, 4) + 0.0 AS z FROM z")
+def search_scores(spark, d):
+    """Scores and z-scores of the whole database under the context model of the training documents."""
+    train, database = parts(spark, d)
+    scores = written(T.score(database, T.grow(train, depth=2)).withColumn("band", P.band()), "scores")
+    z = P.z_scores(scores, P.calibrate(scores, OUTLIER, ROUNDS))
+    return z.select("seq_id", "len", (F.round("score", 4) + 0.0).alias("score"), (F.round("z", 4) + 0.0).alias("z"))
+
+
 @query("length_range_join", f"WITH {SEQS}, fit(lo, hi, name) AS (VALUES (0, 499, 'short'), (500, 1999, 'medium'), (2000, 7999, 'long'), (8000, 8000, 'longest')) SELECT seq_id, CAST(length(seq) AS INTEGER) AS len, name FROM seqs JOIN fit ON least(length(seq), 8000) BETWEEN lo AND hi")
 def length_range_join(spark, d):
     """The fit of each sequence by its length: a range join against a fixed small table."""
@@ -170,8 +206,6 @@ def db_scan(spark, d):
 @query("evalue", f"WITH {_Z} SELECT seq_id, round(p, 8) AS p, round(p * (SELECT count(*) FROM sc), 5) AS e FROM (SELECT seq_id, CASE WHEN z < 1.5 THEN 1.0 ELSE exp(-0.9 * (z - 1.5)) END AS p FROM z)")
 def evalue(spark, d):
     """Exponential-tail P-values of the z-scores, and E-values for the database's size."""
-    from strandlab.functions.mathematics import exponential_survival
-
     rows = z_scored(spark, d).select("seq_id", exponential_survival("z", 1.5, 0.9).alias("p"))
     size = table(spark, d, "documents").agg(F.count("*").alias("db_size"))
     return rows.join(F.broadcast(size)).select("seq_id", F.round("p", 8).alias("p"), F.round(F.col("p") * F.col("db_size"), 5).alias("e"))

@@ -41,6 +41,28 @@ def kmer_counts_all(spark, d):
     return C.all_kmer_counts(seqs(spark, d), 3)
 
 
+_BENCH = "seqs AS (SELECT item_id AS seq_id, lower(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq FROM benchmark)"
+_ALL = "w AS (SELECT CAST(k AS INTEGER) AS k, substring(seq, i, k) AS kmer, count(*) AS n FROM (SELECT k, seq, unnest(range(1, length(seq) - k + 2)) AS i FROM seqs, range(1, 13) r(k)) GROUP BY ALL)"
+
+#: The same from stretches of 500 places, for a substring of a long text is slow.
+_CUT = "ch AS (SELECT substring(seq, c * 500 + 1, 511) AS s FROM (SELECT seq, unnest(range(0, length(seq) // 500 + 1)) AS c FROM seqs)), p AS (SELECT s, unnest(range(1, least(500, length(s)) + 1)) AS i FROM ch), w AS (SELECT k, substring(s, i, k) AS kmer, count(*) AS n FROM p, range(1, 13) r(k) WHERE i + k - 1 <= length(s) GROUP BY ALL)"
+
+
+@query("kmer_counts_12", f"WITH {_BENCH}, {_ALL} SELECT k, kmer, CAST(n AS BIGINT) AS n FROM w")
+def kmer_counts_12(spark, d):
+    """All words of 1 to 12 letters of the benchmark's passages, counted as packed integers in one pass."""
+    rows = table(spark, d, "benchmark").select(S.letters_of("text").alias("seq"))
+    word = F.translate(F.lpad(F.conv(F.col("code").cast("string"), 10, 32), F.col("k"), "0"), C.DIGITS[:26].upper(), S.LETTERS)
+    return C.packed_counts(rows, 12).select("k", word.alias("kmer"), "n")
+
+
+@query("kmer_spectrum", f"WITH {SEQS}, {_CUT} SELECT CAST(k AS INTEGER) AS k, CAST(count(*) AS BIGINT) AS words, CAST(sum(n) AS BIGINT) AS total, CAST(max(n) AS BIGINT) AS most, CAST(count(*) FILTER (n = 1) AS BIGINT) AS once, CAST(sum(n * n) AS BIGINT) AS squares FROM w GROUP BY k")
+def kmer_spectrum(spark, d):
+    """Of the documents' words of each length 1 to 12: how many there are, their places, and how often they repeat."""
+    n = C.packed_counts(seqs(spark, d), 12)
+    return n.groupBy("k").agg(F.count("*").alias("words"), F.sum("n").alias("total"), F.max("n").alias("most"), F.count_if(F.col("n") == 1).alias("once"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+
+
 @query("kmer_totals", f"WITH {SEQS}, t AS (SELECT CAST(k AS INTEGER) AS k, CAST(sum(greatest(length(seq) - k + 1, 0)) AS BIGINT) AS total FROM seqs, range(1, 13) AS r(k) GROUP BY k) SELECT k, total, 2.0 / total AS least FROM t")
 def kmer_totals(spark, d):
     return C.kmer_totals(seqs(spark, d), 12)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlab.functions import sequences as S
 from strandlab.operators import counting as C
+from strandlab.operators import familysearch as X
 from strandlab.operators import markov as H
 from strandlab.operators import suffixtree as T
 from strandlab.plans import context as P
@@ -193,6 +194,17 @@ def context_store_roundtrip(spark, d):
     return models.load_context(spark, path)[0].select("context", "residue", F.round("p", 6).alias("p"), F.round("lod", 5).alias("lod"))
 
 
+@query("model_search")
+def model_search(spark, d):
+    """The whole search: a context model and a hidden Markov model of the training documents, the database filtered at
+    full depth (z >= 3.0) and scored, and the hits with their P- and E-values written as CSV and read back."""
+    train, database = P.parts(spark, d)
+    path = folder(spark, "hits")
+    files.write_hits(X.hits(X.trained(train), database), path)
+    kinds = "Name string, score double, score_bias double, p_score double, p_score_bias double, e double, e_bias double"
+    return spark.read.schema(kinds).csv(path, header=True)
+
+
 @query("matrix_transpose", f"WITH {EV} SELECT 's' || symbol AS \"column\", " + ", ".join(f'CAST(count(*) FILTER (WHERE state = {s}) AS BIGINT) AS "{s}"' for s in range(2, 7)) + " FROM ev GROUP BY symbol")
 def matrix_transpose(spark, d):
     """The states x symbols count matrix, turned round."""

@@ -6,11 +6,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlab.functions import sequences as S
-from strandlab.session import for_python
+from strandlab.session import for_python, written
 
 #: Columns of a block of labelled FASTA; cap of the reader.
 BLOCK = 70
@@ -33,11 +33,20 @@ def read_fasta(spark, path: str, unalign: bool = True, cap: int | None = None, h
 
 
 def read_fastq(spark, path: str) -> DataFrame:
-    """name, seq, qual; four lines a record.  A file is one row while it is split (quality lines may begin like headers),
-    so large inputs should come as many files, as sequencers write them."""
-    lines = spark.read.text(path, wholetext=True).select(F.split(F.trim("value"), "\r?\n").alias("l"))
-    each = lines.select(F.explode(F.transform(F.sequence(F.lit(0), F.expr("size(l) div 4 - 1")), lambda i: F.slice("l", i * 4 + 1, F.lit(4)))).alias("r"))
-    return each.select(F.regexp_replace(F.get("r", F.lit(0)), "^@", "").alias("name"), F.get("r", F.lit(1)).alias("seq"), F.get("r", F.lit(3)).alias("qual"))
+    """name, seq, qual; four lines a record, whatever lines begin with.
+
+    A file's lines are read by byte ranges and numbered over them (one count a range gives each its start), so that a file
+    of any size is read by many tasks; the four lines of a number meet by file and record."""
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range")]
+    lines = written(spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("line"), *at, F.monotonically_increasing_id().alias("id")), "lines")
+    ranges = lines.groupBy("file", "range").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select("file", "range", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    number = F.col("id") - F.col("first") + F.col("start")
+    placed = lines.join(starts, ["file", "range"]).select("file", F.floor(number / 4).alias("record"), (number % 4).alias("k"), "line")
+    line = lambda k: F.max(F.when(F.col("k") == k, F.col("line")))
+    whole = placed.groupBy("file", "record").agg(line(0).alias("a"), line(1).alias("seq"), line(3).alias("qual")).where("qual IS NOT NULL")
+    return whole.select(F.regexp_replace("a", "^@", "").alias("name"), "seq", "qual")
 
 
 def write_fastq(df: DataFrame, path: str, name: str = "seq_id", seq: str = "seq", qual: str = "qual") -> None:
