@@ -11,6 +11,7 @@ from strandlab.functions import mathematics as A
 from strandlab.functions import sequences as S
 from strandlab.operators import counting as C
 from strandlab.operators import motifs as M
+from strandlab.operators import paths as W
 from strandlab.operators import suffixes as X
 from strandlab.operators.orders import ranked
 from strandlab.plans.counting import EV, km_sql, labelled_events
@@ -76,33 +77,56 @@ e AS (SELECT count(*) AS every, (SELECT count(*) FROM w) AS users FROM s), f AS
 l AS (SELECT path, any_value(k) AS k, any_value(n) AS n, any_value(n_seq) AS n_seq, sum(ln(f.p)) AS lp FROM (SELECT *, unnest(path) AS state FROM g) u JOIN f ON f.state = u.state GROUP BY path)
 SELECT path, CAST(k AS INTEGER) AS length, CAST(n AS BIGINT) AS n, CAST(n_seq AS BIGINT) AS n_seq, round(n * (ln(n / (SELECT every FROM e)) - lp), 3) AS ll FROM l WHERE n_seq * n_seq / n >= 8 AND n * (ln(n / (SELECT every FROM e)) - lp) > 5""")
 def motif_discovery_whole(spark, d):
-    """Label paths of 15 down to 8 states that come at least sqrt(sequences) times, in enough sequences for it, with a
-    log-likelihood ratio above 5 against independent labels.
-
-    A path's k-grams are made in each sequence's own array; only those of frequent beginnings are counted further: a
-    frequent path has frequent prefixes."""
-    rows = written(user_states(spark, d), "paths")
-    size = rows.agg(F.sum(F.size("x")).alias("every"), F.sqrt(F.count("*")).alias("least")).first()
-    every, least = size["every"] or 0, size["least"] or 0.0
-    share = rows.select(F.explode("x").alias("state")).groupBy("state").agg((F.log(F.count("*") / F.lit(float(max(every, 1))))).alias("lp"))
-    lp = F.map_from_entries(F.collect_list(F.struct("state", "lp")))
-    grams = lambda k: F.expr(f"CASE WHEN size(x) >= {k} THEN transform(sequence(1, size(x) - {k} + 1), i -> slice(x, i, {k})) ELSE array() END")
-    out = None
-    frequent: DataFrame | None = None
-    for k in range(8, 16):
-        each = rows.select("user_id", F.explode(grams(k)).alias("path"))
-        if frequent is not None:
-            each = each.withColumn("begin", F.slice("path", 1, k - 1)).join(frequent, "begin", "left_semi").drop("begin")
-        n = each.groupBy("path", "user_id").agg(F.count("*").alias("n")).groupBy("path").agg(F.sum("n").alias("n"), F.count("*").alias("n_seq")).where(F.col("n") >= least)
-        n = written(n, f"paths{k}")
-        out = n if out is None else out.unionByName(n)
-        if n.isEmpty():
-            break
-        frequent = n.select(F.col("path").alias("begin"))
-    alone = F.aggregate("path", F.lit(0.0), lambda a, s: a + F.col("lps")[s])
-    ll = F.col("n") * (F.log(F.col("n") / F.lit(float(max(every, 1)))) - alone)
-    found = out.join(F.broadcast(share.agg(lp.alias("lps")))).withColumn("ll", ll)  # one map of the states
-    return found.where("n_seq * n_seq / n >= 8 AND ll > 5").select("path", F.size("path").alias("length"), "n", "n_seq", F.round("ll", 3).alias("ll"))
+    """Label paths of 8 to 15 states that come at least sqrt(sequences) times, in enough sequences for it, with a
+    log-likelihood ratio above 5 against independent labels."""
+    found = W.discovered(user_states(spark, d).withColumnRenamed("user_id", "seq_id"))
+    return found.select("path", "length", "n", "n_seq", F.round("ll", 3).alias("ll"))
+
+
+_PATHS = f"""{EV}, s AS (SELECT user_id, state, symbol, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM ev), w AS MATERIALIZED (SELECT user_id, list(state ORDER BY i) AS x, list(symbol ORDER BY i) AS y FROM s GROUP BY user_id),
+e AS (SELECT count(*) AS every, (SELECT count(*) FROM w) AS users FROM s), f AS (SELECT state, count(*) / (SELECT every FROM e) AS p FROM s GROUP BY state), o AS MATERIALIZED (SELECT k, x[i:i + k - 1] AS path, user_id, i, y[i:i + k - 1] AS z FROM (SELECT user_id, x, y, k, unnest(range(1, len(x) - k + 2)) AS i FROM w, range(3, 16) AS r(k))),
+g AS (SELECT k, path, count(*) AS n, count(DISTINCT user_id) AS n_seq FROM o GROUP BY ALL HAVING count(*) >= (SELECT sqrt(users) FROM e)),
+l AS (SELECT path, any_value(k) AS k, any_value(n) AS n, any_value(n_seq) AS n_seq, sum(ln(f.p)) AS lp FROM (SELECT *, unnest(path) AS state FROM g) u JOIN f ON f.state = u.state GROUP BY path),
+found AS MATERIALIZED (SELECT path, CAST(k AS INTEGER) AS length, CAST(n AS BIGINT) AS n, CAST(n_seq AS BIGINT) AS n_seq, round(n * (ln(n / (SELECT every FROM e)) - lp), 3) AS ll FROM l WHERE n_seq * n_seq / n >= 8 AND n * (ln(n / (SELECT every FROM e)) - lp) > 5)"""
+
+
+def event_paths(spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """seq_id, x, y (a user's states and symbols), and the paths of 3 to 15 states discovered in them."""
+    e = labelled_events(spark, d).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "state", "symbol"))).alias("e"))
+    rows = written(e.select(F.col("user_id").alias("seq_id"), F.col("e.state").alias("x"), F.col("e.symbol").alias("y")), "users")
+    return rows, written(W.discovered(rows, 3), "found")
+
+
+@query("motif_paths", f"WITH {_PATHS} SELECT path, length, n, n_seq, ll FROM found")
+def motif_paths(spark, d):
+    """Label paths of 3 to 15 states under the same conditions."""
+    return event_paths(spark, d)[1].select("path", "length", "n", "n_seq", F.round("ll", 3).alias("ll"))
+
+
+@query("motif_path_hits", f"WITH {_PATHS} SELECT o.path, user_id, CAST(i - 1 AS INTEGER) AS pos FROM o JOIN found ON found.path = o.path")
+def motif_path_hits(spark, d):
+    """Every occurrence of every discovered path, whatever its length, in one pass."""
+    rows, found = event_paths(spark, d)
+    return W.path_hits(rows, found).select("path", F.col("seq_id").alias("user_id"), "pos")
+
+
+@query("motif_path_matrix", f"WITH {_PATHS} SELECT path, CAST(place - 1 AS INTEGER) AS place, symbol, CAST(count(*) AS BIGINT) AS n FROM (SELECT o.path, unnest(range(1, k + 1)) AS place, unnest(z) AS symbol FROM o JOIN found ON found.path = o.path) GROUP BY ALL")
+def motif_path_matrix(spark, d):
+    """The symbols at each place of the discovered paths' occurrences."""
+    rows, found = event_paths(spark, d)
+    return W.path_matrix(rows, W.path_hits(rows, found), "y")
+
+
+@query("motif_path_merge")
+def motif_path_merge(spark, d):
+    """The discovered paths' matrices merged while at most 100 of 10,000 random motifs align better, with each merged
+    motif's hits: the union of its members', shifted to its first column."""
+    rows, found = event_paths(spark, d)
+    hits = written(W.path_hits(rows, found), "hits")
+    _, shifts = W.merge_over_tasks(spark, W.matrices(W.path_matrix(rows, hits, "y"), 10))
+    members = spark.createDataFrame([(k, m, at) for k, own in sorted(shifts.items()) for m, at in sorted(own.items())], "merged string, motif string, shift int")
+    named = hits.withColumn("motif", F.array_join(F.transform("path", lambda s: s.cast("string")), "."))
+    return named.join(F.broadcast(members), "motif").select("merged", F.col("seq_id").alias("user_id"), (F.col("pos") - F.col("shift")).alias("pos")).distinct()  # a row a motif
 
 
 def user_states(spark, d: str) -> DataFrame:
