@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlab.operators.orders import running
+from strandlab.session import written
+
 #: Defaults of the growth rule.
 P_MIN, GAMMA = 1e-5, 0.01
+
+
 def background(counts: DataFrame) -> DataFrame:
     """residue, bg from counts (k, kmer, n)."""
     one = counts.where("k = 1")
@@ -45,22 +50,34 @@ def z_scores(scores: DataFrame, fit: DataFrame, by: str = "band") -> DataFrame:
 
 def greedy_bins(lengths: DataFrame, min_items: int = 500, min_width: int = 2) -> DataFrame:
     """bin, len_min, len_max, n: bins along the sorted lengths, closed at a change of length once they hold more than
-    min_items and span min_width; a short last one joins the bin before it.  Works on the histogram of lengths (one row a
-    length, at most the longest sequence), in one task, for the rule is sequential."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("len")
-        bins: list[list[int]] = []
-        for length, n in zip(pdf["len"], pdf["n"], strict=True):
-            if not bins or (bins[-1][2] > min_items and bins[-1][1] - bins[-1][0] >= min_width):
-                bins.append([length, length, 0])
-            bins[-1][1] = length
-            bins[-1][2] += n
-        if len(bins) > 1 and bins[-1][2] <= min_items:
-            last = bins.pop()
-            bins[-1][1], bins[-1][2] = last[1], bins[-1][2] + last[2]
-        return pd.DataFrame([[i, *b] for i, b in enumerate(bins)], columns=["bin", "len_min", "len_max", "n"])
-
-    histogram = lengths.groupBy("len").agg(F.count("*").alias("n")).select(F.lit(0).alias("one"), "len", "n")
-    return histogram.groupBy("one").applyInPandas(lambda pdf: run(pdf), "bin int, len_min long, len_max long, n long")
+    min_items and span min_width; a short last one joins the bin before it.
+
+    Where a bin that begins at a length would end is a question to running counts, answered for every length at once; the
+    lengths that do begin one are those that chains of such steps reach from the first, found by doubling the steps."""
+    histogram = lengths.groupBy(F.col("len").cast("long").alias("len")).agg(F.count("*").alias("n"))
+    rows = written(running(running(histogram, "n", ["len"], name="below"), F.lit(1), ["len"], name="i"), "histogram")
+
+    def first_above(value: Column, limit: Column) -> DataFrame:
+        """i, at: the number of rows whose value is at most the limit of row i."""
+        both = rows.select(value.alias("v"), F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("i")).unionByName(rows.select(limit.alias("v"), F.lit(1).alias("kind"), "i"))
+        return running(both, F.when(F.col("kind") == 0, 1).otherwise(0), ["v", "kind", "i"], name="at").where("kind = 1").select("i", "at")
+
+    full = first_above(F.col("below") + F.col("n"), F.col("below") + min_items)
+    wide = first_above(F.col("len"), F.col("len") + (min_width - 1))
+    step = written(full.join(wide.withColumnRenamed("at", "wide"), "i").select("i", (F.greatest("at", "wide") + 1).alias("to")), "step")
+    begin = rows.where("i = 0").select("i")
+    n = begin.count()
+    while n:
+        more = begin.join(step, "i").select(F.col("to").alias("i")).join(rows.select("i"), "i", "left_semi")
+        begin = written(begin.unionByName(more).distinct(), "begin")
+        last, n = n, begin.count()
+        if n == last:
+            break
+        on = step.select(F.col("i").alias("to"), F.col("to").alias("then"))
+        step = written(step.join(on, "to").select("i", F.col("then").alias("to")), "step")
+    marked = rows.join(begin.withColumn("first", F.lit(1)), "i", "left").withColumn("first", F.coalesce("first", F.lit(0)))
+    number = running(marked, "first", ["len"], name="before").withColumn("bin", (F.col("before") + F.col("first") - 1).cast("int"))
+    bins = written(number.groupBy("bin").agg(F.min("len").alias("len_min"), F.max("len").alias("len_max"), F.sum("n").alias("n")), "bins")
+    end = bins.agg(F.max(F.struct("bin", "n")).alias("e")).select(F.when(F.col("e.n") <= min_items, F.greatest(F.col("e.bin") - 1, F.lit(0))).otherwise(F.col("e.bin")).alias("most"))
+    joined = bins.join(F.broadcast(end))  # one row
+    return joined.groupBy(F.least("bin", "most").alias("bin")).agg(F.min("len_min").alias("len_min"), F.max("len_max").alias("len_max"), F.sum("n").alias("n"))

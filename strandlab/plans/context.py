@@ -13,7 +13,7 @@ from strandlab.operators import suffixtree as T
 from strandlab.plans.counting import km_sql
 from strandlab.plans.registry import query
 from strandlab.plans.sequences import SEQS, seqs
-from strandlab.session import for_python, spread, table, written
+from strandlab.session import spread, table, written
 
 _COUNTS = f"{SEQS}, " + ", ".join(km_sql(k, f"w{k}") for k in (1, 2, 3)) + ", kc AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {k} AS k, kmer, count(*) AS n FROM w{k} GROUP BY kmer" for k in (1, 2, 3)) + "), tot AS (SELECT k, sum(n) AS total FROM kc GROUP BY k), bg AS (SELECT kmer AS residue, n / (SELECT total FROM tot WHERE k = 1) AS bg FROM kc WHERE k = 1), pr AS (SELECT kc.k, kmer, n, (n + 1) / (total + 26) AS p, 1.0 / (total + 26) AS p0 FROM kc JOIN tot ON tot.k = kc.k)"
 
@@ -188,10 +188,12 @@ def length_range_join(spark, d):
     return rows.join(F.broadcast(fit), F.least("len", F.lit(8000)).between(F.col("lo"), F.col("hi"))).select("seq_id", "len", "name")
 
 
-@query("length_bins")
+@query("length_bins", f"""WITH RECURSIVE {SEQS}, h AS MATERIALIZED (SELECT length(seq) AS len, count(*) AS n, row_number() OVER (ORDER BY length(seq)) AS r FROM seqs GROUP BY 1),
+s AS (SELECT r, 0 AS bin, len AS a, len AS b, n FROM h WHERE r = 1 UNION ALL SELECT h.r, CASE WHEN s.n > 50 AND s.b - s.a >= 2 THEN bin + 1 ELSE bin END, CASE WHEN s.n > 50 AND s.b - s.a >= 2 THEN h.len ELSE s.a END, h.len, CASE WHEN s.n > 50 AND s.b - s.a >= 2 THEN h.n ELSE s.n + h.n END FROM s JOIN h ON h.r = s.r + 1),
+g AS (SELECT bin, min(a) AS a, max(b) AS b, max(n) AS n FROM s GROUP BY bin), l AS (SELECT CASE WHEN arg_max(n, bin) <= 50 AND max(bin) > 0 THEN max(bin) - 1 ELSE max(bin) END AS most FROM g)
+SELECT CAST(least(bin, most) AS INTEGER) AS bin, min(a) AS len_min, max(b) AS len_max, CAST(sum(n) AS BIGINT) AS n FROM g, l GROUP BY 1""")
 def length_bins(spark, d):
     """Greedy bins along the sorted lengths."""
-    for_python(spark)
     return P.greedy_bins(seqs(spark, d).select(F.length("seq").cast("long").alias("len")), min_items=50)
 
 

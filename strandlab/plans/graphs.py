@@ -68,16 +68,14 @@ def state_paths_sorted(spark, d):
 
 @query("prune_edges")
 def prune_edges(spark, d):
-    """The state graph without half of its spare edges (at most states squared rows come to the driver)."""
-    rows = [(r["from_state"], r["to_state"], r["p"]) for r in edges(spark, d).orderBy("from_state", "to_state").collect()]
-    return spark.createDataFrame(G.prune(rows, 0.5), "from_state int, to_state int, p double")
+    """The state graph without half of its spare edges; other paths are searched in tasks."""
+    return spark.createDataFrame(G.prune_weakest(edges(spark, d), 0.5), "from_state int, to_state int, p double")
 
 
 @query("prune_edges_brute")
 def prune_edges_brute(spark, d):
-    """The same by trying every edge at every step."""
-    rows = [(r["from_state"], r["to_state"], r["p"]) for r in edges(spark, d).orderBy("from_state", "to_state").collect()]
-    return spark.createDataFrame(G.prune(rows, 0.5, brute=True), "from_state int, to_state int, p double")
+    """The same by trying every edge at every step, in tasks."""
+    return spark.createDataFrame(G.prune_least(edges(spark, d), 0.5), "from_state int, to_state int, p double")
 
 
 @query("graph_connectivity", f"""WITH RECURSIVE {_P}, s AS (SELECT from_state AS f, to_state AS t, -ln(p) AS w FROM x),
@@ -85,4 +83,4 @@ r AS (SELECT DISTINCT f AS a, f AS node, 0.0::DOUBLE AS distance, 0 AS hops FROM
 SELECT round(avg(distance), 9) AS mean_distance FROM (SELECT a, node, min(distance) AS distance FROM r WHERE a <> node GROUP BY a, node)""")
 def graph_connectivity(spark, d):
     """Mean shortest distance between the states."""
-    return spark.createDataFrame([(G.connectivity(_lengths(spark, d)),)], "mean_distance double").select(F.round("mean_distance", 9).alias("mean_distance"))
+    return G.pair_distances(edges(spark, d)).agg(F.round(F.avg("distance"), 9).alias("mean_distance"))
