@@ -125,8 +125,8 @@ def sample_features(texts: DataFrame, extract, dtype, most: int | None = None) -
 
 
 class Indicators:
-    """Sorted distinct features of a sample's texts, each as numbers or, where that takes less, as a bitmap: at most
-    DIM / 8 bytes a text, however long."""
+    """Sorted distinct features of a sample's texts, each as two bytes a feature or, where that takes less, as a bitmap: at
+    most DIM / 8 bytes a text, however long."""
 
     def __init__(self, rows: list[bytes]):
         self.rows = rows
@@ -143,9 +143,13 @@ class Indicators:
         return map(unpacked, self.rows)
 
 
+_HIGH = DIM >> 16  # values of a feature's upper bits
+
+
 def packed(features: np.ndarray) -> bytes:
-    if 4 * len(features) < DIM // 8:
-        return features.astype("<u4").tobytes()
+    """How many features have each value of the upper bits, and the lower 16 bits of all."""
+    if 4 * _HIGH + 2 * len(features) < DIM // 8:
+        return np.bincount(features >> 16, minlength=_HIGH).astype("<u4").tobytes() + features.astype("<u2").tobytes()
     seen = np.zeros(DIM, dtype=bool)
     seen[features] = True
     return np.packbits(seen).tobytes()
@@ -153,14 +157,24 @@ def packed(features: np.ndarray) -> bytes:
 
 def unpacked(raw: bytes) -> np.ndarray:
     if len(raw) < DIM // 8:
-        return np.frombuffer(raw, dtype="<u4")
+        upper = np.repeat(np.arange(_HIGH, dtype=np.uint32) << np.uint32(16), np.frombuffer(raw, dtype="<u4", count=_HIGH))
+        return np.frombuffer(raw, dtype="<u2", offset=4 * _HIGH) + upper
     return np.flatnonzero(np.unpackbits(np.frombuffer(raw, dtype=np.uint8))).astype(np.uint32)
 
 
 def sample_indicators(texts: DataFrame) -> tuple[Indicators, np.ndarray]:
-    """Features and classes of all sampled texts, in the order of their hashes: rows times DIM / 8 bytes at most."""
-    x, y, _ = sample_features(texts, lambda t: np.frombuffer(packed(indicators(t)), dtype=np.uint8), np.uint8)
-    return Indicators([v.tobytes() for v in x]), y
+    """Features and classes of all sampled texts, in the order of their hashes: rows times DIM / 8 bytes at most, which
+    come to the driver part by part."""
+    bounded_batches(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([packed(indicators(t.as_py())) for t in b.column(2)], pa.binary())], names=["h", "y", "x"])
+
+    rows = staged(texts.select("h", "y", "text").mapInArrow(run, "h long, y int, x binary"), "features")
+    got = sorted((r["h"], bytes(r["x"]), r["y"]) for r in rows.toLocalIterator())  # the same order at every run
+    discard(rows)
+    return Indicators([x for _, x, _ in got]), np.array([y for _, _, y in got], dtype=np.int32)
 
 
 def split_apart(y: np.ndarray) -> np.ndarray:
