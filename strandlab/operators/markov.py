@@ -254,12 +254,71 @@ def matrices(model: Model, x: np.ndarray, multi: bool = True) -> tuple[np.ndarra
     return f, g, h, w, total, float(w[0, N])
 
 
-def posterior_path(model: Model, x: np.ndarray, multi: bool = True) -> np.ndarray:
-    """The path of maximum expected accuracy: one code a letter, 0 N, 3 C, 4 J, 5 + k for state k."""
+#: Numbers of a group's forward and backward tables at most (or those of one sequence).
+CELLS = 4_000_000
+
+
+def batch_matrices(model: Model, seqs: list[np.ndarray], multi: bool = True) -> Iterator[tuple[int, tuple]]:
+    """(number, matrices()) of every sequence: groups of about equal lengths go step by step together, in scaled numbers,
+    by matrix products.  What is smaller than the largest value of its place by a factor of 1e-300 counts as zero."""
+    order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
+    at, k = 0, model.states
+    while at < len(order):
+        longest = len(seqs[order[at]])
+        some = order[at : at + max(1, min(256, CELLS // ((longest + 1) * (k + 5) * 2)))]
+        at += len(some)
+        yield from zip(some, _group_matrices(model, [seqs[i] for i in some], longest, multi), strict=True)
+
+
+def _group_matrices(model: Model, seqs: list[np.ndarray], longest: int, multi: bool) -> list[tuple]:
+    b, k = len(seqs), model.states
+    size = np.array([len(x) for x in seqs])
+    letters, back = np.zeros((longest, b), dtype=np.int64), np.zeros((longest, b), dtype=np.int64)
+    for i, x in enumerate(seqs):
+        letters[: len(x), i], back[: len(x), i] = x, x[::-1]
+    keep, again = (np.broadcast_to(np.asarray(v, dtype=float), b) for v in flanks(size, multi))
+    leave, stop, enter, odds = 1 - keep, 1 - again, 2 / (k * (k + 1)), model.odds.T
+    f, g, lf = np.zeros((longest + 1, b, k)), np.zeros((longest + 1, b, 5)), np.zeros((longest + 1, b))
+    h, w, lh = np.zeros((longest + 1, b, k)), np.zeros((longest + 1, b, 5)), np.zeros((longest + 1, b))
+    g[0, :, N], g[0, :, B] = 1, leave
+    w[0, :, C] = w[0, :, E] = leave
+    h[0] = leave[:, None]
+    for i in range(1, longest + 1):
+        p, q = f[i - 1], g[i - 1]
+        f[i] = (p @ model.transition + (q[:, B] * enter)[:, None]) * odds[letters[i - 1]]
+        g[i, :, E] = f[i].sum(axis=1)
+        g[i, :, J] = q[:, J] * keep + q[:, E] * again
+        g[i, :, C] = q[:, C] * keep + q[:, E] * stop
+        g[i, :, N] = q[:, N] * keep
+        g[i, :, B] = (g[i, :, N] + g[i, :, J]) * leave
+        step, v = h[i - 1] * odds[back[i - 1]], w[i - 1]
+        w[i, :, B] = step.sum(axis=1) * enter
+        w[i, :, J] = v[:, J] * keep + w[i, :, B] * leave
+        w[i, :, C] = v[:, C] * keep
+        w[i, :, E] = v[:, J] * again + v[:, C] * stop
+        w[i, :, N] = v[:, N] * keep + w[i, :, B] * leave
+        h[i] = w[i, :, E][:, None] + step @ model.transition.T
+        for x, y, log in ((f, g, lf), (h, w, lh)):
+            most = np.maximum(x[i].max(axis=1), y[i].max(axis=1))
+            most[most <= 0] = 1
+            x[i] /= most[:, None]
+            y[i] /= most[:, None]
+            log[i] = log[i - 1] + np.log(most)
+    out = []
+    with np.errstate(divide="ignore"):
+        for i, n in enumerate(size.tolist()):
+            there, here = np.arange(n + 1), np.arange(n, -1, -1)
+            one = [np.log(x[t, i]) + log[t, i][:, None] for x, log, t in ((f, lf, there), (g, lf, there), (h, lh, here), (w, lh, here))]
+            out.append((*one, float(np.log((g[n, i, C] + g[n, i, E]) * leave[i]) + lf[n, i]), float(one[3][0, N])))
+    return out
+
+
+def posterior_path(model: Model, x: np.ndarray, multi: bool = True, known: tuple | None = None) -> np.ndarray:
+    """The path of maximum expected accuracy: one code a letter, 0 N, 3 C, 4 J, 5 + k for state k; known: matrices()."""
     n, k = len(x), model.states
     if not n:
         return np.zeros(0, dtype=np.int64)
-    f, g, h, w, total, _ = matrices(model, x, multi)
+    f, g, h, w, total, _ = known or matrices(model, x, multi)
     stay = float(flanks(n, multi)[0])
     keep = math.log(stay)
     with np.errstate(invalid="ignore"):
@@ -389,11 +448,8 @@ def label_table(seqs: DataFrame, model: Model, multi: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for i, c in zip(pdf["seq_id"], pdf["codes"], strict=True):
-                x = np.asarray(c, dtype=np.int64)
-                m = matrices(model, x, multi)
-                rows.append((i, m[4], m[5], posterior_path(model, x, multi).tolist()))
+            x, ids = [np.asarray(c, dtype=np.int64) for c in pdf["codes"]], pdf["seq_id"].tolist()
+            rows = [(ids[i], m[4], m[5], posterior_path(model, x[i], multi, m).tolist()) for i, m in batch_matrices(model, x, multi)]
             yield pd.DataFrame(rows, columns=["seq_id", "forward", "backward", "path"])
 
     return seqs.where(F.size("codes") > 0).select("seq_id", "codes").mapInPandas(run, "seq_id long, forward double, backward double, path array<int>")
@@ -408,7 +464,7 @@ def score_modes(seqs: DataFrame, model: Model, multi: bool = True) -> DataFrame:
         for pdf in batches:
             x = [np.asarray(c, dtype=np.int64) for c in pdf["codes"]]
             s = score_batch(model, bias, x, multi)
-            back = [matrices(model, c, multi)[5] for c in x]
+            back = [t for _, t in sorted((i, m[5]) for i, m in batch_matrices(model, x, multi))]
             yield pd.DataFrame({"seq_id": pdf["seq_id"].to_numpy(), "forward": forward(model, x, multi), "backward": back, "null": null_score([len(c) for c in x]), "log_odds": s["score"], "log_odds_bias": s["score_bias"], "p": s["p"], "p_bias": s["p_bias"]})
 
     kinds = "seq_id long, forward double, backward double, null double, log_odds double, log_odds_bias double, p double, p_bias double"
