@@ -217,13 +217,18 @@ def resample(trans: np.ndarray, emit: np.ndarray, codes: np.ndarray, u: np.ndarr
     return out
 
 
-def _smallest_slices(labels: DataFrame, trans: list[np.ndarray], seed: int, iteration: int) -> list[float]:
+def _draws(attempt: int, kind: int) -> tuple[int, ...]:
+    """What tells a sequence's generators apart: slices (kind 0) and labels (1) of each attempt at an iteration."""
+    return (2 * attempt + kind,) if attempt or kind else ()
+
+
+def _smallest_slices(labels: DataFrame, trans: list[np.ndarray], seed: int, iteration: int, attempt: int = 0) -> list[float]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         low = [1.0] * len(trans)
         for pdf in batches:
             for m, i, l in zip(pdf["model"], pdf["seq_id"], pdf["labels"], strict=True):
                 if len(l):
-                    low[m] = min(low[m], float(slices(trans[m], np.asarray(l, dtype=np.int64), generator(seed, iteration, m, i)).min()))
+                    low[m] = min(low[m], float(slices(trans[m], np.asarray(l, dtype=np.int64), generator(seed, iteration, m, i, *_draws(attempt, 0))).min()))
         yield pd.DataFrame({"model": range(len(trans)), "u": low})
 
     found = labels.select("model", "seq_id", "labels").mapInPandas(run, "model int, u double").groupBy("model").agg(F.min("u").alias("u")).collect()  # one row a model
@@ -231,24 +236,28 @@ def _smallest_slices(labels: DataFrame, trans: list[np.ndarray], seed: int, iter
     return [float(least.get(m, 1.0) or 1.0) for m in range(len(trans))]
 
 
+#: Attempts at an iteration in which some sequence has no path.
+ATTEMPTS = 10
 COLUMNS = "model int, seq_id long, codes array<int>, labels array<int>, weight double"
 
 
-def _resampled(labels: DataFrame, trans: list[np.ndarray], emit: list[np.ndarray], seed: int, iteration: int) -> DataFrame:
+def _resampled(labels: DataFrame, trans: list[np.ndarray], emit: list[np.ndarray], seed: int, iteration: int, attempt: int = 0) -> DataFrame:
+    """labels drawn anew, with lost: whether the sequence has no path above its slices, and so its old labels."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order = [falling(t) for t in trans]
         for pdf in batches:
-            new = []
+            new, lost = [], []
             for m, i, c, l in zip(pdf["model"], pdf["seq_id"], pdf["codes"], pdf["labels"], strict=True):
-                old = np.asarray(l, dtype=np.int64)
+                old = got = np.asarray(l, dtype=np.int64)
                 if len(old):
-                    u = slices(trans[m], old, generator(seed, iteration, m, i))
-                    got = resample(trans[m], emit[m], np.asarray(c, dtype=np.int64), u, generator(seed, iteration, m, i, 1), order[m])
-                    old = old if got is None else got
-                new.append(old.tolist())
-            yield pd.DataFrame({"model": pdf["model"], "seq_id": pdf["seq_id"], "codes": pdf["codes"], "labels": new, "weight": pdf["weight"]})
+                    u = slices(trans[m], old, generator(seed, iteration, m, i, *_draws(attempt, 0)))
+                    got = resample(trans[m], emit[m], np.asarray(c, dtype=np.int64), u, generator(seed, iteration, m, i, *_draws(attempt, 1)), order[m])
+                lost.append(got is None)
+                new.append((old if got is None else got).tolist())
+            yield pd.DataFrame({"model": pdf["model"], "seq_id": pdf["seq_id"], "codes": pdf["codes"], "labels": new, "weight": pdf["weight"], "lost": lost})
 
-    return labels.select("model", "seq_id", "codes", "labels", "weight").mapInPandas(run, COLUMNS)
+    return labels.select("model", "seq_id", "codes", "labels", "weight").mapInPandas(run, COLUMNS + ", lost boolean")
 
 
 def relabelled(labels: DataFrame, states: list[State | None]) -> tuple[DataFrame, list[int], list[State | None]]:
@@ -300,6 +309,8 @@ class Bag:
     iteration: int = 0
     competitive: bool = False
     inner: int = INNER
+    #: Times that a sequence kept its labels because no attempt at an iteration had a path for all.
+    lost: int = 0
 
     def finite(self) -> list[Model]:
         """The finite models of the present labels."""
@@ -327,12 +338,23 @@ class Bag:
             trans.append(a)
             emit.append(b)
             now.append((s, e.sum(axis=0) / max(e.sum(), 1), rng))
-        least = _smallest_slices(labels, trans, self.seed, it)
-        for m, (s, background, rng) in enumerate(now):
-            trans[m], emit[m], s = expand(trans[m], emit[m], s, background, least[m], rng)
-            s.iteration = it + 1
-            now[m] = s
-        self.labels, self.states, self.iteration = written(_resampled(labels, trans, emit, self.seed, it), f"labels{it}"), now, it + 1
+        for attempt in range(ATTEMPTS):
+            # slices and new states are drawn again while a sequence has no path above its slices
+            least = _smallest_slices(labels, trans, self.seed, it, attempt)
+            wide, likely, grown = [], [], []
+            for m, (s, background, rng) in enumerate(now):
+                rng = np.random.default_rng([self.seed, it, m, attempt]) if attempt else rng
+                a, b, s = expand(trans[m], emit[m], s, background, least[m], rng)
+                s.iteration = it + 1
+                wide.append(a)
+                likely.append(b)
+                grown.append(s)
+            new = written(_resampled(labels, wide, likely, self.seed, it, attempt), f"labels{it}")
+            lost = new.where("lost").count()
+            if not lost:
+                break
+        self.lost += lost
+        self.labels, self.states, self.iteration = new.drop("lost"), grown, it + 1
         if self.competitive and len(now) > 1 and self.iteration % self.inner == 0:
             self.labels = written(weighted(self.labels, self.finite(), self.iteration // self.inner - 1), f"weights{it}")
 

@@ -299,6 +299,52 @@ def refine(seqs: list[np.ndarray], motif: np.ndarray, background: np.ndarray, ro
     return p, share
 
 
+def refine_over_tasks(seqs: DataFrame, alphabet: str, motif: np.ndarray, background: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float, list[float]]:
+    """refine() of a table (seq_id, seq): frequencies, share and the objective of each round, which never falls (log
+    likelihood of all windows and the pseudocounts').
+
+    A round's task adds up, over the windows of its sequences, the expected letters at each place, the expected number of
+    motifs and the log likelihood; these sums (width x letters numbers a task) meet in Spark."""
+    for_python(seqs.sparkSession)
+    width, letters = motif.shape
+    p = (motif + 0.1 / letters) / (motif + 0.1 / letters).sum(1, keepdims=True)
+    usable = seqs.where(F.length("seq") >= width).select("seq")
+    n = usable.agg(F.sum(F.length("seq") - (width - 1))).first()[0] or 0
+    share, path = 1 / max(2.0, math.sqrt(n)), []
+    at = np.zeros(128, dtype=np.int64)
+    at[[ord(c) for c in alphabet]] = np.arange(letters)
+
+    def expectation(p: np.ndarray, share: float):
+        lp, base = np.log(p), np.log(background)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            counts, motifs, total = np.zeros((width, letters)), 0.0, 0.0
+            for pdf in batches:
+                for s in pdf["seq"]:
+                    x = at[np.frombuffer(s.encode("ascii"), dtype=np.uint8)]
+                    k = len(x) - width + 1
+                    inside = sum(lp[j, x[j : j + k]] for j in range(width)) + math.log(share)
+                    outside = sum(base[x[j : j + k]] for j in range(width)) + math.log(1 - share)
+                    both = np.logaddexp(inside, outside)
+                    z = np.exp(inside - both)
+                    motifs, total = motifs + float(z.sum()), total + float(both.sum())
+                    for j in range(width):
+                        counts[j] += np.bincount(x[j : j + k], weights=z, minlength=letters)
+            yield pd.DataFrame({"kind": range(width * letters + 2), "v": [*counts.ravel().tolist(), motifs, total]})
+
+        return run
+
+    for _ in range(rounds):
+        rows = usable.mapInPandas(expectation(p, share), "kind int, v double").groupBy("kind").agg(F.sum("v").alias("v")).collect()  # width x letters + 2 rows
+        got = np.zeros(width * letters + 2)
+        for r in rows:
+            got[r["kind"]] = r["v"]
+        path.append(float(got[-1] + (0.1 / letters) * np.log(p).sum()))
+        counts = got[:-2].reshape(width, letters) + 0.1 / letters
+        p, share = counts / counts.sum(1, keepdims=True), float(np.clip(got[-2] / max(n, 1), 1e-6, 0.5))
+    return p, share, path
+
+
 def blanked(seqs: DataFrame, motifs: DataFrame, k: int) -> DataFrame:
     """seqs with every letter of any occurrence of the motifs (kmer, of k letters) as #, also where they overlap."""
     for_python(seqs.sparkSession)

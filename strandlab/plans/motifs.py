@@ -373,6 +373,23 @@ def scoring_segments(spark, d):
     return table(spark, d, "events").select("user_id", "ts", "event_id", "value").groupBy("user_id").applyInPandas(lambda pdf: run(pdf), "user_id long, start int, end int, low double, high double")
 
 
+@query("motif_refine")
+def motif_refine(spark, d):
+    """The most frequent motif's matrix after ten rounds of expectation maximisation over all windows of the documents."""
+    import numpy as np
+
+    rows = written(seqs(spark, d), "letters")
+    top = top_motifs(spark, d).orderBy(F.desc("n"), "motif").first()["motif"]
+    start = np.zeros((WIDTH, 26))
+    for r in matrix(spark, d).where(F.col("motif") == top).collect():  # width x letters rows
+        start[r["place"], S.LETTERS.index(r["residue"])] = r["n"]
+    n = np.full(26, 1e-9)
+    for r in C.residue_counts(rows).collect():  # letters
+        n[S.LETTERS.index(r["residue"])] = r["n"]
+    p, _, _ = M.refine_over_tasks(rows, S.LETTERS, start, n / n.sum(), rounds=10)
+    return spark.createDataFrame([(top, i, S.LETTERS[j], float(v)) for (i, j), v in np.ndenumerate(p)], "motif string, place int, residue string, p double")
+
+
 @query("motif_merge")
 def motif_merge(spark, d):
     """The whole list of motifs, merged where their alignment is significant (twelve motifs, so one group)."""

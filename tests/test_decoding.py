@@ -36,3 +36,24 @@ def test_impossible_letters():
     x = [np.array([1, 1, 1]), np.array([0, 1, 0, 0])]
     for i, got in H.batch_matrices(m, x):
         assert got[4:] == pytest.approx(H.matrices(m, x[i])[4:])
+
+
+def test_an_iteration_without_a_path_is_repeated(spark, monkeypatch):
+    """Slices are drawn anew as long as a sequence has no path; without one at the end it keeps its labels, counted."""
+    from pyspark.sql import functions as F
+    from strandlab.operators import infinite as N
+
+    seqs = spark.createDataFrame([(i, [(i + k) % 3 for k in range(12)]) for i in range(6)], "seq_id long, codes array<int>")
+    real, seen = N._resampled, []
+
+    def lossy(labels, trans, emit, seed, iteration, attempt=0):
+        seen.append(attempt)
+        return real(labels, trans, emit, seed, iteration, attempt).withColumn("lost", F.lit(attempt < most))
+
+    monkeypatch.setattr(N, "_resampled", lossy)
+    most = 2
+    bag = N.start(seqs, 3, states=3).run(1)
+    assert seen == [0, 1, 2] and bag.lost == 0 and bag.labels.columns == ["model", "seq_id", "codes", "labels", "weight"]
+    most, seen[:] = 99, []
+    bag = N.start(seqs, 3, states=3).run(1)
+    assert seen == list(range(N.ATTEMPTS)) and bag.lost == 6

@@ -139,6 +139,26 @@ def test_search_finds_the_family_it_was_trained_on(spark, tmp_path):
     assert all(x["e"] == pytest.approx(1512 * x["p_score"]) and x["e_bias"] == pytest.approx(1512 * x["p_score_bias"]) for x in got)
 
 
+def test_refinement_over_tasks_equals_the_plain_one(spark):
+    """The same frequencies and share as on one list of sequences, and an objective that never falls."""
+    from strandlab.operators import motifs as M
+
+    r = random.Random(11)
+    texts = ["".join(r.choices("acgt", k=30)) for _ in range(40)]
+    texts = [t[:9] + "acgtta"[: 6 - (i % 5 == 0)] + t[9:] if i % 2 else t for i, t in enumerate(texts)] + ["ac", ""]
+    start = np.zeros((6, 4))
+    for j, c in enumerate("acgtta"):
+        start[j, "acgt".index(c)] = 5
+    background = np.array([0.3, 0.2, 0.2, 0.3])
+    df = spark.createDataFrame(list(enumerate(texts)), "seq_id long, seq string").repartition(4)
+    p, share, path = M.refine_over_tasks(df, "acgt", start, background, rounds=12)
+    codes = [np.array(["acgt".index(c) for c in t]) for t in texts]
+    want, plain = M.refine(codes, start, background, rounds=12)
+    assert p == pytest.approx(want, abs=1e-9) and share == pytest.approx(plain, abs=1e-12)
+    assert all(b >= a - 1e-9 for a, b in zip(path, path[1:], strict=False)) and path[-1] > path[0]
+    assert "".join("acgt"[k] for k in p.argmax(axis=1)) == "acgtta"
+
+
 def test_fastq_over_byte_ranges(spark, tmp_path):
     """Records that are cut by ranges, quality lines that begin like headers, two files, carriage returns."""
     r = random.Random(9)
