@@ -86,6 +86,37 @@ def model_labels(seqs: DataFrame, states: int, letters: int, alpha: float, seed:
     return seqs.mapInPandas(run, "seq_id long, codes array<int>, labels array<int>")
 
 
+def guess_model(states: int, letters: int, alpha: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Transitions and emissions of a guess: Dirichlet rows of mass alpha a state, and of alpha + 1 to alpha + 11 a letter,
+    so that later states prefer their letters less."""
+    rng, k = np.random.default_rng(seed), states - 2
+    emission = np.array([rng.dirichlet(np.full(letters, alpha + 1 + 10 * i / k)) for i in range(k)])
+    return rng.dirichlet(np.full(k, alpha), k), emission
+
+
+def guessed_labels(seqs: DataFrame, states: int, letters: int, alpha: float, seed: int) -> DataFrame:
+    """The same, drawn letter by letter from a guessed model: the first by how well states emit it, each next one by the
+    transition from the label before and by its emission; a sequence has a generator of its own."""
+    for_python(seqs.sparkSession)
+    transition, emission = guess_model(states, letters, alpha, seed)
+    first = np.cumsum(emission, axis=0).T  # letter x state
+    after = np.cumsum(transition[:, None, :] * emission.T[None, :, :], axis=2)  # state x letter x state
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for i, c in zip(pdf["seq_id"], pdf["codes"], strict=True):
+                draws, labels, row = generator(seed, 0, 0, i).random(len(c)), [], None
+                for x, u in zip(c, draws, strict=True):
+                    row = first[x] if row is None else after[at, x]  # noqa: F821
+                    at = min(int(np.searchsorted(row, u * row[-1], side="right")), len(row) - 1)
+                    labels.append(at + 2)
+                out.append(labels)
+            yield pd.DataFrame({"seq_id": pdf["seq_id"], "codes": pdf["codes"], "labels": out})
+
+    return seqs.select("seq_id", "codes").mapInPandas(run, "seq_id long, codes array<int>, labels array<int>")
+
+
 def initial_states(mean_length: float, seed: int) -> int:
     """About the root of the mean length, between 10 and 998."""
     return int(np.clip(round(np.random.default_rng(seed).normal(round(mean_length**0.5), 1)), 10, MOST - 2))

@@ -183,6 +183,12 @@ def ihmm_labels_by_emission(spark, d):
     return N.emission_labels(event_codes(spark, d), 8, 5, 0.5, 3)
 
 
+@query("ihmm_labels_by_guess")
+def ihmm_labels_by_guess(spark, d):
+    """First labels drawn from a guessed model along each sequence."""
+    return N.guessed_labels(event_codes(spark, d), 10, 5, 1.0, 3).select("seq_id", "labels")
+
+
 @query("ihmm_labels_by_model")
 def ihmm_labels_by_model(spark, d):
     return N.model_labels(event_codes(spark, d), 6, 5, 0.5, 3)

@@ -57,3 +57,23 @@ def test_an_iteration_without_a_path_is_repeated(spark, monkeypatch):
     most, seen[:] = 99, []
     bag = N.start(seqs, 3, states=3).run(1)
     assert seen == list(range(N.ATTEMPTS)) and bag.lost == 6
+
+
+def test_guessed_labels_follow_the_guessed_model(spark):
+    """The same labels at any partitioning, and the shares that the model's rule gives."""
+    from collections import Counter
+
+    from strandlab.operators import infinite as N
+
+    rows = [(i, [(i * 7 + k * k) % 3 for k in range(40)]) for i in range(300)] + [(999, [])]
+    df = spark.createDataFrame(rows, "seq_id long, codes array<int>")
+    one = {r["seq_id"]: r["labels"] for r in N.guessed_labels(df, 5, 3, 1.0, 3).collect()}
+    assert one == {r["seq_id"]: r["labels"] for r in N.guessed_labels(df.repartition(7), 5, 3, 1.0, 3).collect()}
+    assert one[999] == [] and all(len(one[i]) == len(c) and set(one[i]) <= {2, 3, 4} for i, c in rows)
+    t, e = N.guess_model(5, 3, 1.0, 3)
+    steps = Counter((one[i][k - 1] - 2, c[k], one[i][k] - 2) for i, c in rows for k in range(1, len(c)))
+    for a in range(3):
+        for x in range(3):
+            n = np.array([steps[a, x, b] for b in range(3)], dtype=float)
+            if n.sum() > 400:
+                assert n / n.sum() == pytest.approx(t[a] * e[:, x] / (t[a] @ e[:, x]), abs=0.08)
