@@ -228,6 +228,16 @@ def still_there(lines: DataFrame, removed: DataFrame) -> DataFrame:
     return rows.select("d", "t", "n", "w1", "w2", "begin", "end", "removed").mapInArrow(run, "k1 long, k2 long, d long, t long")
 
 
+def further_holders(held: DataFrame, more: DataFrame, low: int, high: int) -> DataFrame:
+    """The windows of more (k1, k2, d, t) with the earlier ones among those holders of held (k1, k2, n, d, t) whose place,
+    by a hash, times the window's occurrences n is in the interval: about high - low of each window, cut before the join."""
+    key = ["k1", "k2"]
+    place = F.shiftrightunsigned(F.xxhash64("d", "t"), 1) / float(1 << 63)  # 0 to 1
+    holder = held.where((place * F.col("n") >= low) & (place * F.col("n") < high))
+    holder = holder.join(more.select(*key).distinct().hint("merge"), key, "left_semi").select(*key, F.col("d").alias("od"), F.col("t").alias("ot"))
+    return more.join(holder.hint("merge"), key).where("od < d or (od = d and ot < t)")
+
+
 def aligned(lines: DataFrame, min_words: int) -> DataFrame:
     """(d, t, removed): the deleted lines of documents with different lines, after all rounds."""
     seen = staged(overlapping(lines), "seen")
@@ -238,7 +248,6 @@ def aligned(lines: DataFrame, min_words: int) -> DataFrame:
     removed = staged(_together(align(lines, seen.select("od", "ot", "d", "t").distinct(), min_words)), "removed")
     held = seen.select(*key, "n", *who)
     met = held
-    place = F.shiftrightunsigned(F.xxhash64("d", "t"), 1) / float(1 << 63)  # of a holder, 0 to 1
     low, high = 0, GROWTH
     while True:
         mine = lines.join(met.select(*who).distinct().hint("merge"), who, "left_semi")
@@ -247,9 +256,7 @@ def aligned(lines: DataFrame, min_words: int) -> DataFrame:
         if more.isEmpty():
             discard(seen, left, lines)
             return removed
-        holder = held.where((place * F.col("n") >= low) & (place * F.col("n") < high))  # before the join: `high - low` of a window, about
-        holder = holder.join(more.select(*key).distinct().hint("merge"), key, "left_semi").select(*key, F.col("d").alias("od"), F.col("t").alias("ot"))
-        tried = more.join(holder.hint("merge"), key).where("od < d or (od = d and ot < t)")
+        tried = further_holders(held, more, low, high)
         extra = align(lines, staged(tried.select("od", "ot", *who).distinct(), "pairs"), min_words)
         last, removed = removed, staged(_together(removed.select(*who, F.col("removed").alias("lines")).unionByName(extra)), "removed")
         discard(last)
