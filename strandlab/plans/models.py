@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandlab.functions import sequences as S
 from strandlab.operators import alignment as A
+from strandlab.operators import families as Q
 from strandlab.operators import infinite as N
 from strandlab.operators import markov as H
 from strandlab.operators import simulate as G
@@ -178,6 +179,13 @@ def multiple_alignment(spark, d):
     return A.align_groups(rows.select((F.col("item_id") % many).alias("grp"), F.col("item_id").alias("seq_id"), "seq"))
 
 
+@query("family_alignment")
+def family_alignment(spark, d):
+    """All of the benchmark's passages, as DNA, aligned as one family over tasks."""
+    rows = table(spark, d, "benchmark").select(F.col("item_id").alias("seq_id"), F.translate(S.letters_of("text"), S.LETTERS, "ACGTACGTACGTACGTACGTACGTAC").alias("seq"))
+    return Q.align_family(rows, S.DNA)
+
+
 @query("ihmm_labels_by_emission")
 def ihmm_labels_by_emission(spark, d):
     return N.emission_labels(event_codes(spark, d), 8, 5, 0.5, 3)
