@@ -7,6 +7,8 @@ table made from the words of two lengths and the nodes of the level before by jo
 the driver but how many nodes it has.  A context is tried only if its probability exceeds p_min, so a level has at most
 1 / p_min nodes, whatever the corpus.  Scoring looks contexts up in arrays that are broadcast once to an executor, of seen
 continuations only; beyond BROADCAST_BYTES it joins the words of the sequences with the nodes instead.
+
+Models of contexts below four letters (at most 26 ** 3 nodes) are counted by arrays in one narrow pass and grown at once.
 """
 
 from __future__ import annotations
@@ -31,10 +33,14 @@ DEPTH, OUTLIER = 11, 20.0
 BROADCAST_BYTES = 256 << 20
 
 
+#: Contexts of so many letters have so few words that all can be counted in arrays.
+SHORT = 3
+
+
 @dataclass
 class Tree:
     """nodes: k (letters of the context), code, n and p (arrays by next letter); background: by letter; size: nodes of
-    each level; seen: continuations that were seen, of all nodes."""
+    each level; seen: continuations that were seen, of all nodes; held: a small model's codes, n and p by level."""
 
     alphabet: str
     background: np.ndarray
@@ -42,6 +48,7 @@ class Tree:
     gamma: float
     size: list[int]
     seen: int
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
 
     def continuations(self) -> DataFrame:
         """k, code, residue, lod of the continuations that were seen; any other has the log of gamma."""
@@ -51,10 +58,18 @@ class Tree:
 
     def arrays(self) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
         """By level: sorted codes of the contexts; sorted codes of the seen words of one letter more, and their log-odds."""
+        deep = range(len(self.size))
+        if self.held:
+            contexts, words, lods = [], [], []
+            for code, n, p in self.held:
+                at, letter = np.nonzero((n > 0) & (self.background > 0))
+                contexts.append(code)
+                words.append(code[at] * 32 + letter)
+                lods.append(np.log(p[at, letter] / self.background[letter]))
+            return contexts, words, lods
         one = self.nodes.select("k", "code").toArrow()
         two = self.continuations().select("k", (F.col("code") * 32 + F.col("residue")).alias("code"), "lod").toArrow()
         level = lambda t, k: t.filter(np.equal(t["k"].to_numpy(), k)).sort_by("code")
-        deep = range(len(self.size))
         words = [level(two, k) for k in deep]
         return [level(one, k)["code"].to_numpy() for k in deep], [w["code"].to_numpy() for w in words], [w["lod"].to_numpy() for w in words]
 
@@ -80,11 +95,40 @@ def found_in(codes: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, among[at] == codes if len(among) else np.zeros(len(codes), dtype=bool)
 
 
+def short_words(seqs: DataFrame, most: int, alphabet: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Sorted codes and counts of all words of each length 1 .. most (at most 4, so at most letters ** most words), in one
+    narrow pass: a task adds its words up in arrays and sends each word at most once."""
+    if most > 4:
+        raise ValueError("words of more letters are counted by level")
+    for_python(seqs.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = {k: np.zeros(1 << 5 * k, dtype=np.int64) for k in range(1, most + 1)}
+        for pdf in batches:
+            for s in pdf["seq"]:
+                x = coded(s, alphabet)
+                for k, n in total.items():
+                    w = words_of(x, k)
+                    if len(w) * 8 > len(n):
+                        n += np.bincount(w, minlength=len(n))
+                    else:
+                        np.add.at(n, w, 1)
+        for k, n in total.items():
+            code = np.flatnonzero(n)
+            yield pd.DataFrame({"k": k, "code": code, "n": n[code]})
+
+    rows = seqs.select("seq").where("seq <> ''").mapInPandas(run, "k int, code long, n long").groupBy("k", "code").agg(F.sum("n").alias("n")).toPandas().sort_values(["k", "code"])
+    at = {k: rows[rows["k"] == k] for k in range(1, most + 1)}
+    return {k: (r["code"].to_numpy(dtype=np.int64), r["n"].to_numpy(dtype=np.int64)) for k, r in at.items()}
+
+
 def grow(seqs: DataFrame, alphabet: str = S.LETTERS, depth: int = DEPTH, p_min: float = P.P_MIN, gamma: float = P.GAMMA) -> Tree:
     """The tree of all contexts that the growth rule accepts; p_min is at least 2 / N of every length.
 
     The root is the background.  A context a + s is added to its parent s if P(as) > p_min, sum_k P(ask) ln(P(ask) /
     (P(k|s) P(as))) > p_min over the seen letters k, and some continuation was seen.  P(x) = (c(x) + 1) / (N + letters)."""
+    if depth <= SHORT:
+        return _grown_at_once(seqs, alphabet, depth, p_min, gamma)
     letters = len(alphabet)
     words = written(packed_counts(seqs, depth + 1, alphabet), "words")
     total = {r["k"]: r["n"] for r in words.groupBy("k").agg(F.sum("n").alias("n")).collect()}  # depth + 1 rows
@@ -124,6 +168,36 @@ def grow(seqs: DataFrame, alphabet: str = S.LETTERS, depth: int = DEPTH, p_min:
     return Tree(alphabet, background, nodes, gamma, size, int(seen))
 
 
+def _grown_at_once(seqs: DataFrame, alphabet: str, depth: int, p_min: float, gamma: float) -> Tree:
+    """grow() for contexts of at most SHORT letters."""
+    letters = len(alphabet)
+    known = short_words(seqs, depth + 1, alphabet)
+    total = [0, *(int(known[k][1].sum()) for k in range(1, depth + 2))]
+    one = np.zeros(letters)
+    one[known[1][0]] = known[1][1]
+    background = one / max(one.sum(), 1)
+    held = [(np.zeros(1, dtype=np.int64), one[None, :], background[None, :])]
+    p_min = max([p_min, *(2 / t if t else math.inf for t in total[1:])])
+    used = background > 0
+    for k in range(1, depth + 1):
+        (codes, n), (longer, n_longer), (above, _, p_above) = known[k], known[k + 1], held[-1]
+        parent, has = found_in(codes & ((1 << 5 * (k - 1)) - 1), above)
+        p_word = (n + 1) / (total[k] + letters)
+        after = np.zeros((len(codes), letters))
+        after[found_in(longer >> 5, codes)[0], longer & 31] = n_longer
+        p_longer = (after + 1) / (total[k + 1] + letters)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            each = p_longer * np.log(p_longer / (p_above[parent] * p_word[:, None]))
+        every = after.sum(1)
+        good = has & (p_word > p_min) & (every > 0) & (each[:, used].sum(1) > p_min)
+        if not good.any():
+            break
+        held.append((codes[good], after[good], (1 - gamma) * after[good] / every[good, None] + gamma * background))
+    rows = [(k, c, x, y) for k, level in enumerate(held) for c, x, y in zip(level[0].tolist(), level[1].astype(np.int64).tolist(), level[2].tolist(), strict=True)]
+    nodes = seqs.sparkSession.createDataFrame(pd.DataFrame(rows, columns=["k", "code", "n", "p"]), "k int, code long, n array<long>, p array<double>")
+    return Tree(alphabet, background, nodes, gamma, [len(level[0]) for level in held], int(sum((level[1] > 0).sum() for level in held)), held)
+
+
 def name_of(tree: Tree):
     """The context's letters, from k and code."""
     return F.translate(F.lpad(F.conv(F.col("code").cast("string"), 10, 32), F.col("k"), "0"), DIGITS[: len(tree.alphabet)].upper(), tree.alphabet)
