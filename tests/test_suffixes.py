@@ -45,6 +45,19 @@ def test_probes_equal_a_search_of_all_suffixes(spark, width):
     assert at == sorted((p, i, k) for p in want for s, i, k in every if s[: len(p)] == list(p))
 
 
+def test_equal_rows_over_many_blocks_in_any_order_of_bounds(spark):
+    """Suffixes that end within a key have equal rows; they fill several blocks, whose bounds come in any order."""
+    seqs = {i: [1 + i % 2, 1] for i in range(60)}
+    index = X.build(labels(spark, seqs), block=3, parts=2)
+    every = order(seqs)
+    bounds = index.bounds.toPandas()
+    for falling in (True, False):
+        index.bounds = spark.createDataFrame(bounds.sort_values("block", ascending=not falling)).coalesce(1)
+        for p in ([1], [1, 1], [2], [2, 1], [2, 2]):
+            got = X.probe(index, spark.createDataFrame([(p,)], "pattern array<int>")).first()
+            assert (got["low"], got["high"]) == (sum(s[: len(p)] < p for s, _, _ in every), sum(s[: len(p)] <= p for s, _, _ in every))
+
+
 def test_an_empty_index_has_no_places(spark):
     index = X.build(spark.createDataFrame([], "seq_id long, pos long, state int"))
     got = X.probe(index, spark.createDataFrame([([1, 2],)], "pattern array<int>")).collect()
