@@ -133,3 +133,21 @@ def test_longest_common_word_without_marks(spark):
         want = max((len(w) for w, who in words.items() if len(who) >= least), default=0)
         assert X.longest_common(prefixes, spark.createDataFrame(marked, kind), least, 1) == want
     assert O.rounds_of_common(spark.createDataFrame([(1, "ab"), (2, "cd")], kind), 2, 2).collect() == []
+
+
+@pytest.mark.parametrize("wide", [2, 5])
+def test_an_index_of_sequences_longer_than_what_is_sorted_at_once(spark, wide):
+    seqs = world(7)
+    index = X.build(labels(spark, seqs), width=2, block=5, parts=4, wide=wide)
+    every = order(seqs)
+    assert [tuple(r) for r in index.places.orderBy("place").select("seq_id", "pos").collect()] == [(i, k) for _, i, k in every]
+
+
+def test_suffixes_are_sorted_once(spark, monkeypatch):
+    """Sequences of at most WIDE labels: no rank is refined, nothing is written but the suffixes and their ranges."""
+    monkeypatch.setattr(X, "_refined", None)
+    seen = []
+    monkeypatch.setattr(X, "written", lambda df, label, w=X.written: (seen.append(label), w(df, label))[1])
+    rows = labels(spark, {i: [1 + i % 2, 2, 1] * 30 for i in range(5)})
+    got = O.suffix_order(rows.selectExpr("seq_id AS user_id", "pos", "100 * seq_id + pos AS event_id", "state"))
+    assert got.count() == 450 and seen == ["suffixes", "ranges"]
