@@ -2,9 +2,9 @@
 
 A node is a context (the letters before a position) with the log-odds of every next letter against the background.
 
-Words are integers, five bits a letter, counted for all lengths at once (counting.packed_counts).  A level's nodes are a
-table made from the words of two lengths and the nodes of the level before by joins on codes; nothing of a level comes to
-the driver but how many nodes it has.  A context is tried only if its probability exceeds p_min, so a level has at most
+Words are integers, five bits a letter; those whose beginning is frequent enough for a node are counted, a pass a length
+(frequent_words).  A level's nodes are a table made from the words of two lengths and the nodes of the level before by
+joins on codes.  A context is tried only if its probability exceeds p_min, so a level has at most
 1 / p_min nodes, whatever the corpus.  Scoring looks contexts up in arrays that are broadcast once to an executor, of seen
 continuations only; beyond BROADCAST_BYTES it joins the words of the sequences with the nodes instead.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from strandlab.functions import sequences as S
 from strandlab.operators import context as P
-from strandlab.operators.counting import DIGITS, packed_counts
+from strandlab.operators.counting import DIGITS, kmer_totals
 from strandlab.session import for_python, written
 
 #: A context has fewer than 12 letters, outliers of the calibration.
@@ -122,6 +122,67 @@ def short_words(seqs: DataFrame, most: int, alphabet: str) -> dict[int, tuple[np
     return {k: (r["code"].to_numpy(dtype=np.int64), r["n"].to_numpy(dtype=np.int64)) for k, r in at.items()}
 
 
+def frequent_words(seqs: DataFrame, most: int, alphabet: str, least: float) -> DataFrame:
+    """k, code, n of the words of 1 .. most letters whose first k - 1 letters come more than `least` times (those of up to
+    SHORT + 1 letters: all); every word that itself comes more than `least` times is among them.
+
+    A pass a length, nothing but its counts is shuffled: a place goes on only while the word that begins there is frequent,
+    and finds the next one in a table by (frequent word, next letter), at most letters * places / least entries a length."""
+    spark, letters = seqs.sparkSession, len(alphabet)
+    known = short_words(seqs, min(most, SHORT + 1), alphabet)
+    kinds = "k int, code long, n long"
+    out = spark.createDataFrame(pd.concat([pd.DataFrame({"k": k, "code": c, "n": n}) for k, (c, n) in known.items()]), kinds)
+    if most <= SHORT + 1:
+        return out
+    codes, n = known[SHORT + 1]
+    codes = codes[n > least]
+    first = np.full(1 << 5 * (SHORT + 1), -1)
+    first[codes] = np.arange(len(codes))
+    steps: list[np.ndarray] = []
+    for k in range(SHORT + 2, most + 1):
+        if not len(codes):
+            break
+        shipped, size = spark.sparkContext.broadcast((first, steps)), len(codes) * letters
+
+        def run(batches: Iterator[pd.DataFrame], k: int = k, shipped=shipped, size: int = size) -> Iterator[pd.DataFrame]:
+            begin, tables = shipped.value
+            total, text, held = np.zeros(size, dtype=np.int64), [], 0
+
+            def add() -> None:
+                """Several sequences at once; no word goes over an end."""
+                x, ends = np.concatenate(text), np.cumsum([len(t) for t in text])
+                at = np.concatenate([np.arange(e - len(t), e - k + 1) for t, e in zip(text, ends, strict=True)])
+                now = begin[words_of(x, SHORT + 1)[at]]
+                for j, table in enumerate(tables, SHORT + 1):
+                    at, now = at[now >= 0], now[now >= 0]
+                    now = table[now * letters + x[at + j]]
+                at, now = at[now >= 0], now[now >= 0]
+                np.add.at(total, now * letters + x[at + k - 1], 1)
+
+            for pdf in batches:
+                for s in pdf["seq"]:
+                    if len(s) >= k:
+                        text.append(coded(s, alphabet))
+                        held += len(s)
+                    if held > 1 << 18:
+                        add()
+                        text, held = [], 0
+            if text:
+                add()
+            at = np.flatnonzero(total)
+            yield pd.DataFrame({"at": at, "n": total[at]})
+
+        rows = seqs.select("seq").where("seq <> ''").mapInPandas(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+        found = rows.toArrow().sort_by("at")  # at most letters * places / least numbers
+        at, n = found["at"].to_numpy(), found["n"].to_numpy()
+        longer = codes[at // letters] * 32 + at % letters
+        out = out.unionByName(spark.createDataFrame(pd.DataFrame({"k": np.full(len(at), k, dtype=np.int32), "code": longer, "n": n}), kinds))
+        table = np.full(size, -1)
+        table[at[n > least]] = np.arange((n > least).sum())
+        steps, codes = [*steps, table], longer[n > least]
+    return out
+
+
 def grow(seqs: DataFrame, alphabet: str = S.LETTERS, depth: int = DEPTH, p_min: float = P.P_MIN, gamma: float = P.GAMMA) -> Tree:
     """The tree of all contexts that the growth rule accepts; p_min is at least 2 / N of every length.
 
@@ -130,8 +191,12 @@ def grow(seqs: DataFrame, alphabet: str = S.LETTERS, depth: int = DEPTH, p_min:
     if depth <= SHORT:
         return _grown_at_once(seqs, alphabet, depth, p_min, gamma)
     letters = len(alphabet)
-    words = written(packed_counts(seqs, depth + 1, alphabet), "words")
-    total = {r["k"]: r["n"] for r in words.groupBy("k").agg(F.sum("n").alias("n")).collect()}  # depth + 1 rows
+    total = {r["k"]: r["total"] or 0 for r in kmer_totals(seqs, depth + 1).select("k", "total").collect()}  # depth + 1 rows
+    whole = all(total.get(k) for k in range(1, depth + 2))
+    if whole:
+        p_min = max([p_min, *(2 / t for t in total.values())])
+    least = min(p_min * (t + letters) - 1 for t in total.values()) if whole else math.inf  # c(w) of any candidate is above
+    words = written(frequent_words(seqs, depth + 1 if whole else 1, alphabet, least), "words")
     one = np.zeros(letters)
     for r in words.where("k = 1").collect():  # letters
         one[r["code"]] = r["n"]
@@ -139,9 +204,7 @@ def grow(seqs: DataFrame, alphabet: str = S.LETTERS, depth: int = DEPTH, p_min:
     doubles = lambda v: F.array(*(F.lit(float(x)) for x in v))
     root = seqs.sparkSession.range(1).select(F.lit(0).alias("k"), F.lit(0).cast("long").alias("code"), F.array(*(F.lit(int(x)) for x in one)).cast("array<long>").alias("n"), doubles(background).alias("p"))
     levels, size = [written(root, "level")], [1]
-    if all(total.get(k) for k in range(1, depth + 2)):
-        p_min = max([p_min, *(2 / t for t in total.values())])
-        least = min(p_min * (t + letters) - 1 for t in total.values())  # c(w) of any candidate is above
+    if whole:
         here, bg = F.sequence(F.lit(0), F.lit(letters - 1)), doubles(background)
         for k in range(1, depth + 1):
             parent = F.col("code").bitwiseAND(F.lit((1 << 5 * (k - 1)) - 1))

@@ -35,6 +35,25 @@ def test_words_of_all_lengths_as_integers(spark):
         C.packed_counts(rows, 13)
 
 
+@pytest.mark.parametrize("least", [1, 2.5, 6])
+def test_words_with_a_frequent_beginning(spark, least):
+    r = random.Random(9)
+    seqs = ["".join(r.choices("abd", weights=(6, 3, 1), k=n)) for n in (0, 1, 3, 4, 5, 12, 60, 60)] + ["abdabdabdabd" * 2, None]
+    got = {(x["k"], x["code"]): x["n"] for x in T.frequent_words(spark.createDataFrame([(s,) for s in seqs], "seq string").repartition(3), 12, "abd", least).collect()}
+    every = Counter(s[i : i + k] for s in filter(None, seqs) for k in range(1, 13) for i in range(len(s) - k + 1))
+    code = lambda w: int("".join(f"{'abd'.index(c):05b}" for c in w), 2)
+    assert got == {(len(w), code(w)): n for w, n in every.items() if len(w) <= T.SHORT + 1 or every[w[:-1]] > least}
+
+
+def test_a_deep_model_shuffles_no_words_but_frequent_ones(spark, monkeypatch):
+    """Nothing is written a place of the sequences: the table of words is as small as the model."""
+    rows = []
+    monkeypatch.setattr(T, "written", lambda df, label, w=T.written: (out := w(df, label), rows.append((label, out.count())))[0])
+    r = random.Random(4)
+    T.grow(spark.createDataFrame([(i, "".join(r.choices("abcdefghijklmnop", k=400))) for i in range(20)], "seq_id long, seq string"))
+    assert dict(rows)["words"] < 2 * 8000
+
+
 def test_scores_by_join_equal_those_of_the_broadcast(spark):
     r = random.Random(2)
     own = [(i, ("abcacbab" * 9)[i % 5 : 40 + i % 7] if i % 3 else "".join(r.choices("abc", k=30))) for i in range(30)]
