@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlab.functions import sequences as S
@@ -122,6 +122,48 @@ def short_words(seqs: DataFrame, most: int, alphabet: str) -> dict[int, tuple[np
     return {k: (r["code"].to_numpy(dtype=np.int64), r["n"].to_numpy(dtype=np.int64)) for k, r in at.items()}
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal numbers of a sorted array begins, and how long it is."""
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(x), 1), dtype=bool), x[1:] != x[:-1]]))
+    return first, np.diff(np.append(first, len(x)))
+
+
+def word_counts(seqs: DataFrame, k: int, alphabet: str = S.LETTERS, by_sequence: bool = False) -> DataFrame:
+    """code, n of all words of k letters (at most 12), and n_seq, the rows that have them, with by_sequence; seqs hold
+    letters of the alphabet only.  A task sorts the words of some million places and sends each once."""
+    if not 1 <= k <= 12:
+        raise ValueError("at most 12 letters fit in a code")
+    for_python(seqs.sparkSession)
+
+    def summed(held: list[np.ndarray]) -> pd.DataFrame:
+        if not by_sequence:
+            x = np.sort(np.concatenate(held))
+            first, n = _runs(x)
+            return pd.DataFrame({"code": x[first], "n": n})
+        own = [(w := np.sort(h), *_runs(w)) for h in held]
+        x, n = np.concatenate([w[first] for w, first, _ in own]), np.concatenate([m for _, _, m in own])
+        at = np.argsort(x)
+        first, n_seq = _runs(x[at])
+        return pd.DataFrame({"code": x[at][first], "n": np.add.reduceat(n[at], first), "n_seq": n_seq})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for pdf in batches:
+            for s in pdf["seq"]:
+                if len(s) >= k:
+                    held.append(words_of(coded(s, alphabet), k))
+                    size += len(s)
+                if size > 1 << 22:
+                    yield summed(held)
+                    held, size = [], 0
+        if held:
+            yield summed(held)
+
+    names = ["n", "n_seq"] if by_sequence else ["n"]
+    rows = seqs.select("seq").where(F.length("seq") >= k).mapInPandas(run, "code long, " + ", ".join(f"{c} long" for c in names))
+    return rows.groupBy("code").agg(*(F.sum(c).alias(c) for c in names))
+
+
 def frequent_words(seqs: DataFrame, most: int, alphabet: str, least: float) -> DataFrame:
     """k, code, n of the words of 1 .. most letters whose first k - 1 letters come more than `least` times (those of up to
     SHORT + 1 letters: all); every word that itself comes more than `least` times is among them.
@@ -261,9 +303,14 @@ def _grown_at_once(seqs: DataFrame, alphabet: str, depth: int, p_min: float, gam
     return Tree(alphabet, background, nodes, gamma, [len(level[0]) for level in held], int(sum((level[1] > 0).sum() for level in held)), held)
 
 
+def spelled(k: Column, alphabet: str) -> Column:
+    """The letters of code, a word of k letters."""
+    return F.translate(F.lpad(F.conv(F.col("code").cast("string"), 10, 32), k, "0"), DIGITS[: len(alphabet)].upper(), alphabet)
+
+
 def name_of(tree: Tree):
     """The context's letters, from k and code."""
-    return F.translate(F.lpad(F.conv(F.col("code").cast("string"), 10, 32), F.col("k"), "0"), DIGITS[: len(tree.alphabet)].upper(), tree.alphabet)
+    return spelled(F.col("k"), tree.alphabet)
 
 
 def node_table(spark, tree: Tree) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlab.operators import counting as C
 from strandlab.operators import familysearch as X
+from strandlab.operators import motifs as M
 from strandlab.operators import paths as W
 from strandlab.operators import suffixtree as T
 from strandlab.sources import files
@@ -200,3 +201,21 @@ def test_fastq_over_byte_ranges(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert got == sorted(want)
+
+
+def test_words_and_hits_are_counted_before_they_become_rows(spark):
+    r = random.Random(12)
+    seqs = [(i, "".join(r.choices("ab", k=n))) for i, n in enumerate((0, 3, 5, 6, 40, 300))] + [(9, None)]
+    rows = spark.createDataFrame(seqs, "seq_id long, seq string").repartition(3)
+    for k in (1, 5, 12):
+        every = [(w, i) for i, s in seqs for w in (s[j : j + k] for j in range(len(s or "") - k + 1))]
+        got = {x["w"]: (x["n"], x["n_seq"]) for x in T.word_counts(rows, k, "ab", by_sequence=True).select(T.spelled(F.lit(k), "ab").alias("w"), "n", "n_seq").collect()}
+        assert got == {w: (n, len({i for x, i in every if x == w})) for w, n in Counter(w for w, _ in every).items()}
+        assert {x["code"]: x["n"] for x in T.word_counts(rows, k, "ab").collect()}.values() and sum(n for n, _ in got.values()) == len(every)
+    found = M.hits(rows, spark.createDataFrame([("aa",), ("abab",)], "motif string"), 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan  # no row a place of the sequences
+    want = sorted((m, i, j, s[j : j + 5]) for i, s in seqs if s for m in ("aa", "abab") for j in range(len(s)) if s.startswith(m, j))
+    assert sorted(tuple(x) for x in found.collect()) == want
+    one, two = M.window_matrix(found), M.count_matrix(rows, found.drop("window"), 5)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
