@@ -489,3 +489,13 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_long_batches_are_scored_in_stretches():
+    import pandas as pd
+
+    lengths = [3, 4, 20, 1, 1, 6, 2]
+    pdf = pd.DataFrame({"seq_id": range(7), "seq": ["a" * n for n in lengths]})
+    got = list(H._pieces(pdf, "seq", 8))
+    assert [p["seq"].map(len).tolist() for p in got] == [[3, 4], [20], [1, 1, 6], [2]]
+    assert pd.concat(got).equals(pdf) and list(H._pieces(pdf.iloc[:0], "seq")) == []
