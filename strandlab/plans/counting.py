@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlab.functions import sequences as S
 from strandlab.operators import counting as C
+from strandlab.operators.spectrum import word_spectrum
 from strandlab.plans.registry import query
 from strandlab.plans.sequences import DNA_SQL, SEQS, dna, seqs
 from strandlab.session import spread, table
@@ -59,8 +60,7 @@ def kmer_counts_12(spark, d):
 @query("kmer_spectrum", f"WITH {SEQS}, {_CUT} SELECT CAST(k AS INTEGER) AS k, CAST(count(*) AS BIGINT) AS words, CAST(sum(n) AS BIGINT) AS total, CAST(max(n) AS BIGINT) AS most, CAST(count(*) FILTER (n = 1) AS BIGINT) AS once, CAST(sum(n * n) AS BIGINT) AS squares FROM w GROUP BY k")
 def kmer_spectrum(spark, d):
     """Of the documents' words of each length 1 to 12: how many there are, their places, and how often they repeat."""
-    n = C.packed_counts(seqs(spark, d), 12)
-    return n.groupBy("k").agg(F.count("*").alias("words"), F.sum("n").alias("total"), F.max("n").alias("most"), F.count_if(F.col("n") == 1).alias("once"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    return word_spectrum(seqs(spark, d), 12)
 
 
 @query("kmer_totals", f"WITH {SEQS}, t AS (SELECT CAST(k AS INTEGER) AS k, CAST(sum(greatest(length(seq) - k + 1, 0)) AS BIGINT) AS total FROM seqs, range(1, 13) AS r(k) GROUP BY k) SELECT k, total, 2.0 / total AS least FROM t")

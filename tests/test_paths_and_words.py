@@ -219,3 +219,30 @@ def test_words_and_hits_are_counted_before_they_become_rows(spark):
     assert sorted(tuple(x) for x in found.collect()) == want
     one, two = M.window_matrix(found), M.count_matrix(rows, found.drop("window"), 5)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+
+
+@pytest.mark.parametrize(("block", "places"), [(1 << 22, 1 << 23), (16, 20), (40, 5)])
+def test_a_spectrum_sends_no_row_a_word(spark, monkeypatch, block, places):
+    """Equal to counting every word, however ranges and blocks cut the places; what is shuffled is packed blocks."""
+    from strandlab.operators import spectrum as Z
+
+    r = random.Random(7)
+    seqs = ["".join(r.choices("abz", weights=(6, 3, 1), k=n)) for n in (0, 1, 2, 3, 11, 12, 13, 16, 17, 60, 60)] + ["ab" * 30, "z" * 50, None]
+    n = Counter(s[i : i + k] for s in filter(None, seqs) for k in range(1, 13) for i in range(len(s) - k + 1))
+    want = {k: (len(x := [m for w, m in n.items() if len(w) == k]), sum(x), max(x), x.count(1), sum(m * m for m in x)) for k in range(1, 13)}
+    rows = spark.createDataFrame([(s,) for s in seqs], "seq string").repartition(3)
+    got = Z.word_spectrum(rows, block=block, places=places)
+    assert {x["k"]: tuple(x)[1:] for x in got.collect()} == want
+    assert "explode" not in got._jdf.queryExecution().executedPlan().toString().lower()
+    with pytest.raises(ValueError):
+        Z.word_spectrum(rows, 13)
+
+
+def test_a_packed_block_is_smaller_than_its_words():
+    from strandlab.operators import spectrum as Z
+
+    r = random.Random(8)
+    code, n = np.unique(Z.longest_words([bytes(r.choices(b"etaoinshr", k=400)) for _ in range(50)], 12, "abcdefghijklmnopqrstuvwxyz"), return_counts=True)
+    held = Z.packed(code, n)
+    back = Z.unpacked(len(code), held)
+    assert (back[0] == code).all() and (back[1] == n).all() and len(held) < 8 * len(code)
