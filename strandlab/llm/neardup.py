@@ -1,12 +1,11 @@
 """N-gram Jaccard join: MinHash LSH forest, then exact verification.
 
 Every distinct text (sequence of lower-case words; case, punctuation and spacing don't count) is signed with TREES paths
-of DEEPEST MinHash values, one path a prefix trie.  Texts whose paths agree on a prefix share a trie node and are
-candidates.  Matching starts at whole paths and shortens the prefix level by level until the target recall is reached.
-The recall is measured: a bounded sample of texts (PROBES) meets all texts in the pass that signs them, by exact shingle
-counts, and each true pair reports the longest prefix that it shares in any trie.  THREE missed pairs are added to those
-counted (so few pairs prove little); when no prefix reaches RECALL on the sample, the one at which a pair at the
-threshold is expected to be found with EXPECTED ends the descent.
+of MinHash values, one path a prefix trie.  Texts whose paths agree on a prefix share a trie node and are candidates.  The
+prefix has the greatest length at which a pair right at the threshold is found with EXPECTED; nearer pairs, with more.  So
+it depends on threshold and tries only, no text is drawn to choose it, and equal texts are treated alike in any input.
+Shorter prefixes have all candidates of longer ones, so the tries are matched there at once.  The recall can be measured
+(measured): a bounded sample of texts (PROBES) meets all texts by exact shingle counts.
 
 The tries are rows sorted by (trie, prefix) over range partitions; a node is a run of equal prefixes, found in one pass.
 Each run links its texts to its first one, and the ends of neighbouring ranges are linked, so that a node of any size
@@ -43,11 +42,12 @@ from strandlab.llm.graph import components
 SHINGLE = 5
 TREES = 20
 DEEPEST = 8
-#: Share of the sample's true pairs that must share a trie node, and expected share of pairs at the threshold otherwise.
-RECALL, EXPECTED = 0.999, 0.9995
-THREE = 3
+#: Expected share of the pairs at the threshold that share a trie node.
+EXPECTED = 0.9999
 THRESHOLD = 0.8
-#: The sample of texts by which the recall is measured: so many texts and characters at most, first by a hash of doc_id.
+#: For measuring only: shares of the sample's true pairs, with so many missed ones added; so many texts and characters of
+#: the sample at most, first by a hash of doc_id.
+RECALL, LEAST, THREE = 0.999, 0.9995, 3
 PROBES, PROBE_CHARS = 1024, 4_000_000
 #: Words and texts of a block, about.
 BLOCK_WORDS, BLOCK_TEXTS = 150_000, 1000
@@ -65,9 +65,9 @@ def expected_depth(threshold: float, trees: int, deepest: int, recall: float) ->
 
 
 def matched_depth(met: dict[int, int], threshold: float, trees: int, deepest: int, recall: float = RECALL) -> int:
-    """The prefix length at which the descent from deepest ends; met: true pairs of the sample by their longest shared
-    prefix."""
-    least = expected_depth(threshold, trees, deepest, EXPECTED)
+    """The longest prefix whose measured recall is enough, or the one of LEAST; met: true pairs of the sample by their
+    longest shared prefix.  It says what a measurement proves; the join doesn't ask it."""
+    least = expected_depth(threshold, trees, deepest, LEAST)
     total, depth = sum(met.values()), deepest
     while depth > least:
         if sum(n for d, n in met.items() if d >= depth) >= recall * (total + THREE):
@@ -188,28 +188,47 @@ def draw_probes(docs: DataFrame, signer: Signer, threshold: float) -> Probes:
     return Probes([r["key"] for r in one], [np.frombuffer(r["own"], dtype=np.uint64) for r in one], paths, threshold)
 
 
-def sign(docs: DataFrame, signer: Signer, probes: Probes) -> DataFrame:
-    """doc_id, the text's xxhash64 and the 128-bit key of its words, its numbers of words and distinct shingles, its paths
-    (bytes), and for each probe near it the longest shared prefix."""
+def sign(docs: DataFrame, signer: Signer) -> DataFrame:
+    """doc_id, the text's xxhash64 and the 128-bit key of its words, its numbers of words and distinct shingles, and its
+    paths (bytes)."""
     bounded_batches(docs.sparkSession)
-    longs = pa.list_(pa.int32())
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("n_shingles", pa.int64()), ("path", pa.binary()), ("met", longs)])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_words", pa.int64()), ("n_shingles", pa.int64()), ("path", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(5)]
             for t in b.column(2):
                 words = words_of(t.as_py())
                 own = np.unique(shingle_hashes(words))
-                key, path = text_key(words), signer(own)
-                k1, k2 = np.frombuffer(key, dtype=np.int64).tolist()
-                for column, v in zip(out, (k1, k2, len(words), len(own), path.tobytes(), probes.meet(key, own, path)), strict=True):
+                k1, k2 = np.frombuffer(text_key(words), dtype=np.int64).tolist()
+                for column, v in zip(out, (k1, k2, len(words), len(own), signer(own).tobytes()), strict=True):
                     column.append(v)
             kinds = [f.type for f in schema][2:]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], schema=schema)
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64(text_of()), text_of())
-    return rows.mapInArrow(run, "doc_id long, text_hash long, k1 long, k2 long, n_words long, n_shingles long, path binary, met array<int>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, k1 long, k2 long, n_words long, n_shingles long, path binary")
+
+
+def measured(docs: DataFrame, *, threshold: float = THRESHOLD, trees: int = TREES, deepest: int = DEEPEST) -> dict[int, int]:
+    """True pairs of the sampled texts with all distinct texts, by the longest prefix that they share in any trie."""
+    bounded_batches(docs.sparkSession)
+    signer = Signer(trees, deepest)
+    probes = draw_probes(docs, signer, threshold)
+    schema = pa.schema([("key", pa.binary()), ("met", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, met = [], []
+            for t in b.column(0):
+                words = words_of(t.as_py())
+                own, key = np.unique(shingle_hashes(words)), text_key(words)
+                keys.append(key)
+                met.append(probes.meet(key, own, signer(own)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(met, pa.list_(pa.int32()))], schema=schema)
+
+    rows = docs.where("doc_id is not null").select(text_of().alias("text")).mapInArrow(run, "key binary, met array<int>").where("size(met) > 0").dropDuplicates(["key"])
+    return {r["d"]: r["n"] for r in rows.select(F.explode("met").alias("d")).groupBy("d").agg(F.count("*").alias("n")).collect()}  # deepest + 1 rows at most
 
 
 def trie_rows(texts: DataFrame, depth: int, trees: int, deepest: int) -> DataFrame:
@@ -401,15 +420,13 @@ def comparisons(member: DataFrame, texts: DataFrame, threshold: float, depth: in
     return alone.unionByName(left).unionByName(right), [placed, met]
 
 
-def jaccard_classes(docs: DataFrame, *, threshold: float = THRESHOLD, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL) -> DataFrame:
+def jaccard_classes(docs: DataFrame, *, threshold: float = THRESHOLD, trees: int = TREES, deepest: int = DEEPEST, expected: float = EXPECTED) -> DataFrame:
     """doc_id, text_hash, class_id, n_links, n_copies and keeper of every document (see the module's text)."""
     bounded_batches(docs.sparkSession)
-    signer = Signer(trees, deepest)
-    signed = staged(sign(docs, signer, draw_probes(docs, signer, threshold)), "signed")
-    first = signed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count("*").alias("n_copies"), *(F.first(c).alias(c) for c in ("n_words", "n_shingles", "path", "met")))
+    depth = expected_depth(threshold, trees, deepest, expected)
+    signed = staged(sign(docs, Signer(trees, deepest)), "signed")
+    first = signed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count("*").alias("n_copies"), *(F.first(c).alias(c) for c in ("n_words", "n_shingles", "path")))
     texts = staged(first.withColumn("node", F.monotonically_increasing_id()), "texts")
-    met = {r["depth"]: r["n"] for r in texts.select(F.explode("met").alias("depth")).groupBy("depth").agg(F.count("*").alias("n")).collect()}  # deepest + 1 rows at most
-    depth = matched_depth(met, threshold, trees, deepest, recall)
     links_, runs = trie_links(texts, depth, trees, deepest)
     near = components(links_)
     member = staged(near.join(texts.select("node", "n_words", "n_shingles", "rep", F.substring("path", 1, 8).alias("lead")), "node"), "member")

@@ -227,3 +227,21 @@ def test_next_document_of_uneven_ids(spark):
     for (i, x), (_, y) in zip(order, order[1:] + order[:1]):
         want.append((i, hashlib.sha256((x[: len(x) - len(x) // 4] + y[: len(x) // 4]).encode()).hexdigest()))
     assert Counter((r["doc_id"], r["edited_sha256"]) for r in got) == Counter(want)
+
+
+def test_no_sample_decides_which_texts_are_compared(spark, monkeypatch):
+    """Pairs at the threshold beside a crowd of closer ones; only the measurement draws texts."""
+    from strandlab.llm import neardup as N
+
+    r = random.Random(12)
+    texts = []
+    for _ in range(12):
+        base = [f"w{r.randrange(900)}" for _ in range(60)]
+        far, near = list(base), list(base)
+        far[20], near[0] = "x", "y"  # 51 of 61 shingles; 55 of 57
+        texts += [base, far, near]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert sum(N.measured(docs).values()) == 2 * 36
+    monkeypatch.setattr(N, "draw_probes", None)
+    assert [x["n_links"] for x in N.jaccard_classes(docs).orderBy("doc_id").collect()] == [2] * 36
+    assert N.expected_depth(N.THRESHOLD, N.TREES, N.DEEPEST, N.EXPECTED) == 4
