@@ -36,6 +36,8 @@ EMISSION_PRIOR = 0.3
 HYPER_STEPS = 20
 #: Terms of a table count that are drawn one by one; the sum of the further ones, of small probabilities, is a Poisson draw.
 EXACT_TERMS = 10_000
+#: Numbers of a batch of sequences that are resampled at once, letters times states.
+HELD = 4_000_000
 #: Iterations between two updates of the sequences' weights.
 INNER = 10
 START, END = 0, 1
@@ -248,6 +250,63 @@ def resample(trans: np.ndarray, emit: np.ndarray, codes: np.ndarray, u: np.ndarr
     return out
 
 
+def resample_many(trans: np.ndarray, emit: np.ndarray, codes: list[np.ndarray], u: list[np.ndarray], draws: list[np.ndarray], sorted_: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[np.ndarray | None]:
+    """resample() of several sequences (none empty) at once, a place of all of them at a time, with the same sums in the
+    same order; draws: each sequence's uniform numbers, as many as letters."""
+    k = len(trans)
+    t = np.ascontiguousarray(trans[:, :k])
+    into, likely = np.ascontiguousarray(t.T), np.ascontiguousarray(emit.T)
+    low, source, target = sorted_
+    order = np.argsort([-len(c) for c in codes], kind="stable")  # those that reach a place come first
+    size = np.array([len(codes[j]) for j in order])
+    b, n = len(order), int(size[0])
+    x, slice_, draw = np.zeros((b, n), dtype=np.int64), np.ones((b, n + 1)), np.zeros((b, n))
+    for row, j in enumerate(order):
+        m = size[row]
+        x[row, :m], slice_[row, : m + 1], draw[row, :m] = codes[j], u[j], draws[j][::-1]
+    above = np.searchsorted(low, -slice_)
+    reach = b - np.searchsorted(size[::-1], np.arange(n), side="right")
+    f, lost = np.zeros((n, b, k)), np.zeros(b, dtype=bool)
+    for i in range(n):
+        a = int(reach[i])
+        if i:
+            m = above[:a, i]
+            row = np.repeat(np.arange(a), m)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
+            now = np.bincount(row * k + target[at], weights=f[i - 1].ravel()[row * k + source[at]], minlength=a * k).reshape(a, k) * likely[x[:a, i]]
+        else:
+            now = (t[START] > slice_[:a, :1]) * likely[x[:a, 0]]
+        total = now.sum(axis=1)
+        lost[:a] |= total == 0
+        f[i, :a] = now / np.where(total == 0, 1.0, total)[:, None]
+    out = np.full((b, n + 1), END, dtype=np.int64)
+    for i in range(n - 1, -1, -1):
+        a = int(reach[i])
+        p = f[i, :a] * (into[out[:a, i + 1]] > slice_[:a, i + 1, None])
+        total = p.sum(axis=1)
+        lost[:a] |= total == 0
+        out[:a, i] = np.minimum((np.cumsum(p, axis=1) < (draw[:a, i] * total)[:, None]).sum(axis=1), k - 1)
+    got: list[np.ndarray | None] = [None] * b
+    for row, j in enumerate(order):
+        if not lost[row]:
+            got[j] = out[row, : size[row]]
+    return got
+
+
+def together(sizes: list[int], states: int) -> Iterator[list[int]]:
+    """Places of the sequences that are resampled at once, of like lengths, as many as HELD numbers allow."""
+    held: list[int] = []
+    longest = 0
+    for j in sorted(range(len(sizes)), key=lambda j: -sizes[j]):
+        longest = longest or sizes[j]
+        if held and (len(held) + 1) * longest * states > HELD:
+            yield held
+            held, longest = [], sizes[j]
+        held.append(j)
+    if held:
+        yield held
+
+
 def _draws(attempt: int, kind: int) -> tuple[int, ...]:
     """What tells a sequence's generators apart: slices (kind 0) and labels (1) of each attempt at an iteration."""
     return (2 * attempt + kind,) if attempt or kind else ()
@@ -278,15 +337,19 @@ def _resampled(labels: DataFrame, trans: list[np.ndarray], emit: list[np.ndarray
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order = [falling(t) for t in trans]
         for pdf in batches:
-            new, lost = [], []
-            for m, i, c, l in zip(pdf["model"], pdf["seq_id"], pdf["codes"], pdf["labels"], strict=True):
-                old = got = np.asarray(l, dtype=np.int64)
-                if len(old):
-                    u = slices(trans[m], old, generator(seed, iteration, m, i, *_draws(attempt, 0)))
-                    got = resample(trans[m], emit[m], np.asarray(c, dtype=np.int64), u, generator(seed, iteration, m, i, *_draws(attempt, 1)), order[m])
-                lost.append(got is None)
-                new.append((old if got is None else got).tolist())
-            yield pd.DataFrame({"model": pdf["model"], "seq_id": pdf["seq_id"], "codes": pdf["codes"], "labels": new, "weight": pdf["weight"], "lost": lost})
+            model, ids = pdf["model"].to_numpy(), pdf["seq_id"].to_numpy()
+            new = [np.asarray(x, dtype=np.int64) for x in pdf["labels"]]
+            codes, lost = [np.asarray(x, dtype=np.int64) for x in pdf["codes"]], np.zeros(len(pdf), dtype=bool)
+            for m in np.unique(model):
+                rows = [j for j in np.flatnonzero(model == m).tolist() if len(new[j])]
+                for some in together([len(new[j]) for j in rows], len(trans[m])):
+                    own = [rows[j] for j in some]
+                    u = [slices(trans[m], new[j], generator(seed, iteration, m, ids[j], *_draws(attempt, 0))) for j in own]
+                    r = [generator(seed, iteration, m, ids[j], *_draws(attempt, 1)).random(len(new[j])) for j in own]
+                    for j, got in zip(own, resample_many(trans[m], emit[m], [codes[j] for j in own], u, r, order[m]), strict=True):
+                        lost[j] = got is None
+                        new[j] = new[j] if got is None else got
+            yield pd.DataFrame({"model": model, "seq_id": ids, "codes": pdf["codes"], "labels": [x.astype(np.int32) for x in new], "weight": pdf["weight"], "lost": lost})
 
     return labels.select("model", "seq_id", "codes", "labels", "weight").mapInPandas(run, COLUMNS + ", lost boolean")
 
@@ -387,7 +450,12 @@ class Bag:
         self.lost += lost
         self.labels, self.states, self.iteration = new.drop("lost"), grown, it + 1
         if self.competitive and len(now) > 1 and self.iteration % self.inner == 0:
-            self.labels = written(weighted(self.labels, self.finite(), self.iteration // self.inner - 1), f"weights{it}")
+            self.labels = written(dealt(weighted(self.labels, self.finite(), self.iteration // self.inner - 1)), f"weights{it}")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows over all cores: labels take few bytes, and so would come in few files, but much work."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
 
 
 def start(seqs: DataFrame, letters: int, seed: int = 3, states: int | None = None, models: int = 1, competitive: bool = False, inner: int = INNER) -> Bag:
@@ -399,7 +467,7 @@ def start(seqs: DataFrame, letters: int, seed: int = 3, states: int | None = Non
     rows = one(0)
     for m in range(1, models):
         rows = rows.unionByName(one(m))
-    return Bag(written(rows, "labels"), [None] * models, seed, letters, competitive=competitive, inner=inner)
+    return Bag(written(dealt(rows), "labels"), [None] * models, seed, letters, competitive=competitive, inner=inner)
 
 
 def best(bag: Bag) -> int:

@@ -197,6 +197,37 @@ def test_resampling_is_fair():
         assert got.get(p, 0) / n == pytest.approx(w / sum(want.values()), abs=0.012)
 
 
+@pytest.mark.parametrize(("states", "longest"), [(12, 90), (40, 30), (5, 1)])
+def test_sequences_resampled_at_once_get_the_same_labels(states, longest, monkeypatch):
+    """However many fit together; also those without a path above their slices."""
+    r = np.random.default_rng(states)
+    t = r.gamma(0.5, size=(states, states + 1)) + 1e-9
+    t[:, 0] = t[1] = 0
+    t[[0, *range(2, states)]] /= t[[0, *range(2, states)]].sum(1, keepdims=True)
+    e = r.dirichlet(np.ones(5), states)
+    e[:2] = 0
+    size = [int(n) for n in r.integers(1, longest + 1, 80)]
+    codes, old = [r.integers(0, 5, n) for n in size], [r.integers(2, states, n) for n in size]
+    u = [N.slices(t, x, N.generator(1, 2, 0, i)) for i, x in enumerate(old)]
+    u[3] = np.full(len(u[3]), 0.999)
+    want = [N.resample(t, e, c, v, N.generator(1, 2, 0, i, 1)) for i, (c, v) in enumerate(zip(codes, u))]
+    assert want[3] is None and sum(x is not None for x in want) > 40
+    for held in (1, 20_000, 4_000_000):
+        monkeypatch.setattr(N, "HELD", held)
+        got = {}
+        for some in N.together(size, states):
+            draws = [N.generator(1, 2, 0, i, 1).random(size[i]) for i in some]
+            got |= dict(zip(some, N.resample_many(t, e, [codes[i] for i in some], [u[i] for i in some], draws, N.falling(t))))
+        assert sorted(got) == list(range(80))
+        assert all((got[i] is None) == (x is None) and (x is None or (got[i] == x).all()) for i, x in enumerate(want))
+
+
+def test_labels_of_many_sequences_are_dealt_over_all_cores(spark):
+    rows = spark.createDataFrame([(i, [i % 3, 1]) for i in range(200)], "seq_id long, codes array<int>").coalesce(1)
+    bag = N.start(rows, 3, states=5)
+    assert len(bag.labels.inputFiles()) == 2 * spark.sparkContext.defaultParallelism
+
+
 def test_sequences(spark):
     df = spark.createDataFrame([(1, "ACGTN"), (2, "AC-G.T"), (3, "")], "seq_id long, seq string")
     assert [r[0] for r in df.select(S.complement(S.complement("seq"))).collect()] == ["ACGTN", "AC-G.T", ""]
