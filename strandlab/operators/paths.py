@@ -6,7 +6,6 @@ over tasks."""
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,14 +14,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlab.operators import merging as G
 from strandlab.operators import suffixes as X
-from strandlab.operators.motifs import MOST_BETTER, SHUFFLES, best_offset, merge, overlap_of
+from strandlab.operators.motifs import MOST_BETTER, SHUFFLES, best_offset, overlap_of
 from strandlab.session import for_python, written
 
 #: Labels of all paths together that an automaton is built of at most.
 AUTOMATON = 1_000_000
 #: Shuffles that share a random generator.
 DEALT = 100
+#: Motifs whose costs with all others a task holds at once; merges a core that go ahead of their shuffles at most.
+TOGETHER, AHEAD = 16, 16
 _FIRST = 0x100  # character of label 0; labels are below 0xD000
 
 
@@ -102,83 +104,128 @@ def path_matrix(states: DataFrame, found: DataFrame, symbols: str) -> DataFrame:
     return each.groupBy("path", "place", "symbol").agg(F.count("*").alias("n"))
 
 
-def _shares(counts: np.ndarray) -> np.ndarray:
-    more = counts + 0.1 / counts.shape[1]
-    return more / more.sum(1, keepdims=True)
+_shares = G.shares
 
 
-def pair_costs(spark, motifs: dict[str, np.ndarray], pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float]:
-    """The cost of the best alignment of each pair; pairs are dealt out over tasks."""
+def nearest_motifs(spark, motifs: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The few nearest ones of each motif and their costs, with a bound below which none is missing; motifs are dealt out
+    over tasks, and a task holds the costs of a few with all."""
     for_python(spark)
-    held = spark.sparkContext.broadcast({k: _shares(m) for k, m in motifs.items()})
+    held = spark.sparkContext.broadcast(list(motifs.values()))
+    lengths: dict[int, list[int]] = {}
+    for i, m in enumerate(motifs.values()):
+        lengths.setdefault(len(m), []).append(i)
+    some = [(ids[i : i + TOGETHER],) for ids in lengths.values() for i in range(0, len(ids), TOGETHER)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stacks = None
         for pdf in batches:
-            m = held.value
-            cost = [best_offset(m[a], m[b], overlap_of(len(m[a]), len(m[b])))[0] for a, b in zip(pdf["a"], pdf["b"], strict=True)]
-            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "cost": np.array(cost, dtype=float)})
+            stacks = stacks or G.stacked(held.value)
+            for ids in pdf["ids"]:
+                near, cost, bound = G.nearest(stacks, [int(i) for i in ids])
+                yield pd.DataFrame({"id": ids, "near": list(near), "cost": list(cost), "bound": bound})
 
-    parts = max(1, min(len(pairs) // 200 + 1, 64 * spark.sparkContext.defaultParallelism))
-    rows = spark.createDataFrame(pairs, "a string, b string").repartition(parts)
-    return {(r["a"], r["b"]): r["cost"] for r in rows.mapInPandas(run, "a string, b string, cost double").collect()}
+    rows = spark.createDataFrame(some, "ids array<int>").repartition(max(1, min(len(some), 4 * spark.sparkContext.defaultParallelism)))
+    got = rows.mapInPandas(run, "id int, near array<long>, cost array<double>, bound double").toArrow().sort_by("id")  # a few numbers a motif
+    few = lambda c: got[c].combine_chunks().flatten().to_numpy().reshape(-1, G.KEPT)
+    return few("near"), few("cost"), got["bound"].to_numpy()
 
 
-def shuffles_better(spark, p: np.ndarray, q: np.ndarray, seed: tuple[int, ...], shuffles: int, enough: int) -> int:
-    """How many shuffles of p's columns and letters align better with q than p does, counted up to a little above
-    `enough`; every DEALT shuffles have a generator of their own number, so tasks and their number change nothing."""
-    for_python(spark)
+def _better(p: np.ndarray, q: np.ndarray, seed: tuple[int, ...], blocks: range, shuffles: int, enough: int) -> int:
+    """The shuffles of these blocks that align better, up to a little above `enough`.
+
+    A block's shuffles are drawn one by one and aligned at once; best_offset decides on those as good as p itself."""
     overlap = overlap_of(len(p), len(q))
     cost = best_offset(p, q, overlap)[0]
+    places = np.arange(p.size).reshape(p.shape)
+    left, _, own = G.columns(p)
+    logs, other = left[:, p.shape[1] :].ravel(), G.columns(q[:, None, :])
+    flat, better = left[:, : p.shape[1]].ravel(), 0
+    for k in blocks:
+        if better > enough:
+            break  # the decision is made
+        rng = np.random.default_rng([*seed, k])
+        n = min(DEALT, shuffles - k * DEALT)
+        mixed = np.empty((n, *p.shape), dtype=places.dtype)
+        for i in range(n):
+            rng.permuted(places[rng.permutation(len(p))], axis=1, out=mixed[i])
+        at = mixed.transpose(1, 0, 2)
+        costs = G.aligned_costs((np.concatenate([flat[at], logs[at]], -1), None, own[at[:, :, 0] // p.shape[1]]), other, overlap)[:, 0]
+        better += int((costs < cost - G.CLOSE).sum())
+        better += sum(best_offset(p.ravel()[mixed[i]], q, overlap)[0] < cost for i in np.flatnonzero(abs(costs - cost) <= G.CLOSE))
+    return better
+
+
+def shuffles_better_each(spark, pairs: list[tuple[np.ndarray, np.ndarray, tuple[int, ...]]], shuffles: int, enough: int) -> list[int]:
+    """For each (p, q, seed), how many shuffles of p's columns and letters align better with q than p does, counted up to
+    a little above `enough`; every DEALT shuffles have a generator of their own number, so tasks and their number change
+    nothing.  Pairs are dealt out over tasks, few pairs block by block."""
+    for_python(spark)
+    blocks, tasks = -(-shuffles // DEALT), 4 * spark.sparkContext.defaultParallelism
+    parts = max(1, min(blocks, -(-tasks // len(pairs))))
+    rows = [(i, part, p.shape[1], p.tobytes(), q.tobytes(), list(seed)) for i, (p, q, seed) in enumerate(pairs) for part in range(parts)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        better = 0
         for pdf in batches:
-            for k in pdf["id"]:
-                if better > enough:
-                    break  # the decision is made
-                rng = np.random.default_rng([*seed, int(k)])
-                for _ in range(min(DEALT, shuffles - int(k) * DEALT)):
-                    better += best_offset(rng.permuted(p[rng.permutation(len(p))], axis=1), q, overlap)[0] < cost
-        yield pd.DataFrame({"better": [better]})
+            better = []
+            for part, letters, p, q, seed in zip(pdf["part"], pdf["letters"], pdf["p"], pdf["q"], pdf["seed"], strict=True):
+                p, q = (np.frombuffer(x).reshape(-1, letters) for x in (p, q))
+                better.append(_better(p, q, tuple(map(int, seed)), range(part, blocks, parts), shuffles, enough))
+            yield pd.DataFrame({"i": pdf["i"], "better": better})
+
+    dealt = spark.createDataFrame(rows, "i int, part int, letters int, p binary, q binary, seed array<long>").repartition(min(len(rows), tasks))
+    out = [0] * len(pairs)
+    for r in dealt.mapInPandas(run, "i int, better long").groupBy("i").agg(F.sum("better").alias("better")).collect():  # a number a pair
+        out[r["i"]] = r["better"]
+    return out
+
 
-    blocks = -(-shuffles // DEALT)
-    rows = spark.range(0, blocks, 1, min(blocks, 2 * spark.sparkContext.defaultParallelism)).mapInPandas(run, "better long")
-    return rows.agg(F.sum("better")).first()[0] or 0
+def shuffles_better(spark, p: np.ndarray, q: np.ndarray, seed: tuple[int, ...], shuffles: int, enough: int) -> int:
+    """shuffles_better_each of one pair."""
+    return shuffles_better_each(spark, [(p, q, seed)], shuffles, enough)[0]
 
 
 def merge_over_tasks(spark, motifs: dict[str, np.ndarray], seed: int = 5, shuffles: int = SHUFFLES, most_better: int | None = None) -> tuple[dict[str, np.ndarray], dict[str, dict[str, int]]]:
     """Merged count matrices, and of each its members with the place of their first column: the closest pair is merged as
     long as at most `most_better` (100 of 10,000) shuffles align better; the first pair that isn't ends it.
 
-    The list of matrices (hundreds) is the driver's; costs of pairs are kept between merges, so a merge asks for those of
-    the new motif only."""
+    As the first refusal ends it, which pairs come next does not depend on the shuffles: the driver, whose list of matrices
+    it is, goes on merging, and the shuffles of the next pairs are dealt out together, some for each core."""
     limit = MOST_BETTER * shuffles // SHUFFLES if most_better is None else most_better
-    now, shifts = dict(motifs), {m: {m: 0} for m in motifs}
-    names = sorted(now)
-    costs = pair_costs(spark, now, [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]) if len(names) > 1 else {}
-    while costs:
-        _, a, b = min((c, a, b) for (a, b), c in costs.items())
-        p, q = _shares(now[a]), _shares(now[b])
-        offset = best_offset(p, q, overlap_of(len(p), len(q)))[1]
-        if shuffles_better(spark, p, q, (seed, zlib.crc32(a.encode()), zlib.crc32(b.encode())), shuffles, limit) > limit:
-            break
-        new, low = f"{a}+{b}", min(0, offset)
-        now[new] = merge(now.pop(a), now.pop(b), offset)
-        shifts[new] = {m: at - low for m, at in shifts.pop(a).items()} | {m: at + offset - low for m, at in shifts.pop(b).items()}
-        costs = {k: c for k, c in costs.items() if a not in k and b not in k}
-        r = _shares(now[new])
-        for other in now:
-            if other != new:
-                x, y = sorted((new, other))
-                m = {new: r, other: _shares(now[other])}
-                costs[x, y] = best_offset(m[x], m[y], overlap_of(len(m[x]), len(m[y])))[0]
+    names, made = list(motifs), {}  # of each merged motif: both parts, the second's offset in the first
+    chain = G.Chain(motifs, *nearest_motifs(spark, motifs)) if len(motifs) > 1 else None
+    cores, ahead, refused = spark.sparkContext.defaultParallelism, 1, False
+    while chain and len(chain.live) > 1 and not refused:
+        steps = [chain.step() for _ in range(min(ahead * cores, len(chain.live) - 1))]
+        tests = [(_shares(chain.counts[a]), _shares(chain.counts[b]), (seed, chain.sums[a], chain.sums[b])) for a, b, _, _ in steps]
+        for (a, b, new, offset), better in zip(steps, shuffles_better_each(spark, tests, shuffles, limit), strict=True):
+            if better > limit:
+                refused = True
+                break
+            made[new] = (a, b, offset)
+        ahead = min(2 * ahead, AHEAD)
+    parts = {m for a, b, _ in made.values() for m in (a, b)}
+    now, shifts = {}, {}
+    for root in [m for m in [*range(len(names)), *made] if m not in parts]:
+        own, todo = {}, [(root, 0)]
+        while todo:
+            m, at = todo.pop()
+            if m in made:
+                a, b, offset = made[m]
+                low = min(0, offset)
+                todo += [(b, at + offset - low), (a, at - low)]
+            else:
+                own[names[m]] = at
+        now["+".join(own)] = chain.counts[root] if chain else motifs[names[root]]
+        shifts["+".join(own)] = own
     return now, shifts
 
 
 def matrices(counts: DataFrame, letters: int) -> dict[str, np.ndarray]:
     """Count matrices by path (labels joined by dots) of a table of path, place, symbol, n; a list of motifs is small."""
-    out: dict[str, np.ndarray] = {}
-    for r in counts.collect():
-        m = out.setdefault(".".join(map(str, r["path"])), np.zeros((len(r["path"]), letters)))
-        m[r["place"], r["symbol"]] = r["n"]
+    got, out = counts.select("path", "place", "symbol", "n").toArrow(), {}
+    place, symbol, n = (got[c].to_numpy() for c in ("place", "symbol", "n"))
+    for i, path in enumerate(got["path"].to_pylist()):
+        m = out.setdefault(".".join(map(str, path)), np.zeros((len(path), letters)))
+        m[place[i], symbol[i]] = n[i]
     return out

@@ -1,6 +1,8 @@
 """Packed words, context models by join, label-path motifs, searches with trained models, FASTQ by ranges."""
 
 import random
+import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strandlab.operators import counting as C
 from strandlab.operators import familysearch as X
+from strandlab.operators import merging as G
 from strandlab.operators import motifs as M
 from strandlab.operators import paths as W
 from strandlab.operators import suffixtree as T
@@ -246,3 +249,80 @@ def test_a_packed_block_is_smaller_than_its_words():
     held = Z.packed(code, n)
     back = Z.unpacked(len(code), held)
     assert (back[0] == code).all() and (back[1] == n).all() and len(held) < 8 * len(code)
+
+
+def unequal(n, seed):
+    """motifs() of 4 to 9 columns, every fifth one a copy of another."""
+    r, some = np.random.default_rng(seed), list(motifs(n, seed).values())
+    cut = [m[: int(r.integers(4, len(m) + 1))] for m in some]
+    return {f"{i % 7}.{i}": cut[i - 5 if i % 5 == 4 and i > 5 else i].copy() for i in range(n)}
+
+
+@pytest.mark.parametrize("kept", [1, 2, G.KEPT])
+def test_the_chain_of_merges_is_that_of_all_pairs(monkeypatch, kept):
+    """With copies, of which many pairs cost the same, and however few nearest ones are kept."""
+    monkeypatch.setattr(G, "KEPT", kept)
+    some = unequal(40, 3)
+    stacks = G.stacked(list(some.values()))
+    each = [G.nearest(stacks, [i]) for i in range(len(some))]
+    chain = G.Chain(some, *(np.concatenate(x) for x in zip(*each, strict=True)))
+    best = lambda a, b: M.best_offset(G.shares(now[a]), G.shares(now[b]), M.overlap_of(len(now[a]), len(now[b])))
+    now = dict(some)
+    costs = {(a, b): best(a, b)[0] for a in now for b in now if a < b}
+    names = dict(enumerate(some))
+    while len(now) > 1:
+        _, a, b = min((c, *k) for k, c in costs.items())
+        offset = best(a, b)[1]
+        x, y, new, at = chain.step()
+        assert (names[x], names[y], at) == (a, b, offset)
+        names[new] = f"{a}+{b}"
+        assert chain.sums[new] == zlib.crc32(names[new].encode())
+        now[names[new]] = M.merge(now.pop(a), now.pop(b), offset)
+        assert np.array_equal(chain.counts[new], now[names[new]])
+        costs = {k: c for k, c in costs.items() if a not in k and b not in k}
+        costs |= {k: best(*k)[0] for k in (tuple(sorted((o, names[new]))) for o in now if o != names[new])}
+
+
+def test_a_merge_is_no_job_of_its_own(spark):
+    """The merges and members are those of one pair after the other, in a few jobs for all of them."""
+    some, shuffles, limit = unequal(48, 8), 200, 2
+    spark.sparkContext.setJobGroup("merges", "merges")
+    got, shifts = W.merge_over_tasks(spark, some, shuffles=shuffles)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("merges"))
+    spark.sparkContext.setJobGroup("others", "others")
+    merges = sum(len(v) - 1 for v in shifts.values())
+    assert 20 < merges < len(some) - 1 and jobs < merges
+
+    now, moved = dict(some), {m: {m: 0} for m in some}
+    while True:
+        best = {(a, b): M.best_offset(G.shares(now[a]), G.shares(now[b]), M.overlap_of(len(now[a]), len(now[b]))) for a in now for b in now if a < b}
+        (cost, offset), a, b = min((c, *k) for k, c in best.items())
+        p, q, better = G.shares(now[a]), G.shares(now[b]), 0
+        for k in range(-(-shuffles // W.DEALT)):
+            rng = np.random.default_rng([5, zlib.crc32(a.encode()), zlib.crc32(b.encode()), k])
+            better += sum(M.best_offset(rng.permuted(p[rng.permutation(len(p))], axis=1), q, M.overlap_of(len(p), len(q)))[0] < cost for _ in range(W.DEALT))
+        if better > limit:
+            break
+        low = min(0, offset)
+        now[f"{a}+{b}"] = M.merge(now.pop(a), now.pop(b), offset)
+        moved[f"{a}+{b}"] = {m: at - low for m, at in moved.pop(a).items()} | {m: at + offset - low for m, at in moved.pop(b).items()}
+    assert list(got) == list(now) and shifts == moved and all(np.array_equal(got[k], now[k]) for k in now)
+
+
+def test_one_motif_or_none_is_left_as_it_is(spark):
+    one = motifs(3)["m0"]
+    assert W.merge_over_tasks(spark, {}) == ({}, {})
+    now, shifts = W.merge_over_tasks(spark, {"a": one})
+    assert list(now) == ["a"] and shifts == {"a": {"a": 0}} and np.array_equal(now["a"], one)
+
+
+def test_merged_hits_are_shuffled_without_their_names(spark, sf, monkeypatch):
+    """A merged name is as long as those of all its members together."""
+    from strandlab.plans import motifs as Q
+
+    merged = lambda spark, motifs: (None, {"+".join(motifs): {m: i for i, m in enumerate(motifs)}})
+    monkeypatch.setattr(W, "merge_over_tasks", merged)
+    df = Q.motif_path_merge(spark, sf)
+    assert df.columns == ["merged", "user_id", "pos"] and df.distinct().count() == df.count() > 0
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" in plan and not re.search(r"hashpartitioning\([^)]*merged", plan)
