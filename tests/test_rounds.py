@@ -87,3 +87,10 @@ def test_reach_across_parts(spark, least, parts):
     got = {(x["seq_id"], x["pos"]): x["reach"] for x in X.reach(rows, least, parts).collect()}
     has = lambda w: sum(weights[i] for i, s in seqs.items() if w in s)
     assert got == {(i, k): max((n for n in range(1, len(s) - k + 1) if has(s[k : k + n]) >= least), default=0) for i, s in seqs.items() for k in range(len(s))}
+
+
+def test_ranks_of_long_sequences_are_not_broadcast(spark):
+    """Tables of ranks have small files, so Spark would send all their rows to the driver."""
+    seqs = spark.createDataFrame([(i, "ab" * 5) for i in range(3)], "seq_id long, seq string")
+    order = X.in_order(X.letters(seqs), 2)
+    assert order.levels and "Broadcast" not in X.with_before(order)._jdf.queryExecution().executedPlan().toString()
